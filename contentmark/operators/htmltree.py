@@ -121,6 +121,11 @@ def shred_html(src: str):
     children = {}     # pre -> list of ("t", row) / ("n", row) / ("c", None)
     swallow = []      # void names whose next end tag is ignored
     text_no = 0
+    content, plain = [], []   # all text runs / runs outside script, style
+    c_off = s_off = 0         # running lengths of the two page texts
+
+    def close(nd):  # subtree text of nd ends here
+        nd["c1"], nd["s1"] = c_off, s_off
     for k, (off, kind, payload) in enumerate(events):
         end = events[k + 1][0] if k + 1 < len(events) else n
         raw = src[off:end]
@@ -143,15 +148,16 @@ def shred_html(src: str):
             row.update(node=pre, tag=tag, parent=owner["node"] if owner else -1,
                        depth=len(path) - 1, path=path, attrs=amap,
                        classes=cls.split() if cls is not None else [],
-                       last=pre)
+                       last=pre, c0=c_off, s0=s_off)
             nodes.append(row)
             children[pre] = []
             if owner is not None:
                 children[owner["node"]].append(("n", row))
             if self_closing:
-                pass
+                close(row)
             elif tag in VOID_TAGS:
                 swallow.append(tag)
+                close(row)
             else:
                 stack.append(row)
         elif kind == "end":
@@ -172,6 +178,8 @@ def shred_html(src: str):
                     row["node"] = stack[hit]["node"]
                     row["path"] = stack[hit]["path"]
                     row["depth"] = stack[hit]["depth"]
+                    for nd in stack[hit:]:
+                        close(nd)
                     del stack[hit:]
         elif kind == "text":
             rawtext = payload
@@ -181,6 +189,11 @@ def shred_html(src: str):
                 text = "\n" if "\n" in text else " "
             row["kind"] = "rawtext" if rawtext else "text"
             row["text"] = text
+            content.append(text)
+            c_off += len(text)
+            if not rawtext:
+                plain.append(text)
+                s_off += len(text)
             row["text_no"] = text_no
             text_no += 1
             if owner is not None:
@@ -189,26 +202,8 @@ def shred_html(src: str):
             if owner is not None:
                 children[owner["node"]].append(("c", row))
         rows.append(row)
-    # character offsets of every text run in the page's content text (all
-    # runs) and in its plain text (runs outside script / style)
-    content, plain = [], []
-    c_off = s_off = 0
-    for r in rows:
-        if r["kind"] in ("text", "rawtext"):
-            r["c0"] = c_off
-            c_off += len(r["text"])
-            content.append(r["text"])
-            if r["kind"] == "text":
-                plain.append(r["text"])
-                s_off += len(r["text"])
-        elif r["kind"] == "start":
-            r["c0"], r["s0"] = c_off, s_off
-        elif r["kind"] == "end" and r["node"] is not None:
-            nd = nodes[r["node"]]
-            nd["c1"], nd["s1"] = c_off, s_off
-    for nd in nodes:  # never closed: the subtree runs to the end of input
-        nd.setdefault("c1", c_off)
-        nd.setdefault("s1", s_off)
+    for nd in stack:  # never closed: the subtree runs to the end of input
+        close(nd)
     # subtree extent, own text, child count and the ".string" text run
     for nd in reversed(nodes):
         pre = nd["node"]
@@ -226,9 +221,6 @@ def shred_html(src: str):
                 nd["string_i"] = r["i"]
             elif t == "n":
                 nd["string_i"] = r["string_i"]
-    for r in rows:
-        if r["kind"] != "start":
-            r["c0"] = r["c1"] = r["s0"] = r["s1"] = None
     rows.append({"i": -1, "kind": "doc", "raw": "", "node": None, "tag": None,
                  "parent": None, "depth": None, "last": None, "path": None,
                  "attrs": None, "classes": None, "own_text": "".join(plain),

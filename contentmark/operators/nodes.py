@@ -70,9 +70,10 @@ def set_attr(nodes: DataFrame, name: str, flag: str = "is_main",
     ).otherwise(F.col("attrs")))
 
 
-def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str,
-                 col: str = "is_main") -> tuple[DataFrame, DataFrame]:
-    """Unwrap annotation spans (``span`` with ``attr`` in {0, 1}).
+def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str | None,
+                 col: str = "is_main", tag: str = "span") -> tuple[DataFrame, DataFrame]:
+    """Unwrap annotation spans (``tag`` elements with ``attr`` in {0, 1};
+    every ``tag`` element when ``attr`` is None).
 
     * the span's single string (``.string``) is trimmed;
     * a main-labelled span passes the label to its effective parent - the
@@ -81,19 +82,21 @@ def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str,
     * the span disappears; its children are re-parented to that ancestor.
 
     Returns (nodes, texts) without the spans, with ``parent``, ``path`` and
-    ``depth`` recomputed and ``unwrapped`` (page_id, pre) for rendering.
+    ``depth`` recomputed; ``unwrapped(nodes, attr)`` lists the removed
+    elements for rendering.
     """
-    doomed_c = (F.col("tag") == "span") & F.coalesce(
-        F.try_element_at(F.col("attrs"), F.lit(attr)).isin("0", "1"), F.lit(False))
+    doomed_c = unwrap_condition(attr, tag)
+    if col not in nodes.columns:
+        nodes = nodes.withColumn(col, F.lit(0))
     flagged = nodes.withColumn("doomed", doomed_c)
     per_page = flagged.where("doomed").groupBy("page_id").agg(
         F.collect_set("pre").alias("doomed_set"))
     j = flagged.join(per_page, "page_id", "left").withColumn(
         "doomed_set", F.coalesce("doomed_set", F.array().cast("array<int>")))
     keep_path = F.filter("path", lambda x: ~F.array_contains(F.col("doomed_set"), x))
-    eff_parent = F.element_at(F.filter(
+    eff_parent = F.try_element_at(F.filter(
         F.slice("path", 1, F.size("path") - 1),
-        lambda x: ~F.array_contains(F.col("doomed_set"), x)), -1)
+        lambda x: ~F.array_contains(F.col("doomed_set"), x)), F.lit(-1))
     j = j.withColumn("eff_parent", eff_parent)
     lifts = (j.where(F.col("doomed") & (F.col(col) == 1) & F.col("eff_parent").isNotNull())
              .select("page_id", F.col("eff_parent").alias("pre"))
@@ -105,8 +108,8 @@ def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str,
     out = (j.where(~F.col("doomed"))
            .withColumn("path", new_path)
            .withColumn("depth", F.size("path") - 1)
-           .withColumn("parent", F.coalesce(F.element_at(
-               F.slice("path", 1, F.size("path") - 1), -1), F.lit(-1)))
+           .withColumn("parent", F.coalesce(F.try_element_at(
+               F.slice("path", 1, F.size("path") - 1), F.lit(-1)), F.lit(-1)))
            .join(lifts, ["page_id", "pre"], "left")
            .withColumn(col, F.greatest(F.col(col), F.coalesce("lifted", F.lit(0))))
            .drop("lifted", "doomed", "doomed_set", "eff_parent"))
@@ -115,14 +118,27 @@ def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str,
                      .otherwise(F.col("text")))
          .drop("trim")
          .join(per_page, "page_id", "left")
-         .withColumn("node", F.coalesce(F.element_at(F.filter(
+         .withColumn("node", F.coalesce(F.try_element_at(F.filter(
              "path", lambda x: ~F.array_contains(
-                 F.coalesce(F.col("doomed_set"), F.array().cast("array<int>")), x)), -1),
+                 F.coalesce(F.col("doomed_set"), F.array().cast("array<int>")), x)), F.lit(-1)),
              F.lit(-1)))
          .drop("doomed_set"))
     return out, t
 
 
+def unwrap_condition(attr: str | None, tag: str = "span") -> Column:
+    c = F.col("tag") == tag
+    if attr is not None:
+        c = c & F.coalesce(F.try_element_at(F.col("attrs"), F.lit(attr)).isin("0", "1"),
+                           F.lit(False))
+    return c
+
+
+def unwrapped(nodes: DataFrame, attr: str | None, tag: str = "span") -> DataFrame:
+    """(page_id, pre, string_i) of the elements ``unwrap_spans`` removes."""
+    return nodes.where(unwrap_condition(attr, tag)).select("page_id", "pre", "string_i")
+
+
 def lowest_common_ancestor(seeds: DataFrame) -> DataFrame:
     """(page_id, lca) - deepest common ancestor-or-self of the seeds.
 
@@ -143,12 +159,14 @@ def mark_block(nodes: DataFrame, lca: DataFrame, col: str = "is_main") -> DataFr
             .drop("lca"))
 
 
-def contradictions(nodes: DataFrame, lca: DataFrame, attr: str) -> DataFrame:
+def contradictions(nodes: DataFrame, lca: DataFrame, attr: str | None = None,
+                   where: Column | None = None) -> DataFrame:
     """(page_id, n) - pages whose main block holds descendants with
-    ``attr`` = 0 (the reference warns once per such page)."""
+    ``attr`` = 0 (or matching ``where``); the reference warns once per page."""
+    cond = attr_equals(attr, 0) if where is None else where
     return (nodes.join(lca, "page_id")
             .where(F.array_contains("path", F.col("lca")) & (F.col("pre") != F.col("lca"))
-                   & attr_equals(attr, 0))
+                   & cond)
             .groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
 
 

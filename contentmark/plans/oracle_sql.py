@@ -14,12 +14,12 @@ from contentmark.functions.text import WS_CLASS
 WS = WS_CLASS + "+"
 
 NODE_CTES = r"""
-WITH RECURSIVE toks AS (
+WITH RECURSIVE src AS (SELECT page_id, html FROM pages), toks AS (
   SELECT page_id, i, toks[i] AS tok,
          lower(regexp_extract(toks[i], '^<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS nm
   FROM (SELECT page_id, regexp_extract_all(html,
           '(?is)<!--.*?-->|<![^>]*>|<script[^>]*>|<style[^>]*>|var t="</p>";track\([0-9]+\);|<[^>]+>|[^<]+') AS toks
-        FROM pages), LATERAL (SELECT unnest(range(1, len(toks) + 1)) AS i)
+        FROM src), LATERAL (SELECT unnest(range(1, len(toks) + 1)) AS i)
 ), o AS (
   SELECT *, sum(opn) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS ord
   FROM (SELECT *, CASE WHEN nm = '' OR nm[1:1] = '/' THEN 0 ELSE 1 END AS opn FROM toks)
@@ -59,6 +59,16 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"
 
 
+# Lowest common ancestor by counting: the deepest ancestor-or-self that all
+# seeds of a page share (independent of the min/max-path form used in Spark).
+LCA_BY_COUNT = """
+  SELECT page_id, max(anc) AS lca FROM (
+    SELECT s.page_id, a.anc, count(DISTINCT s.pre) AS k, any_value(c.n) AS n
+    FROM {seeds} s, LATERAL (SELECT unnest(s.path) AS anc) a,
+         (SELECT page_id, count(DISTINCT pre) AS n FROM {seeds} GROUP BY page_id) c
+    WHERE c.page_id = s.page_id
+    GROUP BY s.page_id, a.anc) WHERE k = n GROUP BY page_id"""
+
 GOLD_CTES = rf"""
 , doclines AS (
   SELECT doc_id, line_no, {_strip('line')} AS text, line
@@ -81,9 +91,21 @@ GOLD_CTES = rf"""
    AND contains(t.text, left(g.text, 50))
 ), owners AS (
   SELECT DISTINCT page_id, node AS pre, path FROM hits
-), lca AS (
-  SELECT page_id, list_max(list_intersect(min(path), max(path))) AS lca FROM owners GROUP BY page_id
-)"""
+), lca AS (""" + LCA_BY_COUNT.format(seeds="owners") + ")"
+
+
+# The attribute-annotated corpus derived from pages (see queries.annotated_pages).
+ANNOTATED_SRC = ("""SELECT page_id, replace(replace(html, '<b>', '<span __boilernet_label="1">'),
+  '<div class="ad">', '<div class="ad" __boilernet_label="0">') AS html FROM pages""")
+ANNOTATED_CTES = NODE_CTES.replace("src AS (SELECT page_id, html FROM pages)",
+                                   f"src AS ({ANNOTATED_SRC})")
+
+CLASS_VAL = """regexp_extract(raw, '\\sclass="([^"]*)"', 1)"""
+HAS_CLASS = """regexp_matches(raw, '\\sclass="')"""
+
+
+def _class_list(raw_val: str) -> str:
+    return f"list_filter(string_split_regex(trim({raw_val}), '{WS}'), lambda x: x <> '')"
 
 
 def oracles() -> dict[str, str]:
@@ -94,4 +116,110 @@ SELECT page_id, pre::BIGINT AS pre, parent::BIGINT AS parent, depth::BIGINT AS d
 SELECT n.page_id, n.pre::BIGINT AS pre, n.tag,
        CAST(coalesce(list_contains(n.path, l.lca), false) AS INTEGER) AS is_main
 FROM nodes n LEFT JOIN lca l USING (page_id)"""
+    q["gold_lines"] = NODE_CTES + GOLD_CTES + """
+SELECT doc_id, line_no::BIGINT AS line_no, text FROM goldlines"""
+    q["gold_keys"] = NODE_CTES + GOLD_CTES + """
+SELECT page_id, line_no::BIGINT AS line_no, left(text, 50) AS key_raw,
+       replace(left(text, 50), '"', '') AS key_own FROM gold"""
+    q["gold_candidates"] = NODE_CTES + GOLD_CTES + """
+SELECT DISTINCT g.page_id, g.line_no::BIGINT AS line_no, t.node::BIGINT AS pre
+FROM tpath t JOIN gold g ON g.page_id = t.page_id
+ AND (contains(t.text, left(g.text, 50)) OR contains(t.text, replace(left(g.text, 50), '"', '')))"""
+    q["gold_align"] = NODE_CTES + GOLD_CTES + """
+SELECT page_id, pre::BIGINT AS pre FROM owners"""
+    q["label_by_text"] = NODE_CTES + GOLD_CTES + """
+, os AS (SELECT page_id, list(pre) AS s FROM owners GROUP BY page_id)
+SELECT n.page_id, n.pre::BIGINT AS pre,
+       CAST(coalesce(len(list_intersect(n.path, os.s)) > 0, false) AS INTEGER) AS is_main
+FROM nodes n LEFT JOIN os USING (page_id)"""
+    q["class_select"] = NODE_CTES + f"""
+SELECT page_id, pre::BIGINT AS pre, tag FROM nodes
+WHERE {HAS_CLASS} AND list_contains({_class_list(CLASS_VAL)}, 'ad')"""
+    q["attr_select"] = NODE_CTES + """
+SELECT page_id, pre::BIGINT AS pre, tag FROM nodes
+WHERE regexp_extract(raw, '\\slang="([^"]*)"', 1) = 'en' AND regexp_matches(raw, '\\slang="')"""
+    q["subtree_mark"] = NODE_CTES + """
+, s AS (SELECT page_id, list(pre) AS s FROM nodes WHERE tag = 'nav' GROUP BY page_id)
+SELECT n.page_id, n.pre::BIGINT AS pre,
+       CAST(coalesce(len(list_intersect(n.path, s.s)) > 0, false) AS INTEGER) AS is_main
+FROM nodes n LEFT JOIN s USING (page_id)"""
+    q["class_remove"] = NODE_CTES + f"""
+SELECT page_id, pre::BIGINT AS pre,
+       array_to_string(list_filter({_class_list(CLASS_VAL)}, lambda x: x <> 'ad'), ' ') AS classes
+FROM nodes WHERE {HAS_CLASS}"""
+    q["attr_remove"] = ANNOTATED_CTES + """
+SELECT page_id, pre::BIGINT AS pre, tag, 0 AS has_label,
+       (len(regexp_extract_all(raw, '\\s[^\\s=]+="[^"]*"'))
+        - len(regexp_extract_all(raw, '\\s__boilernet_label="[01]"')))::BIGINT AS n_attrs
+FROM nodes"""
+    q["unwrap"] = NODE_CTES + """
+, b AS (SELECT page_id, list(pre) AS bs FROM nodes WHERE tag = 'b' GROUP BY page_id)
+, k AS (SELECT n.page_id, n.pre, n.tag,
+               list_filter(n.path, lambda x: NOT list_contains(coalesce(b.bs, []), x)) AS np
+        FROM nodes n LEFT JOIN b USING (page_id) WHERE n.tag <> 'b')
+SELECT page_id, pre::BIGINT AS pre, coalesce(np[-2], -1)::BIGINT AS parent,
+       (len(np) - 1)::BIGINT AS depth, tag FROM k"""
+    pseeds = ", seeds AS (SELECT page_id, pre, path FROM nodes WHERE tag = 'p'), lca AS (" \
+        + LCA_BY_COUNT.format(seeds="seeds") + ")"
+    q["lca"] = NODE_CTES + pseeds + """
+SELECT page_id, lca::BIGINT AS lca FROM lca"""
+    q["block_mark"] = NODE_CTES + pseeds + """
+SELECT n.page_id, n.pre::BIGINT AS pre,
+       CAST(coalesce(list_contains(n.path, l.lca), false) AS INTEGER) AS is_main
+FROM nodes n LEFT JOIN lca l USING (page_id)"""
+    aseeds = (""", seeds AS (SELECT page_id, pre, path FROM nodes
+                 WHERE regexp_matches(raw, '\\s__boilernet_label="1"')),
+ lca AS (""" + LCA_BY_COUNT.format(seeds="seeds") + ")")
+    q["contradictions"] = ANNOTATED_CTES + aseeds + """
+SELECT n.page_id, count(*)::BIGINT AS n FROM nodes n JOIN lca l USING (page_id)
+WHERE list_contains(n.path, l.lca) AND n.pre <> l.lca
+  AND regexp_matches(n.raw, '\\s__boilernet_label="0"')
+GROUP BY n.page_id"""
+    q["own_text_search"] = NODE_CTES + """
+SELECT DISTINCT page_id, node::BIGINT AS pre FROM texts WHERE contains(text, 'the')"""
+    q["subtree_text"] = NODE_CTES + """
+SELECT n.page_id, n.pre::BIGINT AS pre, coalesce(string_agg(t.text, '' ORDER BY t.i), '') AS subtree_text
+FROM nodes n LEFT JOIN tpath t ON t.page_id = n.page_id AND list_contains(t.path, n.pre)
+GROUP BY n.page_id, n.pre"""
+    q["render"] = "SELECT page_id, html FROM pages"
+    q["label_by_class"] = NODE_CTES + f"""
+, s AS (SELECT page_id, list(pre) AS s FROM nodes
+        WHERE {HAS_CLASS} AND list_contains({_class_list(CLASS_VAL)}, 'ad') GROUP BY page_id)
+SELECT n.page_id, n.pre::BIGINT AS pre,
+       CAST(coalesce(len(list_intersect(n.path, s.s)) > 0, false) AS INTEGER) AS is_main,
+       CASE WHEN {HAS_CLASS.replace('raw', 'n.raw')}
+            THEN array_to_string(list_filter({_class_list(CLASS_VAL.replace('raw', 'n.raw'))},
+                                             lambda x: x <> 'ad'), ' ') ELSE '' END AS classes
+FROM nodes n LEFT JOIN s USING (page_id)"""
+    unwrap_tail = """
+, sp AS (SELECT page_id, list(pre) AS ss FROM nodes WHERE tag = 'span' GROUP BY page_id)
+, j AS (SELECT n.*, coalesce(sp.ss, []) AS ss FROM marked n LEFT JOIN sp USING (page_id))
+, lifted AS (SELECT DISTINCT page_id,
+               list_filter(path[1:len(path) - 1], lambda x: NOT list_contains(ss, x))[-1] AS pre
+             FROM j WHERE tag = 'span' AND is_main = 1)
+, k AS (SELECT j.page_id, j.pre, j.tag, j.is_main,
+               list_filter(j.path, lambda x: NOT list_contains(j.ss, x)) AS np FROM j WHERE j.tag <> 'span')
+SELECT k.page_id, k.pre::BIGINT AS pre, coalesce(k.np[-2], -1)::BIGINT AS parent,
+       (len(k.np) - 1)::BIGINT AS depth, k.tag,
+       CAST(k.is_main = 1 OR lf.pre IS NOT NULL AS INTEGER) AS is_main{extra}
+FROM k LEFT JOIN lifted lf ON lf.page_id = k.page_id AND lf.pre = k.pre"""
+    q["label_by_attr"] = ANNOTATED_CTES + """
+, s AS (SELECT page_id, list(pre) AS s FROM nodes
+        WHERE regexp_matches(raw, '\\s__boilernet_label="1"') GROUP BY page_id)
+, marked AS (SELECT n.*, CAST(coalesce(len(list_intersect(n.path, s.s)) > 0, false) AS INTEGER) AS is_main
+             FROM nodes n LEFT JOIN s USING (page_id))""" + unwrap_tail.format(extra=", 0 AS has_label")
+    q["label_block_by_attr"] = ANNOTATED_CTES + aseeds + """
+, marked AS (SELECT n.*, CAST(coalesce(list_contains(n.path, l.lca), false) AS INTEGER) AS is_main
+             FROM nodes n LEFT JOIN lca l USING (page_id))""" + unwrap_tail.format(extra="")
+    q["label_corpus"] = NODE_CTES + GOLD_CTES + """
+, mainstart AS (SELECT w.page_id, w.i FROM walk w JOIN nodes n ON n.page_id = w.page_id AND n.pre = w.pre
+                JOIN lca l ON l.page_id = n.page_id WHERE list_contains(n.path, l.lca))
+SELECT o.page_id, string_agg(CASE WHEN m.i IS NOT NULL
+         THEN regexp_replace(o.tok, '(/?>)$', ' CASM_main_content_label="1"\\1') ELSE o.tok END,
+         '' ORDER BY o.i) AS html
+FROM o LEFT JOIN mainstart m ON m.page_id = o.page_id AND m.i = o.i GROUP BY o.page_id"""
+    q["page_scan"] = "SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages"
+    q["csv_roundtrip"] = "SELECT page_id, html FROM pages"
+    q["page_allowlist"] = """SELECT page_id, url FROM pages
+WHERE contains(url, '/en/') OR contains(url, '/de/')"""
     return q

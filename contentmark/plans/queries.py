@@ -67,3 +67,217 @@ def registry() -> dict:
         "dom_nodes": q_dom_nodes,
         "label_block_by_text": q_label_block_by_text,
     }
+
+
+# --- annotated corpus derived from the given pages -------------------------
+# The test pages carry no annotation marks; these queries derive an
+# attribute-annotated corpus from them with Spark (every <b> becomes a
+# label-1 span, the ad box gets label 0), so the recipes run on whole tables.
+
+def annotated_pages(pages: DataFrame) -> DataFrame:
+    html = F.replace(F.replace("html", F.lit("<b>"), F.lit(f'<span {L.LABEL_ATTR}="1">')),
+                     F.lit('<div class="ad">'), F.lit(f'<div class="ad" {L.LABEL_ATTR}="0">'))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+class AnnotatedCorpus(Corpus):
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.pages = annotated_pages(_t(spark, sf_dir, "pages"))
+        self.dom = S.shred(self.pages)
+
+
+from contentmark.operators import align as A  # noqa: E402
+from contentmark.operators import nodes as N  # noqa: E402
+from contentmark.operators import render as R  # noqa: E402
+from contentmark.sources import pages as P  # noqa: E402
+
+
+def q_gold_lines(spark, sf_dir):
+    g = G.gold_lines(_t(spark, sf_dir, "documents"))
+    return g.select("doc_id", *_big("line_no"), "text")
+
+
+def q_gold_keys(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return A.gold_keys(c.gold()).select("page_id", *_big("line_no"), "key_raw", "key_own")
+
+
+def q_gold_candidates(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return (A.candidates(c.texts, c.gold())
+            .select("page_id", *_big("line_no"), F.col("node").cast("bigint").alias("pre"))
+            .distinct())
+
+
+def q_gold_align(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return A.owners(A.align(c.texts, c.gold())).select("page_id", *_big("pre"))
+
+
+def q_label_by_text(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return L.label_by_text(c.nodes, c.texts, c.gold()).select("page_id", *_big("pre"), "is_main")
+
+
+def q_class_select(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return N.by_class(c.nodes, "ad").select("page_id", *_big("pre"), "tag")
+
+
+def q_attr_select(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return N.by_attr(c.nodes, "lang", "en").select("page_id", *_big("pre"), "tag")
+
+
+def q_subtree_mark(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    seeds = c.nodes.where(F.col("tag") == "nav").select("page_id", "pre")
+    return N.mark_subtrees(c.nodes, seeds).select("page_id", *_big("pre"), "is_main")
+
+
+def q_class_remove(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    n = c.nodes.where(F.map_contains_key("attrs", F.lit("class")))
+    return (N.remove_class(n, "ad")
+            .select("page_id", *_big("pre"), F.array_join("classes", " ").alias("classes")))
+
+
+def q_attr_remove(spark, sf_dir):
+    c = AnnotatedCorpus(spark, sf_dir)
+    n = N.remove_attr(c.nodes, L.LABEL_ATTR)
+    return n.select("page_id", *_big("pre"), "tag",
+                    F.map_contains_key("attrs", F.lit(L.LABEL_ATTR)).cast("int").alias("has_label"),
+                    F.size(F.map_keys("attrs")).cast("bigint").alias("n_attrs"))
+
+
+def q_unwrap(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    n, _ = N.unwrap_spans(c.nodes, c.texts, None, tag="b")
+    return n.select("page_id", *_big("pre", "parent", "depth"), "tag")
+
+
+def q_lca(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre", "path")
+    return N.lowest_common_ancestor(seeds).select("page_id", *_big("lca"))
+
+
+def q_block_mark(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre", "path")
+    out = N.mark_block(c.nodes, N.lowest_common_ancestor(seeds))
+    return out.select("page_id", *_big("pre"), "is_main")
+
+
+def q_contradictions(spark, sf_dir):
+    c = AnnotatedCorpus(spark, sf_dir)
+    seeds = N.by_attr(c.nodes, L.LABEL_ATTR, 1).select("page_id", "pre", "path")
+    bad = N.contradictions(c.nodes, N.lowest_common_ancestor(seeds), L.LABEL_ATTR)
+    return bad.select("page_id", *_big("n"))
+
+
+def q_own_text_search(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return N.own_text_contains(c.texts, "the").select("page_id", *_big("pre"))
+
+
+def q_subtree_text(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return (N.subtree_text(c.nodes, c.page_text)
+            .select("page_id", *_big("pre"), "subtree_text"))
+
+
+def q_render(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return R.render(c.tokens)
+
+
+def q_label_by_class(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    out = L.label_by_class(c.nodes, "ad", ["ad"])
+    return out.select("page_id", *_big("pre"), "is_main",
+                      F.array_join("classes", " ").alias("classes"))
+
+
+def q_label_by_attr(spark, sf_dir):
+    c = AnnotatedCorpus(spark, sf_dir)
+    n, _ = L.label_by_attr(c.nodes, c.texts)
+    return n.select("page_id", *_big("pre", "parent", "depth"), "tag", "is_main",
+                    F.map_contains_key("attrs", F.lit(L.LABEL_ATTR)).cast("int").alias("has_label"))
+
+
+def q_label_block_by_attr(spark, sf_dir):
+    c = AnnotatedCorpus(spark, sf_dir)
+    n, _, _ = L.label_block_by_attr(c.nodes, c.texts)
+    return n.select("page_id", *_big("pre", "parent", "depth"), "tag", "is_main")
+
+
+def q_label_corpus(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    gold = c.gold()
+    return L.label_corpus(c.pages, lambda n, t: L.label_block_by_text(n, t, gold))
+
+
+def q_page_scan(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    out = P.scratch_path(spark, "pages")
+    P.write_pages(pages.withColumn("host", F.regexp_extract("url", r"//([^/]+)", 1)),
+                  out, partition_by="host")
+    back = spark.read.parquet(out)
+    return back.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").withColumn("filename", F.col("page_id").cast("string"))
+    out = P.scratch_path(spark, "csv")
+    P.pages_to_csv(pages, out)
+    back = P.read_pages_csv(spark, out)
+    return back.select(F.col("filename").cast("bigint").alias("page_id"), "html")
+
+
+def q_page_allowlist(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").withColumn("filename", F.col("page_id").cast("string"))
+    lists = []
+    for lang in ("en", "de"):
+        out = P.scratch_path(spark, f"names-{lang}")
+        (pages.where(F.col("url").contains(f"/{lang}/"))
+         .select(F.concat(F.lit("  "), F.col("filename"), F.lit(" ")).alias("value"))
+         .write.text(out))
+        lists.append(out)
+    kept = P.select_pages(pages, P.read_name_lists(spark, lists))
+    return kept.select("page_id", "url")
+
+
+registry_v1 = registry
+
+
+def registry() -> dict:  # noqa: F811
+    r = dict(registry_v1())
+    r.update({
+        "gold_lines": q_gold_lines,
+        "gold_keys": q_gold_keys,
+        "gold_candidates": q_gold_candidates,
+        "gold_align": q_gold_align,
+        "label_by_text": q_label_by_text,
+        "class_select": q_class_select,
+        "attr_select": q_attr_select,
+        "subtree_mark": q_subtree_mark,
+        "class_remove": q_class_remove,
+        "attr_remove": q_attr_remove,
+        "unwrap": q_unwrap,
+        "lca": q_lca,
+        "block_mark": q_block_mark,
+        "contradictions": q_contradictions,
+        "own_text_search": q_own_text_search,
+        "subtree_text": q_subtree_text,
+        "render": q_render,
+        "label_by_class": q_label_by_class,
+        "label_by_attr": q_label_by_attr,
+        "label_block_by_attr": q_label_block_by_attr,
+        "label_corpus": q_label_corpus,
+        "page_scan": q_page_scan,
+        "csv_roundtrip": q_csv_roundtrip,
+        "page_allowlist": q_page_allowlist,
+    })
+    return r
