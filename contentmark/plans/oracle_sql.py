@@ -223,3 +223,127 @@ FROM o LEFT JOIN mainstart m ON m.page_id = o.page_id AND m.i = o.i GROUP BY o.p
     q["page_allowlist"] = """SELECT page_id, url FROM pages
 WHERE contains(url, '/en/') OR contains(url, '/de/')"""
     return q
+
+
+# --- blocks ---------------------------------------------------------------------------
+
+def _semmap_values() -> str:
+    from contentmark.functions.tags import SEMANTIC_NAME_TAG_MAP
+    rows = ", ".join(f"('{t}', '{n}')" for n, t in SEMANTIC_NAME_TAG_MAP.items())
+    return f"(VALUES {rows})"
+
+
+def _class_str(raw: str) -> str:
+    return (f"CASE WHEN regexp_matches({raw}, '\\sclass=\"') THEN array_to_string("
+            f"{_class_list(CLASS_VAL.replace('raw', raw))}, ' ') ELSE '' END")
+
+
+BLOCK_CTES = f"""
+, semmap(tag, name) AS {_semmap_values()}
+, body AS (SELECT page_id, min(pre) AS body FROM nodes WHERE tag = 'body' GROUP BY page_id)
+, runs AS (
+  SELECT page_id, node, list(t ORDER BY i) AS ts FROM (
+    SELECT page_id, node, i, {_strip('text')} AS t FROM tpath WHERE tag NOT IN ('script', 'style'))
+  WHERE t <> '' GROUP BY page_id, node)
+, bl AS (
+  SELECT n.page_id, n.pre, n.path, r.ts, b.body FROM nodes n
+  JOIN runs r ON r.page_id = n.page_id AND r.node = n.pre
+  JOIN body b ON b.page_id = n.page_id WHERE list_contains(n.path, b.body))
+, steps AS (SELECT page_id, pre, body, unnest(path) AS anc FROM bl)
+, named AS (
+  SELECT s.page_id, s.pre, s.anc, coalesce(m.name, a.tag) AS tname, {_class_str('a.raw')} AS cls
+  FROM steps s JOIN nodes a ON a.page_id = s.page_id AND a.pre = s.anc
+  LEFT JOIN semmap m ON m.tag = a.tag WHERE s.anc >= s.body)
+, seqs AS (
+  SELECT page_id, pre, '[' || string_agg(tname, ', ' ORDER BY anc) || ']' AS tag_seq,
+         '[' || coalesce(string_agg(cls, ', ' ORDER BY anc) FILTER (WHERE cls <> ''), '') || ']' AS class_seq
+  FROM named GROUP BY page_id, pre)
+, blocks AS (
+  SELECT bl.page_id, 0::INTEGER AS part,
+    (row_number() OVER (PARTITION BY bl.page_id ORDER BY bl.pre) - 1)::INTEGER AS pos,
+    s.class_seq, s.tag_seq, '[' || array_to_string(bl.ts, ', ') || ']' AS text_seq,
+    CAST(coalesce(list_contains(bl.path, l.lca), false) AS INTEGER) AS label, bl.pre AS node
+  FROM bl JOIN seqs s USING (page_id, pre) LEFT JOIN lca l USING (page_id))
+"""
+
+TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+def _vocab_ctes(size: int) -> str:
+    return f"""
+, vtoks AS (
+  SELECT unnest(regexp_extract_all(lower(s), '{TOKEN_RE}')) AS token FROM (
+    SELECT class_seq[2:-2] AS s FROM blocks UNION ALL SELECT tag_seq[2:-2] FROM blocks
+    UNION ALL SELECT text_seq[2:-2] FROM blocks))
+, vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::BIGINT AS id, cnt::BIGINT AS cnt
+  FROM (SELECT token, count(*) AS cnt FROM vtoks GROUP BY token) ORDER BY cnt DESC, token LIMIT {size})
+, vm AS (SELECT map(list(token), list(id)) AS m FROM vocab)"""
+
+
+def _enc(col: str, length: int, pad: bool) -> str:
+    ids = (f"list_transform(regexp_extract_all(lower({col}[2:-2]), '{TOKEN_RE}'), "
+           f"lambda tk: coalesce(map_extract_value(vm.m, tk), 3))")
+    full = f"list_concat([0], {ids}, [2])"
+    trunc = f"CASE WHEN len({full}) > {length} THEN list_concat({full}[1:{length - 1}], [2]) ELSE {full} END"
+    if pad:
+        trunc = f"list_concat({trunc}, list_transform(range({length} - len({trunc})), lambda x: 1))"
+    return trunc
+
+
+def _split(n_blocks: int) -> str:
+    return f"""
+, sp AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM blocks)
+, sp2 AS (SELECT *, (n + {n_blocks} - 1) // {n_blocks} AS k FROM sp)
+, split AS (SELECT page_id, (pos * k // n)::INTEGER AS part,
+                   (pos - ((pos * k // n) * n + k - 1) // k)::INTEGER AS pos, node, label,
+                   class_seq, tag_seq, text_seq FROM sp2)"""
+
+
+def block_oracles() -> dict[str, str]:
+    base = NODE_CTES + GOLD_CTES + BLOCK_CTES
+    q: dict[str, str] = {}
+    q["text_blocks"] = base + """
+SELECT page_id, part, pos, class_seq, tag_seq, text_seq, label FROM blocks"""
+    q["blocks_csv"] = q["text_blocks"]
+    parse = ", ".join(
+        f"array_to_string(string_split(replace({c}[2:-2], ', ', ','), ','), '|') AS {c}"
+        for c in ("class_seq", "tag_seq", "text_seq"))
+    sizes = ", ".join(
+        f"len(string_split(replace({c}[2:-2], ', ', ','), ','))::BIGINT AS n_{c}"
+        for c in ("class_seq", "tag_seq", "text_seq"))
+    q["parse_sequences"] = base + f"""
+SELECT page_id, part, pos, {parse}, {sizes} FROM blocks"""
+    q["vocab"] = base + _vocab_ctes(1000) + """
+SELECT token, id, cnt FROM vocab"""
+    enc = ", ".join(f"array_to_string({_enc(c, 64, False)}, ',') AS {i}" for c, i in
+                    (("class_seq", "class_ids"), ("tag_seq", "tag_ids"), ("text_seq", "text_ids")))
+    q["encode"] = base + _vocab_ctes(1000) + f"""
+SELECT page_id, part, pos, {enc} FROM blocks, vm"""
+    q["split_parts"] = base + _split(10) + """
+SELECT page_id, part, pos, node::BIGINT AS node FROM split"""
+    encp = ", ".join(f"{_enc(c, 16, True)} AS {i}" for c, i in
+                     (("class_seq", "class_ids"), ("tag_seq", "tag_ids"), ("text_seq", "text_ids")))
+    samples = base + _vocab_ctes(1000) + _split(10) + f"""
+, eb AS (SELECT page_id, part, pos, label, {encp} FROM split, vm)"""
+    q["fold_pad_mask"] = samples + """
+, sm AS (SELECT page_id, part, count(*) AS n, list(label ORDER BY pos) AS labels,
+                sum(list_sum(class_ids) + list_sum(tag_ids) + list_sum(text_ids)) AS s
+         FROM eb GROUP BY page_id, part)
+SELECT page_id, part,
+       array_to_string(list_concat(labels, list_transform(range(10 - n), lambda x: 0)), ',') AS labels,
+       array_to_string(list_concat(list_transform(range(n), lambda x: 1),
+                                   list_transform(range(10 - n), lambda x: 0)), ',') AS mask,
+       (3 * 10 * 16)::BIGINT AS n_ids, (s + (10 - n) * 3 * 16)::BIGINT AS sum_ids FROM sm"""
+    q["unpad_explode"] = samples + """
+SELECT page_id, part, pos, label, 1 AS mask, array_to_string(text_ids, ',') AS text_ids FROM eb"""
+    return q
+
+
+_oracles_v1 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _oracles_v1()
+    q.update(block_oracles())
+    return q

@@ -46,6 +46,12 @@ class Corpus:
         return G.gold_for_pages(self.pages, _t(self.spark, self.sf_dir, "documents"),
                                 include_comments)
 
+    def blocks(self) -> DataFrame:
+        """Text blocks labelled by the block-level gold alignment."""
+        from contentmark.operators import blocks as B
+        labelled = L.label_block_by_text(self.nodes, self.texts, self.gold())
+        return B.extract_blocks(labelled, self.texts)
+
 
 def _big(*cols):
     return [F.col(c).cast("bigint").alias(c) for c in cols]
@@ -249,6 +255,92 @@ def q_page_allowlist(spark, sf_dir):
     return kept.select("page_id", "url")
 
 
+from contentmark.functions.text import render_seq  # noqa: E402
+from contentmark.operators import blocks as B  # noqa: E402
+from contentmark.sources import blocks_io as BIO  # noqa: E402
+
+VOCAB_SIZE = 1000
+ENC_LEN = 64
+
+
+def _seqs(df):
+    return [render_seq(c).alias(c) for c in B.SEQ_COLS]
+
+
+def _ids(df, cols=B.ID_COLS):
+    return [F.array_join(c, ",").alias(c) for c in cols]
+
+
+def q_text_blocks(spark, sf_dir):
+    b = Corpus(spark, sf_dir).blocks()
+    return b.select("page_id", "part", "pos", *_seqs(b), "label")
+
+
+def q_blocks_csv(spark, sf_dir):
+    b = Corpus(spark, sf_dir).blocks()
+    out = P.scratch_path(spark, "blocks")
+    BIO.write_blocks(b.drop("node"), out)
+    back = BIO.read_blocks(spark, [out])
+    return back.select("page_id", "part", "pos", *B.SEQ_COLS, "label").withColumn(
+        "page_id", F.col("page_id").cast("bigint"))
+
+
+def q_parse_sequences(spark, sf_dir):
+    b = Corpus(spark, sf_dir).blocks()
+    out = P.scratch_path(spark, "blocks")
+    BIO.write_blocks(b.drop("node"), out)
+    back = B.parse_sequences(BIO.read_blocks(spark, out))
+    return back.select(F.col("page_id").cast("bigint").alias("page_id"), "part", "pos",
+                       *[F.array_join(c, "|").alias(c) for c in B.SEQ_COLS],
+                       *[F.size(c).cast("bigint").alias(f"n_{c}") for c in B.SEQ_COLS])
+
+
+def q_vocab(spark, sf_dir):
+    v = B.fit_vocab(Corpus(spark, sf_dir).blocks(), VOCAB_SIZE)
+    return v.select("token", F.col("id").cast("bigint").alias("id"), F.col("cnt").cast("bigint").alias("cnt"))
+
+
+def _encoded(spark, sf_dir, pad="do_not_pad", max_length=ENC_LEN):
+    blocks = Corpus(spark, sf_dir).blocks()
+    return B.encode(blocks, B.fit_vocab(blocks, VOCAB_SIZE), max_length, pad)
+
+
+def q_encode(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("page_id", "part", "pos", *_ids(e))
+
+
+def q_split_parts(spark, sf_dir):
+    b = B.split_parts(Corpus(spark, sf_dir).blocks(), 10)
+    return b.select("page_id", "part", "pos", F.col("node").cast("bigint").alias("node"))
+
+
+FOLD_BLOCKS, FOLD_LEN = 10, 16
+
+
+def _samples(spark, sf_dir):
+    e = _encoded(spark, sf_dir, "max_length", FOLD_LEN)
+    e = B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"), FOLD_BLOCKS)
+    return B.make_samples(e, FOLD_BLOCKS, FOLD_LEN)
+
+
+def q_fold_pad_mask(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    flat = F.flatten(F.flatten("features"))
+    return s.select("page_id", "part",
+                    F.array_join("label", ",").alias("labels"),
+                    F.array_join("mask", ",").alias("mask"),
+                    F.size(flat).cast("bigint").alias("n_ids"),
+                    F.aggregate(flat, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"))
+
+
+def q_unpad_explode(spark, sf_dir):
+    s = B.unpad(_samples(spark, sf_dir))
+    rows = B.explode_blocks(s.drop("features"))
+    return rows.select("page_id", "part", "pos", "label", "mask",
+                       F.array_join("text_ids", ",").alias("text_ids"))
+
+
 registry_v1 = registry
 
 
@@ -279,5 +371,13 @@ def registry() -> dict:  # noqa: F811
         "page_scan": q_page_scan,
         "csv_roundtrip": q_csv_roundtrip,
         "page_allowlist": q_page_allowlist,
+        "text_blocks": q_text_blocks,
+        "blocks_csv": q_blocks_csv,
+        "parse_sequences": q_parse_sequences,
+        "vocab": q_vocab,
+        "encode": q_encode,
+        "split_parts": q_split_parts,
+        "fold_pad_mask": q_fold_pad_mask,
+        "unpad_explode": q_unpad_explode,
     })
     return r
