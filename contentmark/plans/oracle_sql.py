@@ -347,3 +347,181 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _oracles_v1()
     q.update(block_oracles())
     return q
+
+
+# --- vectors, model, evaluation ------------------------------------------------------
+
+def _lse(x: str, y: str) -> str:
+    m = f"greatest({x}, {y})"
+    return f"({m} + ln(exp(({x}) - {m}) + exp(({y}) - {m})))"
+
+
+EMB_LONG = """SELECT label, vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS dim,
+  unnest(embedding)::DOUBLE AS x FROM embeddings"""
+
+MODEL_CTES = f"""
+, eb AS (SELECT page_id, part, pos, label, {_enc('text_seq', 64, False)} AS tids FROM split, vm)
+, rid AS (SELECT page_id, part, pos, label,
+                 unnest(list_filter(tids, lambda x: x NOT IN (0, 1, 2))) AS id FROM eb)
+, cnt AS (SELECT label, id, count(*) AS c FROM rid GROUP BY label, id)
+, ntok AS (SELECT label, sum(c) AS n FROM cnt GROUP BY label)
+, ndoc AS (SELECT label, count(*) AS n FROM eb GROUP BY label)
+, prior AS (SELECT label, ln(n / sum(n) OVER ()) AS p FROM ndoc)
+, lps AS (SELECT r.page_id, r.part, r.pos, y.label AS k,
+                 sum(ln((coalesce(c.c, 0) + 1.0) / (nt.n + 1004))) AS s
+          FROM rid r CROSS JOIN (SELECT label FROM ndoc) y
+          JOIN ntok nt ON nt.label = y.label
+          LEFT JOIN cnt c ON c.label = y.label AND c.id = r.id
+          GROUP BY r.page_id, r.part, r.pos, y.label)
+, em AS (SELECT e.page_id, e.part, e.pos, e.label,
+                (SELECT p FROM prior WHERE label = 0) + l0.s AS s0,
+                (SELECT p FROM prior WHERE label = 1) + l1.s AS s1
+         FROM eb e JOIN lps l0 ON l0.page_id = e.page_id AND l0.part = e.part AND l0.pos = e.pos AND l0.k = 0
+                   JOIN lps l1 ON l1.page_id = e.page_id AND l1.part = e.part AND l1.pos = e.pos AND l1.k = 1)
+, sq AS (SELECT page_id, part, pos, label,
+                lead(label) OVER (PARTITION BY page_id, part ORDER BY pos) AS nxt FROM split)
+, tc AS (SELECT g.y, g.nxt, coalesce(c.c, 0) AS c FROM
+           (SELECT a.y, b.nxt FROM (VALUES (0), (1)) a(y), (VALUES (0), (1)) b(nxt)) g
+           LEFT JOIN (SELECT label AS y, nxt, count(*) AS c FROM sq WHERE nxt IS NOT NULL GROUP BY 1, 2) c
+           ON c.y = g.y AND c.nxt = g.nxt)
+, ec AS (SELECT kind, y, coalesce(c, 0) AS c FROM
+           (SELECT k.kind, v.y FROM (VALUES ('start'), ('end')) k(kind), (VALUES (0), (1)) v(y)) g
+           LEFT JOIN (SELECT 'start' AS kd, label AS yy, count(*) AS c FROM sq WHERE pos = 0 GROUP BY label
+                      UNION ALL SELECT 'end', label, count(*) FROM sq WHERE nxt IS NULL GROUP BY label) x
+           ON x.kd = g.kind AND x.yy = g.y)
+, trans AS (
+  SELECT 'trans' AS kind, y AS from_label, nxt AS to_label,
+         ln((c + 1.0) / (sum(c) OVER (PARTITION BY y) + 2)) AS score FROM tc
+  UNION ALL
+  SELECT kind, -1, y, ln((c + 1.0) / (sum(c) OVER (PARTITION BY kind) + 2)) FROM ec)
+, T AS (SELECT
+    max(CASE WHEN kind = 'trans' AND from_label = 0 AND to_label = 0 THEN score END) AS t00,
+    max(CASE WHEN kind = 'trans' AND from_label = 0 AND to_label = 1 THEN score END) AS t01,
+    max(CASE WHEN kind = 'trans' AND from_label = 1 AND to_label = 0 THEN score END) AS t10,
+    max(CASE WHEN kind = 'trans' AND from_label = 1 AND to_label = 1 THEN score END) AS t11,
+    max(CASE WHEN kind = 'start' AND to_label = 0 THEN score END) AS st0,
+    max(CASE WHEN kind = 'start' AND to_label = 1 THEN score END) AS st1,
+    max(CASE WHEN kind = 'end' AND to_label = 0 THEN score END) AS en0,
+    max(CASE WHEN kind = 'end' AND to_label = 1 THEN score END) AS en1 FROM trans)
+, vit AS (
+  SELECT e.page_id, e.part, e.pos, T.st0 + e.s0 AS a, T.st1 + e.s1 AS b, [0] AS pa, [1] AS pb
+  FROM em e, T WHERE e.pos = 0
+  UNION ALL
+  SELECT e.page_id, e.part, e.pos,
+    greatest(v.a + T.t00, v.b + T.t10) + e.s0, greatest(v.a + T.t01, v.b + T.t11) + e.s1,
+    CASE WHEN v.a + T.t00 >= v.b + T.t10 THEN list_append(v.pa, 0) ELSE list_append(v.pb, 0) END,
+    CASE WHEN v.a + T.t01 >= v.b + T.t11 THEN list_append(v.pa, 1) ELSE list_append(v.pb, 1) END
+  FROM vit v JOIN em e ON e.page_id = v.page_id AND e.part = v.part AND e.pos = v.pos + 1, T)
+, fw AS (
+  SELECT e.page_id, e.part, e.pos, T.st0 + e.s0 AS a, T.st1 + e.s1 AS b FROM em e, T WHERE e.pos = 0
+  UNION ALL
+  SELECT e.page_id, e.part, e.pos, {_lse('v.a + T.t00', 'v.b + T.t10')} + e.s0,
+         {_lse('v.a + T.t01', 'v.b + T.t11')} + e.s1
+  FROM fw v JOIN em e ON e.page_id = v.page_id AND e.part = v.part AND e.pos = v.pos + 1, T)
+"""
+
+EVAL_CTES = """
+WITH pr AS (SELECT quality AS label, toxic AS prediction FROM labels)
+, pc AS (SELECT c AS cls,
+    sum(CASE WHEN label = c AND prediction = c THEN 1 ELSE 0 END) AS tp,
+    sum(CASE WHEN label <> c AND prediction = c THEN 1 ELSE 0 END) AS fp,
+    sum(CASE WHEN label = c AND prediction <> c THEN 1 ELSE 0 END) AS fn
+  FROM pr, (VALUES (0), (1)) v(c) GROUP BY c)
+, pc2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p,
+                    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r, tp + fn AS sup FROM pc)
+, pc3 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pc2)
+"""
+
+
+def model_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["pool_mean"] = f"SELECT label, dim, round(avg(x), 6) AS value FROM ({EMB_LONG}) GROUP BY label, dim"
+    q["pool_max"] = f"SELECT label, dim, round(max(x), 6) AS value FROM ({EMB_LONG}) GROUP BY label, dim"
+    q["pool_first"] = f"""SELECT label, dim, round(arg_min(x, vec_id), 6) AS value
+FROM ({EMB_LONG}) GROUP BY label, dim"""
+    q["combine"] = f"""WITH l AS ({EMB_LONG})
+, p AS (SELECT label, dim, avg(x) AS mn, max(x) AS mx, arg_min(x, vec_id) AS fs FROM l GROUP BY label, dim)
+SELECT label, 'concat' AS how, dim, round(mn, 6) AS value FROM p
+UNION ALL SELECT label, 'concat', dim + 64, round(mx, 6) FROM p
+UNION ALL SELECT label, 'concat', dim + 128, round(fs, 6) FROM p
+UNION ALL SELECT label, 'sum', dim, round(mn + mx + fs, 6) FROM p
+UNION ALL SELECT label, 'mean', dim, round((mn + mx + fs) / 3, 6) FROM p
+UNION ALL SELECT label, 'max', dim, round(greatest(greatest(mn, mx), fs), 6) FROM p"""
+    q["context"] = """WITH c AS (SELECT vec_id, embedding,
+    lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS pv,
+    lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nx FROM embeddings)
+SELECT vec_id, (d - 1)::BIGINT AS dim, round(coalesce(pv[d], 0.0)::DOUBLE, 6) AS prev,
+       round(coalesce(nx[d], 0.0)::DOUBLE, 6) AS next
+FROM c, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS d)"""
+    base = NODE_CTES + GOLD_CTES + BLOCK_CTES + _vocab_ctes(1000)
+    q["attention_mask"] = base + f"""
+SELECT page_id, part, pos, array_to_string(list_transform({_enc('text_seq', 16, True)},
+       lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END), ',') AS attention_mask FROM blocks, vm"""
+    sb = base + _split(10)
+    q["seq_len"] = sb + """
+SELECT page_id, part, count(*)::BIGINT AS seq_len FROM split GROUP BY page_id, part"""
+    q["class_weights"] = sb + """
+, c AS (SELECT label, count(*) AS n FROM split GROUP BY label)
+, s AS (SELECT count(*) AS n_s FROM (SELECT DISTINCT page_id, part FROM split))
+, pc AS (SELECT label, n + CASE WHEN label = 0 THEN (SELECT 10 * n_s FROM s) - (SELECT count(*) FROM split)
+                                ELSE 0 END AS n FROM c)
+SELECT 'blocks' AS variant, label, n::BIGINT AS n,
+       round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c
+UNION ALL
+SELECT 'padded', label, n::BIGINT, round(sum(n) OVER () / (count(*) OVER () * n), 6) FROM pc"""
+    mb = sb + MODEL_CTES
+    q["emissions_nb"] = mb + """
+SELECT page_id, part, pos, round(s0, 6) AS s0, round(s1, 6) AS s1 FROM em"""
+    q["transitions"] = mb + """
+SELECT kind, from_label, to_label, round(score, 6) AS score FROM trans"""
+    q["decode"] = mb + """
+, fin AS (SELECT v.page_id, v.part, arg_max(CASE WHEN v.a + T.en0 >= v.b + T.en1 THEN v.pa ELSE v.pb END,
+                                           v.pos) AS path FROM vit v, T GROUP BY v.page_id, v.part)
+SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos, unnest(path) AS prediction FROM fin"""
+    q["sequence_loss"] = mb + f"""
+, z AS (SELECT f.page_id, f.part, arg_max({_lse('f.a + T.en0', 'f.b + T.en1')}, f.pos) AS logz,
+               count(*) AS n FROM fw f, T GROUP BY f.page_id, f.part)
+, gl AS (SELECT e.page_id, e.part, e.pos, e.label, lag(e.label) OVER (PARTITION BY e.page_id, e.part ORDER BY e.pos) AS pl,
+                lead(e.label) OVER (PARTITION BY e.page_id, e.part ORDER BY e.pos) AS nl,
+                CASE WHEN e.label = 0 THEN e.s0 ELSE e.s1 END AS es FROM em e)
+, g AS (SELECT gl.page_id, gl.part, sum(gl.es
+          + CASE WHEN gl.pl IS NULL THEN (CASE WHEN gl.label = 0 THEN T.st0 ELSE T.st1 END)
+                 WHEN gl.pl = 0 THEN (CASE WHEN gl.label = 0 THEN T.t00 ELSE T.t01 END)
+                 ELSE (CASE WHEN gl.label = 0 THEN T.t10 ELSE T.t11 END) END
+          + CASE WHEN gl.nl IS NULL THEN (CASE WHEN gl.label = 0 THEN T.en0 ELSE T.en1 END) ELSE 0 END) AS gs
+        FROM gl, T GROUP BY gl.page_id, gl.part)
+SELECT round(sum(z.logz - g.gs) / sum(z.n), 6) AS loss, sum(z.n)::BIGINT AS n_blocks
+FROM z JOIN g USING (page_id, part)"""
+    q["eval_metrics"] = EVAL_CTES + """
+, agg AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(sup) AS sup,
+                 avg(p) AS pm, avg(r) AS rm, avg(f) AS fm,
+                 sum(p * sup) AS pw, sum(r * sup) AS rw, sum(f * sup) AS fw FROM pc3)
+, mic AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pmi,
+                    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS rmi FROM agg)
+SELECT metric, round(value, 6) AS value FROM (
+  SELECT 'testprecision_micro' AS metric, pmi AS value FROM mic
+  UNION ALL SELECT 'testrecall_micro', rmi FROM mic
+  UNION ALL SELECT 'testf1_micro', CASE WHEN pmi + rmi > 0 THEN 2 * pmi * rmi / (pmi + rmi) ELSE 0.0 END FROM mic
+  UNION ALL SELECT 'testprecision_macro', pm FROM mic
+  UNION ALL SELECT 'testrecall_macro', rm FROM mic
+  UNION ALL SELECT 'testf1_macro', fm FROM mic
+  UNION ALL SELECT 'testprecision_weighted', CASE WHEN sup > 0 THEN pw / sup ELSE 0.0 END FROM mic
+  UNION ALL SELECT 'testrecall_weighted', CASE WHEN sup > 0 THEN rw / sup ELSE 0.0 END FROM mic
+  UNION ALL SELECT 'testf1_weighted', CASE WHEN sup > 0 THEN fw / sup ELSE 0.0 END FROM mic)"""
+    q["eval_report"] = EVAL_CTES + """
+SELECT CAST(cls AS VARCHAR) AS row, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1,
+       sup::BIGINT AS support FROM pc3
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(sup), 6), sum(sup)::BIGINT FROM pc3
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(sup)::BIGINT FROM pc3
+UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 6), round(sum(r * sup) / sum(sup), 6),
+                 round(sum(f * sup) / sum(sup), 6), sum(sup)::BIGINT FROM pc3"""
+    return q
+
+
+_oracles_v2 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _oracles_v2()
+    q.update(model_oracles())
+    return q

@@ -341,6 +341,145 @@ def q_unpad_explode(spark, sf_dir):
                        F.array_join("text_ids", ",").alias("text_ids"))
 
 
+# --- vectors (embeddings table: token vectors grouped by label) -------------
+
+from contentmark.operators import evaluate as E  # noqa: E402
+from contentmark.operators import model as M  # noqa: E402
+from contentmark.operators import vectors as V  # noqa: E402
+
+
+def _emb(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings")
+
+
+def _long(df, keys, arr):
+    return df.select(*keys, F.posexplode(arr).alias("dim", "value")).select(
+        *keys, F.col("dim").cast("bigint").alias("dim"),
+        F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def _pooled(spark, sf_dir, how):
+    return V.pool(_emb(spark, sf_dir), "label", "embedding", how, order="vec_id")
+
+
+def q_pool_mean(spark, sf_dir):
+    return _long(_pooled(spark, sf_dir, "mean"), ["label"], "pooled")
+
+
+def q_pool_max(spark, sf_dir):
+    return _long(_pooled(spark, sf_dir, "max"), ["label"], "pooled")
+
+
+def q_pool_first(spark, sf_dir):
+    return _long(_pooled(spark, sf_dir, "first"), ["label"], "pooled")
+
+
+def q_combine(spark, sf_dir):
+    p = {h: _pooled(spark, sf_dir, h).withColumnRenamed("pooled", h) for h in V.POOL_MODES}
+    j = p["mean"].join(p["max"], "label").join(p["first"], "label")
+    out = None
+    for how in V.COMBINE_MODES:
+        x = _long(j.select("label", F.lit(how).alias("how"),
+                           V.combine(["mean", "max", "first"], how).alias("c")), ["label", "how"], "c")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def q_context(spark, sf_dir):
+    e = _emb(spark, sf_dir).withColumn("vec", F.col("embedding").cast("array<double>"))
+    c = V.with_context(e, "vec", keys=["label"], order="vec_id")
+    z = c.select("vec_id", F.posexplode(F.arrays_zip("prev_1", "next_1")).alias("dim", "pn"))
+    return z.select("vec_id", F.col("dim").cast("bigint").alias("dim"),
+                    F.round(F.col("pn.prev_1"), 6).alias("prev"),
+                    F.round(F.col("pn.next_1"), 6).alias("next"))
+
+
+def q_attention_mask(spark, sf_dir):
+    e = _encoded(spark, sf_dir, "max_length", FOLD_LEN)
+    return e.select("page_id", "part", "pos",
+                    F.array_join(V.attention_mask("text_ids"), ",").alias("attention_mask"))
+
+
+def q_seq_len(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    return s.select("page_id", "part", V.seq_len("mask").cast("bigint").alias("seq_len"))
+
+
+# --- model ---------------------------------------------------------------------------
+
+SEQ_BLOCKS = 10
+
+
+def _model_blocks(spark, sf_dir):
+    """Encoded, split blocks: the training / scoring unit of the labeller."""
+    e = _encoded(spark, sf_dir)
+    return B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"), SEQ_BLOCKS)
+
+
+def q_class_weights(spark, sf_dir):
+    b = _model_blocks(spark, sf_dir)
+    real = M.class_weights(b).withColumn("variant", F.lit("blocks"))
+    s = B.make_samples(b.select("page_id", "part", "pos", "label", "text_ids",
+                                F.lit(None).cast("array<int>").alias("class_ids"),
+                                F.lit(None).cast("array<int>").alias("tag_ids")),
+                       SEQ_BLOCKS, 1)
+    padded = M.class_weights(M.padded_labels(s)).withColumn("variant", F.lit("padded"))
+    return real.unionByName(padded).select(
+        "variant", "label", F.col("n").cast("bigint").alias("n"), F.round("weight", 6).alias("weight"))
+
+
+def _scored(spark, sf_dir):
+    b = _model_blocks(spark, sf_dir)
+    return b, M.score(b, M.fit_emissions(b, VOCAB_SIZE))
+
+
+def q_emissions_nb(spark, sf_dir):
+    _, sc = _scored(spark, sf_dir)
+    return sc.select("page_id", "part", "pos", F.round(F.col("em")[0], 6).alias("s0"),
+                     F.round(F.col("em")[1], 6).alias("s1"))
+
+
+def q_transitions(spark, sf_dir):
+    t = M.fit_transitions(_model_blocks(spark, sf_dir))
+    return t.select("kind", F.coalesce("from_label", F.lit(-1)).alias("from_label"), "to_label",
+                    F.round("score", 6).alias("score"))
+
+
+def _decoded(spark, sf_dir):
+    b, sc = _scored(spark, sf_dir)
+    samples = B.fold(sc.select("page_id", "part", "pos", "em", "label"))
+    return M.decode(samples, M.fit_transitions(b))
+
+
+def q_decode(spark, sf_dir):
+    d = _decoded(spark, sf_dir)
+    return d.select("page_id", "part", F.posexplode("prediction").alias("pos", "prediction"))
+
+
+def q_sequence_loss(spark, sf_dir):
+    b, sc = _scored(spark, sf_dir)
+    samples = B.fold(sc.select("page_id", "part", "pos", "em", "label"))
+    loss = M.sequence_loss(samples, M.fit_transitions(b))
+    return loss.select(F.round("loss", 6).alias("loss"), F.col("n_blocks").cast("bigint").alias("n_blocks"))
+
+
+# --- evaluation (labels table: quality = truth, toxic = prediction) -----------------
+
+def _eval_pairs(spark, sf_dir):
+    lab = _t(spark, sf_dir, "labels")
+    return lab.select(F.col("quality").alias("label"), F.col("toxic").alias("prediction"))
+
+
+def q_eval_metrics(spark, sf_dir):
+    m = E.metrics(_eval_pairs(spark, sf_dir), "test")
+    return m.select("metric", F.round("value", 6).alias("value"))
+
+
+def q_eval_report(spark, sf_dir):
+    r = E.report(_eval_pairs(spark, sf_dir))
+    return r.select("row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 registry_v1 = registry
 
 
@@ -379,5 +518,19 @@ def registry() -> dict:  # noqa: F811
         "split_parts": q_split_parts,
         "fold_pad_mask": q_fold_pad_mask,
         "unpad_explode": q_unpad_explode,
+        "pool_mean": q_pool_mean,
+        "pool_max": q_pool_max,
+        "pool_first": q_pool_first,
+        "combine": q_combine,
+        "context": q_context,
+        "attention_mask": q_attention_mask,
+        "seq_len": q_seq_len,
+        "class_weights": q_class_weights,
+        "emissions_nb": q_emissions_nb,
+        "transitions": q_transitions,
+        "decode": q_decode,
+        "sequence_loss": q_sequence_loss,
+        "eval_metrics": q_eval_metrics,
+        "eval_report": q_eval_report,
     })
     return r
