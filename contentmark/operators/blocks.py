@@ -37,9 +37,11 @@ def extract_blocks(nodes: DataFrame, texts: DataFrame, label_col: str | None = "
     per page, so no node x depth self-join is needed."""
     inv = {v: k for k, v in (mapping or SEMANTIC_NAME_TAG_MAP).items()}
     names = _map_literal(inv)
+    # pre numbers are dense per page, so the page's elements sorted by pre
+    # form an array indexed by pre + 1 (O(1) look-ups; Spark maps scan)
     info = nodes.groupBy("page_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "pre", F.struct("tag", F.array_join("classes", " ").alias("cls"))))).alias("m"),
+        F.array_sort(F.collect_list(F.struct(
+            "pre", "tag", F.array_join("classes", " ").alias("cls")))).alias("m"),
         F.min(F.when(F.col("tag") == "body", F.col("pre"))).alias("body"))
     runs = (texts.where(F.col("kind") == "text")
             .select("page_id", "node", "i", strip_ws("text").alias("t"))
@@ -55,8 +57,9 @@ def extract_blocks(nodes: DataFrame, texts: DataFrame, label_col: str | None = "
     rel = F.slice("path", F.array_position("path", F.col("body")).cast("int"), F.size("path"))
     b = b.withColumn("_rel", rel)
     tag_seq = F.transform("_rel", lambda x: F.coalesce(
-        F.try_element_at(names, F.col("m")[x]["tag"]), F.col("m")[x]["tag"]))
-    class_seq = F.filter(F.transform("_rel", lambda x: F.col("m")[x]["cls"]),
+        F.try_element_at(names, F.element_at("m", x + 1)["tag"]),
+        F.element_at("m", x + 1)["tag"]))
+    class_seq = F.filter(F.transform("_rel", lambda x: F.element_at("m", x + 1)["cls"]),
                          lambda c: c.isNotNull() & (c != ""))
     label = (F.col(label_col).cast("int") if label_col and label_col in nodes.columns
              else F.lit(0))
@@ -113,34 +116,46 @@ def fit_vocab(blocks: DataFrame, max_size: int = 30000, cols=SEQ_COLS) -> DataFr
     return top.select("token", (F.row_number().over(w) + (UNK)).alias("id"), "cnt")
 
 
-def vocab_map(vocab: DataFrame) -> Column:
-    """The whole (bounded) vocabulary as one map value - a scalar subquery
-    Spark evaluates once and ships with the tasks."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id")))).scalar()
+# Largest vocabulary shipped to every task as a broadcast hash table.
+MAX_BROADCAST_VOCAB = 5_000_000
 
 
-# --- B4, B5, B6: encode, truncate, pad ------------------------------------------
-
 def encode(blocks: DataFrame, vocab: DataFrame, max_length: int = 512,
-           pad: str = "max_length", truncate: bool = True, cols=SEQ_COLS) -> DataFrame:
+           pad: str = "max_length", truncate: bool = True, cols=SEQ_COLS,
+           keys=("page_id", "part", "pos"), vocab_size: int | None = None) -> DataFrame:
     """Token ids for class / tag / text sequences: bos + ids + eos,
     unknown tokens -> unk, truncated to ``max_length`` (eos kept), padded
     per ``pad`` (``longest`` = longest sequence of that kind in the whole
-    column, a one-row aggregate)."""
+    column, a one-row aggregate).
+
+    Tokens of all three sequences are exploded once, looked up with a hash
+    join against the vocabulary (broadcast: its size is capped by
+    ``fit_vocab``'s ``max_size``) and regrouped per block; the regroup key
+    starts with ``page_id``, so blocks already partitioned by page need no
+    further shuffle."""
     if pad not in PAD_MODES:
         raise ValueError(f"pad must be one of {PAD_MODES}")
-    # the map is a scalar subquery: bind it to a column first, lambdas may
-    # not hold subqueries
-    out = blocks.withColumn("_vm", vocab_map(vocab))
-    for c, ic in zip(cols, ID_COLS):
-        ids = F.transform(tokenize(_seq_string(blocks, c)),
-                          lambda t: F.coalesce(F.try_element_at(F.col("_vm"), t), F.lit(UNK)))
-        seq = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
+    keys = list(keys)
+    toks = blocks.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), _seq_string(blocks, c).alias("s"))
+        for k, c in enumerate(cols)])))
+    toks = toks.select(*keys, "kind", F.posexplode(tokenize("s")).alias("k", "token"))
+    v = vocab.select("token", F.col("id").cast("int").alias("id"))
+    if vocab_size is None or vocab_size <= MAX_BROADCAST_VOCAB:
+        v = F.broadcast(v)
+    ids = (toks.join(v, "token", "left")
+           .withColumn("id", F.coalesce("id", F.lit(UNK)))
+           .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "k", "id"))).alias("_t")))
+    out = blocks.join(ids, keys, "left")
+    for kind, ic in enumerate(ID_COLS):
+        got = F.transform(F.filter(F.coalesce("_t", F.array()), lambda x: x["kind"] == kind),
+                          lambda x: x["id"])
+        seq = F.concat(F.array(F.lit(BOS)), got, F.array(F.lit(EOS)))
         if truncate:
             seq = F.when(F.size(seq) > max_length, F.concat(
                 F.slice(seq, 1, max_length - 1), F.array(F.lit(EOS)))).otherwise(seq)
         out = out.withColumn(ic, seq)
-    out = out.drop("_vm")
+    out = out.drop("_t")
     if pad == "do_not_pad":
         return out
     for ic in ID_COLS:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import contentmark
 from contentmark.schema import DOM, TEXT_KINDS
+from contentmark.session import spread
 
 # Ship the package with the task closures, so executors need no install.
 cloudpickle.register_pickle_by_value(contentmark)
@@ -79,12 +80,12 @@ def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     the pages are spread by ``page_id`` first.  A page is parsed whole
     inside one task - it is the unit the tree is defined on.
     """
-    spark = pages.sparkSession
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"),
                        F.col("html").cast("string").alias("html"))
-    want = partitions or spark.sparkContext.defaultParallelism
-    if partitions or src.rdd.getNumPartitions() < want:
-        src = src.repartition(want, "page_id")
+    if partitions:
+        src = src.repartition(partitions, "page_id")
+    else:
+        src = spread(src, "page_id")
     return src.mapInArrow(_shred_batches, DOM)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contentmark.operators import shred as S
 from contentmark.plans import labelers as L
-from contentmark.session import table_path
+from contentmark.session import materialize, table_path
 from contentmark.sources import gold as G
 
 
@@ -24,7 +24,10 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.pages = _t(spark, sf_dir, "pages")
-        self.dom = S.shred(self.pages)
+        # one parse per corpus: cut lineage so branches and scalar subqueries
+        # downstream read the checkpoint instead of re-parsing HTML
+        self.dom = materialize(S.shred(self.pages))
+        self._blocks = None
 
     @property
     def nodes(self) -> DataFrame:
@@ -49,8 +52,10 @@ class Corpus:
     def blocks(self) -> DataFrame:
         """Text blocks labelled by the block-level gold alignment."""
         from contentmark.operators import blocks as B
-        labelled = L.label_block_by_text(self.nodes, self.texts, self.gold())
-        return B.extract_blocks(labelled, self.texts)
+        if self._blocks is None:
+            labelled = L.label_block_by_text(self.nodes, self.texts, self.gold())
+            self._blocks = materialize(B.extract_blocks(labelled, self.texts))
+        return self._blocks
 
 
 def _big(*cols):
@@ -90,7 +95,8 @@ class AnnotatedCorpus(Corpus):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.pages = annotated_pages(_t(spark, sf_dir, "pages"))
-        self.dom = S.shred(self.pages)
+        self.dom = materialize(S.shred(self.pages))
+        self._blocks = None
 
 
 from contentmark.operators import align as A  # noqa: E402

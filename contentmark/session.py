@@ -60,5 +60,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Parallelism guard for CPU-heavy row work: a scan with fewer splits
+    than ``factor`` x the cluster's task slots (small files, a single row
+    group) is spread first; large inputs keep their scan partitioning and
+    pay no shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentmark.functions.text import strip_ws
+from contentmark.session import spread
 
 # Fixed value: the separator line before the comments part of a gold file.
 COMMENTS_SEPARATOR = "!@#$%^&*()  COMMENTS"
@@ -62,7 +63,7 @@ def gold_for_pages(pages: DataFrame, documents: DataFrame,
     Lines are cut per document (one pass over ``documents``), then joined to
     the pages on ``doc_id``; a document feeding many pages is a skewed key
     that AQE's skew-join splitting handles on the page side."""
-    lines = gold_lines(documents.select("doc_id", "text"), "doc_id", "text",
+    lines = gold_lines(spread(documents.select("doc_id", "text"), "doc_id"), "doc_id", "text",
                        include_comments)
     return (page_source_doc(pages).join(lines, "doc_id")
             .select("page_id", "line_no", "text"))
