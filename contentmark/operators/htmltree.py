@@ -138,7 +138,7 @@ def shred_html(src: str):
                "attrs": None, "classes": None, "own_text": None,
                "n_children": None, "string_i": None, "text": None,
                "text_no": None, "c0": None, "c1": None, "s0": None,
-               "s1": None}
+               "s1": None, "end_i": None}
         if kind == "start":
             tag, attrs, self_closing = payload
             pre = len(nodes)
@@ -178,6 +178,7 @@ def shred_html(src: str):
                     row["node"] = stack[hit]["node"]
                     row["path"] = stack[hit]["path"]
                     row["depth"] = stack[hit]["depth"]
+                    stack[hit]["end_i"] = k
                     for nd in stack[hit:]:
                         close(nd)
                     del stack[hit:]
@@ -226,5 +227,5 @@ def shred_html(src: str):
                  "attrs": None, "classes": None, "own_text": "".join(plain),
                  "n_children": None, "string_i": None,
                  "text": "".join(content), "text_no": None,
-                 "c0": None, "c1": None, "s0": None, "s1": None})
+                 "c0": None, "c1": None, "s0": None, "s1": None, "end_i": None})
     return rows

@@ -1,9 +1,10 @@
 """Re-assemble pages from their tokens with edits applied.
 
-Bytes outside edited tags stay as in the source.  Edits are gathered into
-one small map per page and joined to the tokens on ``page_id`` only, so the
-join and the final per-page assembly share one hash partitioning: the token
-stream is shuffled once.
+Bytes outside edited tokens stay as in the source.  Edits are rows
+(page_id, i, raw) replacing token ``i``; tokens and edits are unioned and
+grouped once per page (one shuffle of the token stream), sorted by
+(i, priority) so each edit sits right behind its token, and joined back
+into the page text.
 """
 
 from __future__ import annotations
@@ -34,53 +35,47 @@ def start_tag(tag="tag", attrs="attrs", classes="classes", raw="raw") -> Column:
     return F.concat(F.lit("<"), F.col(tag), attr_string(attrs, classes), end)
 
 
-def render(tokens: DataFrame, nodes: DataFrame | None = None,
-           dropped: DataFrame | None = None, text_edits: DataFrame | None = None,
-           key: str = "page_id") -> DataFrame:
-    """(page_id, html) from the token table.
-
-    * ``nodes`` (page_id, pre, tag, attrs, classes): start tags whose
-      attributes differ from the source are rebuilt;
-    * ``dropped`` (page_id, pre): start and end tags of these elements are
-      removed (their content stays - unwrap);
-    * ``text_edits`` (page_id, i, raw): replacement text for token ``i``.
-    """
-    t = tokens
-    orig = F.when(F.col("kind") == "start", attr_string())
-    if nodes is not None:
-        nm = (nodes.select(key, "pre", attr_string().alias("ser"))
-              .groupBy(key).agg(F.map_from_entries(F.collect_list(
-                  F.struct("pre", "ser"))).alias("_nmap")))
-        t = t.join(nm, key, "left")
-    if dropped is not None:
-        dm = dropped.groupBy(key).agg(F.collect_set("pre").alias("_dset"))
-        t = t.join(dm, key, "left")
-    if text_edits is not None:
-        tm = (text_edits.groupBy(key).agg(F.map_from_entries(F.collect_list(
-            F.struct("i", "raw"))).alias("_tmap")))
-        t = t.join(tm, key, "left")
-    raw = F.col("raw")
-    if text_edits is not None:
-        raw = F.coalesce(F.try_element_at(F.col("_tmap"), F.col("i")), raw)
-    if nodes is not None:
-        new = F.try_element_at(F.col("_nmap"), F.col("node"))
-        rebuilt = F.concat(F.lit("<"), F.col("tag"), new, F.when(
-            F.col("raw").endswith("/>"), F.lit("/>")).otherwise(F.lit(">")))
-        raw = F.when((F.col("kind") == "start") & new.isNotNull() & (new != orig),
-                     rebuilt).otherwise(raw)
-    if dropped is not None:
-        raw = F.when(F.col("kind").isin("start", "end") & F.coalesce(
-            F.array_contains(F.col("_dset"), F.col("node")), F.lit(False)),
-            F.lit("")).otherwise(raw)
-    return (t.select(key, "i", raw.alias("raw"))
-            .groupBy(key).agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("i", "raw"))),
-                lambda x: x["raw"]), "").alias("html")))
+def node_edits(nodes: DataFrame, drop: str | None = None) -> DataFrame:
+    """(page_id, i, raw) edits from an edited node table (needs ``i``,
+    ``end_i``, ``raw``, ``attrs``/``classes`` and their originals
+    ``attrs0``/``classes0``): start tags whose attributes changed are
+    rebuilt; elements flagged by ``drop`` lose their start and end tags."""
+    changed = attr_string("attrs", "classes") != attr_string("attrs0", "classes0")
+    n = nodes
+    if drop is not None:
+        n = n.withColumn("_drop", F.coalesce(F.col(drop).cast("boolean"), F.lit(False)))
+    else:
+        n = n.withColumn("_drop", F.lit(False))
+    starts = n.where(F.col("_drop") | changed).select(
+        "page_id", "i", F.when(F.col("_drop"), F.lit("")).otherwise(start_tag()).alias("raw"))
+    ends = n.where(F.col("_drop") & F.col("end_i").isNotNull()).select(
+        "page_id", F.col("end_i").alias("i"), F.lit("").alias("raw"))
+    return starts.unionByName(ends)
+
+
+def render(tokens: DataFrame, edits: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """(page_id, html): tokens in order with ``edits`` (page_id, i, raw)
+    applied; at most one edit per token."""
+    t = tokens.select(key, "i", F.lit(0).alias("prio"), "raw")
+    if edits is not None:
+        t = t.unionByName(edits.select(key, "i", F.lit(1).alias("prio"), "raw"))
+    grouped = t.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct("i", "prio", "raw"))).alias("_a"))
+    a = F.col("_a")
+    picked = F.transform(a, lambda x, j: F.when(x["prio"] == 0, F.when(
+        (j + 1 < F.size(a)) & (F.element_at(a, j + 2)["i"] == x["i"]),
+        F.element_at(a, j + 2)["raw"]).otherwise(x["raw"])))
+    return grouped.select(key, F.array_join(F.filter(picked, lambda x: x.isNotNull()), "").alias("html"))
+
+
+def text_edits(texts: DataFrame, new_text: str = "text") -> DataFrame:
+    """(page_id, i, raw) re-encoding edited text runs."""
+    return texts.select("page_id", "i", escape_text(new_text).alias("raw"))
 
 
 def highlight_edits(nodes: DataFrame, tokens: DataFrame, flag: str = "label") -> DataFrame:
-    """(page_id, i, raw) wrapping the single string of each positive
-    element in ``<mark>``."""
+    """(page_id, i, raw) wrapping the single string (``.string``) of
+    each positive element in ``<mark>``."""
     s = (nodes.where((F.col(flag) == 1) & F.col("string_i").isNotNull())
          .select("page_id", F.col("string_i").alias("i")).distinct())
     return (tokens.join(s, ["page_id", "i"])

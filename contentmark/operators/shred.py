@@ -42,6 +42,7 @@ _ARROW_DOM = pa.schema([
     pa.field("c1", pa.int32()),
     pa.field("s0", pa.int32()),
     pa.field("s1", pa.int32()),
+    pa.field("end_i", pa.int32()),
 ])
 _COLS = [f.name for f in _ARROW_DOM]
 _ROWS_PER_BATCH = 32768
@@ -95,7 +96,8 @@ def nodes(dom: DataFrame) -> DataFrame:
     return dom.where(F.col("kind") == "start").select(
         "page_id", F.col("node").alias("pre"), "last", "parent", "depth", "tag",
         "attrs", "classes", "own_text", "path", "n_children", "string_i", "i",
-        "raw", "c0", "c1", "s0", "s1")
+        "raw", "c0", "c1", "s0", "s1", "end_i",
+        F.col("attrs").alias("attrs0"), F.col("classes").alias("classes0"))
 
 
 def texts(dom: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def tokens(dom: DataFrame) -> DataFrame:
     """The token stream: page_id, i, kind, raw, node (opened / closed /
     owning element)."""
     return dom.where(F.col("kind") != "doc").select(
-        "page_id", "i", "kind", "raw", "node", "tag", "attrs", "classes")
+        "page_id", "i", "kind", "raw", "node", "tag")
 
 
 def page_text(dom: DataFrame) -> DataFrame:

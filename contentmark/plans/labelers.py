@@ -92,4 +92,4 @@ def label_corpus(pages: DataFrame, recipe: Callable[[DataFrame, DataFrame], Data
 
     dom = materialize(S.shred(pages))
     labelled = N.main_attr(recipe(S.nodes(dom), S.texts(dom)))
-    return R.render(S.tokens(dom), labelled)
+    return R.render(S.tokens(dom), R.node_edits(labelled))

@@ -255,14 +255,16 @@ BLOCK_CTES = f"""
   FROM steps s JOIN nodes a ON a.page_id = s.page_id AND a.pre = s.anc
   LEFT JOIN semmap m ON m.tag = a.tag WHERE s.anc >= s.body)
 , seqs AS (
-  SELECT page_id, pre, '[' || string_agg(tname, ', ' ORDER BY anc) || ']' AS tag_seq,
+  SELECT page_id, pre, list(tname ORDER BY anc) AS tl,
+         '[' || string_agg(tname, ', ' ORDER BY anc) || ']' AS tag_seq,
          '[' || coalesce(string_agg(cls, ', ' ORDER BY anc) FILTER (WHERE cls <> ''), '') || ']' AS class_seq
   FROM named GROUP BY page_id, pre)
 , blocks AS (
   SELECT bl.page_id, 0::INTEGER AS part,
     (row_number() OVER (PARTITION BY bl.page_id ORDER BY bl.pre) - 1)::INTEGER AS pos,
     s.class_seq, s.tag_seq, '[' || array_to_string(bl.ts, ', ') || ']' AS text_seq,
-    CAST(coalesce(list_contains(bl.path, l.lca), false) AS INTEGER) AS label, bl.pre AS node
+    CAST(coalesce(list_contains(bl.path, l.lca), false) AS INTEGER) AS label, bl.pre AS node,
+    s.tl, bl.ts
   FROM bl JOIN seqs s USING (page_id, pre) LEFT JOIN lca l USING (page_id))
 """
 
@@ -525,3 +527,102 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _oracles_v2()
     q.update(model_oracles())
     return q
+
+
+# --- write-back -------------------------------------------------------------------------
+
+def _sem2tag_map() -> str:
+    from contentmark.functions.tags import SEMANTIC_NAME_TAG_MAP
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SEMANTIC_NAME_TAG_MAP.items()) + "}"
+
+
+def _tagof(x: str) -> str:
+    return f"coalesce(map_extract_value({_sem2tag_map()}, {x}), {x})"
+
+
+def _unq(x: str) -> str:
+    return f"regexp_replace({x}, '^\"|\"$', '', 'g')"
+
+
+WB_CTES = f"""
+, wb AS (SELECT page_id, part, pos, label AS lab,
+    {_tagof('tl[-1]')} AS t_tag,
+    CASE WHEN len(tl) >= 2 THEN {_tagof('tl[-2]')} END AS t_parent,
+    list_transform(tl, lambda x: {_tagof('x')}) AS chain,
+    {_unq('ts[-1]')} AS needle,
+    regexp_replace({_unq("array_to_string(ts, ', ')")}, '{WS}', '', 'g') AS all_key
+  FROM blocks)
+, anc AS (SELECT n.page_id, n.pre, list(a.tag ORDER BY a.pre) AS anc_tags
+  FROM (SELECT page_id, pre, unnest(path) AS ap FROM nodes) n
+  JOIN nodes a ON a.page_id = n.page_id AND a.pre = n.ap WHERE n.ap <> n.pre GROUP BY n.page_id, n.pre)
+, nsub AS (SELECT n.page_id, n.pre, n.tag, p.tag AS parent_tag, coalesce(an.anc_tags, []) AS anc_tags,
+    coalesce(string_agg(t.text, '' ORDER BY t.i), '') AS sub,
+    coalesce(string_agg(t.text, '' ORDER BY t.i) FILTER (WHERE t.tag NOT IN ('script', 'style')), '') AS plain
+  FROM nodes n LEFT JOIN nodes p ON p.page_id = n.page_id AND p.pre = n.parent
+  LEFT JOIN anc an ON an.page_id = n.page_id AND an.pre = n.pre
+  LEFT JOIN tpath t ON t.page_id = n.page_id AND list_contains(t.path, n.pre)
+  GROUP BY n.page_id, n.pre, n.tag, p.tag, an.anc_tags)
+, nk AS (SELECT *, {_unq(f"regexp_replace(plain, '{WS}', '', 'g')")} AS k5,
+    '|' || array_to_string(anc_tags, '|') || '|' AS anc_str FROM nsub)
+, whits AS (
+  SELECT DISTINCT b.page_id, b.part, b.pos, 1 AS tier, t.node AS pre FROM wb b
+    JOIN tpath t ON t.page_id = b.page_id AND t.tag = b.t_tag AND contains(t.text, b.needle)
+  UNION ALL SELECT b.page_id, b.part, b.pos, 2, n.pre FROM wb b
+    JOIN nk n ON n.page_id = b.page_id AND n.tag = b.t_parent AND contains(n.sub, b.needle)
+  UNION ALL SELECT b.page_id, b.part, b.pos, 3, n.pre FROM wb b
+    JOIN nk n ON n.page_id = b.page_id AND n.tag = b.t_tag AND n.parent_tag = b.t_parent
+     AND contains(n.sub, b.needle)
+  UNION ALL SELECT b.page_id, b.part, b.pos, 4, n.pre FROM wb b
+    JOIN nk n ON n.page_id = b.page_id AND n.tag = b.t_tag AND contains(n.sub, b.needle)
+     AND (len(b.chain) = 1 OR regexp_matches(n.anc_str, '\\|' || array_to_string(
+          list_transform(b.chain[1:len(b.chain) - 1], lambda x: regexp_escape(x)), '\\|(.*\\|)?') || '\\|'))
+  UNION ALL SELECT b.page_id, b.part, b.pos, 5, n.pre FROM wb b
+    JOIN nk n ON n.page_id = b.page_id AND n.tag = b.t_tag AND n.k5 = b.all_key
+  UNION ALL SELECT b.page_id, b.part, b.pos, 6, n.pre FROM wb b
+    JOIN nk n ON n.page_id = b.page_id AND n.tag = b.t_parent AND n.k5 = b.all_key)
+, cnt AS (SELECT b.page_id, b.part, b.pos,
+    count(h.pre) FILTER (WHERE h.tier = 1) AS n1, count(h.pre) FILTER (WHERE h.tier = 2) AS n2,
+    count(h.pre) FILTER (WHERE h.tier = 3) AS n3, count(h.pre) FILTER (WHERE h.tier = 4) AS n4,
+    count(h.pre) FILTER (WHERE h.tier = 5) AS n5, count(h.pre) FILTER (WHERE h.tier = 6) AS n6
+  FROM wb b LEFT JOIN whits h ON h.page_id = b.page_id AND h.part = b.part AND h.pos = b.pos
+  GROUP BY b.page_id, b.part, b.pos)
+, dec AS (SELECT page_id, part, pos, CASE WHEN n1 = 1 THEN 1 WHEN n1 = 0 AND n2 = 1 THEN 2
+    WHEN n3 = 1 THEN 3 WHEN n4 = 1 THEN 4 WHEN n5 = 1 THEN 5 ELSE 6 END AS tier FROM cnt)
+, res AS (SELECT h.* FROM whits h JOIN dec d USING (page_id, part, pos, tier))
+, ann AS (SELECT r.page_id, r.pre, arg_max(b.lab, b.part * 1000000 + b.pos) AS label
+  FROM res r JOIN wb b USING (page_id, part, pos) GROUP BY r.page_id, r.pre)
+"""
+
+
+def writeback_oracles() -> dict[str, str]:
+    base = NODE_CTES + GOLD_CTES + BLOCK_CTES
+    wb = base + WB_CTES
+    q: dict[str, str] = {}
+    q["tag_map"] = base + f"""
+SELECT page_id, part, pos, array_to_string(list_transform(tl, lambda x: {_tagof('x')}), ' ') AS tags
+FROM blocks"""
+    q["clean_text"] = base + f"""
+SELECT page_id, part, pos, {_unq('ts[-1]')} AS text FROM blocks"""
+    q["match_tiers"] = wb + """
+SELECT page_id, part, pos, n1::BIGINT AS n1, n2::BIGINT AS n2, n3::BIGINT AS n3,
+       n4::BIGINT AS n4, n5::BIGINT AS n5, n6::BIGINT AS n6 FROM cnt"""
+    q["match_resolve"] = wb + """
+SELECT page_id, part, pos, tier, pre::BIGINT AS pre FROM res"""
+    q["annotate"] = wb + """
+SELECT page_id, pre::BIGINT AS pre, label FROM ann"""
+    q["label_pages"] = wb + """
+, st AS (SELECT w.page_id, w.i, a.label FROM walk w JOIN ann a ON a.page_id = w.page_id AND a.pre = w.pre)
+SELECT o.page_id, string_agg(CASE WHEN st.i IS NOT NULL
+         THEN regexp_replace(o.tok, '(/?>)$', ' predicted_label="' || st.label || '"\\1') ELSE o.tok END,
+         '' ORDER BY o.i) AS html
+FROM o LEFT JOIN st ON st.page_id = o.page_id AND st.i = o.i GROUP BY o.page_id"""
+    return q
+
+
+_oracles_v3 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _oracles_v3()
+    q.update(writeback_oracles())
+    return q

@@ -486,6 +486,74 @@ def q_eval_report(spark, sf_dir):
     return r.select("row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+# --- write-back (blocks of the pages, prediction = their label) -----------------
+
+from contentmark.functions.tags import html_tags  # noqa: E402
+from contentmark.operators import writeback as WB  # noqa: E402
+
+
+def _wb(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    blocks = c.blocks().withColumn("prediction", F.col("label"))
+    return c, blocks
+
+
+def q_tag_map(spark, sf_dir):
+    b = Corpus(spark, sf_dir).blocks()
+    return b.select("page_id", "part", "pos", F.array_join(html_tags("tag_seq"), " ").alias("tags"))
+
+
+def q_clean_text(spark, sf_dir):
+    b = Corpus(spark, sf_dir).blocks()
+    return b.select("page_id", "part", "pos",
+                    WB.clean_text(F.element_at("text_seq", -1)).alias("text"))
+
+
+def q_match_tiers(spark, sf_dir):
+    c, b = _wb(spark, sf_dir)
+    hits = WB.tier_hits(b, c.nodes, c.texts, c.page_text)
+    return WB.tier_counts(b, hits)
+
+
+def q_match_resolve(spark, sf_dir):
+    c, b = _wb(spark, sf_dir)
+    r = WB.resolve(b, WB.tier_hits(b, c.nodes, c.texts, c.page_text))
+    return r.select("page_id", "part", "pos", "tier", F.col("pre").cast("bigint").alias("pre"))
+
+
+def q_annotate(spark, sf_dir):
+    c, b = _wb(spark, sf_dir)
+    r = WB.resolve(b, WB.tier_hits(b, c.nodes, c.texts, c.page_text))
+    return WB.annotate(r, b).select("page_id", F.col("pre").cast("bigint").alias("pre"), "label")
+
+
+def q_label_pages(spark, sf_dir):
+    c, b = _wb(spark, sf_dir)
+    html, _ = WB.label_pages(c.tokens, c.nodes, c.texts, c.page_text, b, highlight=False)
+    return html
+
+
+def q_highlight(spark, sf_dir):
+    c, b = _wb(spark, sf_dir)
+    html, _ = WB.label_pages(c.tokens, c.nodes, c.texts, c.page_text, b, highlight=True)
+    return html
+
+
+def q_attach_predictions(spark, sf_dir):
+    from contentmark.operators import align as A2
+    b, sc = _scored(spark, sf_dir)
+    samples = B.fold(sc.select("page_id", "part", "pos", "em", "label"))
+    d = M.decode(samples, M.fit_transitions(b))
+    preds = d.select("page_id", "part", F.posexplode("prediction").alias("pos", "prediction"))
+    blocks = Corpus(spark, sf_dir).blocks()
+    blocks = B.split_parts(blocks, SEQ_BLOCKS).drop("node")
+    out = P.scratch_path(spark, "predictions")
+    BIO.write_blocks(A2.attach(blocks, preds), out, with_ids=False)
+    back = BIO.read_blocks(spark, out)
+    return back.select(F.col("page_id").cast("bigint").alias("page_id"), "part", "pos", "label",
+                       "prediction")
+
+
 registry_v1 = registry
 
 
@@ -538,5 +606,13 @@ def registry() -> dict:  # noqa: F811
         "sequence_loss": q_sequence_loss,
         "eval_metrics": q_eval_metrics,
         "eval_report": q_eval_report,
+        "tag_map": q_tag_map,
+        "clean_text": q_clean_text,
+        "match_tiers": q_match_tiers,
+        "match_resolve": q_match_resolve,
+        "annotate": q_annotate,
+        "label_pages": q_label_pages,
+        "highlight": q_highlight,
+        "attach_predictions": q_attach_predictions,
     })
     return r

@@ -32,6 +32,7 @@ DOM = T.StructType([
     T.StructField("c1", T.IntegerType()),
     T.StructField("s0", T.IntegerType()),
     T.StructField("s1", T.IntegerType()),
+    T.StructField("end_i", T.IntegerType()),
 ])
 
 TEXT_KINDS = ("text", "rawtext")
