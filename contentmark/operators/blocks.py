@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from contentmark.functions.tags import SEMANTIC_NAME_TAG_MAP, _map_literal
 from contentmark.functions.text import strip_brackets, strip_ws
 from contentmark.schema import BOS, EOS, PAD, UNK
+from contentmark.session import materialize
 
 PAD_MODES = ("max_length", "longest", "do_not_pad")
 # Word-level tokens (letters / digits / underscore runs) and single
@@ -113,7 +114,8 @@ def fit_vocab(blocks: DataFrame, max_size: int = 30000, cols=SEQ_COLS) -> DataFr
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
     top = counts.orderBy(F.col("cnt").desc(), F.col("token")).limit(max_size)
     w = W.orderBy(F.col("cnt").desc(), F.col("token"))
-    return top.select("token", (F.row_number().over(w) + (UNK)).alias("id"), "cnt")
+    # eager, like an estimator's fit: at most max_size rows
+    return materialize(top.select("token", (F.row_number().over(w) + (UNK)).alias("id"), "cnt"))
 
 
 # Largest vocabulary shipped to every task as a broadcast hash table.

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contentmark.schema import BOS, EOS, PAD
+from contentmark.session import materialize
 
 N_CLASSES = 2
 
@@ -63,8 +64,11 @@ def fit_emissions(blocks: DataFrame, vocab_size: int, label: str = "label",
     lp = F.transform(F.sequence(F.lit(0), F.lit(n_ids - 1)), lambda i: F.log(
         (F.coalesce(F.try_element_at(F.col("cm"), i), F.lit(0)) + 1.0)
         / (F.coalesce(F.col("n_tok"), F.lit(0)) + F.lit(float(n_ids)))))
-    return m.select("label", (F.log(F.col("n_doc") / total) + F.log(F.coalesce("weight", F.lit(1.0))))
-                    .alias("prior"), lp.alias("lp"))
+    # fitting is eager (as for MLlib estimators): the model is a tiny table
+    # that scoring reads through scalar subqueries
+    return materialize(m.select(
+        "label", (F.log(F.col("n_doc") / total) + F.log(F.coalesce("weight", F.lit(1.0))))
+        .alias("prior"), lp.alias("lp")))
 
 
 def score(blocks: DataFrame, model: DataFrame, ids: str = "text_ids") -> DataFrame:
@@ -108,19 +112,20 @@ def fit_transitions(blocks: DataFrame, label: str = "label", keys=("page_id", "p
         return e.select(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("from_label"),
                         F.col("y").alias("to_label"), "score")
 
-    return t.unionByName(edge(F.col("first"), "start")).unionByName(edge(F.col("nxt").isNull(), "end"))
+    return materialize(
+        t.unionByName(edge(F.col("first"), "start")).unionByName(edge(F.col("nxt").isNull(), "end")))
 
 
 def transition_scalars(trans: DataFrame) -> dict:
-    """The 8 chain scores as scalar-subquery columns."""
-    def one(kind, f, t):
-        q = trans.where((F.col("kind") == kind) & (F.col("to_label") == t))
-        if f is not None:
-            q = q.where(F.col("from_label") == f)
-        return q.select(F.first("score")).scalar()
-    out = {f"t{f}{t}": one("trans", f, t) for f in range(2) for t in range(2)}
-    out.update({f"s{t}": one("start", None, t) for t in range(2)})
-    out.update({f"e{t}": one("end", None, t) for t in range(2)})
+    """The 8 chain scores of a fitted chain as literal parameters (a fitted
+    model's parameters live with the driver, as for MLlib models): t<from><to>,
+    s<label> (start), e<label> (end)."""
+    out = {}
+    for r in trans.collect():  # exactly 8 rows
+        if r["kind"] == "trans":
+            out[f"t{r['from_label']}{r['to_label']}"] = F.lit(float(r["score"]))
+        else:
+            out[f"{r['kind'][0]}{r['to_label']}"] = F.lit(float(r["score"]))
     return out
 
 

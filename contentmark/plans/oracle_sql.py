@@ -625,4 +625,11 @@ _oracles_v3 = oracles
 def oracles() -> dict[str, str]:  # noqa: F811
     q = _oracles_v3()
     q.update(writeback_oracles())
+    q["model_reload"] = q["decode"]
+    q["attach_predictions"] = q["decode"].replace(
+        "SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos, unnest(path) AS prediction FROM fin",
+        """, dp AS (SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos,
+                   unnest(path) AS prediction FROM fin)
+SELECT s.page_id, s.part, s.pos, s.label, dp.prediction FROM split s
+LEFT JOIN dp ON dp.page_id = s.page_id AND dp.part = s.part AND dp.pos = s.pos""")
     return q

@@ -417,9 +417,11 @@ SEQ_BLOCKS = 10
 
 
 def _model_blocks(spark, sf_dir):
-    """Encoded, split blocks: the training / scoring unit of the labeller."""
+    """Encoded, split blocks: the training / scoring unit of the labeller
+    (checkpointed: fitting and scoring both read it)."""
     e = _encoded(spark, sf_dir)
-    return B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"), SEQ_BLOCKS)
+    return materialize(B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"),
+                                     SEQ_BLOCKS))
 
 
 def q_class_weights(spark, sf_dir):
@@ -554,6 +556,29 @@ def q_attach_predictions(spark, sf_dir):
                        "prediction")
 
 
+# --- M6, M7: the labeller as estimator / model ------------------------------------
+
+def q_fit_predict(spark, sf_dir):
+    """Fit the labeller with MLlib logistic-regression emissions and predict
+    every block (rows-only check: no SQL form of the solver)."""
+    from contentmark.plans.labeller import BlockLabeler
+    blocks = Corpus(spark, sf_dir).blocks()
+    model = BlockLabeler(VOCAB_SIZE, ENC_LEN, SEQ_BLOCKS, emissions="lr").fit(blocks)
+    return model.transform(blocks).select("page_id", "part", "pos", "label", "prediction")
+
+
+def q_model_reload(spark, sf_dir):
+    """Fit (naive-Bayes emissions), save, reload and predict: must equal
+    ``decode``."""
+    from contentmark.plans.labeller import BlockLabeler, BlockLabelerModel
+    blocks = Corpus(spark, sf_dir).blocks()
+    model = BlockLabeler(VOCAB_SIZE, ENC_LEN, SEQ_BLOCKS, emissions="nb").fit(blocks)
+    path = P.scratch_path(spark, "model")
+    model.save(path)
+    again = BlockLabelerModel.load(spark, path)
+    return again.transform(blocks).select("page_id", "part", "pos", "prediction")
+
+
 registry_v1 = registry
 
 
@@ -614,5 +639,7 @@ def registry() -> dict:  # noqa: F811
         "label_pages": q_label_pages,
         "highlight": q_highlight,
         "attach_predictions": q_attach_predictions,
+        "fit_predict": q_fit_predict,
+        "model_reload": q_model_reload,
     })
     return r

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,15 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table into the shared
+    checkpoint folder and reading it back.
 
-    Used where one expensive table (the shredded pages) feeds several
-    branches of a plan; a lost executor then re-reads the checkpoint instead
-    of re-parsing HTML.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Used where one expensive table (shredded pages, blocks, fitted models)
+    feeds several branches or scalar subqueries of a plan: it is computed
+    once (one job - ``Dataset.checkpoint`` would run the plan twice), and a
+    lost executor re-reads the table instead of re-parsing HTML."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "contentmark-tables",
+                        f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
