@@ -28,15 +28,15 @@ def confusion(pairs_df: DataFrame, label: str = "label", pred: str = "prediction
 
 
 def _per_class(conf: DataFrame, classes=(0, 1)) -> DataFrame:
-    rows = []
-    for c in classes:
-        tp = F.sum(F.when((F.col("label") == c) & (F.col("prediction") == c), F.col("n")).otherwise(0))
-        fp = F.sum(F.when((F.col("label") != c) & (F.col("prediction") == c), F.col("n")).otherwise(0))
-        fn = F.sum(F.when((F.col("label") == c) & (F.col("prediction") != c), F.col("n")).otherwise(0))
-        rows.append(conf.agg(F.lit(c).alias("cls"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    """(cls, tp, fp, fn, precision, recall, f1, support) in one aggregate
+    over the (at most n_classes^2) confusion rows."""
+    c = conf.withColumn("cls", F.explode(F.array(*[F.lit(k) for k in classes])))
+    hit_l, hit_p = F.col("label") == F.col("cls"), F.col("prediction") == F.col("cls")
+    out = c.groupBy("cls").agg(
+        F.sum(F.when(hit_l & hit_p, F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(~hit_l & hit_p, F.col("n")).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit_l & ~hit_p, F.col("n")).otherwise(0)).alias("fn"))
+
     def div(a, b):
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
     p = div(F.col("tp"), F.col("tp") + F.col("fp"))

@@ -49,26 +49,31 @@ def fit_emissions(blocks: DataFrame, vocab_size: int, label: str = "label",
     for every id of the vocabulary).  ``weights`` (label, weight) scales the
     class counts (class-weighted training)."""
     n_ids = vocab_size + 4
+    spark = blocks.sparkSession
     toks = blocks.select(F.col(label).alias("label"), F.explode(_real_ids(ids)).alias("id"))
     counts = toks.groupBy("label", "id").agg(F.count(F.lit(1)).alias("c"))
-    per_class = (counts.groupBy("label").agg(
-        F.map_from_entries(F.collect_list(F.struct("id", "c"))).alias("cm"),
-        F.sum("c").alias("n_tok")))
     docs = blocks.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_doc"))
-    m = docs.join(per_class, "label", "left")
+    n_tok = counts.groupBy("label").agg(F.sum("c").alias("n_tok"))
+    # dense (class, id) grid so each class's log-probabilities form an array
+    # indexed by id (array look-ups are O(1); Spark map look-ups scan)
+    grid = spark.range(n_ids * N_CLASSES).select(
+        (F.col("id") / n_ids).cast("int").alias("label"), (F.col("id") % n_ids).cast("int").alias("id"))
+    lp = (grid.join(counts, ["label", "id"], "left").join(n_tok, "label", "left")
+          .select("label", "id", F.log((F.coalesce("c", F.lit(0)) + 1.0)
+                                       / (F.coalesce("n_tok", F.lit(0)) + F.lit(float(n_ids)))).alias("lp"))
+          .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "lp"))),
+                                            lambda x: x["lp"]).alias("lp")))
+    m = docs.join(lp, "label", "left")
     if weights is not None:
         m = m.join(weights.select("label", "weight"), "label", "left")
     else:
         m = m.withColumn("weight", F.lit(1.0))
     total = F.sum("n_doc").over(W.partitionBy())
-    lp = F.transform(F.sequence(F.lit(0), F.lit(n_ids - 1)), lambda i: F.log(
-        (F.coalesce(F.try_element_at(F.col("cm"), i), F.lit(0)) + 1.0)
-        / (F.coalesce(F.col("n_tok"), F.lit(0)) + F.lit(float(n_ids)))))
     # fitting is eager (as for MLlib estimators): the model is a tiny table
     # that scoring reads through scalar subqueries
     return materialize(m.select(
         "label", (F.log(F.col("n_doc") / total) + F.log(F.coalesce("weight", F.lit(1.0))))
-        .alias("prior"), lp.alias("lp")))
+        .alias("prior"), "lp"))
 
 
 def score(blocks: DataFrame, model: DataFrame, ids: str = "text_ids") -> DataFrame:

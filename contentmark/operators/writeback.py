@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from contentmark.functions.tags import html_tag, html_tags
 from contentmark.functions.text import remove_ws, strip_quotes
+from contentmark.session import materialize
 
 BKEY = ["page_id", "part", "pos"]
 TIERS = (1, 2, 3, 4, 5, 6)
@@ -65,60 +66,116 @@ def _chain_match(want: Column, anc_tags: Column) -> Column:
     return k == 0
 
 
-def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
-              page_text: DataFrame, mapping: dict | None = None,
-              label: str = "prediction") -> DataFrame:
-    """R3-R8 (A6): (page_id, part, pos, tier, pre) - every hit of every tier."""
-    b = block_targets(blocks, mapping, label)
-    nt = node_targets(nodes)
-    # tier 1: own text run of an element with the block's tag
-    t1 = (b.select(*BKEY, "t_tag", "needle")
-          .join(texts.select("page_id", F.col("tag").alias("t_tag"), F.col("node").alias("pre"), "text"),
-                ["page_id", "t_tag"])
-          .where(F.contains("text", F.col("needle")))
-          .select(*BKEY, F.lit(1).alias("tier"), "pre").distinct())
-    # tiers 2-4: subtree text contains the needle - candidates first (lean
-    # rows), then the text test against the page's text
-    cand2 = (b.where(F.col("t_parent").isNotNull())
-             .select(*BKEY, F.col("t_parent").alias("tag"), "needle")
-             .join(nt.select("page_id", "tag", "pre", "c0", "c1"), ["page_id", "tag"])
-             .select(*BKEY, F.lit(2).alias("tier"), "pre", "c0", "c1", "needle"))
-    cand3 = (b.where(F.col("t_parent").isNotNull())
-             .select(*BKEY, F.col("t_tag").alias("tag"), F.col("t_parent").alias("parent_tag"), "needle")
-             .join(nt.select("page_id", "tag", "parent_tag", "pre", "c0", "c1"),
-                   ["page_id", "tag", "parent_tag"])
-             .select(*BKEY, F.lit(3).alias("tier"), "pre", "c0", "c1", "needle"))
-    cand4 = (b.select(*BKEY, F.col("t_tag").alias("tag"), "chain", "needle")
-             .join(nt.select("page_id", "tag", "pre", "c0", "c1", "anc_tags"), ["page_id", "tag"])
-             .where(_chain_match(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))),
-                                 F.col("anc_tags")))
-             .select(*BKEY, F.lit(4).alias("tier"), "pre", "c0", "c1", "needle"))
-    cands = cand2.unionByName(cand3).unionByName(cand4)
-    t234 = (cands.join(page_text.select("page_id", "content"), "page_id")
+def _tier1(b: DataFrame, texts: DataFrame) -> DataFrame:
+    """Own text run of an element with the block's tag holds the needle."""
+    return (b.select(*BKEY, "t_tag", "needle")
+            .join(texts.select("page_id", F.col("tag").alias("t_tag"), F.col("node").alias("pre"),
+                               "text"), ["page_id", "t_tag"])
+            .where(F.contains("text", F.col("needle")))
+            .select(*BKEY, F.lit(1).alias("tier"), "pre").distinct())
+
+
+def _subtree_candidates(b: DataFrame, nt: DataFrame, tier: int) -> DataFrame:
+    """Lean (block, element) candidate rows of tiers 2-4 (tag keys only)."""
+    if tier == 2:
+        return (b.where(F.col("t_parent").isNotNull())
+                .select(*BKEY, F.col("t_parent").alias("tag"), "needle")
+                .join(nt.select("page_id", "tag", "pre", "c0", "c1"), ["page_id", "tag"])
+                .select(*BKEY, F.lit(2).alias("tier"), "pre", "c0", "c1", "needle"))
+    if tier == 3:
+        return (b.where(F.col("t_parent").isNotNull())
+                .select(*BKEY, F.col("t_tag").alias("tag"), F.col("t_parent").alias("parent_tag"),
+                        "needle")
+                .join(nt.select("page_id", "tag", "parent_tag", "pre", "c0", "c1"),
+                      ["page_id", "tag", "parent_tag"])
+                .select(*BKEY, F.lit(3).alias("tier"), "pre", "c0", "c1", "needle"))
+    return (b.select(*BKEY, F.col("t_tag").alias("tag"), "chain", "needle")
+            .join(nt.select("page_id", "tag", "pre", "c0", "c1", "anc_tags"), ["page_id", "tag"])
+            .where(_chain_match(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))),
+                                F.col("anc_tags")))
+            .select(*BKEY, F.lit(4).alias("tier"), "pre", "c0", "c1", "needle"))
+
+
+def _subtree_hits(cands: DataFrame, page_text: DataFrame) -> DataFrame:
+    """R4-R6 text test: the element's subtree text holds the needle."""
+    return (cands.join(page_text.select("page_id", "content"), "page_id")
             .where(F.contains(F.substring("content", F.col("c0") + 1, F.col("c1") - F.col("c0")),
                               F.col("needle")))
             .select(*BKEY, "tier", "pre"))
-    # tiers 5-6: whole plain text (script / style excluded) equals the
-    # block's texts, ignoring white space - an equi-join on (tag, hash, length)
+
+
+def _keyed_nodes(b: DataFrame, nt: DataFrame, page_text: DataFrame) -> DataFrame:
+    """Element keys of tiers 5-6: hash and length of the white-space-free
+    plain subtree text, for elements whose tag some block of the page wants."""
     want_tags = (b.select("page_id", F.col("t_tag").alias("tag"))
                  .unionByName(b.where(F.col("t_parent").isNotNull())
                               .select("page_id", F.col("t_parent").alias("tag"))).distinct())
-    keyed = (nt.select("page_id", "tag", "pre", "s0", "s1").join(want_tags, ["page_id", "tag"])
-             .join(page_text.select("page_id", "plain"), "page_id")
-             .withColumn("_k", strip_quotes(remove_ws(
-                 F.substring("plain", F.col("s0") + 1, F.col("s1") - F.col("s0")))))
-             .select("page_id", "tag", "pre", F.xxhash64("_k").alias("h"),
-                     F.length("_k").alias("len")))
-    bk = b.select(*BKEY, "t_tag", "t_parent", F.xxhash64("all_key").alias("h"),
-                  F.length("all_key").alias("len"))
-    t5 = (bk.select(*BKEY, F.col("t_tag").alias("tag"), "h", "len")
-          .join(keyed, ["page_id", "tag", "h", "len"])
-          .select(*BKEY, F.lit(5).alias("tier"), "pre"))
-    t6 = (bk.where(F.col("t_parent").isNotNull())
-          .select(*BKEY, F.col("t_parent").alias("tag"), "h", "len")
-          .join(keyed, ["page_id", "tag", "h", "len"])
-          .select(*BKEY, F.lit(6).alias("tier"), "pre"))
-    return t1.unionByName(t234).unionByName(t5).unionByName(t6)
+    return (nt.select("page_id", "tag", "pre", "s0", "s1").join(want_tags, ["page_id", "tag"])
+            .join(page_text.select("page_id", "plain"), "page_id")
+            .withColumn("_k", strip_quotes(remove_ws(
+                F.substring("plain", F.col("s0") + 1, F.col("s1") - F.col("s0")))))
+            .select("page_id", "tag", "pre", F.xxhash64("_k").alias("h"),
+                    F.length("_k").alias("len")))
+
+
+def _equal_hits(b: DataFrame, keyed: DataFrame, tier: int) -> DataFrame:
+    """Whole text equals the block's joined texts (tag or parent tag)."""
+    col = "t_tag" if tier == 5 else "t_parent"
+    bk = b.where(F.col(col).isNotNull()).select(
+        *BKEY, F.col(col).alias("tag"), F.xxhash64("all_key").alias("h"),
+        F.length("all_key").alias("len"))
+    return bk.join(keyed, ["page_id", "tag", "h", "len"]).select(*BKEY, F.lit(tier).alias("tier"), "pre")
+
+
+def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
+              page_text: DataFrame, mapping: dict | None = None,
+              label: str = "prediction") -> DataFrame:
+    """R3-R8 (A6): (page_id, part, pos, tier, pre) - every hit of every
+    tier for every block (the full table behind ``tier_counts``)."""
+    b = block_targets(blocks, mapping, label)
+    nt = node_targets(nodes)
+    cands = (_subtree_candidates(b, nt, 2).unionByName(_subtree_candidates(b, nt, 3))
+             .unionByName(_subtree_candidates(b, nt, 4)))
+    keyed = _keyed_nodes(b, nt, page_text)
+    return (_tier1(b, texts).unionByName(_subtree_hits(cands, page_text))
+            .unionByName(_equal_hits(b, keyed, 5)).unionByName(_equal_hits(b, keyed, 6)))
+
+
+def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
+                    page_text: DataFrame, mapping: dict | None = None,
+                    label: str = "prediction") -> DataFrame:
+    """R9 evaluated as the reference does, tier by tier, each tier only on
+    the blocks still undecided: (page_id, part, pos, tier, pre).  Most blocks
+    settle in tier 1, so the costly subtree tests run on few rows."""
+    # each step reads checkpointed inputs: the undecided set shrinks, and no
+    # step re-derives the earlier ones
+    b = materialize(block_targets(blocks, mapping, label), "wb-blocks")
+    nt = materialize(node_targets(nodes), "wb-nodes")
+
+    def step(h, rest, cond=None):
+        h = materialize(h, "wb-hits")
+        n = h.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n"))
+        one = n.where(F.col("n") == 1).select(*BKEY)
+        hits = h.join(one, BKEY, "left_semi")
+        return hits, n, materialize(rest.join(one, BKEY, "left_anti"), "wb-rest")
+
+    d1, n1, rest = step(_tier1(b, texts), b)
+    decided = [d1]
+    # tier 2 only for blocks with no tier-1 hit
+    zero1 = rest.join(n1, BKEY, "left_anti")
+    d2, _, rest = step(_subtree_hits(_subtree_candidates(zero1, nt, 2), page_text), rest)
+    decided.append(d2)
+    for tier in (3, 4):
+        d, _, rest = step(_subtree_hits(_subtree_candidates(rest, nt, tier), page_text), rest)
+        decided.append(d)
+    keyed = _keyed_nodes(rest, nt, page_text)
+    d5, _, rest = step(_equal_hits(rest, keyed, 5), rest)
+    decided.append(d5)
+    decided.append(_equal_hits(rest, keyed, 6))
+    out = decided[0]
+    for d in decided[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def tier_counts(blocks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -160,8 +217,8 @@ def label_pages(tokens: DataFrame, nodes: DataFrame, texts: DataFrame, page_text
     the block table on ``page_id`` once (no per-page scan)."""
     from contentmark.operators import render as R
 
-    hits = tier_hits(blocks, nodes, texts, page_text, mapping, label)
-    labels = annotate(resolve(blocks, hits), blocks, label)
+    labels = annotate(resolve_cascade(blocks, nodes, texts, page_text, mapping, label),
+                      blocks, label)
     n = (nodes.join(labels, ["page_id", "pre"], "left")
          .withColumn("attrs", F.when(F.col("label").isNotNull(), F.map_concat(
              F.map_filter("attrs", lambda k, v: k != F.lit(attr)),

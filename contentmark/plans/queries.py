@@ -519,13 +519,13 @@ def q_match_tiers(spark, sf_dir):
 
 def q_match_resolve(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    r = WB.resolve(b, WB.tier_hits(b, c.nodes, c.texts, c.page_text))
+    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text)
     return r.select("page_id", "part", "pos", "tier", F.col("pre").cast("bigint").alias("pre"))
 
 
 def q_annotate(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    r = WB.resolve(b, WB.tier_hits(b, c.nodes, c.texts, c.page_text))
+    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text)
     return WB.annotate(r, b).select("page_id", F.col("pre").cast("bigint").alias("pre"), "label")
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentmark.functions.text import strip_ws
-from contentmark.session import spread
 
 # Fixed value: the separator line before the comments part of a gold file.
 COMMENTS_SEPARATOR = "!@#$%^&*()  COMMENTS"
@@ -24,11 +23,16 @@ def gold_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     in the file, cut at the comments separator unless ``include_comments``.
 
     All per-row array expressions on the file's text - no shuffle."""
-    arr = F.transform(F.split(F.col(text), r"\r\n|\r|\n"), strip_ws)
+    # bind the split lines to a column first: referenced three times below,
+    # and Generate does not eliminate common subexpressions
+    lines = docs.select(F.col(key), F.transform(F.split(F.col(text), r"\r\n|\r|\n"),
+                                                strip_ws).alias("_l"))
+    arr = F.col("_l")
     if not include_comments:
-        pos = F.array_position(arr, COMMENTS_SEPARATOR)
-        arr = F.when(pos > 0, F.slice(arr, F.lit(1), (pos - 1).cast("int"))).otherwise(arr)
-    return (docs.select(F.col(key), F.posexplode(arr).alias("line_no", "text"))
+        lines = lines.withColumn("_p", F.array_position(arr, COMMENTS_SEPARATOR))
+        arr = F.when(F.col("_p") > 0, F.slice(arr, F.lit(1), (F.col("_p") - 1).cast("int"))
+                     ).otherwise(arr)
+    return (lines.select(F.col(key), F.posexplode(arr).alias("line_no", "text"))
             .where(F.col("text") != ""))
 
 
@@ -60,10 +64,12 @@ def gold_for_pages(pages: DataFrame, documents: DataFrame,
                    include_comments: bool = False) -> DataFrame:
     """(page_id, line_no, text): gold lines of each page's source document.
 
-    Lines are cut per document (one pass over ``documents``), then joined to
-    the pages on ``doc_id``; a document feeding many pages is a skewed key
-    that AQE's skew-join splitting handles on the page side."""
-    lines = gold_lines(spread(documents.select("doc_id", "text"), "doc_id"), "doc_id", "text",
-                       include_comments)
-    return (page_source_doc(pages).join(lines, "doc_id")
-            .select("page_id", "line_no", "text"))
+    Only documents some page names are split into lines (a semi-join on
+    ``doc_id`` before the explode); the lines stay partitioned by ``doc_id``
+    for the join back to the pages.  A document feeding many pages is a
+    skewed key that AQE's skew-join splitting handles on the page side."""
+    pd = page_source_doc(pages)
+    docs = documents.select("doc_id", "text").join(pd.select("doc_id").distinct(), "doc_id",
+                                                   "left_semi")
+    lines = gold_lines(docs, "doc_id", "text", include_comments)
+    return pd.join(lines, "doc_id").select("page_id", "line_no", "text")
