@@ -15,17 +15,30 @@ def gold_keys(gold: DataFrame, n_chars: int = 50) -> DataFrame:
     return gold.withColumn("key_raw", k).withColumn("key_own", F.replace(k, F.lit('"'), F.lit("")))
 
 
-def candidates(texts: DataFrame, gold: DataFrame, n_chars: int = 50) -> DataFrame:
-    """A2: (page_id, line_no, i, node) text runs holding a gold line's key.
-
-    The reference searches each page for each line's prefix; here it is a
-    join on ``page_id`` with a ``contains`` residual, so the work is bounded
-    by page size x gold lines of that page (never across pages)."""
-    g = gold_keys(gold, n_chars).select("page_id", "line_no", "key_raw", "key_own")
-    t = texts.select("page_id", "i", "node", "text")
-    return (t.join(g, "page_id")
-            .where(F.contains("text", F.col("key_raw")) | F.contains("text", F.col("key_own")))
-            .select("page_id", "line_no", "i", "node"))
+def candidates(dom: DataFrame, gold: DataFrame, n_chars: int = 50) -> DataFrame:
+    """A2: (page_id, line_no, i, node) text runs holding a gold line's key
+    (raw prefix or the prefix without double quotes).
+
+    Keys are found in one Aho-Corasick pass per page (textscan); a run
+    holds a key when an occurrence lies inside it - an equi-join on
+    (page, key), no page-local all-pairs test.  An empty key is in every
+    run."""
+    from contentmark.operators.shred import texts as text_runs
+    from contentmark.operators.textscan import occurrences
+
+    g = gold_keys(gold, n_chars)
+    keys = (g.select("page_id", "line_no", F.col("key_raw").alias("needle"))
+            .unionByName(g.select("page_id", "line_no", F.col("key_own").alias("needle"))).distinct())
+    occ = occurrences(dom, keys.select("page_id", "needle").distinct())
+    hit = (keys.where(F.col("needle") != "")
+           .join(occ.where(F.col("run_i").isNotNull())
+                 .select("page_id", "needle", F.col("run_i").alias("i"), F.col("run_node").alias("node")),
+                 ["page_id", "needle"])
+           .where(F.col("node").isNotNull())
+           .select("page_id", "line_no", "i", "node"))
+    runs = text_runs(dom).select("page_id", "i", "node")
+    empty = keys.where(F.col("needle") == "").select("page_id", "line_no").join(runs, "page_id")
+    return hit.unionByName(empty).distinct()
 
 
 def align(texts: DataFrame, gold: DataFrame, n_chars: int = 50) -> DataFrame:

@@ -191,6 +191,7 @@ def shred_html(src: str):
             row["kind"] = "rawtext" if rawtext else "text"
             row["text"] = text
             content.append(text)
+            row["c0"] = c_off
             c_off += len(text)
             if not rawtext:
                 plain.append(text)

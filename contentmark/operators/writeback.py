@@ -66,42 +66,53 @@ def _chain_match(want: Column, anc_tags: Column) -> Column:
     return k == 0
 
 
-def _tier1(b: DataFrame, texts: DataFrame) -> DataFrame:
-    """Own text run of an element with the block's tag holds the needle."""
-    return (b.select(*BKEY, "t_tag", "needle")
-            .join(texts.select("page_id", F.col("tag").alias("t_tag"), F.col("node").alias("pre"),
-                               "text"), ["page_id", "t_tag"])
-            .where(F.contains("text", F.col("needle")))
-            .select(*BKEY, F.lit(1).alias("tier"), "pre").distinct())
-
-
-def _subtree_candidates(b: DataFrame, nt: DataFrame, tier: int) -> DataFrame:
-    """Lean (block, element) candidate rows of tiers 2-4 (tag keys only)."""
+def _occ(b: DataFrame, dom: DataFrame) -> DataFrame:
+    """Occurrences of the blocks' needles in their pages (see textscan)."""
+    from contentmark.operators.textscan import occurrences
+    return occurrences(dom, b.select("page_id", "needle").distinct())
+
+
+def _tier1(b: DataFrame, occ: DataFrame, nt: DataFrame, texts: DataFrame) -> DataFrame:
+    """An own text run of an element with the block's tag holds the
+    needle - occurrences inside one run, joined on (page, needle)."""
+    tags = nt.select("page_id", F.col("pre").alias("run_node"), F.col("tag").alias("t_tag"))
+    hit = (b.where(F.col("needle") != "").select(*BKEY, "t_tag", "needle")
+           .join(occ.where(F.col("run_node").isNotNull()).select("page_id", "needle", "run_node"),
+                 ["page_id", "needle"])
+           .join(tags, ["page_id", "run_node", "t_tag"])
+           .select(*BKEY, F.lit(1).alias("tier"), F.col("run_node").alias("pre")))
+    # an empty needle is in every text: every element of the tag owning a run
+    owners = texts.select("page_id", F.col("node").alias("pre"), F.col("tag").alias("t_tag")).distinct()
+    empty = (b.where(F.col("needle") == "").select(*BKEY, "t_tag")
+             .join(owners, ["page_id", "t_tag"])
+             .select(*BKEY, F.lit(1).alias("tier"), "pre"))
+    return hit.unionByName(empty).distinct()
+
+
+def _covering(b: DataFrame, occ: DataFrame, nt: DataFrame) -> DataFrame:
+    """(block, element) pairs where the element's subtree text holds the
+    block's needle: the elements covering an occurrence (its common
+    ancestors), one explode per occurrence - bounded by tree depth."""
+    cov = (b.where(F.col("needle") != "").select(*BKEY, "needle")
+           .join(occ.select("page_id", "needle", "cover"), ["page_id", "needle"])
+           .select(*BKEY, F.explode("cover").alias("pre")).distinct())
+    empty = (b.where(F.col("needle") == "").select(*BKEY)
+             .join(nt.select("page_id", "pre"), "page_id"))
+    return cov.unionByName(empty).join(
+        nt.select("page_id", "pre", "tag", "parent_tag", "anc_tags"), ["page_id", "pre"])
+
+
+def _subtree_tier(b: DataFrame, cov: DataFrame, tier: int) -> DataFrame:
+    """R4 (tag = parent item), R5 (``parent > tag``), R6 (whole tag chain)."""
+    j = cov.join(b.select(*BKEY, "t_tag", "t_parent", "chain"), BKEY)
     if tier == 2:
-        return (b.where(F.col("t_parent").isNotNull())
-                .select(*BKEY, F.col("t_parent").alias("tag"), "needle")
-                .join(nt.select("page_id", "tag", "pre", "c0", "c1"), ["page_id", "tag"])
-                .select(*BKEY, F.lit(2).alias("tier"), "pre", "c0", "c1", "needle"))
-    if tier == 3:
-        return (b.where(F.col("t_parent").isNotNull())
-                .select(*BKEY, F.col("t_tag").alias("tag"), F.col("t_parent").alias("parent_tag"),
-                        "needle")
-                .join(nt.select("page_id", "tag", "parent_tag", "pre", "c0", "c1"),
-                      ["page_id", "tag", "parent_tag"])
-                .select(*BKEY, F.lit(3).alias("tier"), "pre", "c0", "c1", "needle"))
-    return (b.select(*BKEY, F.col("t_tag").alias("tag"), "chain", "needle")
-            .join(nt.select("page_id", "tag", "pre", "c0", "c1", "anc_tags"), ["page_id", "tag"])
-            .where(_chain_match(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))),
-                                F.col("anc_tags")))
-            .select(*BKEY, F.lit(4).alias("tier"), "pre", "c0", "c1", "needle"))
-
-
-def _subtree_hits(cands: DataFrame, page_text: DataFrame) -> DataFrame:
-    """R4-R6 text test: the element's subtree text holds the needle."""
-    return (cands.join(page_text.select("page_id", "content"), "page_id")
-            .where(F.contains(F.substring("content", F.col("c0") + 1, F.col("c1") - F.col("c0")),
-                              F.col("needle")))
-            .select(*BKEY, "tier", "pre"))
+        cond = F.col("tag") == F.col("t_parent")
+    elif tier == 3:
+        cond = (F.col("tag") == F.col("t_tag")) & (F.col("parent_tag") == F.col("t_parent"))
+    else:
+        cond = (F.col("tag") == F.col("t_tag")) & _chain_match(
+            F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))), F.col("anc_tags"))
+    return j.where(cond).select(*BKEY, F.lit(tier).alias("tier"), "pre")
 
 
 def _keyed_nodes(b: DataFrame, nt: DataFrame, page_text: DataFrame) -> DataFrame:
@@ -128,45 +139,49 @@ def _equal_hits(b: DataFrame, keyed: DataFrame, tier: int) -> DataFrame:
 
 
 def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
-              page_text: DataFrame, mapping: dict | None = None,
+              page_text: DataFrame, dom: DataFrame, mapping: dict | None = None,
               label: str = "prediction") -> DataFrame:
     """R3-R8 (A6): (page_id, part, pos, tier, pre) - every hit of every
     tier for every block (the full table behind ``tier_counts``)."""
-    b = block_targets(blocks, mapping, label)
-    nt = node_targets(nodes)
-    cands = (_subtree_candidates(b, nt, 2).unionByName(_subtree_candidates(b, nt, 3))
-             .unionByName(_subtree_candidates(b, nt, 4)))
+    b = materialize(block_targets(blocks, mapping, label), "wb-blocks")
+    nt = materialize(node_targets(nodes), "wb-nodes")
+    occ = materialize(_occ(b, dom), "wb-occ")
+    cov = materialize(_covering(b, occ, nt), "wb-cover")
     keyed = _keyed_nodes(b, nt, page_text)
-    return (_tier1(b, texts).unionByName(_subtree_hits(cands, page_text))
-            .unionByName(_equal_hits(b, keyed, 5)).unionByName(_equal_hits(b, keyed, 6)))
+    out = _tier1(b, occ, nt, texts)
+    for tier in (2, 3, 4):
+        out = out.unionByName(_subtree_tier(b, cov, tier))
+    return out.unionByName(_equal_hits(b, keyed, 5)).unionByName(_equal_hits(b, keyed, 6))
 
 
 def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
-                    page_text: DataFrame, mapping: dict | None = None,
+                    page_text: DataFrame, dom: DataFrame, mapping: dict | None = None,
                     label: str = "prediction") -> DataFrame:
     """R9 evaluated as the reference does, tier by tier, each tier only on
     the blocks still undecided: (page_id, part, pos, tier, pre).  Most blocks
-    settle in tier 1, so the costly subtree tests run on few rows."""
+    settle in tier 1, so later tiers run on few rows."""
     # each step reads checkpointed inputs: the undecided set shrinks, and no
     # step re-derives the earlier ones
     b = materialize(block_targets(blocks, mapping, label), "wb-blocks")
     nt = materialize(node_targets(nodes), "wb-nodes")
+    occ = materialize(_occ(b, dom), "wb-occ")
 
-    def step(h, rest, cond=None):
+    def step(h, rest):
         h = materialize(h, "wb-hits")
         n = h.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n"))
         one = n.where(F.col("n") == 1).select(*BKEY)
         hits = h.join(one, BKEY, "left_semi")
         return hits, n, materialize(rest.join(one, BKEY, "left_anti"), "wb-rest")
 
-    d1, n1, rest = step(_tier1(b, texts), b)
+    d1, n1, rest = step(_tier1(b, occ, nt, texts), b)
     decided = [d1]
+    cov = materialize(_covering(rest, occ, nt), "wb-cover")
     # tier 2 only for blocks with no tier-1 hit
     zero1 = rest.join(n1, BKEY, "left_anti")
-    d2, _, rest = step(_subtree_hits(_subtree_candidates(zero1, nt, 2), page_text), rest)
+    d2, _, rest = step(_subtree_tier(zero1, cov, 2), rest)
     decided.append(d2)
     for tier in (3, 4):
-        d, _, rest = step(_subtree_hits(_subtree_candidates(rest, nt, tier), page_text), rest)
+        d, _, rest = step(_subtree_tier(rest, cov, tier), rest)
         decided.append(d)
     keyed = _keyed_nodes(rest, nt, page_text)
     d5, _, rest = step(_equal_hits(rest, keyed, 5), rest)
@@ -209,7 +224,7 @@ def annotate(resolved: DataFrame, blocks: DataFrame, label: str = "prediction")
 
 
 def label_pages(tokens: DataFrame, nodes: DataFrame, texts: DataFrame, page_text: DataFrame,
-                blocks: DataFrame, attr: str = "predicted_label", highlight: bool = True,
+                dom: DataFrame, blocks: DataFrame, attr: str = "predicted_label", highlight: bool = True,
                 mapping: dict | None = None, label: str = "prediction") -> tuple[DataFrame, DataFrame]:
     """R12 (A7): (page_id, html) with ``attr`` = label on matched elements
     and, when ``highlight``, the single string of positive elements wrapped
@@ -217,7 +232,7 @@ def label_pages(tokens: DataFrame, nodes: DataFrame, texts: DataFrame, page_text
     the block table on ``page_id`` once (no per-page scan)."""
     from contentmark.operators import render as R
 
-    labels = annotate(resolve_cascade(blocks, nodes, texts, page_text, mapping, label),
+    labels = annotate(resolve_cascade(blocks, nodes, texts, page_text, dom, mapping, label),
                       blocks, label)
     n = (nodes.join(labels, ["page_id", "pre"], "left")
          .withColumn("attrs", F.when(F.col("label").isNotNull(), F.map_concat(

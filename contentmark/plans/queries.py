@@ -117,7 +117,7 @@ def q_gold_keys(spark, sf_dir):
 
 def q_gold_candidates(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    return (A.candidates(c.texts, c.gold())
+    return (A.candidates(c.dom, c.gold())
             .select("page_id", *_big("line_no"), F.col("node").cast("bigint").alias("pre"))
             .distinct())
 
@@ -513,31 +513,31 @@ def q_clean_text(spark, sf_dir):
 
 def q_match_tiers(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    hits = WB.tier_hits(b, c.nodes, c.texts, c.page_text)
+    hits = WB.tier_hits(b, c.nodes, c.texts, c.page_text, c.dom)
     return WB.tier_counts(b, hits)
 
 
 def q_match_resolve(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text)
+    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text, c.dom)
     return r.select("page_id", "part", "pos", "tier", F.col("pre").cast("bigint").alias("pre"))
 
 
 def q_annotate(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text)
+    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text, c.dom)
     return WB.annotate(r, b).select("page_id", F.col("pre").cast("bigint").alias("pre"), "label")
 
 
 def q_label_pages(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    html, _ = WB.label_pages(c.tokens, c.nodes, c.texts, c.page_text, b, highlight=False)
+    html, _ = WB.label_pages(c.tokens, c.nodes, c.texts, c.page_text, c.dom, b, highlight=False)
     return html
 
 
 def q_highlight(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    html, _ = WB.label_pages(c.tokens, c.nodes, c.texts, c.page_text, b, highlight=True)
+    html, _ = WB.label_pages(c.tokens, c.nodes, c.texts, c.page_text, c.dom, b, highlight=True)
     return html
 
 

@@ -25,3 +25,9 @@ def shredded(spark, *htmls):
     from contentmark.operators import shred as S
     dom = S.shred(pages_df(spark, *htmls), partitions=2).cache()
     return S.nodes(dom), S.texts(dom), S.tokens(dom), S.page_text(dom)
+
+
+def shredded_dom(spark, *htmls):
+    from contentmark.operators import shred as S
+    dom = S.shred(pages_df(spark, *htmls), partitions=2).cache()
+    return S.nodes(dom), S.texts(dom), S.tokens(dom), S.page_text(dom), dom

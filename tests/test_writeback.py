@@ -1,6 +1,6 @@
 """Write-back tier cascade (FIXTURES.md section 5)."""
 
-from conftest import shredded
+from conftest import shredded_dom
 from contentmark.operators import writeback as WB
 
 CASES = [
@@ -14,12 +14,14 @@ CASES = [
 
 def test_tiers(spark):
     for html, tags, txt, tier, hit_tags in CASES:
-        nodes, texts, tokens, page_text = shredded(spark, html)
+        nodes, texts, tokens, page_text, dom = shredded_dom(spark, html)
         blocks = spark.createDataFrame([(0, 0, 0, tags, txt, 1)],
                                        "page_id bigint, part int, pos int, tag_seq array<string>, "
                                        "text_seq array<string>, prediction int")
-        hits = WB.tier_hits(blocks, nodes, texts, page_text)
+        hits = WB.tier_hits(blocks, nodes, texts, page_text, dom)
         res = WB.resolve(blocks, hits).collect()
+        cas = WB.resolve_cascade(blocks, nodes, texts, page_text, dom).collect()
+        assert sorted(tuple(r) for r in cas) == sorted(tuple(r) for r in res)
         tag_of = {r["pre"]: r["tag"] for r in nodes.collect()}
         assert sorted(tag_of[r["pre"]] for r in res) == hit_tags, html
         if res:
@@ -30,11 +32,25 @@ def test_tiers(spark):
 
 
 def test_label_pages_highlight(spark):
-    nodes, texts, tokens, page_text = shredded(spark, "<body><h1>T</h1><p>U</p></body>")
+    nodes, texts, tokens, page_text, dom = shredded_dom(spark, "<body><h1>T</h1><p>U</p></body>")
     blocks = spark.createDataFrame([(0, 0, 0, ["body", "primary headline"], ["T"], 1),
                                     (0, 0, 1, ["body", "paragraph"], ["U"], 0)],
                                    "page_id bigint, part int, pos int, tag_seq array<string>, "
                                    "text_seq array<string>, prediction int")
-    html, labels = WB.label_pages(tokens, nodes, texts, page_text, blocks)
+    html, labels = WB.label_pages(tokens, nodes, texts, page_text, dom, blocks)
     assert html.first()["html"] == ('<body><h1 predicted_label="1"><mark>T</mark></h1>'
                                     '<p predicted_label="0">U</p></body>')
+
+
+def test_needle_across_runs_and_empty(spark):
+    # "a b" spans the text of <p> and <i>: only subtree tiers can see it
+    nodes, texts, tokens, page_text, dom = shredded_dom(spark, "<body><div><p>a <i>b</i></p></div></body>")
+    blocks = spark.createDataFrame([(0, 0, 0, ["body", "division", "paragraph"], ["a b"], 1),
+                                    (0, 0, 1, ["body", "division", "paragraph"], [""], 1)],
+                                   "page_id bigint, part int, pos int, tag_seq array<string>, "
+                                   "text_seq array<string>, prediction int")
+    hits = WB.tier_hits(blocks, nodes, texts, page_text, dom)
+    got = sorted((r["pos"], r["tier"], r["pre"]) for r in hits.collect())
+    # pre: body 0, div 1, p 2, i 3
+    assert (0, 1, 2) not in got and (0, 2, 1) in got and (0, 3, 2) in got and (0, 4, 2) in got
+    assert (1, 1, 2) in got and (1, 2, 1) in got
