@@ -29,41 +29,32 @@ ID_COLS = ("class_ids", "tag_ids", "text_ids")
 
 def extract_blocks(nodes: DataFrame, texts: DataFrame, label_col: str | None = "is_main",
                    mapping: dict | None = None) -> DataFrame:
-    """(page_id, part, pos, class_seq, tag_seq, text_seq, label).
+    """(page_id, part, pos, class_seq, tag_seq, text_seq, label, node).
 
     One block per element inside ``body`` with non-blank own text runs;
-    ``tag_seq`` = semantic names of the path from ``body`` down to it,
-    ``class_seq`` = non-empty class strings on that path, ``text_seq`` = its
-    stripped own text runs.  Path look-ups use one (pre -> tag, classes) map
-    per page, so no node x depth self-join is needed."""
+    ``tag_seq`` = semantic names of the path from the (outermost) ``body``
+    down to it, ``class_seq`` = non-empty class strings on that path,
+    ``text_seq`` = its stripped own text runs.  Path tags and class strings
+    come with each element from the shredder, so no page-wide grouping or
+    node x depth self-join is needed: the only regroup is a node's own runs."""
     inv = {v: k for k, v in (mapping or SEMANTIC_NAME_TAG_MAP).items()}
     names = _map_literal(inv)
-    # pre numbers are dense per page, so the page's elements sorted by pre
-    # form an array indexed by pre + 1 (O(1) look-ups; Spark maps scan)
-    info = nodes.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "pre", "tag", F.array_join("classes", " ").alias("cls")))).alias("m"),
-        F.min(F.when(F.col("tag") == "body", F.col("pre"))).alias("body"))
     runs = (texts.where(F.col("kind") == "text")
             .select("page_id", "node", "i", strip_ws("text").alias("t"))
             .where(F.col("t") != "")
             .groupBy("page_id", "node")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))),
                              lambda x: x["t"]).alias("text_seq")))
-    cols = ["page_id", "pre", "path"] + ([label_col] if label_col and label_col in nodes.columns else [])
-    b = (nodes.select(*cols)
-         .join(runs.withColumnRenamed("node", "pre"), ["page_id", "pre"])
-         .join(info, "page_id")
-         .where(F.array_contains("path", F.col("body"))))
-    rel = F.slice("path", F.array_position("path", F.col("body")).cast("int"), F.size("path"))
-    b = b.withColumn("_rel", rel)
-    tag_seq = F.transform("_rel", lambda x: F.coalesce(
-        F.try_element_at(names, F.element_at("m", x + 1)["tag"]),
-        F.element_at("m", x + 1)["tag"]))
-    class_seq = F.filter(F.transform("_rel", lambda x: F.element_at("m", x + 1)["cls"]),
-                         lambda c: c.isNotNull() & (c != ""))
-    label = (F.col(label_col).cast("int") if label_col and label_col in nodes.columns
-             else F.lit(0))
+    has_label = bool(label_col) and label_col in nodes.columns
+    cols = ["page_id", "pre", "path_tags", "path_cls"] + ([label_col] if has_label else [])
+    body_at = F.array_position("path_tags", "body").cast("int")
+    b = (nodes.select(*cols).where(body_at > 0)
+         .join(runs.withColumnRenamed("node", "pre"), ["page_id", "pre"]))
+    rel_tags = F.slice("path_tags", body_at, F.size("path_tags"))
+    rel_cls = F.slice("path_cls", body_at, F.size("path_cls"))
+    tag_seq = F.transform(rel_tags, lambda t: F.coalesce(F.try_element_at(names, t), t))
+    class_seq = F.filter(rel_cls, lambda c: c != "")
+    label = F.col(label_col).cast("int") if has_label else F.lit(0)
     w = W.partitionBy("page_id").orderBy("pre")
     return b.select("page_id", F.lit(0).alias("part"),
                     (F.row_number().over(w) - 1).alias("pos"),

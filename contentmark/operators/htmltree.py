@@ -138,17 +138,19 @@ def shred_html(src: str):
                "attrs": None, "classes": None, "own_text": None,
                "n_children": None, "string_i": None, "text": None,
                "text_no": None, "c0": None, "c1": None, "s0": None,
-               "s1": None, "end_i": None}
+               "s1": None, "end_i": None, "path_tags": None, "path_cls": None}
         if kind == "start":
             tag, attrs, self_closing = payload
             pre = len(nodes)
             amap = _attr_map(attrs)
             cls = amap.get("class")
             path = (owner["path"] if owner else []) + [pre]
+            classes = cls.split() if cls is not None else []
             row.update(node=pre, tag=tag, parent=owner["node"] if owner else -1,
-                       depth=len(path) - 1, path=path, attrs=amap,
-                       classes=cls.split() if cls is not None else [],
-                       last=pre, c0=c_off, s0=s_off)
+                       depth=len(path) - 1, path=path, attrs=amap, classes=classes,
+                       last=pre, c0=c_off, s0=s_off,
+                       path_tags=(owner["path_tags"] if owner else []) + [tag],
+                       path_cls=(owner["path_cls"] if owner else []) + [" ".join(classes)])
             nodes.append(row)
             children[pre] = []
             if owner is not None:
@@ -228,5 +230,6 @@ def shred_html(src: str):
                  "attrs": None, "classes": None, "own_text": "".join(plain),
                  "n_children": None, "string_i": None,
                  "text": "".join(content), "text_no": None,
-                 "c0": None, "c1": None, "s0": None, "s1": None, "end_i": None})
+                 "c0": None, "c1": None, "s0": None, "s1": None, "end_i": None,
+                 "path_tags": None, "path_cls": None})
     return rows

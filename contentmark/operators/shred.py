@@ -43,6 +43,8 @@ _ARROW_DOM = pa.schema([
     pa.field("s0", pa.int32()),
     pa.field("s1", pa.int32()),
     pa.field("end_i", pa.int32()),
+    pa.field("path_tags", pa.list_(pa.string())),
+    pa.field("path_cls", pa.list_(pa.string())),
 ])
 _COLS = [f.name for f in _ARROW_DOM]
 _ROWS_PER_BATCH = 32768
@@ -96,7 +98,7 @@ def nodes(dom: DataFrame) -> DataFrame:
     return dom.where(F.col("kind") == "start").select(
         "page_id", F.col("node").alias("pre"), "last", "parent", "depth", "tag",
         "attrs", "classes", "own_text", "path", "n_children", "string_i", "i",
-        "raw", "c0", "c1", "s0", "s1", "end_i",
+        "raw", "c0", "c1", "s0", "s1", "end_i", "path_tags", "path_cls",
         F.col("attrs").alias("attrs0"), F.col("classes").alias("classes0"))
 
 

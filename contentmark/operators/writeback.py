@@ -45,15 +45,11 @@ def block_targets(blocks: DataFrame, mapping: dict | None = None,
 
 def node_targets(nodes: DataFrame) -> DataFrame:
     """Per element: tag, parent tag and the tags of its strict ancestors
-    (root first), from one pre-indexed array per page."""
-    per_page = nodes.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("pre", "tag"))).alias("_m"))
-    anc = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
-    return (nodes.select("page_id", "pre", "tag", "path", "c0", "c1", "s0", "s1")
-            .join(per_page, "page_id")
-            .withColumn("anc_tags", F.transform(anc, lambda x: F.element_at("_m", x + 1)["tag"]))
-            .withColumn("parent_tag", F.try_element_at("anc_tags", F.lit(-1)))
-            .drop("_m"))
+    (root first) - straight from the shredder's path tags."""
+    anc = F.slice("path_tags", 1, F.greatest(F.size("path_tags") - 1, F.lit(0)))
+    return nodes.select("page_id", "pre", "tag", "path", "c0", "c1", "s0", "s1",
+                        anc.alias("anc_tags"),
+                        F.try_element_at("path_tags", F.lit(-2)).alias("parent_tag"))
 
 
 def _chain_match(want: Column, anc_tags: Column) -> Column:

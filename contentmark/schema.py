@@ -33,6 +33,8 @@ DOM = T.StructType([
     T.StructField("s0", T.IntegerType()),
     T.StructField("s1", T.IntegerType()),
     T.StructField("end_i", T.IntegerType()),
+    T.StructField("path_tags", T.ArrayType(T.StringType())),
+    T.StructField("path_cls", T.ArrayType(T.StringType())),
 ])
 
 TEXT_KINDS = ("text", "rawtext")
