@@ -121,11 +121,11 @@ def shred_html(src: str):
     children = {}     # pre -> list of ("t", row) / ("n", row) / ("c", None)
     swallow = []      # void names whose next end tag is ignored
     text_no = 0
-    content, plain = [], []   # all text runs / runs outside script, style
-    c_off = s_off = 0         # running lengths of the two page texts
+    content, plain, bare = [], [], []  # all runs / runs outside script, style /
+    c_off = s_off = w_off = 0          # the latter without white space
 
     def close(nd):  # subtree text of nd ends here
-        nd["c1"], nd["s1"] = c_off, s_off
+        nd["c1"], nd["s1"], nd["w1"] = c_off, s_off, w_off
     for k, (off, kind, payload) in enumerate(events):
         end = events[k + 1][0] if k + 1 < len(events) else n
         raw = src[off:end]
@@ -138,7 +138,8 @@ def shred_html(src: str):
                "attrs": None, "classes": None, "own_text": None,
                "n_children": None, "string_i": None, "text": None,
                "text_no": None, "c0": None, "c1": None, "s0": None,
-               "s1": None, "end_i": None, "path_tags": None, "path_cls": None}
+               "s1": None, "end_i": None, "path_tags": None, "path_cls": None,
+               "w0": None, "w1": None, "wtext": None}
         if kind == "start":
             tag, attrs, self_closing = payload
             pre = len(nodes)
@@ -148,7 +149,7 @@ def shred_html(src: str):
             classes = cls.split() if cls is not None else []
             row.update(node=pre, tag=tag, parent=owner["node"] if owner else -1,
                        depth=len(path) - 1, path=path, attrs=amap, classes=classes,
-                       last=pre, c0=c_off, s0=s_off,
+                       last=pre, c0=c_off, s0=s_off, w0=w_off,
                        path_tags=(owner["path_tags"] if owner else []) + [tag],
                        path_cls=(owner["path_cls"] if owner else []) + [" ".join(classes)])
             nodes.append(row)
@@ -198,6 +199,9 @@ def shred_html(src: str):
             if not rawtext:
                 plain.append(text)
                 s_off += len(text)
+                w = "".join(text.split())
+                bare.append(w)
+                w_off += len(w)
             row["text_no"] = text_no
             text_no += 1
             if owner is not None:
@@ -231,5 +235,6 @@ def shred_html(src: str):
                  "n_children": None, "string_i": None,
                  "text": "".join(content), "text_no": None,
                  "c0": None, "c1": None, "s0": None, "s1": None, "end_i": None,
-                 "path_tags": None, "path_cls": None})
+                 "path_tags": None, "path_cls": None, "w0": None, "w1": None,
+                 "wtext": "".join(bare)})
     return rows

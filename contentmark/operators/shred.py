@@ -45,6 +45,9 @@ _ARROW_DOM = pa.schema([
     pa.field("end_i", pa.int32()),
     pa.field("path_tags", pa.list_(pa.string())),
     pa.field("path_cls", pa.list_(pa.string())),
+    pa.field("w0", pa.int32()),
+    pa.field("w1", pa.int32()),
+    pa.field("wtext", pa.string()),
 ])
 _COLS = [f.name for f in _ARROW_DOM]
 _ROWS_PER_BATCH = 32768
@@ -98,7 +101,7 @@ def nodes(dom: DataFrame) -> DataFrame:
     return dom.where(F.col("kind") == "start").select(
         "page_id", F.col("node").alias("pre"), "last", "parent", "depth", "tag",
         "attrs", "classes", "own_text", "path", "n_children", "string_i", "i",
-        "raw", "c0", "c1", "s0", "s1", "end_i", "path_tags", "path_cls",
+        "raw", "c0", "c1", "s0", "s1", "w0", "w1", "end_i", "path_tags", "path_cls",
         F.col("attrs").alias("attrs0"), F.col("classes").alias("classes0"))
 
 
@@ -118,7 +121,9 @@ def tokens(dom: DataFrame) -> DataFrame:
 
 
 def page_text(dom: DataFrame) -> DataFrame:
-    """One row per page: content (all text runs, script included) and plain
-    (runs outside script / style), both in document order."""
+    """One row per page: content (all text runs, script included), plain
+    (runs outside script / style) and bare (plain without white space), in
+    document order."""
     return dom.where(F.col("kind") == "doc").select(
-        "page_id", F.col("text").alias("content"), F.col("own_text").alias("plain"))
+        "page_id", F.col("text").alias("content"), F.col("own_text").alias("plain"),
+        F.col("wtext").alias("bare"))

@@ -47,7 +47,7 @@ def node_targets(nodes: DataFrame) -> DataFrame:
     """Per element: tag, parent tag and the tags of its strict ancestors
     (root first) - straight from the shredder's path tags."""
     anc = F.slice("path_tags", 1, F.greatest(F.size("path_tags") - 1, F.lit(0)))
-    return nodes.select("page_id", "pre", "tag", "path", "c0", "c1", "s0", "s1",
+    return nodes.select("page_id", "pre", "tag", "path", "c0", "c1", "w0", "w1",
                         anc.alias("anc_tags"),
                         F.try_element_at("path_tags", F.lit(-2)).alias("parent_tag"))
 
@@ -112,15 +112,21 @@ def _subtree_tier(b: DataFrame, cov: DataFrame, tier: int) -> DataFrame:
 
 
 def _keyed_nodes(b: DataFrame, nt: DataFrame, page_text: DataFrame) -> DataFrame:
-    """Element keys of tiers 5-6: hash and length of the white-space-free
-    plain subtree text, for elements whose tag some block of the page wants."""
+    """Element keys of tiers 5-6: hash and length of the plain subtree text
+    without white space (a substring of the page's ``bare`` text, whose
+    offsets the shredder recorded), for elements whose tag some block of
+    the page wants."""
     want_tags = (b.select("page_id", F.col("t_tag").alias("tag"))
                  .unionByName(b.where(F.col("t_parent").isNotNull())
                               .select("page_id", F.col("t_parent").alias("tag"))).distinct())
-    return (nt.select("page_id", "tag", "pre", "s0", "s1").join(want_tags, ["page_id", "tag"])
-            .join(page_text.select("page_id", "plain"), "page_id")
-            .withColumn("_k", strip_quotes(remove_ws(
-                F.substring("plain", F.col("s0") + 1, F.col("s1") - F.col("s0")))))
+    k = F.col("_k")
+    lead = F.when(k.startswith('"'), F.lit(1)).otherwise(F.lit(0))
+    k1 = F.substring(k, lead + 1, F.length(k))
+    k2 = F.when(k1.endswith('"'), F.substring(k1, 1, F.length(k1) - 1)).otherwise(k1)
+    return (nt.select("page_id", "tag", "pre", "w0", "w1").join(want_tags, ["page_id", "tag"])
+            .join(page_text.select("page_id", "bare"), "page_id")
+            .withColumn("_k", F.substring("bare", F.col("w0") + 1, F.col("w1") - F.col("w0")))
+            .withColumn("_k", k2)
             .select("page_id", "tag", "pre", F.xxhash64("_k").alias("h"),
                     F.length("_k").alias("len")))
 
@@ -150,43 +156,38 @@ def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
     return out.unionByName(_equal_hits(b, keyed, 5)).unionByName(_equal_hits(b, keyed, 6))
 
 
+def _decide14(n: dict) -> Column:
+    return (F.when(n[1] == 1, 1).when((n[1] == 0) & (n[2] == 1), 2)
+            .when(n[3] == 1, 3).when(n[4] == 1, 4))
+
+
 def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
                     page_text: DataFrame, dom: DataFrame, mapping: dict | None = None,
                     label: str = "prediction") -> DataFrame:
-    """R9 evaluated as the reference does, tier by tier, each tier only on
-    the blocks still undecided: (page_id, part, pos, tier, pre).  Most blocks
-    settle in tier 1, so later tiers run on few rows."""
-    # each step reads checkpointed inputs: the undecided set shrinks, and no
-    # step re-derives the earlier ones
+    """R9 with the costly equality tiers run only where needed:
+    (page_id, part, pos, tier, pre).  Tiers 1-4 (occurrence joins, cheap)
+    are counted for every block and decide most of them; the text keys of
+    tiers 5-6 are computed only for the pages and tags of the blocks still
+    undecided."""
     b = materialize(block_targets(blocks, mapping, label), "wb-blocks")
     nt = materialize(node_targets(nodes), "wb-nodes")
     occ = materialize(_occ(b, dom), "wb-occ")
-
-    def step(h, rest):
-        h = materialize(h, "wb-hits")
-        n = h.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n"))
-        one = n.where(F.col("n") == 1).select(*BKEY)
-        hits = h.join(one, BKEY, "left_semi")
-        return hits, n, materialize(rest.join(one, BKEY, "left_anti"), "wb-rest")
-
-    d1, n1, rest = step(_tier1(b, occ, nt, texts), b)
-    decided = [d1]
-    cov = materialize(_covering(rest, occ, nt), "wb-cover")
-    # tier 2 only for blocks with no tier-1 hit
-    zero1 = rest.join(n1, BKEY, "left_anti")
-    d2, _, rest = step(_subtree_tier(zero1, cov, 2), rest)
-    decided.append(d2)
-    for tier in (3, 4):
-        d, _, rest = step(_subtree_tier(rest, cov, tier), rest)
-        decided.append(d)
+    cov = _covering(b, occ, nt)
+    h14 = _tier1(b, occ, nt, texts)
+    for tier in (2, 3, 4):
+        h14 = h14.unionByName(_subtree_tier(b, cov, tier))
+    h14 = materialize(h14, "wb-hits")
+    c = tier_counts(b, h14)
+    d = materialize(c.select(*BKEY, _decide14({t: F.col(f"n{t}") for t in (1, 2, 3, 4)})
+                             .alias("tier")), "wb-decided")
+    decided = h14.join(d.where(F.col("tier").isNotNull()), BKEY + ["tier"])
+    rest = b.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi")
     keyed = _keyed_nodes(rest, nt, page_text)
-    d5, _, rest = step(_equal_hits(rest, keyed, 5), rest)
-    decided.append(d5)
-    decided.append(_equal_hits(rest, keyed, 6))
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
-    return out
+    h5 = materialize(_equal_hits(rest, keyed, 5), "wb-hits5")
+    one5 = h5.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select(*BKEY)
+    h6 = _equal_hits(rest.join(one5, BKEY, "left_anti"), keyed, 6)
+    return (decided.select(*BKEY, "tier", "pre")
+            .unionByName(h5.join(one5, BKEY, "left_semi")).unionByName(h6))
 
 
 def tier_counts(blocks: DataFrame, hits: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ DOM = T.StructType([
     T.StructField("end_i", T.IntegerType()),
     T.StructField("path_tags", T.ArrayType(T.StringType())),
     T.StructField("path_cls", T.ArrayType(T.StringType())),
+    T.StructField("w0", T.IntegerType()),
+    T.StructField("w1", T.IntegerType()),
+    T.StructField("wtext", T.StringType()),
 ])
 
 TEXT_KINDS = ("text", "rawtext")
