@@ -108,7 +108,7 @@ def _class_list(raw_val: str) -> str:
     return f"list_filter(string_split_regex(trim({raw_val}), '{WS}'), lambda x: x <> '')"
 
 
-def oracles() -> dict[str, str]:
+def node_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["dom_nodes"] = NODE_CTES + """
 SELECT page_id, pre::BIGINT AS pre, parent::BIGINT AS parent, depth::BIGINT AS depth, tag, own_text FROM nodes"""
@@ -342,14 +342,6 @@ SELECT page_id, part, pos, label, 1 AS mask, array_to_string(text_ids, ',') AS t
     return q
 
 
-_oracles_v1 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _oracles_v1()
-    q.update(block_oracles())
-    return q
-
 
 # --- vectors, model, evaluation ------------------------------------------------------
 
@@ -520,14 +512,6 @@ UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 6), round(sum(r
     return q
 
 
-_oracles_v2 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _oracles_v2()
-    q.update(model_oracles())
-    return q
-
 
 # --- write-back -------------------------------------------------------------------------
 
@@ -610,6 +594,29 @@ SELECT page_id, part, pos, n1::BIGINT AS n1, n2::BIGINT AS n2, n3::BIGINT AS n3,
 SELECT page_id, part, pos, tier, pre::BIGINT AS pre FROM res"""
     q["annotate"] = wb + """
 SELECT page_id, pre::BIGINT AS pre, label FROM ann"""
+    q["highlight"] = wb + """
+, kids AS (
+  SELECT page_id, node, count(*) AS n FROM (
+    SELECT page_id, parent AS node FROM nodes WHERE parent >= 0
+    UNION ALL SELECT page_id, node FROM texts
+    UNION ALL SELECT w.page_id, w.st[len(w.st)].o FROM walk w JOIN o ON o.page_id = w.page_id AND o.i = w.i
+              WHERE o.tok LIKE '<!--%' AND len(w.st) > 0)
+  GROUP BY page_id, node)
+, sstr AS (
+  SELECT t.page_id, t.node AS pre, t.i FROM texts t
+  JOIN kids k ON k.page_id = t.page_id AND k.node = t.node WHERE k.n = 1
+  UNION ALL
+  SELECT s.page_id, n.parent, s.i FROM sstr s JOIN nodes n ON n.page_id = s.page_id AND n.pre = s.pre
+  JOIN kids k ON k.page_id = n.page_id AND k.node = n.parent WHERE n.parent >= 0 AND k.n = 1)
+, marks AS (SELECT DISTINCT s.page_id, s.i FROM sstr s JOIN ann a ON a.page_id = s.page_id AND a.pre = s.pre
+            WHERE a.label = 1)
+, st AS (SELECT w.page_id, w.i, a.label FROM walk w JOIN ann a ON a.page_id = w.page_id AND a.pre = w.pre)
+SELECT o.page_id, string_agg(CASE
+         WHEN st.i IS NOT NULL THEN regexp_replace(o.tok, '(/?>)$', ' predicted_label="' || st.label || '"\\1')
+         WHEN mk.i IS NOT NULL THEN '<mark>' || o.tok || '</mark>'
+         ELSE o.tok END, '' ORDER BY o.i) AS html
+FROM o LEFT JOIN st ON st.page_id = o.page_id AND st.i = o.i
+LEFT JOIN marks mk ON mk.page_id = o.page_id AND mk.i = o.i GROUP BY o.page_id"""
     q["label_pages"] = wb + """
 , st AS (SELECT w.page_id, w.i, a.label FROM walk w JOIN ann a ON a.page_id = w.page_id AND a.pre = w.pre)
 SELECT o.page_id, string_agg(CASE WHEN st.i IS NOT NULL
@@ -619,11 +626,11 @@ FROM o LEFT JOIN st ON st.page_id = o.page_id AND st.i = o.i GROUP BY o.page_id"
     return q
 
 
-_oracles_v3 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _oracles_v3()
+def oracles() -> dict[str, str]:
+    """Query name -> DuckDB SQL (every registered query but the rows-only ones)."""
+    q = node_oracles()
+    q.update(block_oracles())
+    q.update(model_oracles())
     q.update(writeback_oracles())
     q["model_reload"] = q["decode"]
     q["attach_predictions"] = q["decode"].replace(

@@ -8,10 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentmark.functions.tags import html_tags
+from contentmark.functions.text import render_seq
+from contentmark.operators import align as A
+from contentmark.operators import blocks as B
+from contentmark.operators import evaluate as E
+from contentmark.operators import model as M
+from contentmark.operators import nodes as N
+from contentmark.operators import render as R
 from contentmark.operators import shred as S
+from contentmark.operators import vectors as V
+from contentmark.operators import writeback as WB
 from contentmark.plans import labelers as L
 from contentmark.session import materialize, table_path
+from contentmark.sources import blocks_io as BIO
 from contentmark.sources import gold as G
+from contentmark.sources import pages as P
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +63,6 @@ class Corpus:
 
     def blocks(self) -> DataFrame:
         """Text blocks labelled by the block-level gold alignment."""
-        from contentmark.operators import blocks as B
         if self._blocks is None:
             labelled = L.label_block_by_text(self.nodes, self.texts, self.gold())
             self._blocks = materialize(B.extract_blocks(labelled, self.texts))
@@ -73,11 +84,6 @@ def q_label_block_by_text(spark, sf_dir):
     return out.select("page_id", *_big("pre"), "tag", "is_main")
 
 
-def registry() -> dict:
-    return {
-        "dom_nodes": q_dom_nodes,
-        "label_block_by_text": q_label_block_by_text,
-    }
 
 
 # --- annotated corpus derived from the given pages -------------------------
@@ -99,10 +105,6 @@ class AnnotatedCorpus(Corpus):
         self._blocks = None
 
 
-from contentmark.operators import align as A  # noqa: E402
-from contentmark.operators import nodes as N  # noqa: E402
-from contentmark.operators import render as R  # noqa: E402
-from contentmark.sources import pages as P  # noqa: E402
 
 
 def q_gold_lines(spark, sf_dir):
@@ -261,9 +263,6 @@ def q_page_allowlist(spark, sf_dir):
     return kept.select("page_id", "url")
 
 
-from contentmark.functions.text import render_seq  # noqa: E402
-from contentmark.operators import blocks as B  # noqa: E402
-from contentmark.sources import blocks_io as BIO  # noqa: E402
 
 VOCAB_SIZE = 1000
 ENC_LEN = 64
@@ -349,9 +348,6 @@ def q_unpad_explode(spark, sf_dir):
 
 # --- vectors (embeddings table: token vectors grouped by label) -------------
 
-from contentmark.operators import evaluate as E  # noqa: E402
-from contentmark.operators import model as M  # noqa: E402
-from contentmark.operators import vectors as V  # noqa: E402
 
 
 def _emb(spark, sf_dir):
@@ -490,8 +486,6 @@ def q_eval_report(spark, sf_dir):
 
 # --- write-back (blocks of the pages, prediction = their label) -----------------
 
-from contentmark.functions.tags import html_tags  # noqa: E402
-from contentmark.operators import writeback as WB  # noqa: E402
 
 
 def _wb(spark, sf_dir):
@@ -579,12 +573,11 @@ def q_model_reload(spark, sf_dir):
     return again.transform(blocks).select("page_id", "part", "pos", "prediction")
 
 
-registry_v1 = registry
-
-
-def registry() -> dict:  # noqa: F811
-    r = dict(registry_v1())
-    r.update({
+def registry() -> dict:
+    """Query name -> callable(spark, sf_dir); one per inventory item."""
+    return {
+        "dom_nodes": q_dom_nodes,
+        "label_block_by_text": q_label_block_by_text,
         "gold_lines": q_gold_lines,
         "gold_keys": q_gold_keys,
         "gold_candidates": q_gold_candidates,
@@ -641,5 +634,4 @@ def registry() -> dict:  # noqa: F811
         "attach_predictions": q_attach_predictions,
         "fit_predict": q_fit_predict,
         "model_reload": q_model_reload,
-    })
-    return r
+    }

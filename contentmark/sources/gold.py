@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentmark.functions.text import strip_ws
+from contentmark.session import spread
 
 # Fixed value: the separator line before the comments part of a gold file.
 COMMENTS_SEPARATOR = "!@#$%^&*()  COMMENTS"
@@ -69,7 +70,7 @@ def gold_for_pages(pages: DataFrame, documents: DataFrame,
     for the join back to the pages.  A document feeding many pages is a
     skewed key that AQE's skew-join splitting handles on the page side."""
     pd = page_source_doc(pages)
-    docs = documents.select("doc_id", "text").join(pd.select("doc_id").distinct(), "doc_id",
-                                                   "left_semi")
+    docs = spread(documents.select("doc_id", "text"), "doc_id").join(
+        pd.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = gold_lines(docs, "doc_id", "text", include_comments)
     return pd.join(lines, "doc_id").select("page_id", "line_no", "text")

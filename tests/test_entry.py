@@ -24,5 +24,5 @@ def test_oracles_cover_queries():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert set(PLANNED) <= set(qs)
-    # rows-only by design: the MLlib solver path and the highlight render
-    assert set(qs) - set(sqls) <= {"fit_predict", "highlight"}
+    # rows-only by design: the MLlib solver path
+    assert set(qs) - set(sqls) <= {"fit_predict"}
