@@ -29,24 +29,28 @@ def by_attr(nodes: DataFrame, name: str, value) -> DataFrame:
     return nodes.where(attr_equals(name, value))
 
 
-def seed_sets(seeds: DataFrame) -> DataFrame:
-    """(page_id, seeds ARRAY<INT>) - one small array per page (partial agg)."""
-    return seeds.groupBy("page_id").agg(
-        F.collect_set(F.col("pre").cast("int")).alias("seeds"))
+def _ancestors(nodes: DataFrame) -> DataFrame:
+    """(page_id, pre, k, anc): one row per ancestor-or-self of each element
+    (k = position on the path) - rows bounded by tree depth, keyed so that a
+    very large page spreads over many tasks."""
+    return nodes.select("page_id", "pre", F.posexplode("path").alias("k", "anc"))
 
 
 def mark_subtrees(nodes: DataFrame, seeds: DataFrame, col: str = "is_main") -> DataFrame:
     """Seeds and every descendant element get ``col`` = 1, others 0.
 
-    The seeds travel as one array per page; a node is marked iff its
-    ancestor-or-self path overlaps it.  ``col`` already on ``nodes`` is
-    OR-ed in, so markings compose."""
-    s = seed_sets(seeds)
-    hit = F.coalesce(F.arrays_overlap("path", "seeds"), F.lit(False))
-    out = nodes.join(s, "page_id", "left")
+    An element is marked when one of its ancestors-or-self is a seed: the
+    ancestor rows are semi-joined with the seeds on (page_id, ancestor), so
+    no page-wide set is built.  ``col`` already on ``nodes`` is OR-ed in,
+    so markings compose."""
+    s = seeds.select("page_id", F.col("pre").cast("int").alias("anc")).distinct()
+    marked = (_ancestors(nodes).join(s, ["page_id", "anc"], "left_semi")
+              .select("page_id", "pre").distinct().withColumn("_hit", F.lit(True)))
+    out = nodes.join(marked, ["page_id", "pre"], "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
     if col in nodes.columns:
         hit = hit | (F.col(col) == 1)
-    return out.withColumn(col, hit.cast("int")).drop("seeds")
+    return out.withColumn(col, hit.cast("int")).drop("_hit")
 
 
 def remove_class(nodes: DataFrame, name: str) -> DataFrame:
@@ -81,48 +85,47 @@ def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str | None,
       unwrapped spans, whatever order they are processed in);
     * the span disappears; its children are re-parented to that ancestor.
 
-    Returns (nodes, texts) without the spans, with ``parent``, ``path`` and
-    ``depth`` recomputed; ``unwrapped(nodes, attr)`` lists the removed
-    elements for rendering.
-    """
-    doomed_c = unwrap_condition(attr, tag)
+    Each element's path is filtered by joining its ancestor rows with the
+    unwrapped elements on (page_id, ancestor) and regrouping per element
+    (a group is one path).  Returns (nodes, texts) without the spans, with
+    ``parent``, ``path`` and ``depth`` recomputed."""
     if col not in nodes.columns:
         nodes = nodes.withColumn(col, F.lit(0))
-    flagged = nodes.withColumn("doomed", doomed_c)
-    per_page = flagged.where("doomed").groupBy("page_id").agg(
-        F.collect_set("pre").alias("doomed_set"))
-    j = flagged.join(per_page, "page_id", "left").withColumn(
-        "doomed_set", F.coalesce("doomed_set", F.array().cast("array<int>")))
-    keep_path = F.filter("path", lambda x: ~F.array_contains(F.col("doomed_set"), x))
-    eff_parent = F.try_element_at(F.filter(
-        F.slice("path", 1, F.size("path") - 1),
-        lambda x: ~F.array_contains(F.col("doomed_set"), x)), F.lit(-1))
-    j = j.withColumn("eff_parent", eff_parent)
+    flagged = nodes.withColumn("doomed", unwrap_condition(attr, tag))
+    gone = flagged.where("doomed").select("page_id", F.col("pre").alias("anc"),
+                                          F.lit(True).alias("_gone"))
+    kept = (_ancestors(flagged).join(gone, ["page_id", "anc"], "left")
+            .where(F.col("_gone").isNull())
+            .groupBy("page_id", "pre")
+            .agg(F.array_sort(F.collect_list(F.struct("k", "anc"))).alias("_kp")))
+    j = (flagged.join(kept, ["page_id", "pre"], "left")
+         .withColumn("_kp", F.transform(F.coalesce("_kp", F.array()), lambda x: x["anc"])))
+    # nearest kept strict ancestor: the last kept path entry other than self
+    eff = F.try_element_at(F.filter("_kp", lambda x: x != F.col("pre")), F.lit(-1))
+    j = j.withColumn("eff_parent", eff)
     lifts = (j.where(F.col("doomed") & (F.col(col) == 1) & F.col("eff_parent").isNotNull())
              .select("page_id", F.col("eff_parent").alias("pre"))
              .distinct().withColumn("lifted", F.lit(1)))
     trims = (j.where(F.col("doomed") & F.col("string_i").isNotNull())
              .select("page_id", F.col("string_i").alias("i")).distinct()
              .withColumn("trim", F.lit(True)))
-    new_path = keep_path
     out = (j.where(~F.col("doomed"))
-           .withColumn("path", new_path)
+           .withColumn("path", F.col("_kp"))
            .withColumn("depth", F.size("path") - 1)
-           .withColumn("parent", F.coalesce(F.try_element_at(
-               F.slice("path", 1, F.size("path") - 1), F.lit(-1)), F.lit(-1)))
+           .withColumn("parent", F.coalesce(F.col("eff_parent"), F.lit(-1)))
            .join(lifts, ["page_id", "pre"], "left")
            .withColumn(col, F.greatest(F.col(col), F.coalesce("lifted", F.lit(0))))
-           .drop("lifted", "doomed", "doomed_set", "eff_parent"))
+           .drop("lifted", "doomed", "_kp", "eff_parent"))
+    # a text run moves to its owner's nearest kept ancestor-or-self
+    owner = j.select("page_id", F.col("pre").alias("node"),
+                     F.coalesce(F.try_element_at("_kp", F.lit(-1)), F.lit(-1)).alias("_new"))
     t = (texts.join(trims, ["page_id", "i"], "left")
          .withColumn("text", F.when(F.col("trim"), strip_ws("text"))
                      .otherwise(F.col("text")))
          .drop("trim")
-         .join(per_page, "page_id", "left")
-         .withColumn("node", F.coalesce(F.try_element_at(F.filter(
-             "path", lambda x: ~F.array_contains(
-                 F.coalesce(F.col("doomed_set"), F.array().cast("array<int>")), x)), F.lit(-1)),
-             F.lit(-1)))
-         .drop("doomed_set"))
+         .join(owner, ["page_id", "node"], "left")
+         .withColumn("node", F.coalesce("_new", F.col("node")))
+         .drop("_new"))
     return out, t
 
 
