@@ -111,3 +111,28 @@ def test_gold_encoding_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes("café\n".encode("utf-8"))
     rows = {r["file_name"]: r["text"] for r in G.read_gold_files(spark, str(tmp_path)).collect()}
     assert rows == {"a.txt": "“a”", "b.txt": "café"}
+
+
+def test_lca_property_random_trees(spark):
+    """LCA = deepest element containing every seed (brute force on random pages)."""
+    import random
+
+    from contentmark.operators.htmltree import shred_html
+
+    rnd = random.Random(11)
+    pieces = ["<div>", "</div>", "<p>", "</p>", "<b>", "t", "<i>", "</i>"]
+    htmls, expect = [], {}
+    for pid in range(30):
+        html = "<body>" + "".join(rnd.choice(pieces) for _ in range(30)) + "</body>"
+        rows = [r for r in shred_html(html) if r["kind"] == "start"]
+        seeds = rnd.sample(range(len(rows)), k=min(len(rows), rnd.randint(1, 4)))
+        paths = [rows[s]["path"] for s in seeds]
+        common = [a for a in paths[0] if all(a in p for p in paths)]
+        expect[pid] = (max(common), seeds)
+        htmls.append(html)
+    nodes, _, _, _ = shredded(spark, *htmls)
+    seed_rows = [(pid, s) for pid, (_, ss) in expect.items() for s in ss]
+    sdf = spark.createDataFrame(seed_rows, "page_id bigint, pre int").join(
+        nodes.select("page_id", "pre", "path"), ["page_id", "pre"])
+    got = {r["page_id"]: r["lca"] for r in N.lowest_common_ancestor(sdf).collect()}
+    assert got == {pid: e[0] for pid, e in expect.items()}
