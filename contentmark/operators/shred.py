@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import contentmark
+from contentmark.operators.htmltree import shred_html
 from contentmark.schema import DOM, TEXT_KINDS
 from contentmark.session import spread
 
@@ -54,8 +55,7 @@ _ROWS_PER_BATCH = 32768
 
 
 def _shred_batches(batches):
-    from contentmark.operators.htmltree import shred_html
-
+    # shred_html and its module travel by value with this function
     buf = {c: [] for c in _COLS}
     count = 0
     for batch in batches:
