@@ -49,3 +49,26 @@ def test_decode_and_nll_brute_force(spark):
         assert abs(_score(em, dec[k], t, start, end) - best) < 1e-9
         log_z = math.log(sum(math.exp(s) for s in scores))
         assert abs(nll[k] - (log_z - _score(em, y, t, start, end))) < 1e-9
+
+
+def test_pairs_use_real_blocks_only(spark):
+    from contentmark.operators import evaluate as E
+    s = spark.createDataFrame([([1, 0, 1, 0], [1, 1, 0, 0], [1, 1, 1, 0]), ([0, 0], [0, 1], [1, 0])],
+                              "label array<int>, prediction array<int>, mask array<int>")
+    got = sorted(tuple(r) for r in E.pairs(s).collect())
+    assert got == sorted([(1, 1), (0, 1), (1, 0), (0, 0)])
+    m = {r["metric"]: r["value"] for r in E.metrics(E.pairs(s), "val_").collect()}
+    assert abs(m["val_precision_micro"] - 0.5) < 1e-12 and abs(m["val_f1_macro"] - 0.5) < 1e-12
+    rep = {r["row"]: r for r in E.report(E.pairs(s)).collect()}
+    assert rep["accuracy"]["support"] == 4 and rep["accuracy"]["precision"] is None
+
+
+def test_class_weighted_emissions(spark):
+    from contentmark.operators import model as M
+    b = spark.createDataFrame([(0, 0, 0, [0, 5, 2], 1), (0, 0, 1, [0, 6, 2], 0), (0, 0, 2, [0, 6, 2], 0)],
+                              "page_id int, part int, pos int, text_ids array<int>, label int")
+    plain = {r["label"]: r["prior"] for r in M.fit_emissions(b, 10).collect()}
+    w = M.class_weights(b)
+    weighted = {r["label"]: r["prior"] for r in M.fit_emissions(b, 10, weights=w).collect()}
+    # balanced weights equalise the class priors
+    assert abs(weighted[0] - weighted[1]) < 1e-9 and abs(plain[0] - plain[1]) > 0.1
