@@ -90,6 +90,6 @@ def label_corpus(pages: DataFrame, recipe: Callable[[DataFrame, DataFrame], Data
     from contentmark.operators import shred as S
     from contentmark.session import materialize
 
-    dom = materialize(S.shred(pages))
+    dom = materialize(S.shred(pages), "dom", partition_by="kind")
     labelled = N.main_attr(recipe(S.nodes(dom), S.texts(dom)))
     return R.render(S.tokens(dom), R.node_edits(labelled))

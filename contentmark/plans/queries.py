@@ -38,7 +38,7 @@ class Corpus:
         self.pages = _t(spark, sf_dir, "pages")
         # one parse per corpus: cut lineage so branches and scalar subqueries
         # downstream read the checkpoint instead of re-parsing HTML
-        self.dom = materialize(S.shred(self.pages))
+        self.dom = materialize(S.shred(self.pages), "dom", partition_by="kind")
         self._blocks = None
 
     @property
@@ -101,7 +101,7 @@ class AnnotatedCorpus(Corpus):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.pages = annotated_pages(_t(spark, sf_dir, "pages"))
-        self.dom = materialize(S.shred(self.pages))
+        self.dom = materialize(S.shred(self.pages), "dom", partition_by="kind")
         self._blocks = None
 
 

@@ -50,18 +50,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table into the shared
     checkpoint folder and reading it back.
 
     Used where one expensive table (shredded pages, blocks, fitted models)
     feeds several branches or scalar subqueries of a plan: it is computed
     once (one job - ``Dataset.checkpoint`` would run the plan twice), and a
-    lost executor re-reads the table instead of re-parsing HTML."""
+    lost executor re-reads the table instead of re-parsing HTML.
+    ``partition_by`` lets readers of one slice prune the others (the token
+    table is written by ``kind``: node readers skip text rows and so on)."""
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "contentmark-tables",
                         f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
