@@ -139,7 +139,7 @@ def shred_html(src: str):
                "n_children": None, "string_i": None, "text": None,
                "text_no": None, "c0": None, "c1": None, "s0": None,
                "s1": None, "end_i": None, "path_tags": None, "path_cls": None,
-               "w0": None, "w1": None, "wtext": None}
+               "w0": None, "w1": None, "k0": None, "k1": None, "wtext": None}
         if kind == "start":
             tag, attrs, self_closing = payload
             pre = len(nodes)
@@ -212,6 +212,16 @@ def shred_html(src: str):
         rows.append(row)
     for nd in stack:  # never closed: the subtree runs to the end of input
         close(nd)
+    # key span of each element in the white-space-free plain text: its
+    # subtree text without one leading and one trailing double quote
+    bare_text = "".join(bare)
+    for nd in nodes:
+        a, b = nd["w0"], nd["w1"]
+        if b > a and bare_text[a] == '"':
+            a += 1
+        if b > a and bare_text[b - 1] == '"':
+            b -= 1
+        nd["k0"], nd["k1"] = a, b
     # subtree extent, own text, child count and the ".string" text run
     for nd in reversed(nodes):
         pre = nd["node"]
@@ -236,5 +246,5 @@ def shred_html(src: str):
                  "text": "".join(content), "text_no": None,
                  "c0": None, "c1": None, "s0": None, "s1": None, "end_i": None,
                  "path_tags": None, "path_cls": None, "w0": None, "w1": None,
-                 "wtext": "".join(bare)})
+                 "k0": None, "k1": None, "wtext": "".join(bare)})
     return rows

@@ -48,6 +48,8 @@ _ARROW_DOM = pa.schema([
     pa.field("path_cls", pa.list_(pa.string())),
     pa.field("w0", pa.int32()),
     pa.field("w1", pa.int32()),
+    pa.field("k0", pa.int32()),
+    pa.field("k1", pa.int32()),
     pa.field("wtext", pa.string()),
 ])
 _COLS = [f.name for f in _ARROW_DOM]
@@ -101,7 +103,7 @@ def nodes(dom: DataFrame) -> DataFrame:
     return dom.where(F.col("kind") == "start").select(
         "page_id", F.col("node").alias("pre"), "last", "parent", "depth", "tag",
         "attrs", "classes", "own_text", "path", "n_children", "string_i", "i",
-        "raw", "c0", "c1", "s0", "s1", "w0", "w1", "end_i", "path_tags", "path_cls",
+        "raw", "c0", "c1", "s0", "s1", "w0", "w1", "k0", "k1", "end_i", "path_tags", "path_cls",
         F.col("attrs").alias("attrs0"), F.col("classes").alias("classes0"))
 
 

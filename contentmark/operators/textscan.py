@@ -86,3 +86,48 @@ def occurrences(dom: DataFrame, needles: DataFrame) -> DataFrame:
     content = dom.where(F.col("kind") == "doc").select("page_id", F.col("text").alias("content"))
     pages = content.join(nd, "page_id").join(runs, "page_id")
     return pages.mapInArrow(_scan, HITS)
+
+
+SPANS = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("needle", T.StringType()),
+    T.StructField("start", T.IntegerType()),
+    T.StructField("end", T.IntegerType()),
+])
+_ARROW_SPANS = pa.schema([pa.field("page_id", pa.int64()), pa.field("needle", pa.string()),
+                          pa.field("start", pa.int32()), pa.field("end", pa.int32())])
+
+
+def _scan_spans(batches):
+    import ahocorasick
+
+    out = {f.name: [] for f in _ARROW_SPANS}
+    for b in batches:
+        for row in b.to_pylist():
+            needles = [n for n in (row["needles"] or []) if n]
+            if not needles or not row["text"]:
+                continue
+            auto = ahocorasick.Automaton()
+            for k, n in enumerate(needles):
+                auto.add_word(n, k)
+            auto.make_automaton()
+            for last, k in auto.iter(row["text"]):
+                out["page_id"].append(row["page_id"])
+                out["needle"].append(needles[k])
+                out["start"].append(last - len(needles[k]) + 1)
+                out["end"].append(last + 1)
+            if len(out["page_id"]) >= 32768:
+                yield pa.RecordBatch.from_pydict(out, schema=_ARROW_SPANS)
+                out = {f.name: [] for f in _ARROW_SPANS}
+    if out["page_id"]:
+        yield pa.RecordBatch.from_pydict(out, schema=_ARROW_SPANS)
+
+
+def spans(dom: DataFrame, needles: DataFrame, text: str = "wtext") -> DataFrame:
+    """(page_id, needle, start, end): every occurrence of each page's
+    needles in one of the page texts of the ``doc`` row (``wtext`` = plain
+    text without white space)."""
+    nd = (needles.where(F.col("needle") != "").groupBy("page_id")
+          .agg(F.collect_set("needle").alias("needles")))
+    doc = dom.where(F.col("kind") == "doc").select("page_id", F.col(text).alias("text"))
+    return doc.join(nd, "page_id").mapInArrow(_scan_spans, SPANS)

@@ -47,7 +47,7 @@ def node_targets(nodes: DataFrame) -> DataFrame:
     """Per element: tag, parent tag and the tags of its strict ancestors
     (root first) - straight from the shredder's path tags."""
     anc = F.slice("path_tags", 1, F.greatest(F.size("path_tags") - 1, F.lit(0)))
-    return nodes.select("page_id", "pre", "tag", "path", "c0", "c1", "w0", "w1",
+    return nodes.select("page_id", "pre", "tag", "path", "c0", "c1", "k0", "k1",
                         anc.alias("anc_tags"),
                         F.try_element_at("path_tags", F.lit(-2)).alias("parent_tag"))
 
@@ -111,33 +111,28 @@ def _subtree_tier(b: DataFrame, cov: DataFrame, tier: int) -> DataFrame:
     return j.where(cond).select(*BKEY, F.lit(tier).alias("tier"), "pre")
 
 
-def _keyed_nodes(b: DataFrame, nt: DataFrame, page_text: DataFrame) -> DataFrame:
-    """Element keys of tiers 5-6: hash and length of the plain subtree text
-    without white space (a substring of the page's ``bare`` text, whose
-    offsets the shredder recorded), for elements whose tag some block of
-    the page wants."""
-    want_tags = (b.select("page_id", F.col("t_tag").alias("tag"))
-                 .unionByName(b.where(F.col("t_parent").isNotNull())
-                              .select("page_id", F.col("t_parent").alias("tag"))).distinct())
-    k = F.col("_k")
-    lead = F.when(k.startswith('"'), F.lit(1)).otherwise(F.lit(0))
-    k1 = F.substring(k, lead + 1, F.length(k))
-    k2 = F.when(k1.endswith('"'), F.substring(k1, 1, F.length(k1) - 1)).otherwise(k1)
-    return (nt.select("page_id", "tag", "pre", "w0", "w1").join(want_tags, ["page_id", "tag"])
-            .join(page_text.select("page_id", "bare"), "page_id")
-            .withColumn("_k", F.substring("bare", F.col("w0") + 1, F.col("w1") - F.col("w0")))
-            .withColumn("_k", k2)
-            .select("page_id", "tag", "pre", F.xxhash64("_k").alias("h"),
-                    F.length("_k").alias("len")))
-
-
-def _equal_hits(b: DataFrame, keyed: DataFrame, tier: int) -> DataFrame:
-    """Whole text equals the block's joined texts (tag or parent tag)."""
+def _key_spans(b: DataFrame, dom: DataFrame) -> DataFrame:
+    """Occurrences of the blocks' joined-text keys in their pages'
+    white-space-free plain text (tiers 5-6)."""
+    from contentmark.operators.textscan import spans
+    return spans(dom, b.select("page_id", F.col("all_key").alias("needle")).distinct(), "wtext")
+
+
+def _equal_hits(b: DataFrame, ks: DataFrame, nt: DataFrame, tier: int) -> DataFrame:
+    """The element's whole text (white space ignored, one outer
+    quote pair dropped) equals the block's joined texts: an occurrence of
+    the block key that is exactly the element's key span - an equi-join on
+    (page, tag, start, end)."""
     col = "t_tag" if tier == 5 else "t_parent"
-    bk = b.where(F.col(col).isNotNull()).select(
-        *BKEY, F.col(col).alias("tag"), F.xxhash64("all_key").alias("h"),
-        F.length("all_key").alias("len"))
-    return bk.join(keyed, ["page_id", "tag", "h", "len"]).select(*BKEY, F.lit(tier).alias("tier"), "pre")
+    bb = b.where(F.col(col).isNotNull()).select(*BKEY, F.col(col).alias("tag"), "all_key")
+    el = nt.select("page_id", "tag", "pre", F.col("k0").alias("start"), F.col("k1").alias("end"))
+    hit = (bb.where(F.col("all_key") != "")
+           .join(ks.withColumnRenamed("needle", "all_key"), ["page_id", "all_key"])
+           .join(el, ["page_id", "tag", "start", "end"]))
+    empty = (bb.where(F.col("all_key") == "")
+             .join(el.where(F.col("start") == F.col("end")), ["page_id", "tag"]))
+    return (hit.select(*BKEY, "pre").unionByName(empty.select(*BKEY, "pre"))
+            .select(*BKEY, F.lit(tier).alias("tier"), "pre"))
 
 
 def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
@@ -149,11 +144,11 @@ def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
     nt = materialize(node_targets(nodes), "wb-nodes")
     occ = materialize(_occ(b, dom), "wb-occ")
     cov = materialize(_covering(b, occ, nt), "wb-cover")
-    keyed = _keyed_nodes(b, nt, page_text)
+    ks = materialize(_key_spans(b, dom), "wb-spans")
     out = _tier1(b, occ, nt, texts)
     for tier in (2, 3, 4):
         out = out.unionByName(_subtree_tier(b, cov, tier))
-    return out.unionByName(_equal_hits(b, keyed, 5)).unionByName(_equal_hits(b, keyed, 6))
+    return out.unionByName(_equal_hits(b, ks, nt, 5)).unionByName(_equal_hits(b, ks, nt, 6))
 
 
 def _decide14(n: dict) -> Column:
@@ -181,11 +176,12 @@ def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
     d = materialize(c.select(*BKEY, _decide14({t: F.col(f"n{t}") for t in (1, 2, 3, 4)})
                              .alias("tier")), "wb-decided")
     decided = h14.join(d.where(F.col("tier").isNotNull()), BKEY + ["tier"])
-    rest = b.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi")
-    keyed = _keyed_nodes(rest, nt, page_text)
-    h5 = materialize(_equal_hits(rest, keyed, 5), "wb-hits5")
+    rest = materialize(b.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi"),
+                       "wb-rest")
+    ks = _key_spans(rest, dom)
+    h5 = materialize(_equal_hits(rest, ks, nt, 5), "wb-hits5")
     one5 = h5.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select(*BKEY)
-    h6 = _equal_hits(rest.join(one5, BKEY, "left_anti"), keyed, 6)
+    h6 = _equal_hits(rest.join(one5, BKEY, "left_anti"), ks, nt, 6)
     return (decided.select(*BKEY, "tier", "pre")
             .unionByName(h5.join(one5, BKEY, "left_semi")).unionByName(h6))
 

@@ -37,6 +37,8 @@ DOM = T.StructType([
     T.StructField("path_cls", T.ArrayType(T.StringType())),
     T.StructField("w0", T.IntegerType()),
     T.StructField("w1", T.IntegerType()),
+    T.StructField("k0", T.IntegerType()),
+    T.StructField("k1", T.IntegerType()),
     T.StructField("wtext", T.StringType()),
 ])
 

@@ -54,3 +54,14 @@ def test_needle_across_runs_and_empty(spark):
     # pre: body 0, div 1, p 2, i 3
     assert (0, 1, 2) not in got and (0, 2, 1) in got and (0, 3, 2) in got and (0, 4, 2) in got
     assert (1, 1, 2) in got and (1, 2, 1) in got
+
+
+def test_tier5_equality_ignores_space_and_outer_quotes(spark):
+    nodes, texts, tokens, page_text, dom = shredded_dom(
+        spark, '<body><div><p>"A</p><p>b  c"</p></div><p>x</p></body>')
+    blocks = spark.createDataFrame([(0, 0, 0, ["body", "division"], ['"A b c"'], 1)],
+                                   "page_id bigint, part int, pos int, tag_seq array<string>, "
+                                   "text_seq array<string>, prediction int")
+    res = WB.resolve_cascade(blocks, nodes, texts, page_text, dom).collect()
+    tag_of = {r["pre"]: r["tag"] for r in nodes.collect()}
+    assert [(r["tier"], tag_of[r["pre"]]) for r in res] == [(5, "div")]
