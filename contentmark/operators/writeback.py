@@ -176,10 +176,10 @@ def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
     d = materialize(c.select(*BKEY, _decide14({t: F.col(f"n{t}") for t in (1, 2, 3, 4)})
                              .alias("tier")), "wb-decided")
     decided = h14.join(d.where(F.col("tier").isNotNull()), BKEY + ["tier"])
-    rest = materialize(b.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi"),
-                       "wb-rest")
-    ks = _key_spans(rest, dom)
-    h5 = materialize(_equal_hits(rest, ks, nt, 5), "wb-hits5")
+    rest = b.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi")
+    # the scan feeds both equality tiers: run it once
+    ks = materialize(_key_spans(rest, dom), "wb-spans")
+    h5 = _equal_hits(rest, ks, nt, 5)
     one5 = h5.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select(*BKEY)
     h6 = _equal_hits(rest.join(one5, BKEY, "left_anti"), ks, nt, 6)
     return (decided.select(*BKEY, "tier", "pre")
