@@ -72,3 +72,19 @@ def test_class_weighted_emissions(spark):
     weighted = {r["label"]: r["prior"] for r in M.fit_emissions(b, 10, weights=w).collect()}
     # balanced weights equalise the class priors
     assert abs(weighted[0] - weighted[1]) < 1e-9 and abs(plain[0] - plain[1]) > 0.1
+
+
+def test_masked_pooling(spark):
+    from contentmark.operators import vectors as V
+    rows = [("a", 0, [1.0, 2.0], 1), ("a", 1, [3.0, -4.0], 1), ("a", 2, [100.0, 100.0], 0),
+            ("b", 0, [5.0, 5.0], 0)]
+    t = spark.createDataFrame(rows, "k string, pos int, vec array<double>, m int")
+    mean = {r["k"]: r["pooled"] for r in V.pool(t, "k", "vec", "mean", mask="m").collect()}
+    mx = {r["k"]: r["pooled"] for r in V.pool(t, "k", "vec", "max", mask="m").collect()}
+    first = {r["k"]: r["pooled"] for r in V.pool(t, "k", "vec", "first", order="pos").collect()}
+    assert mean == {"a": [2.0, -1.0], "b": [0.0, 0.0]}          # all-pad -> clamp -> zeros
+    assert mx == {"a": [3.0, 2.0], "b": [-1e9, -1e9]}           # pads count as -1e9
+    assert first == {"a": [1.0, 2.0], "b": [5.0, 5.0]}
+    c = t.groupBy("k").agg(__import__("pyspark.sql.functions", fromlist=["F"]).first("vec").alias("v"))
+    r = c.select(V.combine(["v", "v", "v"], "mean").alias("x"), V.combine(["v", "v"], "concat").alias("y")).first()
+    assert len(r["y"]) == 2 * len(r["x"])

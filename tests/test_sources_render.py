@@ -69,3 +69,24 @@ def test_stream_labels_new_pages(spark, tmp_path):
     q.awaitTermination(120)
     html = spark.read.parquet(str(tmp_path / "out")).first()["html"]
     assert 'class="x" CASM_main_content_label="1"' in html
+
+
+def test_read_blocks_unions_differing_columns(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text('html/originalId,html/part,html/tagSequence,html/label\np1,0,"[body, paragraph]",1\n')
+    b.write_text('html/originalId,html/part,html/tagSequence,html/label,postgresId\np2,0,[body],0,77\n')
+    df = BIO.read_blocks(spark, [str(a), str(b)])
+    rows = {r["page_id"]: r for r in df.collect()}
+    assert set(df.columns) >= {"page_id", "part", "tag_seq", "label", "postgresId"}
+    assert rows["p1"]["postgresId"] is None and rows["p2"]["postgresId"] == "77"
+    assert rows["p1"]["tag_seq"] == "[body, paragraph]"
+
+
+def test_attach_and_audit(spark):
+    from contentmark.operators import align as A
+    blocks = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "page_id long, part int, pos int")
+    preds = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 2, 0)], "page_id long, part int, pos int, prediction int")
+    got = sorted(tuple(r) for r in A.attach(blocks, preds).collect())
+    assert got == [(1, 0, 0, 1), (1, 0, 1, None)]
+    audit = sorted(tuple(r) for r in A.attach_audit(blocks, preds).collect())
+    assert audit == [(1, 0, 1, "block"), (1, 0, 2, "prediction")]
