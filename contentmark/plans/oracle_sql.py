@@ -633,6 +633,13 @@ def oracles() -> dict[str, str]:
     q.update(model_oracles())
     q.update(writeback_oracles())
     q["model_reload"] = q["decode"]
+    q["eval_pairs"] = q["decode"].replace(
+        "SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos, unnest(path) AS prediction FROM fin",
+        """, dp AS (SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos,
+                   unnest(path) AS prediction FROM fin)
+SELECT s.label, dp.prediction, count(*)::BIGINT AS n FROM split s
+JOIN dp ON dp.page_id = s.page_id AND dp.part = s.part AND dp.pos = s.pos
+GROUP BY s.label, dp.prediction""")
     q["attach_predictions"] = q["decode"].replace(
         "SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos, unnest(path) AS prediction FROM fin",
         """, dp AS (SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos,

@@ -474,6 +474,20 @@ def _eval_pairs(spark, sf_dir):
     return lab.select(F.col("quality").alias("label"), F.col("toxic").alias("prediction"))
 
 
+def q_eval_pairs(spark, sf_dir):
+    """Decoded samples padded to SEQ_BLOCKS blocks with their masks;
+    ``pairs`` must recover exactly the real blocks: (label, prediction, n)."""
+    d = _decoded(spark, sf_dir)
+    n = F.size("label")
+    pad = F.greatest(F.lit(SEQ_BLOCKS) - n, F.lit(0))
+    padded = d.select(
+        F.concat("label", F.array_repeat(F.lit(0), pad)).alias("label"),
+        F.concat("prediction", F.array_repeat(F.lit(0), pad)).alias("prediction"),
+        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), pad)).alias("mask"))
+    return (E.confusion(E.pairs(padded))
+            .select("label", "prediction", F.col("n").cast("bigint").alias("n")))
+
+
 def q_eval_metrics(spark, sf_dir):
     m = E.metrics(_eval_pairs(spark, sf_dir), "test")
     return m.select("metric", F.round("value", 6).alias("value"))
@@ -622,6 +636,7 @@ def registry() -> dict:
         "transitions": q_transitions,
         "decode": q_decode,
         "sequence_loss": q_sequence_loss,
+        "eval_pairs": q_eval_pairs,
         "eval_metrics": q_eval_metrics,
         "eval_report": q_eval_report,
         "tag_map": q_tag_map,

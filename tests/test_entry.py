@@ -17,7 +17,7 @@ label_block_by_text label_corpus gold_keys gold_candidates gold_align attach_pre
 parse_sequences vocab encode fold_pad_mask split_parts unpad_explode attention_mask seq_len
 pool_mean pool_max pool_first combine context class_weights emissions_nb transitions decode
 sequence_loss fit_predict model_reload eval_metrics eval_report tag_map clean_text match_tiers
-match_resolve annotate highlight label_pages""".split()
+match_resolve annotate highlight label_pages eval_pairs""".split()
 
 
 def test_oracles_cover_queries():
