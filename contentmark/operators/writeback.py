@@ -140,8 +140,9 @@ def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
               label: str = "prediction") -> DataFrame:
     """R3-R8 (A6): (page_id, part, pos, tier, pre) - every hit of every
     tier for every block (the full table behind ``tier_counts``)."""
-    b = materialize(block_targets(blocks, mapping, label), "wb-blocks")
-    nt = materialize(node_targets(nodes), "wb-nodes")
+    # cheap projections of tables that are already materialised upstream
+    b = block_targets(blocks, mapping, label)
+    nt = node_targets(nodes)
     occ = materialize(_occ(b, dom), "wb-occ")
     cov = materialize(_covering(b, occ, nt), "wb-cover")
     ks = materialize(_key_spans(b, dom), "wb-spans")
@@ -164,8 +165,9 @@ def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
     are counted for every block and decide most of them; the text keys of
     tiers 5-6 are computed only for the pages and tags of the blocks still
     undecided."""
-    b = materialize(block_targets(blocks, mapping, label), "wb-blocks")
-    nt = materialize(node_targets(nodes), "wb-nodes")
+    # cheap projections of tables that are already materialised upstream
+    b = block_targets(blocks, mapping, label)
+    nt = node_targets(nodes)
     occ = materialize(_occ(b, dom), "wb-occ")
     cov = _covering(b, occ, nt)
     h14 = _tier1(b, occ, nt, texts)
