@@ -97,28 +97,39 @@ def score(blocks: DataFrame, model: DataFrame, ids: str = "text_ids") -> DataFra
 def fit_transitions(blocks: DataFrame, label: str = "label", keys=("page_id", "part"),
                     order: str = "pos") -> DataFrame:
     """M3: log-probability chain scores from label counts, add-one smoothed:
-    (kind, from_label, to_label, score) with kind in start / trans / end."""
+    (kind, from_label, to_label, score) with kind in start / trans / end.
+
+    One window pass tags each block with its successor; every block emits
+    its events (a transition, a start, an end) and a single partial
+    aggregate counts them all."""
     w = W.partitionBy(*keys).orderBy(order)
-    b = blocks.select(*keys, order, F.col(label).alias("y")).withColumn(
-        "nxt", F.lead("y").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    trans = (b.where(F.col("nxt").isNotNull()).groupBy("y", "nxt").agg(F.count(F.lit(1)).alias("c")))
-    grid = blocks.sparkSession.range(N_CLASSES * N_CLASSES).select(
-        (F.col("id") / N_CLASSES).cast("int").alias("y"), (F.col("id") % N_CLASSES).cast("int").alias("nxt"))
-    t = grid.join(trans, ["y", "nxt"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    t = t.withColumn("score", F.log((F.col("c") + 1.0) / (F.sum("c").over(W.partitionBy("y")) + N_CLASSES)))
-    t = t.select(F.lit("trans").alias("kind"), F.col("y").alias("from_label"),
-                 F.col("nxt").alias("to_label"), "score")
-    ys = blocks.sparkSession.range(N_CLASSES).select(F.col("id").cast("int").alias("y"))
-
-    def edge(cond, kind):
-        c = b.where(cond).groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-        e = ys.join(c, "y", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        e = e.withColumn("score", F.log((F.col("c") + 1.0) / (F.sum("c").over(W.partitionBy()) + N_CLASSES)))
-        return e.select(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("from_label"),
-                        F.col("y").alias("to_label"), "score")
-
-    return materialize(
-        t.unionByName(edge(F.col("first"), "start")).unionByName(edge(F.col("nxt").isNull(), "end")))
+    b = (blocks.select(*keys, order, F.col(label).cast("int").alias("y"))
+         .withColumn("nxt", F.lead("y").over(w))
+         .withColumn("first", F.row_number().over(w) == 1))
+    none = F.lit(-1)  # "from" of start / end events (a null key would not join)
+    events = F.filter(F.array(
+        F.when(F.col("nxt").isNotNull(), F.struct(F.lit("trans").alias("kind"), F.col("y").alias("f"),
+                                                  F.col("nxt").alias("t"))),
+        F.when(F.col("first"), F.struct(F.lit("start").alias("kind"), none.alias("f"), F.col("y").alias("t"))),
+        F.when(F.col("nxt").isNull(), F.struct(F.lit("end").alias("kind"), none.alias("f"),
+                                               F.col("y").alias("t")))), lambda e: e.isNotNull())
+    counts = (b.select(F.inline(events)).groupBy("kind", "f", "t").agg(F.count(F.lit(1)).alias("c")))
+    # full grid of the 8 scores (missing counts are 0), as a tiny constant table
+    spark = blocks.sparkSession
+    grid = spark.range(N_CLASSES * N_CLASSES).select(
+        F.lit("trans").alias("kind"), (F.col("id") / N_CLASSES).cast("int").alias("f"),
+        (F.col("id") % N_CLASSES).cast("int").alias("t"))
+    for kind in ("start", "end"):
+        grid = grid.unionByName(spark.range(N_CLASSES).select(
+            F.lit(kind).alias("kind"), none.alias("f"), F.col("id").cast("int").alias("t")))
+    j = grid.join(counts, ["kind", "f", "t"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    # trans rows normalise per from-label, start / end rows per kind
+    grp = F.when(F.col("kind") == "trans", F.col("f").cast("string")).otherwise(F.col("kind"))
+    j = j.withColumn("_g", grp)
+    score = F.log((F.col("c") + 1.0) / (F.sum("c").over(W.partitionBy("kind", "_g")) + N_CLASSES))
+    return materialize(j.select(
+        "kind", F.when(F.col("kind") == "trans", F.col("f")).cast("int").alias("from_label"),
+        F.col("t").alias("to_label"), score.alias("score")))
 
 
 def transition_scalars(trans: DataFrame) -> dict:
