@@ -136,3 +136,15 @@ def test_lca_property_random_trees(spark):
         nodes.select("page_id", "pre", "path"), ["page_id", "pre"])
     got = {r["page_id"]: r["lca"] for r in N.lowest_common_ancestor(sdf).collect()}
     assert got == {pid: e[0] for pid, e in expect.items()}
+
+
+def test_block_within_body(spark):
+    nodes, texts, _, _ = shredded(spark, "<html><head><title>T</title></head><body><div><p>A</p>"
+                                         "<p>B</p></div><p>c</p></body></html>")
+    gold = spark.createDataFrame([(0, 0, "T"), (0, 1, "A"), (0, 2, "B")],
+                                 "page_id bigint, line_no int, text string")
+    everywhere = L.label_block_by_text(nodes, texts, gold)
+    in_body = L.label_block_by_text(nodes, texts, gold, within="body")
+    # the title matches too, so without a scope the block is the whole page
+    assert {r["tag"] for r in everywhere.where("is_main = 1").collect()} >= {"html", "title", "body"}
+    assert sorted(r["tag"] for r in in_body.where("is_main = 1").collect()) == ["div", "p", "p"]

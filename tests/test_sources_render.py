@@ -90,3 +90,12 @@ def test_attach_and_audit(spark):
     assert got == [(1, 0, 0, 1), (1, 0, 1, None)]
     audit = sorted(tuple(r) for r in A.attach_audit(blocks, preds).collect())
     assert audit == [(1, 0, 1, "block"), (1, 0, 2, "prediction")]
+
+
+def test_spread_only_when_few_splits(spark):
+    from contentmark.session import spread
+    n = spark.sparkContext.defaultParallelism * 2
+    small = spark.range(10).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == n
+    big = spark.range(10).repartition(n + 3)
+    assert spread(big).rdd.getNumPartitions() == n + 3
