@@ -74,8 +74,9 @@ def _big(*cols):
 
 
 def q_dom_nodes(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
-    return c.nodes.select("page_id", *_big("pre", "parent", "depth"), "tag", "own_text")
+    # the token table is read once here: no need to materialise it
+    nodes = S.nodes(S.shred(_t(spark, sf_dir, "pages")))
+    return nodes.select("page_id", *_big("pre", "parent", "depth"), "tag", "own_text")
 
 
 def q_label_block_by_text(spark, sf_dir):
