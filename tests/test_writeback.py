@@ -65,3 +65,38 @@ def test_tier5_equality_ignores_space_and_outer_quotes(spark):
     res = WB.resolve_cascade(blocks, nodes, texts, page_text, dom).collect()
     tag_of = {r["pre"]: r["tag"] for r in nodes.collect()}
     assert [(r["tier"], tag_of[r["pre"]]) for r in res] == [(5, "div")]
+
+
+def test_occurrence_scan_matches_brute_force():
+    """Runs holding each needle and elements whose subtree text holds it,
+    from the per-page scan, equal a direct search (pure Python)."""
+    import random
+
+    import pyarrow as pa
+
+    from contentmark.operators.htmltree import shred_html
+    from contentmark.operators.textscan import _scan
+
+    rnd = random.Random(5)
+    pieces = ["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "ab", "ba", "a", " ", "b"]
+    for _ in range(40):
+        html = "<body>" + "".join(rnd.choice(pieces) for _ in range(25)) + "</body>"
+        rows = shred_html(html)
+        doc = [r for r in rows if r["kind"] == "doc"][0]
+        runs = [r for r in rows if r["kind"] in ("text", "rawtext")]
+        starts = [r for r in rows if r["kind"] == "start"]
+        needles = ["ab", "a b", "b", "aba"]
+        batch = pa.RecordBatch.from_pylist([dict(
+            page_id=0, content=doc["text"], needles=needles,
+            runs=[dict(c0=r["c0"], i=r["i"], node=r["node"], path=r["path"]) for r in runs])])
+        got_runs, got_cover = set(), set()
+        for b in _scan([batch]):
+            for h in b.to_pylist():
+                if h["run_i"] is not None:
+                    got_runs.add((h["needle"], h["run_i"]))
+                got_cover |= {(h["needle"], p) for p in h["cover"]}
+        want_runs = {(n, r["i"]) for n in needles for r in runs if n in r["text"]}
+        want_cover = {(n, s["node"]) for n in needles for s in starts
+                      if n in doc["text"][s["c0"]:s["c1"]]}
+        assert got_runs == want_runs, html
+        assert got_cover == want_cover, html
