@@ -25,4 +25,4 @@ def test_oracles_cover_queries():
     assert set(sqls) <= set(qs)
     assert set(PLANNED) <= set(qs)
     # rows-only by design: the MLlib solver path
-    assert set(qs) - set(sqls) <= {"fit_predict"}
+    assert set(PLANNED) - set(sqls) <= {"fit_predict"}
