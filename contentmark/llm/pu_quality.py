@@ -113,7 +113,8 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int, seed: int):
             .mapInArrow(_feature_rows, "id bigint, x array<double>")
             .groupBy("id").agg(F.min("x").alias("x")).collect())
     rows.sort(key=lambda r: r["id"])
-    return np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES))
+    x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES))
+    return x[np.random.default_rng(seed).permutation(len(x))]   # halves are random, too
 
 
 def _descend(value_grad, size: int):
