@@ -23,7 +23,7 @@ L, N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 WORD_PATTERN_IN_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-GENERATION = 150_000   # parts remembered before the older half is let go
+GENERATION = 250_000   # parts remembered before the older half is let go
 
 
 def byte_letters() -> list[str]:

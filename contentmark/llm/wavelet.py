@@ -9,8 +9,8 @@ occurrence is) in one step per plane.
 
 Format of a shard (little-endian): ``WMX1``, u32 planes, u64 ids; per plane u64
 zeros, then the packed bits (bit 0 first) and u32 ones before each 512-bit block.
-Shards are rows of a Parquet table (part, shard, doc_ids, doc_lengths,
-n_tokens, matrix), so any store Spark writes to will do, and a lost task is
+Shards are rows of a Parquet table (part, shard, at, doc_ids,
+doc_lengths, n_tokens, matrix; at: ids before it in its part), so any store Spark writes to will do, and a lost task is
 written again.
 
 Documents are ordered by a range shuffle (no one-task sort); only token counts
@@ -44,10 +44,11 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids, planes: int):
         import numpy as np
-        ids = np.asarray(ids, np.uint32)
+        kind = np.uint16 if planes <= 16 else np.uint32
+        ids = np.asarray(ids).astype(kind)
         zeros, bits, ranks = [], [], []
         for k in range(planes - 1, -1, -1):
-            bit = (ids >> np.uint32(k) & np.uint32(1)).astype(bool)
+            bit = (ids & kind(1 << k)).astype(bool)
             zeros.append(len(ids) - int(bit.sum()))
             packed = np.packbits(bit, bitorder="little")
             packed = np.append(packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8))
@@ -143,12 +144,13 @@ class WaveletMatrix:
     def decode(self):
         """All ids in order: planes are undone from the last to the first."""
         import numpy as np
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for p in range(len(self.zeros) - 1, -1, -1):
             bit = np.unpackbits(self.bits[p], count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(out)
             up[~bit] = out[:self.zeros[p]]
-            up[bit] = out[self.zeros[p]:] | np.uint32(1 << len(self.zeros) - 1 - p)
+            up[bit] = out[self.zeros[p]:] | kind(1 << len(self.zeros) - 1 - p)
             out = up
         return out
 
@@ -162,16 +164,16 @@ def _encode(path: str, end_id: int, shard_tokens: int):
         planes = max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
         end = np.array([end_id], "<u4").tobytes()
         part, shard = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        ids, texts, size, at = [], [], 0, 0
 
         def table():
             lengths = [len(t) // 4 for t in texts]
             matrix = WaveletMatrix.build(np.frombuffer(b"".join(texts), "<u4"), planes).to_bytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int64()),
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int64()), pa.array([at], pa.int64()),
                  pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
                  pa.array([sum(lengths)], pa.int64()), pa.array([matrix], pa.binary())],
-                names=["part", "shard", "doc_ids", "doc_lengths", "n_tokens", "matrix"])
+                names=["part", "shard", "at", "doc_ids", "doc_lengths", "n_tokens", "matrix"])
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(),
                               encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -180,7 +182,7 @@ def _encode(path: str, end_id: int, shard_tokens: int):
                 size += len(raw) // 4 + 1
                 if size >= shard_tokens:
                     yield table()
-                    ids, texts, size, shard = [], [], 0, shard + 1
+                    ids, texts, size, shard, at = [], [], 0, shard + 1, at + size
         if ids:
             yield table()
     return run
@@ -193,7 +195,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     order = [F.col("id").asc_nulls_first(), F.xxhash64(text_or_empty(F.col("text")))]
     placed = t.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(*order)
     shards = placed.mapInArrow(_encode(tokenizer_path, end_id, shard_tokens),
-                               "part int, shard bigint, doc_ids array<bigint>, doc_lengths array<bigint>, "
+                               "part int, shard bigint, at bigint, doc_ids array<bigint>, doc_lengths array<bigint>, "
                                "n_tokens bigint, matrix binary")
     return materialize(shards, "token-shards")
 
@@ -221,10 +223,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition of the writing job
     offsets = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("at"))
-              .join(F.broadcast(offsets), F.col("part") == F.col("p"))
-              .select(F.col("part").alias("p"), F.col("shard").alias("s"), (F.col("at") + F.col("off")).alias("start")))
-    return (shards.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")))
+    return (shards.join(F.broadcast(offsets), F.col("part") == F.col("p"))
+            .withColumn("start", F.col("at") + F.col("off"))
             .select("start", "doc_ids", "doc_lengths", "matrix")
             .mapInArrow(_decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
