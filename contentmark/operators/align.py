@@ -41,19 +41,12 @@ def candidates(dom: DataFrame, gold: DataFrame, n_chars: int = 50) -> DataFrame:
     return hit.unionByName(empty).distinct()
 
 
-def align(texts: DataFrame, gold: DataFrame, n_chars: int = 50) -> DataFrame:
+def align(texts: DataFrame, gold: DataFrame) -> DataFrame:
     """A3: text runs whose white-space-normalised text equals a normalised
-    gold line and that hold the line's raw ``n_chars`` prefix.
-
-    Equality makes this an equi-join on (page_id, normalised text); the
-    prefix test is a residual on the few joined rows."""
-    g = (gold_keys(gold, n_chars)
-         .select("page_id", "line_no", "key_raw", normalize_ws("text").alias("norm")))
-    t = texts.select("page_id", "i", "node", "path", "text",
-                     normalize_ws("text").alias("norm"))
-    return (t.join(g, ["page_id", "norm"])
-            .where(F.contains("text", F.col("key_raw")))
-            .select("page_id", "line_no", "i", "node", "path"))
+    gold line - an equi-join on (page_id, normalised text)."""
+    g = gold.select("page_id", "line_no", normalize_ws("text").alias("norm"))
+    t = texts.select("page_id", "i", "node", "path", normalize_ws("text").alias("norm"))
+    return t.join(g, ["page_id", "norm"]).select("page_id", "line_no", "i", "node", "path")
 
 
 def owners(hits: DataFrame) -> DataFrame:

@@ -93,49 +93,49 @@ def _seq_string(df: DataFrame, c: str) -> Column:
     return strip_brackets(c)
 
 
-def fit_vocab(blocks: DataFrame, max_size: int = 30000, cols=SEQ_COLS) -> DataFrame:
-    """(token, id) - ids by descending frequency then token, after the
-    special ids bos=0 pad=1 eos=2 unk=3.  Counting is a partial aggregate;
-    the cap is a top-k (per-partition top-k then merge), so only
-    ``max_size`` rows ever meet in one task."""
+def fit_vocab(blocks: DataFrame, max_size: int | None = None, cols=SEQ_COLS) -> DataFrame:
+    """(token, id, cnt) - ids by descending frequency then token, after
+    the special ids bos=0 pad=1 eos=2 unk=3; ``max_size`` keeps the most
+    frequent tokens only (all by default).  Counting is a partial aggregate;
+    ids come from a range sort with one offset per partition."""
     toks = None
     for c in cols:
         t = blocks.select(F.explode(tokenize(_seq_string(blocks, c))).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.orderBy(F.col("cnt").desc(), F.col("token")).limit(max_size)
-    w = W.orderBy(F.col("cnt").desc(), F.col("token"))
-    # eager, like an estimator's fit: at most max_size rows
-    return materialize(top.select("token", (F.row_number().over(w) + (UNK)).alias("id"), "cnt"))
-
-
-# Largest vocabulary shipped to every task as a broadcast hash table.
-MAX_BROADCAST_VOCAB = 5_000_000
-
-
-def encode(blocks: DataFrame, vocab: DataFrame, max_length: int = 512,
-           pad: str = "max_length", truncate: bool = True, cols=SEQ_COLS,
-           keys=("page_id", "part", "pos"), vocab_size: int | None = None) -> DataFrame:
+    order = [F.col("cnt").desc(), F.col("token")]
+    if max_size is not None:
+        counts = counts.orderBy(*order).limit(max_size)
+    # eager, like an estimator's fit
+    parts = materialize(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "vocab")
+    per_part = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))     # a row per partition
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_part.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    return (parts.withColumn("_rn", inside).join(F.broadcast(offsets), "_p")
+            .select("token", (F.col("_off") + F.col("_rn") + UNK).alias("id"), "cnt"))
+
+
+def encode(blocks: DataFrame, vocab: DataFrame, max_length: int | None = None,
+           pad: str = "do_not_pad", cols=SEQ_COLS, keys=("page_id", "part", "pos")) -> DataFrame:
     """Token ids for class / tag / text sequences: bos + ids + eos,
-    unknown tokens -> unk, truncated to ``max_length`` (eos kept), padded
-    per ``pad`` (``longest`` = longest sequence of that kind in the whole
-    column, a one-row aggregate).
-
-    Tokens of all three sequences are exploded once, looked up with a hash
-    join against the vocabulary (broadcast: its size is capped by
-    ``fit_vocab``'s ``max_size``) and regrouped per block; the regroup key
-    starts with ``page_id``, so blocks already partitioned by page need no
-    further shuffle."""
+    unknown tokens -> unk, truncated to ``max_length`` if given (eos kept),
+    padded per ``pad`` (``longest`` = longest sequence of that kind in the
+    whole column, one aggregate for all three).
+
+    Tokens of all three sequences are exploded once, looked up by a join
+    with the vocabulary (the planner picks it by size and splits hot tokens;
+    the vocabulary has one row per token) and regrouped per block."""
     if pad not in PAD_MODES:
         raise ValueError(f"pad must be one of {PAD_MODES}")
+    if pad == "max_length" and max_length is None:
+        raise ValueError("padding to max_length needs max_length")
     keys = list(keys)
     toks = blocks.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(k).alias("kind"), _seq_string(blocks, c).alias("s"))
         for k, c in enumerate(cols)])))
     toks = toks.select(*keys, "kind", F.posexplode(tokenize("s")).alias("k", "token"))
     v = vocab.select("token", F.col("id").cast("int").alias("id"))
-    if vocab_size is None or vocab_size <= MAX_BROADCAST_VOCAB:
-        v = F.broadcast(v)
     ids = (toks.join(v, "token", "left")
            .withColumn("id", F.coalesce("id", F.lit(UNK)))
            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "k", "id"))).alias("_t")))
@@ -144,20 +144,18 @@ def encode(blocks: DataFrame, vocab: DataFrame, max_length: int = 512,
         got = F.transform(F.filter(F.coalesce("_t", F.array()), lambda x: x["kind"] == kind),
                           lambda x: x["id"])
         seq = F.concat(F.array(F.lit(BOS)), got, F.array(F.lit(EOS)))
-        if truncate:
+        if max_length is not None:
             seq = F.when(F.size(seq) > max_length, F.concat(
                 F.slice(seq, 1, max_length - 1), F.array(F.lit(EOS)))).otherwise(seq)
         out = out.withColumn(ic, seq)
     out = out.drop("_t")
     if pad == "do_not_pad":
         return out
-    for ic in ID_COLS:
-        if pad == "max_length":
-            target = F.lit(max_length)
-        else:
-            target = out.agg(F.max(F.size(ic))).scalar()
-        out = out.withColumn(ic, pad_ids(F.col(ic), target))
-    return out
+    if pad == "max_length":
+        targets = dict.fromkeys(ID_COLS, max_length)
+    else:
+        targets = out.agg(*[F.coalesce(F.max(F.size(ic)), F.lit(0)).alias(ic) for ic in ID_COLS]).first().asDict()
+    return out.withColumns({ic: pad_ids(F.col(ic), n) for ic, n in targets.items()})
 
 
 def pad_ids(ids: Column, length) -> Column:
@@ -168,17 +166,19 @@ def pad_ids(ids: Column, length) -> Column:
 # --- B11: split long pages ----------------------------------------------------------
 
 def split_parts(blocks: DataFrame, max_blocks: int = 85) -> DataFrame:
-    """Split pages with more than ``max_blocks`` blocks evenly into
-    k = ceil(n / max_blocks) parts (``part`` = 0..k-1, blocks of an input
-    part stay contiguous); ``pos`` is re-numbered inside a part.  Expects
-    unsplit input (``part`` = 0, as ``extract_blocks`` gives)."""
-    n = F.count(F.lit(1)).over(W.partitionBy("page_id", "part"))
-    b = blocks.withColumn("_n", n).withColumn("_k", F.ceil(F.col("_n") / max_blocks))
-    sub = F.floor(F.col("pos") * F.col("_k") / F.col("_n"))
-    first = F.ceil(F.col("part") * F.col("_n") / F.col("_k"))
-    return (b.withColumn("part", sub.cast("int"))
-            .withColumn("pos", (F.col("pos") - first).cast("int"))
-            .drop("_n", "_k"))
+    """Split parts with more than ``max_blocks`` blocks evenly into
+    k = ceil(n / max_blocks); ``part`` counts all resulting parts of a page
+    in order (input parts never merge) and ``pos`` starts anew in each."""
+    in_part = W.partitionBy("page_id", "part")
+    b = (blocks.withColumn("_n", F.count(F.lit(1)).over(in_part))
+         .withColumn("_rn", F.row_number().over(in_part.orderBy("pos")) - 1)
+         .withColumn("_k", F.ceil(F.col("_n") / max_blocks)))
+    b = b.withColumn("_sub", F.floor(F.col("_rn") * F.col("_k") / F.col("_n")))
+    b = b.withColumn("pos", (F.col("_rn") - F.ceil(F.col("_sub") * F.col("_n") / F.col("_k"))).cast("int"))
+    started = F.sum((F.col("pos") == 0).cast("int")).over(
+        W.partitionBy("page_id").orderBy("part", "_rn").rowsBetween(W.unboundedPreceding, 0))
+    return (b.withColumn("_part", (started - 1).cast("int")).withColumn("part", F.col("_part"))
+            .drop("_n", "_rn", "_k", "_sub", "_part"))
 
 
 # --- B7-B10: fold, pad blocks, mask, stack -----------------------------------------------
@@ -198,15 +198,23 @@ def fold(blocks: DataFrame, keys=("page_id", "part"), order: str = "pos") -> Dat
     return folded.select(*keys, *[F.col("_rows")[c].alias(c) for c in others])
 
 
-def pad_blocks(samples: DataFrame, max_blocks: int = 85, max_length: int = 512,
+def _padded(blocks_col: str, length: Column) -> Column:
+    return F.transform(blocks_col, lambda b: pad_ids(b, length))
+
+
+def pad_blocks(samples: DataFrame, max_blocks: int = 85, max_length: int | None = None,
                label_col: str = "label") -> DataFrame:
-    """Pad id lists to ``max_blocks`` with all-pad blocks of
-    ``max_length`` and labels with 0; longer samples stay as they are."""
-    pad_block = F.array_repeat(F.lit(PAD), max_length)
+    """Pad every block's ids to ``max_length`` (the sample's own longest
+    block of that kind by default), the id lists to ``max_blocks`` with
+    all-pad blocks and the labels with 0; longer samples stay as they are.
+    Runs after the fold, so no pad travels through its shuffle."""
     out = samples
     for ic in ID_COLS:
-        out = out.withColumn(ic, F.concat(ic, F.array_repeat(
-            pad_block, F.greatest(F.lit(max_blocks) - F.size(ic), F.lit(0)))))
+        longest = F.coalesce(F.array_max(F.transform(ic, F.size)), F.lit(0)) if max_length is None \
+            else F.lit(max_length)
+        missing = F.array_repeat(F.array_repeat(F.lit(PAD), longest),
+                                 F.greatest(F.lit(max_blocks) - F.size(ic), F.lit(0)))
+        out = out.withColumn(ic, F.concat(_padded(ic, longest), missing))
     return out.withColumn(label_col, F.concat(label_col, F.array_repeat(
         F.lit(0), F.greatest(F.lit(max_blocks) - F.size(label_col), F.lit(0)))))
 
@@ -222,7 +230,7 @@ def stack_features(samples: DataFrame) -> DataFrame:
     return samples.withColumn("features", F.array(*[F.col(c) for c in ID_COLS]))
 
 
-def make_samples(blocks: DataFrame, max_blocks: int = 85, max_length: int = 512,
+def make_samples(blocks: DataFrame, max_blocks: int = 85, max_length: int | None = None,
                  pad_to_max_blocks: bool = True) -> DataFrame:
     """B7-B10 in one go on encoded blocks."""
     s = fold(blocks)

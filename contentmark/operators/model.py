@@ -42,54 +42,52 @@ def _real_ids(ids="text_ids") -> Column:
     return F.filter(F.col(ids), lambda i: ~i.isin(BOS, EOS, PAD))
 
 
+PRIOR, REST = -1, -2   # ids of the model rows that hold class-wide scores
+ABSENT = -1e9          # score of a class without training blocks
+
+
 def fit_emissions(blocks: DataFrame, vocab_size: int, label: str = "label",
                   ids: str = "text_ids", weights: DataFrame | None = None) -> DataFrame:
     """M2 (fit): multinomial naive Bayes over the block's token ids, add-one
-    smoothed: one row per class with ``prior`` and ``lp`` (log P(id | class)
-    for every id of the vocabulary).  ``weights`` (label, weight) scales the
-    class counts (class-weighted training)."""
-    n_ids = vocab_size + 4
-    spark = blocks.sparkSession
-    toks = blocks.select(F.col(label).alias("label"), F.explode(_real_ids(ids)).alias("id"))
-    counts = toks.groupBy("label", "id").agg(F.count(F.lit(1)).alias("c"))
-    docs = blocks.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_doc"))
-    n_tok = counts.groupBy("label").agg(F.sum("c").alias("n_tok"))
-    # dense (class, id) grid so each class's log-probabilities form an array
-    # indexed by id (array look-ups are O(1); Spark map look-ups scan)
-    grid = spark.range(n_ids * N_CLASSES).select(
-        (F.col("id") / n_ids).cast("int").alias("label"), (F.col("id") % n_ids).cast("int").alias("id"))
-    lp = (grid.join(counts, ["label", "id"], "left").join(n_tok, "label", "left")
-          .select("label", "id", F.log((F.coalesce("c", F.lit(0)) + 1.0)
-                                       / (F.coalesce("n_tok", F.lit(0)) + F.lit(float(n_ids)))).alias("lp"))
-          .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "lp"))),
-                                            lambda x: x["lp"]).alias("lp")))
-    m = docs.join(lp, "label", "left")
-    if weights is not None:
-        m = m.join(weights.select("label", "weight"), "label", "left")
-    else:
-        m = m.withColumn("weight", F.lit(1.0))
-    total = F.sum("n_doc").over(W.partitionBy())
-    # fitting is eager (as for MLlib estimators): the model is a tiny table
-    # that scoring reads through scalar subqueries
-    return materialize(m.select(
-        "label", (F.log(F.col("n_doc") / total) + F.log(F.coalesce("weight", F.lit(1.0))))
-        .alias("prior"), "lp"))
-
-
-def score(blocks: DataFrame, model: DataFrame, ids: str = "text_ids") -> DataFrame:
-    """M2 (apply): ``em`` = [score(class 0), score(class 1)] per block."""
-    out = blocks
-    for k in range(N_CLASSES):
-        row = model.where(F.col("label") == k)
-        out = (out.withColumn(f"_p{k}", row.select(F.first("prior")).scalar())
-               .withColumn(f"_lp{k}", row.select(F.first("lp")).scalar()))
-    def add(lp):
-        return lambda a, i: a + F.element_at(lp, i + 1)
-
-    parts = [F.aggregate(_real_ids(ids), F.coalesce(F.col(f"_p{k}"), F.lit(-1e9)),
-                         add(F.col(f"_lp{k}"))) for k in range(N_CLASSES)]
-    return out.withColumn("em", F.array(*parts)).drop(
-        *[f"_p{k}" for k in range(N_CLASSES)], *[f"_lp{k}" for k in range(N_CLASSES)])
+    smoothed: one row per seen id with its log-probability in both classes
+    (``s0``, ``s1``), a row PRIOR with the class scores and a row REST for ids
+    never seen.  ``weights`` (label, weight) scales the classes.  A class
+    without blocks is never chosen.  The counts of a class are the only values
+    that pass through the driver."""
+    import math
+    toks = blocks.select(F.col(label).alias("y"), F.explode(_real_ids(ids)).alias("id"))
+    counts = toks.groupBy("id").agg(*[F.sum((F.col("y") == k).cast("bigint")).alias(f"c{k}")
+                                      for k in range(N_CLASSES)])
+    counts = materialize(counts, "id-counts")
+    n_tok = counts.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(N_CLASSES)]).first()
+    n_doc = blocks.agg(*[F.coalesce(F.sum((F.col(label) == k).cast("bigint")), F.lit(0))
+                         for k in range(N_CLASSES)]).first()
+    scale = {r["label"]: r["weight"] for r in weights.collect()} if weights is not None else {}
+    size = vocab_size + 4
+    prior = [math.log(n / sum(n_doc)) + math.log(scale.get(k, 1.0)) if n else ABSENT
+             for k, n in enumerate(n_doc)]
+    rest = [-math.log(n + size) for n in n_tok]
+    rows = counts.select(F.col("id").cast("bigint").alias("id"), *[
+        F.log((F.col(f"c{k}") + 1.0) / F.lit(float(n_tok[k] + size))).alias(f"s{k}") for k in range(N_CLASSES)])
+    special = blocks.sparkSession.createDataFrame([(PRIOR, *prior), (REST, *rest)],
+                                                  "id bigint, s0 double, s1 double")
+    return materialize(rows.unionByName(special), "emissions")
+
+
+def score(blocks: DataFrame, model: DataFrame, ids: str = "text_ids",
+          keys=("page_id", "part", "pos")) -> DataFrame:
+    """M2 (apply): ``em`` = [score(class 0), score(class 1)] per block: token
+    rows are joined with the model and summed per block."""
+    keys = list(keys)
+    fixed = {r["id"]: (r["s0"], r["s1"]) for r in model.where("id < 0").collect()}   # two rows
+    known = model.where("id >= 0").select(F.col("id").alias("_id"), "s0", "s1")
+    toks = blocks.select(*keys, F.explode(_real_ids(ids)).alias("_tok"))
+    sums = (toks.join(known, F.col("_tok") == F.col("_id"), "left")
+            .groupBy(*keys).agg(*[F.sum(F.coalesce(f"s{k}", F.lit(fixed[REST][k]))).alias(f"_s{k}")
+                                  for k in range(N_CLASSES)]))
+    em = F.array(*[F.lit(fixed[PRIOR][k]) + F.coalesce(f"_s{k}", F.lit(0.0)) for k in range(N_CLASSES)])
+    return (blocks.join(sums, keys, "left").withColumn("em", em)
+            .drop(*[f"_s{k}" for k in range(N_CLASSES)]))
 
 
 # --- M3: transitions ----------------------------------------------------------------

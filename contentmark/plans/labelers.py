@@ -55,21 +55,19 @@ def label_block_by_attr(nodes: DataFrame, texts: DataFrame, attr: str = LABEL_AT
     return N.remove_attr(out, attr), t, bad
 
 
-def label_by_text(nodes: DataFrame, texts: DataFrame, gold: DataFrame,
-                  n_chars: int = 50) -> DataFrame:
+def label_by_text(nodes: DataFrame, texts: DataFrame, gold: DataFrame) -> DataFrame:
     """L4: gold-text pages, node level: elements owning a text run equal to
     a gold line (and their subtrees) are main."""
-    seeds = A.owners(A.align(texts, gold, n_chars))
+    seeds = A.owners(A.align(texts, gold))
     return N.mark_subtrees(nodes, seeds)
 
 
-def label_block_by_text(nodes: DataFrame, texts: DataFrame, gold: DataFrame,
-                        n_chars: int = 50, within: str | None = None) -> DataFrame:
+def label_block_by_text(nodes: DataFrame, texts: DataFrame, gold: DataFrame, within: str | None = None) -> DataFrame:
     """Gold-text pages, block level: everything under the LCA of the
     aligned elements is main.  ``within`` (e.g. ``"body"``) restricts the
     seeds to that element's subtree; the default keeps every hit, title
     included, as the reference does."""
-    seeds = A.owners(A.align(texts, gold, n_chars))
+    seeds = A.owners(A.align(texts, gold))
     if within:
         scope = nodes.where(F.col("tag") == within).select(
             "page_id", F.col("pre").alias("_scope"))

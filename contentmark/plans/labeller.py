@@ -29,7 +29,7 @@ EMISSIONS = ("nb", "lr")
 
 
 class BlockLabeler:
-    def __init__(self, vocab_size: int = 30000, max_length: int = 512, max_blocks: int = 85,
+    def __init__(self, vocab_size: int | None = None, max_length: int | None = None, max_blocks: int = 85,
                  emissions: str = "nb", class_weighted: bool = False, num_features: int = 1 << 18):
         if emissions not in EMISSIONS:
             raise ValueError(f"emissions must be one of {EMISSIONS}")
@@ -44,7 +44,7 @@ class BlockLabeler:
         weights = M.class_weights(enc) if p["class_weighted"] else None
         trans = M.fit_transitions(enc)
         if p["emissions"] == "nb":
-            em_model = M.fit_emissions(enc, p["vocab_size"], weights=weights)
+            em_model = M.fit_emissions(enc, vocab.count(), weights=weights)
         else:
             em_model = _lr_pipeline(p, weights is not None).fit(_lr_input(enc, weights))
         return BlockLabelerModel(vocab, em_model, trans, p)

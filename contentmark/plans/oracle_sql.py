@@ -88,7 +88,6 @@ GOLD_CTES = rf"""
   SELECT t.page_id, g.line_no, t.i, t.node, t.path
   FROM tpath t JOIN gold g ON g.page_id = t.page_id
    AND {_norm('t.text')} = {_norm('g.text')}
-   AND contains(t.text, left(g.text, 50))
 ), owners AS (
   SELECT DISTINCT page_id, node AS pre, path FROM hits
 ), lca AS (""" + LCA_BY_COUNT.format(seeds="owners") + ")"
@@ -271,7 +270,7 @@ BLOCK_CTES = f"""
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
-def _vocab_ctes(size: int) -> str:
+def _vocab_ctes(size: int | None = None) -> str:
     return f"""
 , vtoks AS (
   SELECT unnest(regexp_extract_all(lower(s), '{TOKEN_RE}')) AS token FROM (
@@ -279,7 +278,7 @@ def _vocab_ctes(size: int) -> str:
     UNION ALL SELECT text_seq[2:-2] FROM blocks))
 , vocab AS (
   SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::BIGINT AS id, cnt::BIGINT AS cnt
-  FROM (SELECT token, count(*) AS cnt FROM vtoks GROUP BY token) ORDER BY cnt DESC, token LIMIT {size})
+  FROM (SELECT token, count(*) AS cnt FROM vtoks GROUP BY token) ORDER BY cnt DESC, token{f' LIMIT {size}' if size else ''})
 , vm AS (SELECT map(list(token), list(id)) AS m FROM vocab)"""
 
 
@@ -302,6 +301,22 @@ def _split(n_blocks: int) -> str:
                    class_seq, tag_seq, text_seq FROM sp2)"""
 
 
+# Ids of whole texts over the whole vocabulary: token rows joined by token.
+IDS_CTES = f"""
+, tok3 AS (SELECT page_id, part, pos, 0 AS kind, regexp_extract_all(lower(class_seq[2:-2]), '{TOKEN_RE}') AS l FROM split
+  UNION ALL SELECT page_id, part, pos, 1, regexp_extract_all(lower(tag_seq[2:-2]), '{TOKEN_RE}') FROM split
+  UNION ALL SELECT page_id, part, pos, 2, regexp_extract_all(lower(text_seq[2:-2]), '{TOKEN_RE}') FROM split)
+, tokrow AS (SELECT page_id, part, pos, kind, unnest(l) AS token, generate_subscripts(l, 1) AS k FROM tok3)
+, idrow AS (SELECT t.page_id, t.part, t.pos, t.kind, list(v.id ORDER BY t.k) AS ids
+            FROM tokrow t JOIN vocab v ON v.token = t.token GROUP BY t.page_id, t.part, t.pos, t.kind)
+, eb AS (SELECT s.page_id, s.part, s.pos, any_value(s.label) AS label,
+    list_concat([0], coalesce(any_value(ids) FILTER (kind = 0), []), [2]) AS class_ids,
+    list_concat([0], coalesce(any_value(ids) FILTER (kind = 1), []), [2]) AS tag_ids,
+    list_concat([0], coalesce(any_value(ids) FILTER (kind = 2), []), [2]) AS text_ids
+  FROM split s LEFT JOIN idrow i ON i.page_id = s.page_id AND i.part = s.part AND i.pos = s.pos
+  GROUP BY s.page_id, s.part, s.pos)"""
+
+
 def block_oracles() -> dict[str, str]:
     base = NODE_CTES + GOLD_CTES + BLOCK_CTES
     q: dict[str, str] = {}
@@ -324,19 +339,23 @@ SELECT token, id, cnt FROM vocab"""
 SELECT page_id, part, pos, {enc} FROM blocks, vm"""
     q["split_parts"] = base + _split(10) + """
 SELECT page_id, part, pos, node::BIGINT AS node FROM split"""
-    encp = ", ".join(f"{_enc(c, 16, True)} AS {i}" for c, i in
-                     (("class_seq", "class_ids"), ("tag_seq", "tag_ids"), ("text_seq", "text_ids")))
-    samples = base + _vocab_ctes(1000) + _split(10) + f"""
-, eb AS (SELECT page_id, part, pos, label, {encp} FROM split, vm)"""
-    q["fold_pad_mask"] = samples + """
-, sm AS (SELECT page_id, part, count(*) AS n, list(label ORDER BY pos) AS labels,
-                sum(list_sum(class_ids) + list_sum(tag_ids) + list_sum(text_ids)) AS s
-         FROM eb GROUP BY page_id, part)
+    samples = base + _vocab_ctes() + _split(85) + IDS_CTES
+    kinds = ("class_ids", "tag_ids", "text_ids")
+    padded = ", ".join(
+        f"string_agg(array_to_string(list_concat({k}, list_transform(range(l_{k} - len({k})), lambda x: 1)), ','), "
+        f"'|' ORDER BY pos) AS {k}, any_value(l_{k}) AS l_{k}" for k in kinds)
+    longest = ", ".join(f"max(len({k})) OVER (PARTITION BY page_id, part) AS l_{k}" for k in kinds)
+    shown = " || ';' || ".join(
+        f"{k} || repeat('|' || array_to_string(list_transform(range(l_{k}), lambda x: 1), ','), 85 - n::INT)" for k in kinds)
+    q["fold_pad_mask"] = samples + f"""
+, ln AS (SELECT *, {longest} FROM eb)
+, sm AS (SELECT page_id, part, count(*) AS n, list(label ORDER BY pos) AS labels, {padded}
+         FROM ln GROUP BY page_id, part)
 SELECT page_id, part,
-       array_to_string(list_concat(labels, list_transform(range(10 - n), lambda x: 0)), ',') AS labels,
+       array_to_string(list_concat(labels, list_transform(range(85 - n), lambda x: 0)), ',') AS labels,
        array_to_string(list_concat(list_transform(range(n), lambda x: 1),
-                                   list_transform(range(10 - n), lambda x: 0)), ',') AS mask,
-       (3 * 10 * 16)::BIGINT AS n_ids, (s + (10 - n) * 3 * 16)::BIGINT AS sum_ids FROM sm"""
+                                   list_transform(range(85 - n), lambda x: 0)), ',') AS mask,
+       md5({shown}) AS features_md5 FROM sm"""
     q["unpad_explode"] = samples + """
 SELECT page_id, part, pos, label, 1 AS mask, array_to_string(text_ids, ',') AS text_ids FROM eb"""
     return q
@@ -354,24 +373,24 @@ EMB_LONG = """SELECT label, vec_id, (generate_subscripts(embedding, 1) - 1)::BIG
   unnest(embedding)::DOUBLE AS x FROM embeddings"""
 
 MODEL_CTES = f"""
-, eb AS (SELECT page_id, part, pos, label, {_enc('text_seq', 64, False)} AS tids FROM split, vm)
+, eb AS (SELECT page_id, part, pos, label FROM split)
 , rid AS (SELECT page_id, part, pos, label,
-                 unnest(list_filter(tids, lambda x: x NOT IN (0, 1, 2))) AS id FROM eb)
+                 unnest(regexp_extract_all(lower(text_seq[2:-2]), '{TOKEN_RE}')) AS id FROM split)
 , cnt AS (SELECT label, id, count(*) AS c FROM rid GROUP BY label, id)
 , ntok AS (SELECT label, sum(c) AS n FROM cnt GROUP BY label)
 , ndoc AS (SELECT label, count(*) AS n FROM eb GROUP BY label)
 , prior AS (SELECT label, ln(n / sum(n) OVER ()) AS p FROM ndoc)
 , lps AS (SELECT r.page_id, r.part, r.pos, y.label AS k,
-                 sum(ln((coalesce(c.c, 0) + 1.0) / (nt.n + 1004))) AS s
+                 sum(ln((coalesce(c.c, 0) + 1.0) / (nt.n + (SELECT count(*) + 4 FROM vocab)))) AS s
           FROM rid r CROSS JOIN (SELECT label FROM ndoc) y
           JOIN ntok nt ON nt.label = y.label
           LEFT JOIN cnt c ON c.label = y.label AND c.id = r.id
           GROUP BY r.page_id, r.part, r.pos, y.label)
 , em AS (SELECT e.page_id, e.part, e.pos, e.label,
-                (SELECT p FROM prior WHERE label = 0) + l0.s AS s0,
-                (SELECT p FROM prior WHERE label = 1) + l1.s AS s1
-         FROM eb e JOIN lps l0 ON l0.page_id = e.page_id AND l0.part = e.part AND l0.pos = e.pos AND l0.k = 0
-                   JOIN lps l1 ON l1.page_id = e.page_id AND l1.part = e.part AND l1.pos = e.pos AND l1.k = 1)
+                (SELECT p FROM prior WHERE label = 0) + coalesce(l0.s, 0) AS s0,
+                (SELECT p FROM prior WHERE label = 1) + coalesce(l1.s, 0) AS s1
+         FROM eb e LEFT JOIN lps l0 ON l0.page_id = e.page_id AND l0.part = e.part AND l0.pos = e.pos AND l0.k = 0
+                   LEFT JOIN lps l1 ON l1.page_id = e.page_id AND l1.part = e.part AND l1.pos = e.pos AND l1.k = 1)
 , sq AS (SELECT page_id, part, pos, label,
                 lead(label) OVER (PARTITION BY page_id, part ORDER BY pos) AS nxt FROM split)
 , tc AS (SELECT g.y, g.nxt, coalesce(c.c, 0) AS c FROM
@@ -447,17 +466,18 @@ UNION ALL SELECT label, 'max', dim, round(greatest(greatest(mn, mx), fs), 6) FRO
 SELECT vec_id, (d - 1)::BIGINT AS dim, round(coalesce(pv[d], 0.0)::DOUBLE, 6) AS prev,
        round(coalesce(nx[d], 0.0)::DOUBLE, 6) AS next
 FROM c, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS d)"""
-    base = NODE_CTES + GOLD_CTES + BLOCK_CTES + _vocab_ctes(1000)
+    base = NODE_CTES + GOLD_CTES + BLOCK_CTES + _vocab_ctes()
     q["attention_mask"] = base + f"""
-SELECT page_id, part, pos, array_to_string(list_transform({_enc('text_seq', 16, True)},
-       lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END), ',') AS attention_mask FROM blocks, vm"""
-    sb = base + _split(10)
+, n AS (SELECT page_id, part, pos, len(regexp_extract_all(lower(text_seq[2:-2]), '{TOKEN_RE}')) + 2 AS n FROM blocks)
+SELECT page_id, part, pos, (SELECT max(n) FROM n)::BIGINT AS length, n::BIGINT AS n_real,
+       CASE WHEN n < (SELECT max(n) FROM n) THEN n + 1 ELSE 0 END::BIGINT AS first_pad FROM n"""
+    sb = base + _split(85)
     q["seq_len"] = sb + """
 SELECT page_id, part, count(*)::BIGINT AS seq_len FROM split GROUP BY page_id, part"""
     q["class_weights"] = sb + """
 , c AS (SELECT label, count(*) AS n FROM split GROUP BY label)
 , s AS (SELECT count(*) AS n_s FROM (SELECT DISTINCT page_id, part FROM split))
-, pc AS (SELECT label, n + CASE WHEN label = 0 THEN (SELECT 10 * n_s FROM s) - (SELECT count(*) FROM split)
+, pc AS (SELECT label, n + CASE WHEN label = 0 THEN (SELECT 85 * n_s FROM s) - (SELECT count(*) FROM split)
                                 ELSE 0 END AS n FROM c)
 SELECT 'blocks' AS variant, label, n::BIGINT AS n,
        round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c

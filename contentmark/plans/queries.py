@@ -237,8 +237,7 @@ def q_label_corpus(spark, sf_dir):
 def q_page_scan(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
     out = P.scratch_path(spark, "pages")
-    P.write_pages(pages.withColumn("host", F.regexp_extract("url", r"//([^/]+)", 1)),
-                  out, partition_by="host")
+    P.write_pages(pages, out)
     back = spark.read.parquet(out)
     return back.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
 
@@ -265,8 +264,8 @@ def q_page_allowlist(spark, sf_dir):
 
 
 
-VOCAB_SIZE = 1000
-ENC_LEN = 64
+VOCAB_TOP = 1000   # B3's top-k, in the query of that feature only
+CUT_LENGTH = 64    # B5's truncation, likewise
 
 
 def _seqs(df):
@@ -302,17 +301,19 @@ def q_parse_sequences(spark, sf_dir):
 
 
 def q_vocab(spark, sf_dir):
-    v = B.fit_vocab(Corpus(spark, sf_dir).blocks(), VOCAB_SIZE)
+    v = B.fit_vocab(Corpus(spark, sf_dir).blocks(), VOCAB_TOP)
     return v.select("token", F.col("id").cast("bigint").alias("id"), F.col("cnt").cast("bigint").alias("cnt"))
 
 
-def _encoded(spark, sf_dir, pad="do_not_pad", max_length=ENC_LEN):
+def _encoded(spark, sf_dir, pad="do_not_pad"):
+    """Blocks with the ids of whole texts over the whole vocabulary."""
     blocks = Corpus(spark, sf_dir).blocks()
-    return B.encode(blocks, B.fit_vocab(blocks, VOCAB_SIZE), max_length, pad)
+    return B.encode(blocks, B.fit_vocab(blocks), pad=pad)
 
 
 def q_encode(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
+    blocks = Corpus(spark, sf_dir).blocks()
+    e = B.encode(blocks, B.fit_vocab(blocks, VOCAB_TOP), CUT_LENGTH)
     return e.select("page_id", "part", "pos", *_ids(e))
 
 
@@ -321,30 +322,28 @@ def q_split_parts(spark, sf_dir):
     return b.select("page_id", "part", "pos", F.col("node").cast("bigint").alias("node"))
 
 
-FOLD_BLOCKS, FOLD_LEN = 10, 16
+SEQ_BLOCKS = 85
 
 
 def _samples(spark, sf_dir):
-    e = _encoded(spark, sf_dir, "max_length", FOLD_LEN)
-    e = B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"), FOLD_BLOCKS)
-    return B.make_samples(e, FOLD_BLOCKS, FOLD_LEN)
+    e = _encoded(spark, sf_dir)
+    e = B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"), SEQ_BLOCKS)
+    return B.make_samples(e, SEQ_BLOCKS)
 
 
 def q_fold_pad_mask(spark, sf_dir):
     s = _samples(spark, sf_dir)
-    flat = F.flatten(F.flatten("features"))
-    return s.select("page_id", "part",
-                    F.array_join("label", ",").alias("labels"),
-                    F.array_join("mask", ",").alias("mask"),
-                    F.size(flat).cast("bigint").alias("n_ids"),
-                    F.aggregate(flat, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"))
+    shown = F.array_join(F.transform("features", lambda f: F.array_join(
+        F.transform(f, lambda ids: F.array_join(ids, ",")), "|")), ";")
+    return s.select("page_id", "part", F.array_join("label", ",").alias("labels"),
+                    F.array_join("mask", ",").alias("mask"), F.md5(shown).alias("features_md5"))
 
 
 def q_unpad_explode(spark, sf_dir):
     s = B.unpad(_samples(spark, sf_dir))
     rows = B.explode_blocks(s.drop("features"))
     return rows.select("page_id", "part", "pos", "label", "mask",
-                       F.array_join("text_ids", ",").alias("text_ids"))
+                       F.array_join(F.filter("text_ids", lambda i: i != 1), ",").alias("text_ids"))
 
 
 # --- vectors (embeddings table: token vectors grouped by label) -------------
@@ -398,9 +397,11 @@ def q_context(spark, sf_dir):
 
 
 def q_attention_mask(spark, sf_dir):
-    e = _encoded(spark, sf_dir, "max_length", FOLD_LEN)
-    return e.select("page_id", "part", "pos",
-                    F.array_join(V.attention_mask("text_ids"), ",").alias("attention_mask"))
+    e = _encoded(spark, sf_dir, "longest")
+    mask = V.attention_mask("text_ids")
+    return e.select("page_id", "part", "pos", F.size(mask).cast("bigint").alias("length"),
+                    F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_real"),
+                    F.array_position(mask, 0).cast("bigint").alias("first_pad"))
 
 
 def q_seq_len(spark, sf_dir):
@@ -410,15 +411,19 @@ def q_seq_len(spark, sf_dir):
 
 # --- model ---------------------------------------------------------------------------
 
-SEQ_BLOCKS = 10
+def _model_input(spark, sf_dir):
+    """Encoded, split blocks - the training / scoring unit of the labeller
+    (checkpointed: fitting and scoring both read it) - and the vocabulary's
+    size."""
+    blocks = Corpus(spark, sf_dir).blocks()
+    vocab = B.fit_vocab(blocks)
+    e = B.encode(blocks, vocab)
+    return materialize(B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"),
+                                     SEQ_BLOCKS)), vocab.count()
 
 
 def _model_blocks(spark, sf_dir):
-    """Encoded, split blocks: the training / scoring unit of the labeller
-    (checkpointed: fitting and scoring both read it)."""
-    e = _encoded(spark, sf_dir)
-    return materialize(B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"),
-                                     SEQ_BLOCKS))
+    return _model_input(spark, sf_dir)[0]
 
 
 def q_class_weights(spark, sf_dir):
@@ -434,8 +439,8 @@ def q_class_weights(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    b = _model_blocks(spark, sf_dir)
-    return b, M.score(b, M.fit_emissions(b, VOCAB_SIZE))
+    b, n = _model_input(spark, sf_dir)
+    return b, M.score(b, M.fit_emissions(b, n))
 
 
 def q_emissions_nb(spark, sf_dir):
@@ -572,7 +577,7 @@ def q_fit_predict(spark, sf_dir):
     every block (rows-only check: no SQL form of the solver)."""
     from contentmark.plans.labeller import BlockLabeler
     blocks = Corpus(spark, sf_dir).blocks()
-    model = BlockLabeler(VOCAB_SIZE, ENC_LEN, SEQ_BLOCKS, emissions="lr").fit(blocks)
+    model = BlockLabeler(max_blocks=SEQ_BLOCKS, emissions="lr").fit(blocks)
     return model.transform(blocks).select("page_id", "part", "pos", "label", "prediction")
 
 
@@ -581,7 +586,7 @@ def q_model_reload(spark, sf_dir):
     ``decode``."""
     from contentmark.plans.labeller import BlockLabeler, BlockLabelerModel
     blocks = Corpus(spark, sf_dir).blocks()
-    model = BlockLabeler(VOCAB_SIZE, ENC_LEN, SEQ_BLOCKS, emissions="nb").fit(blocks)
+    model = BlockLabeler(max_blocks=SEQ_BLOCKS, emissions="nb").fit(blocks)
     path = P.scratch_path(spark, "model")
     model.save(path)
     again = BlockLabelerModel.load(spark, path)

@@ -65,5 +65,5 @@ BLOCK_CSV_COLUMNS = {
 
 # Special token ids of the block vocabulary.
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
-# Label attribute set on main-content nodes.
+# Fixed value: label attribute set on main-content nodes.
 MAIN_LABEL_ATTR = "CASM_main_content_label"

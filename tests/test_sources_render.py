@@ -59,18 +59,6 @@ def test_csv_roundtrips(spark, tmp_path):
     assert r["tag_seq"] == "[a, b]" and r["prediction"] == 0 and r["page_id"] == "1"
 
 
-def test_stream_labels_new_pages(spark, tmp_path):
-    from contentmark.plans import labelers as L
-    from contentmark.streaming.corpus_stream import label_stream
-    src = tmp_path / "in"
-    pages_df(spark, '<body><div class="x TECO_mainContent"><p>a</p></div></body>').write.parquet(str(src))
-    q = label_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"),
-                     lambda n, t: L.label_by_class(n))
-    q.awaitTermination(120)
-    html = spark.read.parquet(str(tmp_path / "out")).first()["html"]
-    assert 'class="x" CASM_main_content_label="1"' in html
-
-
 def test_read_blocks_unions_differing_columns(spark, tmp_path):
     a, b = tmp_path / "a.csv", tmp_path / "b.csv"
     a.write_text('html/originalId,html/part,html/tagSequence,html/label\np1,0,"[body, paragraph]",1\n')
