@@ -150,7 +150,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                      F.col("spans").alias("_x_spans")), "repeated-spans")
     keyed = docs.withColumn("_x_k", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))).withColumn(
         "_x_g", F.xxhash64(text_or_empty(F.col(text_col))))
-    j = keyed.join(spans, (F.col("_x_k") == F.col("_x_id")) & (F.col("_x_g") == F.col("_x_h")), "left")
+    # spans grow with the documents: shuffled at every size, never broadcast
+    j = keyed.join(spans.hint("merge"), (F.col("_x_k") == F.col("_x_id")) & (F.col("_x_g") == F.col("_x_h")), "left")
     s, text = F.col("_x_spans"), F.col(text_col)
     between = F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.substring(
         text, F.coalesce(F.get(s, i - 1)["b"], F.lit(0)) + 1,
