@@ -7,8 +7,8 @@ Fewest phrases per character win - the text is cheapest to say in pieces of that
 language (Ziv & Merhav's cross-parsing).
 
 The automata read at most ``TRAIN_CHARS`` characters of labelled text per
-language, pieces of at most ``PIECE_CHARS`` from the documents with the smallest
-digests (the documented bound of the fit).  Prediction reads whole texts: they are cut
+language, pieces of at most ``PIECE_CHARS`` from the ``TRAIN_PIECES`` documents with
+the smallest digests (the documented bound of the fit).  Prediction reads whole texts: they are cut
 into segments of ``SEGMENT`` characters parsed in step, vectorised over all
 segments of a batch; a cut adds at most one phrase, to every language alike.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from contentmark.llm.common import text_or_empty
 
-TRAIN_CHARS, PIECE_CHARS = 60_000, 2_000
+TRAIN_CHARS, PIECE_CHARS, TRAIN_PIECES = 60_000, 2_000, 400
 SEGMENT = 256
 MAX_CLASSES = 255      # distinct letters told apart; rarer ones are one class
 UNKNOWN = "und"
@@ -87,19 +87,15 @@ def table(text: str, letters: str):
 
 
 def _sample_text(labelled: DataFrame, seed: int) -> DataFrame:
-    """(lang, text): pieces of labelled texts, at most the bound per language
-    (and one piece)."""
-    totals = labelled.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(PIECE_CHARS))).alias("n"))
-    # twice the share that gives the bound, by digest; then exactly the bound
-    share = F.least(F.lit(1.0), F.lit(2.0 * TRAIN_CHARS + 20 * PIECE_CHARS) / F.col("n"))
-    digest = F.xxhash64(F.lit(seed), F.col("id"), F.col("text"))
-    some = (labelled.withColumn("d", digest)
-            .join(totals.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l"))
-            .where(F.pmod("d", F.lit(1 << 20)) < share * (1 << 20))
-            .select("lang", "d", F.substring("text", 1, PIECE_CHARS).alias("piece")))
-    before = Window.partitionBy("lang").orderBy("d", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return (some.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-            .where(F.col("at") < TRAIN_CHARS)
+    """(lang, pieces): of the ``TRAIN_PIECES`` documents of a language with the
+    smallest digests, pieces up to the bound.  The rank limit is applied in
+    every partition before the shuffle, so a hot language costs no more."""
+    some = labelled.select("lang", F.xxhash64(F.lit(seed), F.col("id"), F.col("text")).alias("d"),
+                           F.substring("text", 1, PIECE_CHARS).alias("piece"))
+    by_digest = Window.partitionBy("lang").orderBy("d", "piece")
+    some = some.withColumn("n", F.row_number().over(by_digest)).where(F.col("n") <= TRAIN_PIECES)
+    before = F.sum(F.length("piece")).over(by_digest.rowsBetween(Window.unboundedPreceding, -1))
+    return (some.withColumn("at", F.coalesce(before, F.lit(0))).where(F.col("at") < TRAIN_CHARS)
             .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "piece"))).alias("ps"))
             .select("lang", F.transform("ps", lambda p: p["piece"]).alias("pieces")))
 
