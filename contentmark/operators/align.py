@@ -19,9 +19,8 @@ def candidates(dom: DataFrame, gold: DataFrame, n_chars: int = 50) -> DataFrame:
     """A2: (page_id, line_no, i, node) text runs holding a gold line's key
     (raw prefix or the prefix without double quotes).
 
-    Keys are found in one Aho-Corasick pass per page (textscan); a run
-    holds a key when an occurrence lies inside it - an equi-join on
-    (page, key), no page-local all-pairs test.  An empty key is in every
+    Keys are found by ``textscan.occurrences``; a run holds a key when an
+    occurrence lies inside it - an equi-join on (page, key).  An empty key is in every
     run."""
     from contentmark.operators.shred import texts as text_runs
     from contentmark.operators.textscan import occurrences

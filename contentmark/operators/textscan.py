@@ -1,133 +1,65 @@
-"""Exact substring search of many needles in each page's text.
-
-Each page's needles are found in one Aho-Corasick pass over the page's
-content text (every occurrence, overlapping ones included) inside an
-Arrow-batched ``mapInArrow`` over one row per page.  An occurrence is then
-placed in the tree by the character offsets the shredder recorded: the
-text runs it starts and ends in, the run's owner when it lies inside one
-run, and the elements whose subtree covers it (the common ancestors of
-the two owners).  Containment tests become equi-joins on (page, needle) -
-no page-local all-pairs comparison.
+"""Exact substring search of many needles in each page's text, as Spark jobs.
+
+A page's text is joined with its distinct needles on the page key and split
+before every occurrence (overlapping ones included); the running length of the
+pieces gives the places.  One window pass over a page's runs and occurrence
+ends, in text order, then finds the runs an occurrence starts and ends in: the
+run's owner when it lies inside one run, and the elements whose subtree covers
+it (the ancestors both owners share).  Containment tests become equi-joins on
+(page, needle).  Work per page: its text once per distinct needle, then a sort
+of its runs and occurrences.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from contentmark.schema import TEXT_KINDS
 
-HITS = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("needle", T.StringType()),
-    T.StructField("run_i", T.IntegerType()),      # token index of the single run holding it
-    T.StructField("run_node", T.IntegerType()),   # that run's owner element
-    T.StructField("cover", T.ArrayType(T.IntegerType())),  # elements covering it, root first
-])
-_ARROW = pa.schema([pa.field("page_id", pa.int64()), pa.field("needle", pa.string()),
-                    pa.field("run_i", pa.int32()), pa.field("run_node", pa.int32()),
-                    pa.field("cover", pa.list_(pa.int32()))])
-
 
-def _scan(batches):
-    import bisect
+def _before(needle: Column) -> Column:
+    """A pattern for the empty place before a literal text."""
+    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)"))
 
-    import ahocorasick
 
-    out = {f.name: [] for f in _ARROW}
-    for b in batches:
-        for row in b.to_pylist():
-            needles = [n for n in (row["needles"] or []) if n]
-            if not needles or not row["content"]:
-                continue
-            runs = row["runs"] or []
-            starts = [r["c0"] for r in runs]
-            auto = ahocorasick.Automaton()
-            for k, n in enumerate(needles):
-                auto.add_word(n, k)
-            auto.make_automaton()
-            seen = set()
-            for last, k in auto.iter(row["content"]):
-                n = needles[k]
-                f = bisect.bisect_right(starts, last - len(n) + 1) - 1
-                g = bisect.bisect_right(starts, last) - 1
-                if (k, f, g) in seen:
-                    continue
-                seen.add((k, f, g))
-                pf = runs[f]["path"] or []
-                pg = runs[g]["path"] or []
-                m = 0
-                while m < len(pf) and m < len(pg) and pf[m] == pg[m]:
-                    m += 1
-                out["page_id"].append(row["page_id"])
-                out["needle"].append(n)
-                out["run_i"].append(runs[f]["i"] if f == g else None)
-                out["run_node"].append(runs[f]["node"] if f == g else None)
-                out["cover"].append(pf[:m])
-            if len(out["page_id"]) >= 32768:
-                yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
-                out = {f.name: [] for f in _ARROW}
-    if out["page_id"]:
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+def places(contents: DataFrame, needles: DataFrame) -> DataFrame:
+    """(page_id, needle, p): every place of every needle in its page's
+    ``content``.  Empty needles are skipped (every text contains them -
+    callers handle that case directly)."""
+    nd = needles.select("page_id", "needle").where(F.col("needle") != "").distinct()
+    pairs = contents.where(F.col("content") != "").join(nd, "page_id")
+    pieces = F.transform(F.split("content", _before(F.col("needle"))), F.length)
+    # the first piece lies before the first occurrence unless the text starts with it
+    first = F.when(F.startswith("content", "needle"), 0).otherwise(1)
+    cut = pairs.select("page_id", "needle", first.alias("first"), F.posexplode(pieces).alias("k", "n"))
+    upto = (Window.partitionBy("page_id", "needle").orderBy("k")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (cut.withColumn("p", (F.sum("n").over(upto) - F.col("n")).cast("int"))
+            .where(F.col("k") >= F.col("first")).select("page_id", "needle", "p"))
 
 
 def occurrences(dom: DataFrame, needles: DataFrame) -> DataFrame:
     """(page_id, needle, run_i, run_node, cover): one row per needle and
-    distinct (first run, last run) it occurs across in the page's content
-    text.  ``needles`` is (page_id, needle); empty needles are skipped
-    (every text contains them - callers handle that case directly)."""
-    nd = (needles.where(F.col("needle") != "").groupBy("page_id")
-          .agg(F.collect_set("needle").alias("needles")))
-    runs = (dom.where(F.col("kind").isin(*TEXT_KINDS))
-            .groupBy("page_id")
-            .agg(F.array_sort(F.collect_list(F.struct("c0", "i", "node", "path"))).alias("runs")))
-    content = dom.where(F.col("kind") == "doc").select("page_id", F.col("text").alias("content"))
-    pages = content.join(nd, "page_id").join(runs, "page_id")
-    return pages.mapInArrow(_scan, HITS)
-
-
-SPANS = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("needle", T.StringType()),
-    T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()),
-])
-_ARROW_SPANS = pa.schema([pa.field("page_id", pa.int64()), pa.field("needle", pa.string()),
-                          pa.field("start", pa.int32()), pa.field("end", pa.int32())])
-
-
-def _scan_spans(batches):
-    import ahocorasick
-
-    out = {f.name: [] for f in _ARROW_SPANS}
-    for b in batches:
-        for row in b.to_pylist():
-            needles = [n for n in (row["needles"] or []) if n]
-            if not needles or not row["text"]:
-                continue
-            auto = ahocorasick.Automaton()
-            for k, n in enumerate(needles):
-                auto.add_word(n, k)
-            auto.make_automaton()
-            for last, k in auto.iter(row["text"]):
-                out["page_id"].append(row["page_id"])
-                out["needle"].append(needles[k])
-                out["start"].append(last - len(needles[k]) + 1)
-                out["end"].append(last + 1)
-            if len(out["page_id"]) >= 32768:
-                yield pa.RecordBatch.from_pydict(out, schema=_ARROW_SPANS)
-                out = {f.name: [] for f in _ARROW_SPANS}
-    if out["page_id"]:
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW_SPANS)
-
-
-def spans(dom: DataFrame, needles: DataFrame, text: str = "wtext") -> DataFrame:
-    """(page_id, needle, start, end): every occurrence of each page's
-    needles in one of the page texts of the ``doc`` row (``wtext`` = plain
-    text without white space)."""
-    nd = (needles.where(F.col("needle") != "").groupBy("page_id")
-          .agg(F.collect_set("needle").alias("needles")))
-    doc = dom.where(F.col("kind") == "doc").select("page_id", F.col(text).alias("text"))
-    return doc.join(nd, "page_id").mapInArrow(_scan_spans, SPANS)
+    distinct place in the tree it occurs at.  ``run_i`` / ``run_node``: token
+    and owner of the run that holds it whole (else null); ``cover``: the
+    elements covering it, root first."""
+    contents = dom.where(F.col("kind") == "doc").select("page_id", F.col("text").alias("content"))
+    run = F.struct("i", "node", "path")
+    runs = dom.where(F.col("kind").isin(*TEXT_KINDS)).select(
+        "page_id", F.col("c0").alias("at"), run.alias("run"))
+    ends = places(contents, needles).select(
+        "page_id", "needle", "p",
+        F.explode(F.array(F.col("p"), F.col("p") + F.length("needle") - 1)).alias("at"))
+    line = runs.unionByName(ends, allowMissingColumns=True)
+    upto = (Window.partitionBy("page_id").orderBy("at", F.col("p").asc_nulls_first(), "run.i")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ab = (line.withColumn("run", F.last("run", ignorenulls=True).over(upto))
+          .where(F.col("p").isNotNull())
+          .groupBy("page_id", "needle", "p").agg(F.min("run").alias("a"), F.max("run").alias("b")))
+    one = F.col("a.i") == F.col("b.i")
+    return ab.select("page_id", "needle", F.when(one, F.col("a.i")).alias("run_i"),
+                     F.when(one, F.col("a.node")).alias("run_node"),
+                     F.coalesce(F.array_intersect("a.path", "b.path"), F.array().cast("array<int>"))
+                     .alias("cover")).distinct()

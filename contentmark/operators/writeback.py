@@ -3,19 +3,19 @@
 Each block is matched to elements of its page in six tiers (tag + own text,
 parent tag + subtree text, ``parent > tag``, the whole tag chain, and the
 combined text in two forms); the cascade keeps the first tier with exactly
-one hit (tier 2 only when tier 1 found none), else tier 6.  Every tier is a
-join on ``page_id`` plus a tag key; text tests run on lean candidate rows
-against the page text (zero-copy substrings), and the equality tiers are
-equi-joins on a hash of the white-space-free text.
+one hit (tier 2 only when tier 1 found none), else tier 6.  Tiers are matched
+once per distinct target of a page, as equi-joins on (page, needle) with the
+needle's occurrences and on (page, key) with the elements' white-space-free text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentmark.functions.tags import html_tag, html_tags
 from contentmark.functions.text import remove_ws, strip_quotes
+from contentmark.operators.textscan import occurrences
 from contentmark.session import materialize
 
 BKEY = ["page_id", "part", "pos"]
@@ -62,10 +62,24 @@ def _chain_match(want: Column, anc_tags: Column) -> Column:
     return k == 0
 
 
-def _occ(b: DataFrame, dom: DataFrame) -> DataFrame:
-    """Occurrences of the blocks' needles in their pages (see textscan)."""
-    from contentmark.operators.textscan import occurrences
-    return occurrences(dom, b.select("page_id", "needle").distinct())
+def targets(blocks: DataFrame, mapping: dict | None = None, label: str = "prediction") -> DataFrame:
+    """``block_targets`` plus (t_part, t_pos): the first block of the page with
+    the same target.  Tiers are matched once per target, so equal blocks do
+    not multiply the hits."""
+    same = Window.partitionBy("page_id", "t_tag", "t_parent", "chain", "needle", "all_key")
+    return (block_targets(blocks, mapping, label)
+            .withColumn("_t", F.min(F.struct("part", "pos")).over(same))
+            .withColumn("t_part", F.col("_t.part")).withColumn("t_pos", F.col("_t.pos")).drop("_t"))
+
+
+def _distinct_targets(b: DataFrame) -> DataFrame:
+    return b.where((F.col("part") == F.col("t_part")) & (F.col("pos") == F.col("t_pos")))
+
+
+def _per_block(b: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows found for targets, repeated for each block of the target."""
+    f = found.withColumnRenamed("part", "t_part").withColumnRenamed("pos", "t_pos")
+    return b.select(*BKEY, "t_part", "t_pos").join(f, ["page_id", "t_part", "t_pos"], how).drop("t_part", "t_pos")
 
 
 def _tier1(b: DataFrame, occ: DataFrame, nt: DataFrame, texts: DataFrame) -> DataFrame:
@@ -85,71 +99,74 @@ def _tier1(b: DataFrame, occ: DataFrame, nt: DataFrame, texts: DataFrame) -> Dat
     return hit.unionByName(empty).distinct()
 
 
-def _covering(b: DataFrame, occ: DataFrame, nt: DataFrame) -> DataFrame:
-    """(block, element) pairs where the element's subtree text holds the
-    block's needle: the elements covering an occurrence (its common
-    ancestors), one explode per occurrence - bounded by tree depth."""
+def _subtree_tiers(b: DataFrame, occ: DataFrame, nt: DataFrame) -> DataFrame:
+    """R4 (tag = parent item), R5 (``parent > tag``), R6 (whole tag chain):
+    the element's subtree text holds the needle.  Those elements cover an
+    occurrence (its common ancestors, bounded by tree depth); one join with
+    them answers the three tiers."""
     cov = (b.where(F.col("needle") != "").select(*BKEY, "needle")
            .join(occ.select("page_id", "needle", "cover"), ["page_id", "needle"])
            .select(*BKEY, F.explode("cover").alias("pre")).distinct())
     empty = (b.where(F.col("needle") == "").select(*BKEY)
              .join(nt.select("page_id", "pre"), "page_id"))
-    return cov.unionByName(empty).join(
-        nt.select("page_id", "pre", "tag", "parent_tag", "anc_tags"), ["page_id", "pre"])
-
-
-def _subtree_tier(b: DataFrame, cov: DataFrame, tier: int) -> DataFrame:
-    """R4 (tag = parent item), R5 (``parent > tag``), R6 (whole tag chain)."""
-    j = cov.join(b.select(*BKEY, "t_tag", "t_parent", "chain"), BKEY)
-    if tier == 2:
-        cond = F.col("tag") == F.col("t_parent")
-    elif tier == 3:
-        cond = (F.col("tag") == F.col("t_tag")) & (F.col("parent_tag") == F.col("t_parent"))
-    else:
-        cond = (F.col("tag") == F.col("t_tag")) & _chain_match(
-            F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))), F.col("anc_tags"))
-    return j.where(cond).select(*BKEY, F.lit(tier).alias("tier"), "pre")
-
-
-def _key_spans(b: DataFrame, dom: DataFrame) -> DataFrame:
-    """Occurrences of the blocks' joined-text keys in their pages'
-    white-space-free plain text (tiers 5-6)."""
-    from contentmark.operators.textscan import spans
-    return spans(dom, b.select("page_id", F.col("all_key").alias("needle")).distinct(), "wtext")
-
-
-def _equal_hits(b: DataFrame, ks: DataFrame, nt: DataFrame, tier: int) -> DataFrame:
-    """The element's whole text (white space ignored, one outer
-    quote pair dropped) equals the block's joined texts: an occurrence of
-    the block key that is exactly the element's key span - an equi-join on
-    (page, tag, start, end)."""
-    col = "t_tag" if tier == 5 else "t_parent"
-    bb = b.where(F.col(col).isNotNull()).select(*BKEY, F.col(col).alias("tag"), "all_key")
-    el = nt.select("page_id", "tag", "pre", F.col("k0").alias("start"), F.col("k1").alias("end"))
-    hit = (bb.where(F.col("all_key") != "")
-           .join(ks.withColumnRenamed("needle", "all_key"), ["page_id", "all_key"])
-           .join(el, ["page_id", "tag", "start", "end"]))
-    empty = (bb.where(F.col("all_key") == "")
-             .join(el.where(F.col("start") == F.col("end")), ["page_id", "tag"]))
-    return (hit.select(*BKEY, "pre").unionByName(empty.select(*BKEY, "pre"))
-            .select(*BKEY, F.lit(tier).alias("tier"), "pre"))
+    j = (cov.unionByName(empty)
+         .join(nt.select("page_id", "pre", "tag", "parent_tag", "anc_tags"), ["page_id", "pre"])
+         .join(b.select(*BKEY, "t_tag", "t_parent", "chain"), BKEY))
+    own = F.col("tag") == F.col("t_tag")
+    chain = _chain_match(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))), F.col("anc_tags"))
+    return _tiers(j, {2: F.col("tag") == F.col("t_parent"),
+                      3: own & (F.col("parent_tag") == F.col("t_parent")), 4: own & chain})
+
+
+def _tiers(j: DataFrame, conditions: dict) -> DataFrame:
+    met = F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in conditions.items()]))
+    return j.select(*BKEY, F.explode(met).alias("tier"), "pre")
+
+
+def _equal_tiers(b: DataFrame, nt: DataFrame, page_text: DataFrame) -> DataFrame:
+    """The element's whole text (white space ignored, one outer quote
+    pair dropped) equals the block's joined texts.  Keys are cut from the page
+    text only for elements whose tag and key length some block asks for, then
+    joined on (page, key)."""
+    asked = b.select("page_id", F.explode(F.array("t_tag", "t_parent")).alias("tag"),
+                     F.length("all_key").alias("n")).distinct()
+    keyed = (nt.select("page_id", "pre", "tag", "k0", (F.col("k1") - F.col("k0")).alias("n"))
+             .join(asked, ["page_id", "tag", "n"], "left_semi")
+             .join(page_text.select("page_id", "bare"), "page_id")
+             .select("page_id", "pre", "tag",
+                     F.substring("bare", F.col("k0") + 1, F.col("n")).alias("all_key")))
+    j = b.select(*BKEY, "t_tag", "t_parent", "all_key").join(keyed, ["page_id", "all_key"])
+    return _tiers(j, {5: F.col("tag") == F.col("t_tag"), 6: F.col("tag") == F.col("t_parent")})
+
+
+def _first_tiers(b: DataFrame, nt: DataFrame, texts: DataFrame, dom: DataFrame) -> DataFrame:
+    occ = materialize(occurrences(dom, b.select("page_id", "needle")), "wb-occ")
+    return _tier1(b, occ, nt, texts).unionByName(_subtree_tiers(b, occ, nt))
+
+
+def _target_hits(b: DataFrame, nodes: DataFrame, texts: DataFrame, page_text: DataFrame,
+                 dom: DataFrame) -> DataFrame:
+    nt, t = node_targets(nodes), _distinct_targets(b)
+    return _first_tiers(t, nt, texts, dom).unionByName(_equal_tiers(t, nt, page_text))
 
 
 def tier_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
               page_text: DataFrame, dom: DataFrame, mapping: dict | None = None,
               label: str = "prediction") -> DataFrame:
     """R3-R8 (A6): (page_id, part, pos, tier, pre) - every hit of every
-    tier for every block (the full table behind ``tier_counts``)."""
-    # cheap projections of tables that are already materialised upstream
-    b = block_targets(blocks, mapping, label)
-    nt = node_targets(nodes)
-    occ = materialize(_occ(b, dom), "wb-occ")
-    cov = materialize(_covering(b, occ, nt), "wb-cover")
-    ks = materialize(_key_spans(b, dom), "wb-spans")
-    out = _tier1(b, occ, nt, texts)
-    for tier in (2, 3, 4):
-        out = out.unionByName(_subtree_tier(b, cov, tier))
-    return out.unionByName(_equal_hits(b, ks, nt, 5)).unionByName(_equal_hits(b, ks, nt, 6))
+    tier for every block (``count_hits`` gives the counts without repeating
+    the hits of equal blocks)."""
+    b = materialize(targets(blocks, mapping, label), "wb-targets")
+    return _per_block(b, _target_hits(b, nodes, texts, page_text, dom)).select(*BKEY, "tier", "pre")
+
+
+def count_hits(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
+               page_text: DataFrame, dom: DataFrame, mapping: dict | None = None,
+               label: str = "prediction") -> DataFrame:
+    """(page_id, part, pos, n1 .. n6) of every block, counted per target."""
+    b = materialize(targets(blocks, mapping, label), "wb-targets")
+    n = tier_counts(_distinct_targets(b), _target_hits(b, nodes, texts, page_text, dom))
+    return _per_block(b, n, "left")
 
 
 def _decide14(n: dict) -> Column:
@@ -157,35 +174,28 @@ def _decide14(n: dict) -> Column:
             .when(n[3] == 1, 3).when(n[4] == 1, 4))
 
 
+def _resolve_targets(b: DataFrame, nodes: DataFrame, texts: DataFrame, page_text: DataFrame,
+                     dom: DataFrame) -> DataFrame:
+    """R9 per target: tiers 1-4 are counted for every target and decide most;
+    element keys of tiers 5-6 are cut only for those still undecided."""
+    nt, t = node_targets(nodes), _distinct_targets(b)
+    h14 = materialize(_first_tiers(t, nt, texts, dom), "wb-hits")
+    d = materialize(tier_counts(t, h14).select(
+        *BKEY, _decide14({k: F.col(f"n{k}") for k in (1, 2, 3, 4)}).alias("tier")), "wb-decided")
+    decided = h14.join(d.where(F.col("tier").isNotNull()), BKEY + ["tier"])
+    rest = t.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi")
+    fives = F.count_if(F.col("tier") == 5).over(Window.partitionBy(*BKEY))
+    late = (_equal_tiers(rest, nt, page_text).withColumn("_n5", fives)
+            .where((F.col("tier") == 5) == (F.col("_n5") == 1)))
+    return decided.select(*BKEY, "tier", "pre").unionByName(late.select(*BKEY, "tier", "pre"))
+
+
 def resolve_cascade(blocks: DataFrame, nodes: DataFrame, texts: DataFrame,
                     page_text: DataFrame, dom: DataFrame, mapping: dict | None = None,
                     label: str = "prediction") -> DataFrame:
-    """R9 with the costly equality tiers run only where needed:
-    (page_id, part, pos, tier, pre).  Tiers 1-4 (occurrence joins, cheap)
-    are counted for every block and decide most of them; the text keys of
-    tiers 5-6 are computed only for the pages and tags of the blocks still
-    undecided."""
-    # cheap projections of tables that are already materialised upstream
-    b = block_targets(blocks, mapping, label)
-    nt = node_targets(nodes)
-    occ = materialize(_occ(b, dom), "wb-occ")
-    cov = _covering(b, occ, nt)
-    h14 = _tier1(b, occ, nt, texts)
-    for tier in (2, 3, 4):
-        h14 = h14.unionByName(_subtree_tier(b, cov, tier))
-    h14 = materialize(h14, "wb-hits")
-    c = tier_counts(b, h14)
-    d = materialize(c.select(*BKEY, _decide14({t: F.col(f"n{t}") for t in (1, 2, 3, 4)})
-                             .alias("tier")), "wb-decided")
-    decided = h14.join(d.where(F.col("tier").isNotNull()), BKEY + ["tier"])
-    rest = b.join(d.where(F.col("tier").isNull()).select(*BKEY), BKEY, "left_semi")
-    # the scan feeds both equality tiers: run it once
-    ks = materialize(_key_spans(rest, dom), "wb-spans")
-    h5 = _equal_hits(rest, ks, nt, 5)
-    one5 = h5.groupBy(*BKEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select(*BKEY)
-    h6 = _equal_hits(rest.join(one5, BKEY, "left_anti"), ks, nt, 6)
-    return (decided.select(*BKEY, "tier", "pre")
-            .unionByName(h5.join(one5, BKEY, "left_semi")).unionByName(h6))
+    """(page_id, part, pos, tier, pre) - each block's hits of its deciding tier."""
+    b = materialize(targets(blocks, mapping, label), "wb-targets")
+    return _per_block(b, _resolve_targets(b, nodes, texts, page_text, dom)).select(*BKEY, "tier", "pre")
 
 
 def tier_counts(blocks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -210,12 +220,18 @@ def resolve(blocks: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.join(d, BKEY + ["tier"]).select(*BKEY, "tier", "pre")
 
 
-def annotate(resolved: DataFrame, blocks: DataFrame, label: str = "prediction") -> DataFrame:
-    """(page_id, pre, label) - later blocks override earlier ones."""
-    b = blocks.select(*BKEY, F.col(label).alias("label"))
-    return (resolved.join(b, BKEY)
-            .groupBy("page_id", "pre")
-            .agg(F.max_by("label", F.struct("part", "pos")).alias("label")))
+def annotate(blocks: DataFrame, nodes: DataFrame, texts: DataFrame, page_text: DataFrame,
+             dom: DataFrame, mapping: dict | None = None, label: str = "prediction") -> DataFrame:
+    """(page_id, pre, label) of the matched elements - later blocks
+    override earlier ones.  A target carries the label of its last block, so
+    hits are not repeated for equal blocks."""
+    b = materialize(targets(blocks, mapping, label), "wb-targets")
+    at = F.struct("part", "pos")
+    last = (b.groupBy("page_id", "t_part", "t_pos")
+            .agg(F.max_by("label", at).alias("label"), F.max(at).alias("at"))
+            .withColumnsRenamed({"t_part": "part", "t_pos": "pos"}))
+    return (_resolve_targets(b, nodes, texts, page_text, dom).join(last, BKEY)
+            .groupBy("page_id", "pre").agg(F.max_by("label", "at").alias("label")))
 
 
 def label_pages(tokens: DataFrame, nodes: DataFrame, texts: DataFrame, page_text: DataFrame,
@@ -227,8 +243,7 @@ def label_pages(tokens: DataFrame, nodes: DataFrame, texts: DataFrame, page_text
     the block table on ``page_id`` once (no per-page scan)."""
     from contentmark.operators import render as R
 
-    labels = annotate(resolve_cascade(blocks, nodes, texts, page_text, dom, mapping, label),
-                      blocks, label)
+    labels = annotate(blocks, nodes, texts, page_text, dom, mapping, label)
     n = (nodes.join(labels, ["page_id", "pre"], "left")
          .withColumn("attrs", F.when(F.col("label").isNotNull(), F.map_concat(
              F.map_filter("attrs", lambda k, v: k != F.lit(attr)),

@@ -527,8 +527,7 @@ def q_clean_text(spark, sf_dir):
 
 def q_match_tiers(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    hits = WB.tier_hits(b, c.nodes, c.texts, c.page_text, c.dom)
-    return WB.tier_counts(b, hits)
+    return WB.count_hits(b, c.nodes, c.texts, c.page_text, c.dom)
 
 
 def q_match_resolve(spark, sf_dir):
@@ -539,8 +538,7 @@ def q_match_resolve(spark, sf_dir):
 
 def q_annotate(spark, sf_dir):
     c, b = _wb(spark, sf_dir)
-    r = WB.resolve_cascade(b, c.nodes, c.texts, c.page_text, c.dom)
-    return WB.annotate(r, b).select("page_id", F.col("pre").cast("bigint").alias("pre"), "label")
+    return WB.annotate(b, c.nodes, c.texts, c.page_text, c.dom).select("page_id", F.col("pre").cast("bigint").alias("pre"), "label")
 
 
 def q_label_pages(spark, sf_dir):

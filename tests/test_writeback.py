@@ -67,36 +67,48 @@ def test_tier5_equality_ignores_space_and_outer_quotes(spark):
     assert [(r["tier"], tag_of[r["pre"]]) for r in res] == [(5, "div")]
 
 
-def test_occurrence_scan_matches_brute_force():
-    """Runs holding each needle and elements whose subtree text holds it,
-    from the per-page scan, equal a direct search (pure Python)."""
+def test_occurrences_match_brute_force(spark):
+    """Runs holding each needle and elements whose subtree text holds it
+    equal a direct search over the pages."""
     import random
 
-    import pyarrow as pa
-
+    from contentmark.operators import shred as S
     from contentmark.operators.htmltree import shred_html
-    from contentmark.operators.textscan import _scan
+    from contentmark.operators.textscan import occurrences
 
     rnd = random.Random(5)
-    pieces = ["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "ab", "ba", "a", " ", "b"]
-    for _ in range(40):
-        html = "<body>" + "".join(rnd.choice(pieces) for _ in range(25)) + "</body>"
+    pieces = ["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "ab", "ba", "a", " ", "b", "\\E.", "\U0001f600"]
+    needles = ["ab", "a b", "b", "aba", "aa", "\\E", ".", "\U0001f600b", "b\\E."]
+    pages = {k: "<body>" + "".join(rnd.choice(pieces) for _ in range(30)) + "</body>" for k in range(40)}
+    dom = S.shred(spark.createDataFrame(list(pages.items()), "page_id bigint, html string"))
+    nd = spark.createDataFrame([(k, n) for k in pages for n in needles + [""]], "page_id bigint, needle string")
+    got_runs, got_cover = set(), set()
+    for h in occurrences(dom, nd).collect():
+        if h["run_i"] is not None:
+            got_runs.add((h["page_id"], h["needle"], h["run_i"]))
+        got_cover |= {(h["page_id"], h["needle"], p) for p in h["cover"]}
+    want_runs, want_cover = set(), set()
+    for k, html in pages.items():
         rows = shred_html(html)
         doc = [r for r in rows if r["kind"] == "doc"][0]
-        runs = [r for r in rows if r["kind"] in ("text", "rawtext")]
-        starts = [r for r in rows if r["kind"] == "start"]
-        needles = ["ab", "a b", "b", "aba"]
-        batch = pa.RecordBatch.from_pylist([dict(
-            page_id=0, content=doc["text"], needles=needles,
-            runs=[dict(c0=r["c0"], i=r["i"], node=r["node"], path=r["path"]) for r in runs])])
-        got_runs, got_cover = set(), set()
-        for b in _scan([batch]):
-            for h in b.to_pylist():
-                if h["run_i"] is not None:
-                    got_runs.add((h["needle"], h["run_i"]))
-                got_cover |= {(h["needle"], p) for p in h["cover"]}
-        want_runs = {(n, r["i"]) for n in needles for r in runs if n in r["text"]}
-        want_cover = {(n, s["node"]) for n in needles for s in starts
-                      if n in doc["text"][s["c0"]:s["c1"]]}
-        assert got_runs == want_runs, html
-        assert got_cover == want_cover, html
+        for n in needles:
+            want_runs |= {(k, n, r["i"]) for r in rows if r["kind"] in ("text", "rawtext") and n in r["text"]}
+            want_cover |= {(k, n, r["node"]) for r in rows if r["kind"] == "start"
+                           and n in doc["text"][r["c0"]:r["c1"]]}
+    assert got_runs == want_runs
+    assert got_cover == want_cover
+
+
+def test_equal_items_resolve_linearly(spark):
+    """Equal blocks share one target: its hits grow with the items, not their square."""
+    n = 400
+    html = "<body><ul>" + "<li>Home</li>" * n + "</ul></body>"
+    nodes, texts, tokens, page_text, dom = shredded_dom(spark, html)
+    blocks = spark.createDataFrame(
+        [(0, 0, k, ["body", "list", "item"], ["Home"], k % 2) for k in range(n)],
+        "page_id bigint, part int, pos int, tag_seq array<string>, text_seq array<string>, prediction int")
+    b = WB.targets(blocks)
+    assert WB._distinct_targets(b).count() == 1
+    assert WB._target_hits(b, nodes, texts, page_text, dom).count() <= 4 * n
+    counts = WB.count_hits(blocks, nodes, texts, page_text, dom)
+    assert counts.count() == n and counts.select("n1", "n5").distinct().count() == 1
