@@ -15,12 +15,14 @@ behaviour of the common Python soup libraries:
   becomes a single newline or space (outside ``pre`` / ``textarea``).
 
 Raw token text is sliced from the source by position, so concatenating
-``raw`` in token order gives back the input byte for byte.
+``raw`` in token order gives back the input byte for byte; a run's text comes
+from the parser's events, so markup it skips is in ``raw`` alone.
 """
 
 from __future__ import annotations
 
 import html as _html
+from html.entities import html5 as _HTML5
 from html.parser import HTMLParser
 
 # Elements that never take children (HTML void elements plus the
@@ -47,7 +49,7 @@ class _Builder(HTMLParser):
             pos = src.find("\n", pos + 1)
         self._line_starts = line_starts
         self.events = []  # (offset, kind, payload)
-        self._pending_text = None  # offset where the current text run starts
+        self._pending_text = None  # pieces of the current text run
 
     def _off(self) -> int:
         line, col = self.getpos()
@@ -56,19 +58,21 @@ class _Builder(HTMLParser):
     def _flush_text(self):
         self._pending_text = None
 
-    def _text(self):
+    def _text(self, piece):
         if self._pending_text is None:
-            self._pending_text = self._off()
-            self.events.append((self._pending_text, "text", bool(self.cdata_elem)))
+            self._pending_text = []
+            self.events.append((self._off(), "text", (bool(self.cdata_elem), self._pending_text)))
+        self._pending_text.append(piece)
 
     def handle_data(self, data):
-        self._text()
+        self._text(data)
 
     def handle_entityref(self, name):
-        self._text()
+        # only whole names are entities; any other stays text, without its semicolon
+        self._text(_HTML5.get(name + ";", "&" + name))
 
     def handle_charref(self, name):
-        self._text()
+        self._text(_html.unescape(f"&#{name};"))
 
     def handle_starttag(self, tag, attrs):
         self._flush_text()
@@ -107,14 +111,20 @@ def _attr_map(attrs):
 
 
 def shred_html(src: str):
-    """Return the token rows of one page as a list of dicts (see schema.DOM)."""
-    if src is None:
-        return []
+    """Return the token rows of one page as a list of dicts (see schema.DOM).
+    A null page is an empty one: its ``doc`` row alone."""
+    src = src or ""
     b = _Builder(src)
     b.feed(src)
     b.close()
     events = b.events
     n = len(src)
+    # bytes the parser reports nothing for (such as "</>") belong to the token
+    # before them, at the start of the page to the first one
+    if events and events[0][0] > 0:
+        events[0] = (0, *events[0][1:])
+    elif n and not events:
+        events = [(0, "decl", None)]
     rows = []
     stack = []        # open node rows
     nodes = []        # node rows in pre order
@@ -186,8 +196,8 @@ def shred_html(src: str):
                         close(nd)
                     del stack[hit:]
         elif kind == "text":
-            rawtext = payload
-            text = raw if rawtext else _html.unescape(raw)
+            rawtext, pieces = payload
+            text = "".join(pieces)
             if not rawtext and text.strip(ASCII_WS) == "" and not any(
                     s["tag"] in PRESERVE_WS_TAGS for s in stack):
                 text = "\n" if "\n" in text else " "

@@ -35,22 +35,20 @@ def start_tag(tag="tag", attrs="attrs", classes="classes", raw="raw") -> Column:
     return F.concat(F.lit("<"), F.col(tag), attr_string(attrs, classes), end)
 
 
-def node_edits(nodes: DataFrame, drop: str | None = None) -> DataFrame:
+def node_edits(nodes: DataFrame) -> DataFrame:
     """(page_id, i, raw) edits from an edited node table (needs ``i``,
-    ``end_i``, ``raw``, ``attrs``/``classes`` and their originals
-    ``attrs0``/``classes0``): start tags whose attributes changed are
-    rebuilt; elements flagged by ``drop`` lose their start and end tags."""
+    ``raw``, ``attrs``/``classes`` and their originals ``attrs0``/``classes0``):
+    start tags whose attributes changed are rebuilt."""
     changed = attr_string("attrs", "classes") != attr_string("attrs0", "classes0")
-    n = nodes
-    if drop is not None:
-        n = n.withColumn("_drop", F.coalesce(F.col(drop).cast("boolean"), F.lit(False)))
-    else:
-        n = n.withColumn("_drop", F.lit(False))
-    starts = n.where(F.col("_drop") | changed).select(
-        "page_id", "i", F.when(F.col("_drop"), F.lit("")).otherwise(start_tag()).alias("raw"))
-    ends = n.where(F.col("_drop") & F.col("end_i").isNotNull()).select(
-        "page_id", F.col("end_i").alias("i"), F.lit("").alias("raw"))
-    return starts.unionByName(ends)
+    return nodes.where(changed).select("page_id", "i", start_tag().alias("raw"))
+
+
+def removed_tags(nodes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(page_id, i, raw) blanking the start and end tags of the elements of
+    ``nodes`` that ``kept`` no longer holds; their content stays."""
+    gone = nodes.join(kept.select("page_id", "pre"), ["page_id", "pre"], "left_anti")
+    return (gone.select("page_id", F.explode(F.array("i", "end_i")).alias("i"))
+            .where(F.col("i").isNotNull()).withColumn("raw", F.lit("")))
 
 
 def render(tokens: DataFrame, edits: DataFrame | None = None, key: str = "page_id") -> DataFrame:
@@ -68,9 +66,13 @@ def render(tokens: DataFrame, edits: DataFrame | None = None, key: str = "page_i
     return grouped.select(key, F.array_join(F.filter(picked, lambda x: x.isNotNull()), "").alias("html"))
 
 
-def text_edits(texts: DataFrame, new_text: str = "text") -> DataFrame:
-    """(page_id, i, raw) re-encoding edited text runs."""
-    return texts.select("page_id", "i", escape_text(new_text).alias("raw"))
+def text_edits(texts: DataFrame, edited: DataFrame) -> DataFrame:
+    """(page_id, i, raw) re-encoding the runs whose text ``edited`` changed;
+    script and style bodies are written as they are."""
+    new = edited.select("page_id", "i", F.col("text").alias("_new"))
+    return (texts.join(new, ["page_id", "i"]).where(F.col("_new") != F.col("text"))
+            .select("page_id", "i", F.when(F.col("kind") == "rawtext", F.col("_new"))
+                    .otherwise(escape_text("_new")).alias("raw")))
 
 
 def highlight_edits(nodes: DataFrame, tokens: DataFrame, flag: str = "label") -> DataFrame:

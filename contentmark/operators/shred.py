@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import contentmark
 from contentmark.operators.htmltree import shred_html
@@ -58,9 +59,11 @@ _ROWS_PER_BATCH = 32768
 
 def _shred_batches(batches):
     # shred_html and its module travel by value with this function
+    schema = _ARROW_DOM
     buf = {c: [] for c in _COLS}
     count = 0
     for batch in batches:
+        schema = _ARROW_DOM.set(0, pa.field("page_id", batch.column("page_id").type))
         ids = batch.column("page_id").to_pylist()
         docs = batch.column("html").to_pylist()
         for pid, doc in zip(ids, docs):
@@ -73,28 +76,35 @@ def _shred_batches(batches):
                     buf[c].append(v)
                 count += 1
             if count >= _ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pydict(buf, schema=_ARROW_DOM)
+                yield pa.RecordBatch.from_pydict(buf, schema=schema)
                 buf = {c: [] for c in _COLS}
                 count = 0
     if count:
-        yield pa.RecordBatch.from_pydict(buf, schema=_ARROW_DOM)
+        yield pa.RecordBatch.from_pydict(buf, schema=schema)
 
 
-def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Pages (page_id, html) -> token table (schema.DOM).
+def shred(pages: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
+    """Pages (page_id or filename, html) -> token table (schema.DOM).
+
+    The page key (``key``, else ``page_id``, else ``filename``) may be an
+    integer or any value with a string form, such as a file name; every
+    operator carries it as ``page_id``.
 
     Parallelism comes from the scan splits; only when the input has fewer
     partitions than the cluster has task slots (small files, one row group)
     the pages are spread by ``page_id`` first.  A page is parsed whole
     inside one task - it is the unit the tree is defined on.
     """
-    src = pages.select(F.col("page_id").cast("bigint").alias("page_id"),
+    name = key or ("page_id" if "page_id" in pages.columns else "filename")
+    whole = isinstance(pages.schema[name].dataType, T.IntegralType)
+    src = pages.select(F.col(name).cast("bigint" if whole else "string").alias("page_id"),
                        F.col("html").cast("string").alias("html"))
     if partitions:
         src = src.repartition(partitions, "page_id")
     else:
         src = spread(src, "page_id")
-    return src.mapInArrow(_shred_batches, DOM)
+    types = T.StructType([T.StructField("page_id", src.schema["page_id"].dataType), *DOM.fields[1:]])
+    return src.mapInArrow(_shred_batches, types)
 
 
 def nodes(dom: DataFrame) -> DataFrame:
@@ -117,9 +127,9 @@ def texts(dom: DataFrame) -> DataFrame:
 
 def tokens(dom: DataFrame) -> DataFrame:
     """The token stream: page_id, i, kind, raw, node (opened / closed /
-    owning element)."""
-    return dom.where(F.col("kind") != "doc").select(
-        "page_id", "i", "kind", "raw", "node", "tag")
+    owning element).  Each page starts with its empty ``doc`` token, so pages
+    without any markup are kept."""
+    return dom.select("page_id", "i", "kind", "raw", "node", "tag")
 
 
 def page_text(dom: DataFrame) -> DataFrame:

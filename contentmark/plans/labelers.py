@@ -77,17 +77,23 @@ def label_block_by_text(nodes: DataFrame, texts: DataFrame, gold: DataFrame, wit
     return N.mark_block(nodes, N.lowest_common_ancestor(seeds))
 
 
-def label_corpus(pages: DataFrame, recipe: Callable[[DataFrame, DataFrame], DataFrame],
-                 highlight: bool = False) -> DataFrame:
+def label_corpus(pages: DataFrame, recipe: Callable) -> DataFrame:
     """Run a recipe over a whole corpus and render the labelled pages.
 
-    ``recipe(nodes, texts) -> nodes`` with ``is_main``; the main label
-    attribute is written on marked elements and the pages re-assembled from
-    their tokens: (page_id, html)."""
+    ``recipe(nodes, texts)`` gives nodes with ``is_main``, or a tuple of such
+    nodes and edited texts (and more, not used here).  The main label attribute
+    is written on marked elements; tags of elements the recipe removed go and
+    texts it edited are re-encoded: (page_id, html).  Pages without markup are
+    kept as they are, null ones as empty."""
     from contentmark.operators import render as R
     from contentmark.operators import shred as S
     from contentmark.session import materialize
 
     dom = materialize(S.shred(pages), "dom", partition_by="kind")
-    labelled = N.main_attr(recipe(S.nodes(dom), S.texts(dom)))
-    return R.render(S.tokens(dom), R.node_edits(labelled))
+    out = recipe(S.nodes(dom), S.texts(dom))
+    n, t = out[:2] if isinstance(out, tuple) else (out, None)
+    edits = R.node_edits(N.main_attr(n))
+    if t is not None:
+        edits = (edits.unionByName(R.removed_tags(S.nodes(dom), n))
+                 .unionByName(R.text_edits(S.texts(dom), t)))
+    return R.render(S.tokens(dom), edits)

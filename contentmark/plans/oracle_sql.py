@@ -94,11 +94,29 @@ GOLD_CTES = rf"""
 
 
 # The attribute-annotated corpus derived from pages (see queries.annotated_pages).
-ANNOTATED_SRC = ("""SELECT page_id, replace(replace(html, '<b>', '<span __boilernet_label="1">'),
-  '<div class="ad">', '<div class="ad" __boilernet_label="0">') AS html FROM pages""")
+ANNOTATED_SRC = ("""SELECT page_id, replace(replace(replace(html, '<b>', '<span __boilernet_label="1">'),
+  '<div class="ad">', '<div class="ad" __boilernet_label="0">'),
+  '<br>', '<br __boilernet_label="0">') AS html FROM pages""")
 ANNOTATED_CTES = NODE_CTES.replace("src AS (SELECT page_id, html FROM pages)",
                                    f"src AS ({ANNOTATED_SRC})")
 
+# The single text run (".string") of each element that has one.
+SINGLE_STRING = """
+, kids AS (
+  SELECT page_id, node, count(*) AS n FROM (
+    SELECT page_id, parent AS node FROM nodes WHERE parent >= 0
+    UNION ALL SELECT page_id, node FROM texts
+    UNION ALL SELECT w.page_id, w.st[len(w.st)].o FROM walk w JOIN o ON o.page_id = w.page_id AND o.i = w.i
+              WHERE o.tok LIKE '<!--%' AND len(w.st) > 0)
+  GROUP BY page_id, node)
+, sstr AS (
+  SELECT t.page_id, t.node AS pre, t.i FROM texts t
+  JOIN kids k ON k.page_id = t.page_id AND k.node = t.node WHERE k.n = 1
+  UNION ALL
+  SELECT s.page_id, n.parent, s.i FROM sstr s JOIN nodes n ON n.page_id = s.page_id AND n.pre = s.pre
+  JOIN kids k ON k.page_id = n.page_id AND k.node = n.parent WHERE n.parent >= 0 AND k.n = 1)
+"""
+
 CLASS_VAL = """regexp_extract(raw, '\\sclass="([^"]*)"', 1)"""
 HAS_CLASS = """regexp_matches(raw, '\\sclass="')"""
 
@@ -217,6 +235,22 @@ SELECT o.page_id, string_agg(CASE WHEN m.i IS NOT NULL
          THEN regexp_replace(o.tok, '(/?>)$', ' CASM_main_content_label="1"\\1') ELSE o.tok END,
          '' ORDER BY o.i) AS html
 FROM o LEFT JOIN mainstart m ON m.page_id = o.page_id AND m.i = o.i GROUP BY o.page_id"""
+    for name in ("attr", "block_attr"):
+        labelled = q["label_by_attr" if name == "attr" else "label_block_by_attr"]
+        cut = labelled.rindex("\nSELECT ")
+        q[f"label_corpus_{name}"] = labelled[:cut] + "\n, lab AS (" + labelled[cut:] + ")" + SINGLE_STRING + f"""
+, trims AS (SELECT DISTINCT s.page_id, s.i, {_strip('t.text')} AS text FROM sstr s
+            JOIN nodes n ON n.page_id = s.page_id AND n.pre = s.pre AND n.tag = 'span'
+            JOIN texts t ON t.page_id = s.page_id AND t.i = s.i WHERE {_strip('t.text')} <> t.text)
+SELECT o.page_id, string_agg(CASE
+         WHEN m.i IS NOT NULL THEN replace(replace(replace(m.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+         WHEN w.pre IS NULL THEN o.tok WHEN o.nm = 'span' THEN ''
+         ELSE regexp_replace(regexp_replace(o.tok, ' __boilernet_label="[01]"', ''), '(/?>)$',
+                CASE WHEN b.is_main = 1 THEN ' CASM_main_content_label="1"\\1' ELSE '\\1' END) END,
+         '' ORDER BY o.i) AS html
+FROM o JOIN walk w ON w.page_id = o.page_id AND w.i = o.i
+LEFT JOIN lab b ON b.page_id = w.page_id AND b.pre = w.pre
+LEFT JOIN trims m ON m.page_id = o.page_id AND m.i = o.i GROUP BY o.page_id"""
     q["page_scan"] = "SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages"
     q["csv_roundtrip"] = "SELECT page_id, html FROM pages"
     q["page_allowlist"] = """SELECT page_id, url FROM pages
@@ -614,20 +648,7 @@ SELECT page_id, part, pos, n1::BIGINT AS n1, n2::BIGINT AS n2, n3::BIGINT AS n3,
 SELECT page_id, part, pos, tier, pre::BIGINT AS pre FROM res"""
     q["annotate"] = wb + """
 SELECT page_id, pre::BIGINT AS pre, label FROM ann"""
-    q["highlight"] = wb + """
-, kids AS (
-  SELECT page_id, node, count(*) AS n FROM (
-    SELECT page_id, parent AS node FROM nodes WHERE parent >= 0
-    UNION ALL SELECT page_id, node FROM texts
-    UNION ALL SELECT w.page_id, w.st[len(w.st)].o FROM walk w JOIN o ON o.page_id = w.page_id AND o.i = w.i
-              WHERE o.tok LIKE '<!--%' AND len(w.st) > 0)
-  GROUP BY page_id, node)
-, sstr AS (
-  SELECT t.page_id, t.node AS pre, t.i FROM texts t
-  JOIN kids k ON k.page_id = t.page_id AND k.node = t.node WHERE k.n = 1
-  UNION ALL
-  SELECT s.page_id, n.parent, s.i FROM sstr s JOIN nodes n ON n.page_id = s.page_id AND n.pre = s.pre
-  JOIN kids k ON k.page_id = n.page_id AND k.node = n.parent WHERE n.parent >= 0 AND k.n = 1)
+    q["highlight"] = wb + SINGLE_STRING + """
 , marks AS (SELECT DISTINCT s.page_id, s.i FROM sstr s JOIN ann a ON a.page_id = s.page_id AND a.pre = s.pre
             WHERE a.label = 1)
 , st AS (SELECT w.page_id, w.i, a.label FROM walk w JOIN ann a ON a.page_id = w.page_id AND a.pre = w.pre)

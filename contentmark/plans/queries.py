@@ -90,11 +90,13 @@ def q_label_block_by_text(spark, sf_dir):
 # --- annotated corpus derived from the given pages -------------------------
 # The test pages carry no annotation marks; these queries derive an
 # attribute-annotated corpus from them with Spark (every <b> becomes a
-# label-1 span, the ad box gets label 0), so the recipes run on whole tables.
+# label-1 span, the ad box and every line break get label 0), so the recipes
+# run on whole tables.
 
 def annotated_pages(pages: DataFrame) -> DataFrame:
     html = F.replace(F.replace("html", F.lit("<b>"), F.lit(f'<span {L.LABEL_ATTR}="1">')),
                      F.lit('<div class="ad">'), F.lit(f'<div class="ad" {L.LABEL_ATTR}="0">'))
+    html = F.replace(html, F.lit("<br>"), F.lit(f'<br {L.LABEL_ATTR}="0">'))
     return pages.select("page_id", "url", html.alias("html"))
 
 
@@ -234,6 +236,14 @@ def q_label_corpus(spark, sf_dir):
     return L.label_corpus(c.pages, lambda n, t: L.label_block_by_text(n, t, gold))
 
 
+def q_label_corpus_attr(spark, sf_dir):
+    return L.label_corpus(annotated_pages(_t(spark, sf_dir, "pages")), L.label_by_attr)
+
+
+def q_label_corpus_block_attr(spark, sf_dir):
+    return L.label_corpus(annotated_pages(_t(spark, sf_dir, "pages")), L.label_block_by_attr)
+
+
 def q_page_scan(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
     out = P.scratch_path(spark, "pages")
@@ -617,6 +627,8 @@ def registry() -> dict:
         "label_by_attr": q_label_by_attr,
         "label_block_by_attr": q_label_block_by_attr,
         "label_corpus": q_label_corpus,
+        "label_corpus_attr": q_label_corpus_attr,
+        "label_corpus_block_attr": q_label_corpus_block_attr,
         "page_scan": q_page_scan,
         "csv_roundtrip": q_csv_roundtrip,
         "page_allowlist": q_page_allowlist,

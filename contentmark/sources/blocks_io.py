@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contentmark.functions.text import render_seq
@@ -20,12 +20,21 @@ def read_blocks(spark: SparkSession, paths, mapping: dict | None = None) -> Data
     """One CSV or a list of CSVs -> block table with canonical names.
 
     Files with differing columns are unioned by name (missing -> null);
-    sequences stay list-like strings until ``parse_sequences``."""
+    sequences stay list-like strings until ``parse_sequences``.  Files without
+    a ``pos`` column, as the contract has them, get it from the order of their
+    lines: 0, 1, .. within (page_id, part), files by name."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = [spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("inferSchema", False).csv(p) for p in paths]
+              .option("escape", '"').option("inferSchema", False).csv(p)
+              .select("*", F.struct(F.lit(k), F.col("_metadata.file_path"),
+                                    F.monotonically_increasing_id()).alias("_line"))
+              for k, p in enumerate(paths)]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     df = rename_columns(df, mapping or BLOCK_CSV_COLUMNS)
+    if "pos" not in df.columns and "page_id" in df.columns:
+        sample = [c for c in ("page_id", "part") if c in df.columns]
+        df = df.withColumn("pos", F.row_number().over(Window.partitionBy(*sample).orderBy("_line")) - 1)
+    df = df.drop("_line")
     for c, t in (("part", "int"), ("pos", "int"), ("label", "int"), ("prediction", "int")):
         if c in df.columns:
             df = df.withColumn(c, F.col(c).cast(t))

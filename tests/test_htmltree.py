@@ -62,3 +62,16 @@ def test_class_tokens_and_attrs():
     n = _nodes('<div class=" x  TECO_mainContent " id=a data-k>')[0]
     assert n["classes"] == ["x", "TECO_mainContent"]
     assert n["attrs"]["id"] == "a" and n["attrs"]["data-k"] == ""
+
+
+def test_skipped_markup_and_entities():
+    src = "</>x<p>a</>b</p>&copy2020 &amp; &amp &#233;"
+    rows = [r for r in shred_html(src) if r["kind"] != "doc"]
+    assert "".join(r["raw"] for r in rows) == src
+    assert [r["text"] for r in rows if r["kind"] == "text"] == ["x", "ab", "&copy2020 & & é"]
+    assert [r["raw"] for r in shred_html("</>") if r["kind"] != "doc"] == ["</>"]
+
+
+def test_null_and_empty_pages_keep_their_doc_row():
+    for src in (None, ""):
+        assert [(r["kind"], r["text"]) for r in shred_html(src)] == [("doc", "")]

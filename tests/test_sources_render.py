@@ -6,10 +6,12 @@ from hypothesis import strategies as st
 from conftest import pages_df, shredded
 from contentmark.operators import render as R
 from contentmark.operators.htmltree import shred_html
+from contentmark.plans import labelers as L
+from contentmark.schema import BLOCK_CSV_COLUMNS
 from contentmark.sources import blocks_io as BIO
 from contentmark.sources import pages as P
 
-PIECES = ["<p>", "</p>", "<b>", "</b>", "<br>", "<div class='a b'>", "</div>", "text", " ",
+PIECES = ["</>", "<", "&copy2020", "&#233;", "<p>", "</p>", "<b>", "</b>", "<br>", "<div class='a b'>", "</div>", "text", " ",
           "&amp;", "<!-- c -->", "<script>x</p></script>", "<span x=1>", "</span>", "é", "\n"]
 
 
@@ -87,3 +89,24 @@ def test_spread_only_when_few_splits(spark):
     assert spread(small).rdd.getNumPartitions() == n
     big = spark.range(10).repartition(n + 3)
     assert spread(big).rdd.getNumPartitions() == n + 3
+
+
+def test_string_keys_and_empty_pages_survive_labelling(spark):
+    pages = spark.createDataFrame([("a.html", "<div><span l='1'> Hi &amp; x </span><i>z</i></div>"),
+                                   ("b.html", None), ("c.html", ""), ("d.html", "</>")],
+                                  "filename string, html string")
+    got = {r["page_id"]: r["html"] for r in L.label_corpus(
+        pages, lambda n, t: L.label_by_attr(n, t, "l")).collect()}
+    assert got == {"a.html": '<div CASM_main_content_label="1">Hi &amp; x<i>z</i></div>',
+                   "b.html": "", "c.html": "", "d.html": "</>"}
+
+
+def test_contract_csv_without_pos_gets_line_order(spark, tmp_path):
+    f = tmp_path / "blocks.csv"
+    rows = [f"{d},{p},[c],[p],[t{k}],0" for k, (d, p) in enumerate([(1, 0), (1, 0), (2, 0), (1, 1), (1, 0)])]
+    names = {v: k for k, v in BLOCK_CSV_COLUMNS.items()}
+    head = ",".join(names[c] for c in ("page_id", "part", "class_seq", "tag_seq", "text_seq", "label"))
+    f.write_text(head + "\n" + "\n".join(rows) + "\n")
+    got = {r["text_seq"]: (r["page_id"], r["part"], r["pos"]) for r in BIO.read_blocks(spark, str(f)).collect()}
+    assert got == {"[t0]": ("1", 0, 0), "[t1]": ("1", 0, 1), "[t2]": ("2", 0, 0),
+                   "[t3]": ("1", 1, 0), "[t4]": ("1", 0, 2)}
