@@ -13,7 +13,7 @@ def test_entry_runs(spark):
 PLANNED = """dom_nodes csv_roundtrip page_scan blocks_csv page_allowlist gold_lines text_blocks
 class_select attr_select subtree_mark class_remove attr_remove unwrap lca block_mark contradictions
 own_text_search subtree_text render label_by_class label_by_attr label_block_by_attr label_by_text
-label_block_by_text label_corpus gold_keys gold_candidates gold_align attach_predictions
+label_block_by_text label_corpus label_corpus_attr label_corpus_block_attr gold_keys gold_candidates gold_align attach_predictions
 parse_sequences vocab encode fold_pad_mask split_parts unpad_explode attention_mask seq_len
 pool_mean pool_max pool_first combine context class_weights emissions_nb transitions decode
 sequence_loss fit_predict model_reload eval_metrics eval_report tag_map clean_text match_tiers
