@@ -495,8 +495,8 @@ UNION ALL SELECT label, 'sum', dim, round(mn + mx + fs, 6) FROM p
 UNION ALL SELECT label, 'mean', dim, round((mn + mx + fs) / 3, 6) FROM p
 UNION ALL SELECT label, 'max', dim, round(greatest(greatest(mn, mx), fs), 6) FROM p"""
     q["context"] = """WITH c AS (SELECT vec_id, embedding,
-    lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS pv,
-    lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nx FROM embeddings)
+    lag(embedding) OVER (PARTITION BY label, vec_id // 85 ORDER BY vec_id) AS pv,
+    lead(embedding) OVER (PARTITION BY label, vec_id // 85 ORDER BY vec_id) AS nx FROM embeddings)
 SELECT vec_id, (d - 1)::BIGINT AS dim, round(coalesce(pv[d], 0.0)::DOUBLE, 6) AS prev,
        round(coalesce(nx[d], 0.0)::DOUBLE, 6) AS next
 FROM c, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS d)"""

@@ -398,8 +398,10 @@ def q_combine(spark, sf_dir):
 
 
 def q_context(spark, sf_dir):
-    e = _emb(spark, sf_dir).withColumn("vec", F.col("embedding").cast("array<double>"))
-    c = V.with_context(e, "vec", keys=["label"], order="vec_id")
+    # a sample: SEQ_BLOCKS consecutive ids of one label, so no window grows with the table
+    e = _emb(spark, sf_dir).withColumn("vec", F.col("embedding").cast("array<double>")).withColumn(
+        "sample", F.floor(F.col("vec_id") / SEQ_BLOCKS))
+    c = V.with_context(e, "vec", keys=["label", "sample"], order="vec_id")
     z = c.select("vec_id", F.posexplode(F.arrays_zip("prev_1", "next_1")).alias("dim", "pn"))
     return z.select("vec_id", F.col("dim").cast("bigint").alias("dim"),
                     F.round(F.col("pn.prev_1"), 6).alias("prev"),
@@ -581,12 +583,14 @@ def q_attach_predictions(spark, sf_dir):
 # --- M6, M7: the labeller as estimator / model ------------------------------------
 
 def q_fit_predict(spark, sf_dir):
-    """Fit the labeller with MLlib logistic-regression emissions and predict
-    every block (rows-only check: no SQL form of the solver)."""
+    """Fit the labeller with MLlib logistic-regression emissions on the training
+    pages (four of five by digest) and predict every block; ``held_out`` marks
+    the others (rows-only check: no SQL form of the solver)."""
     from contentmark.plans.labeller import BlockLabeler
     blocks = Corpus(spark, sf_dir).blocks()
-    model = BlockLabeler(max_blocks=SEQ_BLOCKS, emissions="lr").fit(blocks)
-    return model.transform(blocks).select("page_id", "part", "pos", "label", "prediction")
+    held_out = F.crc32(F.col("page_id").cast("string")) % 5 == 0
+    model = BlockLabeler(max_blocks=SEQ_BLOCKS, emissions="lr").fit(blocks.where(~held_out))
+    return model.transform(blocks).select("page_id", "part", "pos", held_out.alias("held_out"), "label", "prediction")
 
 
 def q_model_reload(spark, sf_dir):

@@ -24,7 +24,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.legacy.javaCharsets", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

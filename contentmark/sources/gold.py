@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentmark.functions.charset import decode_windows_1252
 from contentmark.functions.text import strip_ws
 from contentmark.session import spread
 
@@ -38,10 +39,9 @@ def gold_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def decode_gold_bytes(content) -> "F.Column":
-    """UTF-8 when valid, else windows-1252 (needs
-    ``spark.sql.legacy.javaCharsets=true`` on Spark 4)."""
+    """UTF-8 when valid, else windows-1252."""
     return F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(
-        F.decode(content, "windows-1252"))
+        decode_windows_1252(content))
 
 
 def read_gold_files(spark, path: str, include_comments: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentmark.functions.charset import decode_html
 from contentmark.session import ensure_checkpoint_dir
 
 
@@ -20,10 +21,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A directory of HTML files, one page per file -> (filename, html).
 
-    ``wholetext`` keeps each file one row; the key is the file name."""
-    return (spark.read.text(path, wholetext=True)
+    Files are read as bytes and decoded by ``decode_html``; the key is the
+    file name.  Spark's file sources list no file of zero length, so such a
+    page is absent (``missing_pages`` names it when an allow-list does)."""
+    return (spark.read.format("binaryFile").load(path)
             .select(F.col("_metadata.file_name").alias("filename"),
-                    F.col("value").alias("html")))
+                    decode_html(F.col("content")).alias("html")))
 
 
 def read_name_lists(spark: SparkSession, paths) -> DataFrame:

@@ -110,3 +110,26 @@ def test_contract_csv_without_pos_gets_line_order(spark, tmp_path):
     got = {r["text_seq"]: (r["page_id"], r["part"], r["pos"]) for r in BIO.read_blocks(spark, str(f)).collect()}
     assert got == {"[t0]": ("1", 0, 0), "[t1]": ("1", 0, 1), "[t2]": ("2", 0, 0),
                    "[t3]": ("1", 1, 0), "[t4]": ("1", 0, 2)}
+
+
+def test_read_pages_decodes_bytes(spark, tmp_path):
+    d = tmp_path / "bytes"
+    d.mkdir()
+    meta = '<meta http-equiv="Content-Type" content="text/html; charset={}">'
+    want = {"utf8.html": ("<p>é</p>", "utf-8"), "cp1252.html": ("<p>\u201cé\u201d</p>", "cp1252"),
+            "declared.html": (meta.format("koi8-r") + "<p>да</p>", "koi8-r"),
+            "short.html": ("<meta charset='shift_jis'><p>日本</p>", "shift_jis"),
+            "unknown.html": (meta.format("no-such") + "é", "utf-8")}
+    for name, (text, enc) in want.items():
+        (d / name).write_bytes(text.encode(enc))
+    (d / "mark.html").write_bytes("\ufeff<p>x</p>".encode("utf-16-le"))
+    got = {r["filename"]: r["html"] for r in P.read_pages(spark, str(d)).collect()}
+    assert got == {k: t for k, (t, _) in want.items()} | {"mark.html": "<p>x</p>"}
+
+
+def test_windows_1252_needs_no_session_flag(spark):
+    from contentmark.sources.gold import decode_gold_bytes
+    raw = [bytes([i]) for i in range(0x80, 0x100) if bytes([i]).decode("cp1252", "ignore")]
+    df = spark.createDataFrame([(bytearray(b),) for b in raw], "b binary")
+    got = [r[0] for r in df.select(decode_gold_bytes(df["b"])).collect()]
+    assert got == [b.decode("cp1252") for b in raw]
