@@ -195,6 +195,8 @@ def _links(max_bits: int):
                  pa.array(np.ascontiguousarray(e[:, 1]).view(np.int64))], names=["u", "v"])
         rest = np.zeros((0, 3), np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
             rows = np.concatenate((rest, rows))
             whole = rows[:, :2]
