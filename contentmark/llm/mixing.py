@@ -83,6 +83,17 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed
             .withColumn("_x_b", F.conv(F.substring("_x_h", 1, BUCKET_HEX), 16, 10).cast("int")))
 
 
+def _crossing(parts: DataFrame, at: str, size: str, need: str) -> DataFrame:
+    """(_x_s, _x_at, _x_rem): the part in which a source's running size passes
+    its need, and what of the need is left there; none for sources that never do."""
+    upto = Window.partitionBy("_x_src").orderBy(at)
+    cum = F.col("_x_cum")
+    return (parts.withColumn("_x_cum", F.sum(size).over(upto)).where(cum > F.col(need))
+            .groupBy(F.col("_x_src").alias("_x_s"))
+            .agg(F.min(F.struct(F.col(at).alias("at"), (F.col(need) - cum + F.col(size)).alias("rem"))).alias("_x_end"))
+            .select("_x_s", F.col("_x_end.at").alias("_x_at"), F.col("_x_end.rem").alias("_x_rem")))
+
+
 def plan(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], *, budget_ratio: float = 1.5,
          max_epochs: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source") -> DataFrame:
@@ -107,19 +118,19 @@ def plan(docs: DataFrame, weights: Callable[[DataFrame], DataFrame], *, budget_r
     sources = (sources.withColumn("_x_target", share).withColumn("_x_whole", whole)
                .withColumn("_x_need", F.round("_x_target").cast("bigint")
                            - F.col("_x_whole") * F.col("_x_source_size")))
-    # the bucket in which a source's fractional repetition ends
-    upto = Window.partitionBy("_x_src").orderBy("_x_b")
-    ends = (buckets.withColumn("_x_cum", F.sum("_x_bsize").over(upto))
-            .join(sources.select(F.col("_x_src").alias("_x_s"), "_x_need"),
-                  F.col("_x_src").eqNullSafe(F.col("_x_s")))
-            .where(F.col("_x_cum") > F.col("_x_need"))
-            .groupBy("_x_s").agg(F.min(F.struct(
-                F.col("_x_b").alias("b"),
-                (F.col("_x_need") - F.col("_x_cum") + F.col("_x_bsize")).alias("rem"))).alias("_x_end")))
+    # the bucket in which a source's fractional repetition ends: first among
+    # ranges of buckets, then within that range, so few rows of a source meet
+    wide = F.floor(F.col("_x_b") / 16 ** (BUCKET_HEX // 2)).cast("int")
+    ranges = (buckets.groupBy("_x_src", wide.alias("_x_r")).agg(F.sum("_x_bsize").alias("_x_rsize"))
+              .join(sources.select(F.col("_x_src").alias("_x_s"), "_x_need"),
+                    F.col("_x_src").eqNullSafe(F.col("_x_s"))))
+    within = buckets.join(_crossing(ranges, "_x_r", "_x_rsize", "_x_need"),
+                          F.col("_x_src").eqNullSafe(F.col("_x_s")) & (wide == F.col("_x_at")))
+    ends = _crossing(within, "_x_b", "_x_bsize", "_x_rem")
     table = (sources.join(ends, F.col("_x_src").eqNullSafe(F.col("_x_s")), "left")
              .select(F.col("_x_src").alias("_x_s"), "_x_source_size", "_x_target", "_x_whole",
-                     F.coalesce("_x_end.b", F.lit(16 ** BUCKET_HEX)).alias("_x_end_b"),
-                     F.coalesce("_x_end.rem", F.lit(0)).alias("_x_rem")))
+                     F.coalesce("_x_at", F.lit(16 ** BUCKET_HEX)).alias("_x_end_b"),
+                     F.coalesce("_x_rem", F.lit(0)).alias("_x_rem")))
     table = materialize(table, "mix-targets")
     joined = rows.join(table, F.col("_x_src").eqNullSafe(F.col("_x_s"))).drop("_x_s")
     sure = joined.where(F.col("_x_b") != F.col("_x_end_b")).withColumn(
