@@ -1,8 +1,15 @@
 """Packing by lexical retrieval: every window is filled with neighbours.
 
-Documents are tokenised where they lie; a task gathers them into shards of about
-``SHARD_TOKENS`` tokens.  A shard has a BM25 inverted index over token ids
-(posting lists of the rarer terms).  The shard's next unused document is the
+Documents are tokenised where they lie, and their ids are written once.  Document
+counts of all terms and the mean length are Spark aggregates over the whole
+table.  Every document is routed by the ``ROUTE_TERMS`` shared terms that weigh most in
+it (BM25 weights with those corpus statistics): a range shuffle by them brings
+documents together wherever they lay in the input.  The key ends with a digest
+and a row number, so a common term or a large group of copies is split evenly.
+
+A task gathers its sorted documents into shards of about ``SHARD_TOKENS`` tokens.
+A shard has a BM25 inverted index over token ids (posting lists of the rarer
+terms; idf and mean length are the corpus's).  The shard's next unused document is the
 seed of a window; the seed's ``QUERY_TERMS`` rarest terms retrieve unused
 neighbours, best first, which fill the window until it is full; the document at the
 end of a window is cut and its rest is the next seed.  When retrieval gives
@@ -10,8 +17,9 @@ nothing, the next unused document follows, so windows are always full.  The
 last window of a partition is cut into lengths that are powers of two, which need
 no padding.
 
-No shuffle: texts stay where they are, and memory is bounded by the shard.  A
-document longer than a shard makes a shard of its own.
+A seed queries its own shard only: documents whose heaviest terms differ lie in other
+shards and are not its candidates.  Memory is bounded by the shard.  A document
+longer than a shard makes a shard of its own.
 
 Tokenisation splits at white space first (no token of these vocabularies crosses
 it) and asks the tokenizer once for each distinct piece of a shard.
@@ -29,24 +37,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentmark.llm.tokens import PieceTokenizer
+from contentmark.session import materialize
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
+SHARDS_PER_PART = 2
+ROUTE_TERMS = 3
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 MAX_POSTING_SHARE = 0.05   # terms in more documents of a shard don't tell them apart
 SEQUENCES_PER_PART = 1 << 32
 END_ID = 1
+# Rows of the table of ids that hold a total of their task instead of a term's count.
+N_DOCS, N_TOKENS = -1, -2
+
+
+class Statistics:
+    """Documents, mean length and documents by term of a corpus."""
+
+    def __init__(self, counts: dict):
+        import numpy as np
+        self.n_docs, self.n_tokens = counts.get(N_DOCS, 0), counts.get(N_TOKENS, 0)
+        self.mean = max(1.0, self.n_tokens / max(1, self.n_docs))
+        self.df = np.zeros(max(counts, default=0) + 1 if counts else 1, np.int64)
+        for term, n in counts.items():
+            if term >= 0:
+                self.df[term] = n
+
+    @classmethod
+    def of(cls, docs) -> Statistics:
+        import numpy as np
+        counts = {N_DOCS: len(docs), N_TOKENS: sum(map(len, docs))}
+        if docs:
+            terms, df = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+            counts |= dict(zip(terms.tolist(), df.tolist()))
+        return cls(counts)
+
+    def idf(self, terms):
+        import numpy as np
+        df = self.df[terms]
+        return np.log(1 + (self.n_docs - df + 0.5) / (df + 0.5))
+
+    def norm(self, lengths):
+        return K1 * (1 - B + B * lengths / self.mean)
 
 
 class Index:
-    """BM25 inverted index of one shard: posting lists by term."""
+    """BM25 inverted index of one shard: posting lists by term.  Weights are
+    those of the corpus that ``stats`` describes, by default the shard."""
 
-    def __init__(self, docs):
+    def __init__(self, docs, stats: Statistics | None = None):
         import numpy as np
         n = len(docs)
+        stats = stats or Statistics.of(docs)
         lengths = np.array([len(d) for d in docs], float)
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
+        norm = stats.norm(lengths)
         if n:
             term = np.concatenate(docs).astype(np.int64)
             key = np.repeat(np.arange(n, dtype=np.int64), lengths.astype(np.int64)) | term << 32
@@ -61,7 +106,7 @@ class Index:
         self.terms = self.term[start]
         self.start = np.append(start, len(key))
         df = np.diff(self.start)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = stats.idf(self.terms)
         self.doc = doc
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
         # the terms of every document, rarest first, as query
@@ -85,12 +130,13 @@ class Index:
         return found[np.lexsort((found, -total))].tolist()
 
 
-def order_by_retrieval(docs, fill: int = 0, window: int = WINDOW) -> Iterator[int]:
+def order_by_retrieval(docs, fill: int = 0, window: int = WINDOW,
+                       stats: Statistics | None = None) -> Iterator[int]:
     """Order in which the documents of a shard enter the windows, the first of
     which holds ``fill`` ids already.  The document cut at a window's end seeds
     the next window; without one, or without unused neighbours, the next unused
     document is the seed."""
-    index = Index(docs)
+    index = Index(docs, stats)
     used = bytearray(len(docs))
     queue: Iterator[int] = iter(())
     upcoming = 0
@@ -111,14 +157,74 @@ def order_by_retrieval(docs, fill: int = 0, window: int = WINDOW) -> Iterator[in
             queue = iter(index.neighbours(k)) if fill else iter(())
 
 
-def _pack(path: str, end_id: int, window: int, shard_tokens: int):
+def _read_ids(batch, at: int):
+    """The id arrays of a batch; column ``at`` has the bytes, the next one the counts."""
+    import numpy as np
+    for raw, n in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()):
+        yield np.frombuffer(raw, f"<u{len(raw) // n}")
+
+
+def _tokenise(path: str, end_id: int):
+    """(doc_id, ids, n, null) for every document - ids in two bytes where the
+    vocabulary allows - and at the end of a task (null, null, count, term)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        encode = PieceTokenizer(path)
+        size = max(encode.tokenizer.get_vocab_size(), end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        counts, docs, tokens = np.zeros(size, np.int64), 0, 0
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+        def table(*cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                              names=["doc_id", "ids", "n", "term"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                raws, sizes = [], []
+                for raw in encode([t or "" for t in some.column(1).to_pylist()]):
+                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(kind)
+                    counts[np.unique(ids)] += 1
+                    raws.append(ids.tobytes())
+                    sizes.append(len(ids))
+                docs, tokens = docs + len(sizes), tokens + sum(sizes)
+                yield table(some.column(0).to_pylist(), raws, sizes, [None] * len(sizes))
+        terms = np.flatnonzero(counts)
+        totals = [*counts[terms].tolist(), docs, tokens]
+        yield table([None] * len(totals), [None] * len(totals), totals, [*terms.tolist(), N_DOCS, N_TOKENS])
+    return run
+
+
+def route(ids, stats: Statistics) -> list[int]:
+    """The ``ROUTE_TERMS`` terms of a document with the largest BM25 weights
+    among those that other documents share, heaviest first (-1: none)."""
+    import numpy as np
+    terms, tf = np.unique(ids, return_counts=True)
+    shared = stats.df[terms] > 1
+    terms, tf = terms[shared].astype(np.int64), tf[shared]
+    weight = stats.idf(terms) * tf * (K1 + 1) / (tf + stats.norm(len(ids)))
+    top = terms[np.lexsort((terms, -weight))[:ROUTE_TERMS]].tolist()
+    return top + [-1] * (ROUTE_TERMS - len(top))
+
+
+def _routed(stats: Statistics):
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            routes = [route(ids, stats) for ids in _read_ids(batch, 1)]
+            cols = [pa.array([r[k] for r in routes], pa.int64()) for k in range(ROUTE_TERMS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols],
+                                             names=["doc_id", "ids", "n", *[f"r{k}" for k in range(ROUTE_TERMS)]])
+    return run
+
+
+def _pack(stats: Statistics, window: int, shard_tokens: int):
     def run(batches):
         import zlib
 
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        encode = PieceTokenizer(path)
         part = TaskContext.get().partitionId()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         state = {"seq": part * SEQUENCES_PER_PART}
@@ -138,8 +244,8 @@ def _pack(path: str, end_id: int, window: int, shard_tokens: int):
             nonlocal tail
             rows = []
             fill = sum(len(p[2]) for p in tail)
-            for k in order_by_retrieval([d for _, d in shard], fill, window):
-                i, ids = shard[k]
+            for k in order_by_retrieval([d for _, d in shard], fill, window, stats):
+                i, ids = shard[k][0], shard[k][1].astype("<u4")
                 at = 0
                 while at < len(ids):
                     take = min(len(ids) - at, window - fill)
@@ -172,9 +278,7 @@ def _pack(path: str, end_id: int, window: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
         shard, size = [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, raw in zip(batch.column(0).to_pylist(), encode(texts)):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
+            for i, ids in zip(batch.column(0).to_pylist(), _read_ids(batch, 1)):
                 shard.append((i, ids))
                 size += len(ids)
                 if size >= shard_tokens:
@@ -189,6 +293,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.  Every id of every document lies in one piece."""
     t = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return t.mapInArrow(_pack(tokenizer_path, end_id, window, shard_tokens),
+    table = materialize(t.mapInArrow(_tokenise(tokenizer_path, end_id),
+                                     "doc_id bigint, ids binary, n bigint, term bigint"), "pack-ids")
+    # one row per term of the vocabulary
+    counts = table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    stats = Statistics({r["term"]: r["n"] for r in counts})
+    keys = [f"r{k}" for k in range(ROUTE_TERMS)]
+    routed = table.where("term is null").select("doc_id", "ids", "n").mapInArrow(
+        _routed(stats), "doc_id bigint, ids binary, n bigint, " + ", ".join(f"{k} bigint" for k in keys))
+    order = [*keys, "digest", "doc_id", "row"]
+    routed = routed.withColumn("digest", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    parts = -(-stats.n_tokens // (SHARDS_PER_PART * shard_tokens)) or 1
+    return (routed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+            .mapInArrow(_pack(stats, window, shard_tokens),
                         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-                        "sequence_id bigint, offset bigint")
+                        "sequence_id bigint, offset bigint"))

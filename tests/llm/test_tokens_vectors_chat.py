@@ -130,6 +130,31 @@ def test_neighbours_share_windows():
     assert sum(a == b for a, b in zip(order, order[1:])) > 70    # about 60 by chance
 
 
+def test_related_documents_meet_across_partitions(spark):
+    """Pairs with words of their own lie far apart in the input."""
+    rng = random.Random(12)
+    some = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(1500)]
+    common = some[:40]
+    texts = [" ".join(rng.sample(some[40 + 20 * (k % 64):60 + 20 * (k % 64)], 20) * 4 + rng.choices(common, k=40))
+             for k in range(128)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    docs = docs.repartitionByRange(4, "doc_id")        # k and k + 64 lie in different partitions
+    out = bm25_pack.pack(docs, vocabulary(WORD_VOCABULARY), shard_tokens=4000).collect()
+    windows = {}
+    for p in out:
+        windows.setdefault(p["doc_id"], set()).add(p["sequence_id"])
+    assert sum(bool(windows[k] & windows[k + 64]) for k in range(64)) >= 48
+
+
+def test_index_weighs_by_the_corpus():
+    docs = [np.array(d, "<u4") for d in ([1, 2, 3], [1, 4], [2, 5])]
+    stats = bm25_pack.Statistics({bm25_pack.N_DOCS: 1000, bm25_pack.N_TOKENS: 9000, 1: 900, 2: 2, 3: 5, 4: 5, 5: 5})
+    got = bm25_pack.Index(docs, stats).neighbours(0)
+    assert got.index(2) < got.index(1)      # term 2 is rare in the corpus, term 1 is not
+    whole = bm25_pack.Statistics.of(docs)
+    assert (whole.n_docs, whole.n_tokens, whole.df.tolist()) == (3, 7, [0, 2, 2, 1, 1, 1])
+
+
 # --- nearest neighbours -----------------------------------------------------------------
 
 def test_search_is_exact_when_it_visits_all(spark):
