@@ -8,10 +8,11 @@ documents together wherever they lay in the input.  The key ends with a digest
 and a row number, so a common term or a large group of copies is split evenly.
 
 A task gathers its sorted documents into shards of about ``SHARD_TOKENS`` tokens.
-A shard has a BM25 inverted index over token ids (posting lists of the rarer
-terms; idf and mean length are the corpus's).  The shard's next unused document is the
-seed of a window; the seed's ``QUERY_TERMS`` rarest terms retrieve unused
-neighbours, best first, which fill the window until it is full; the document at the
+A shard has a BM25 inverted index over token ids (all posting lists; idf and mean
+length are the corpus's), with one entry for equal texts; entries whose documents
+are all used leave it.  The shard's next unused document is the
+seed of a window; all its terms score every entry, and the unused
+neighbours, best first, fill the window until it is full; the document at the
 end of a window is cut and its rest is the next seed.  When retrieval gives
 nothing, the next unused document follows, so windows are always full.  The
 last window of a partition is cut into lengths that are powers of two, which need
@@ -43,9 +44,9 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 SHARDS_PER_PART = 2
 ROUTE_TERMS = 3
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-MAX_POSTING_SHARE = 0.05   # terms in more documents of a shard don't tell them apart
+# Nothing is cut: every term of a seed is scored, however many documents have it.
+QUERY_TERMS, MAX_POSTING_SHARE = None, 1.0
 SEQUENCES_PER_PART = 1 << 32
 END_ID = 1
 # Rows of the table of ids that hold a total of their task instead of a term's count.
@@ -83,51 +84,95 @@ class Statistics:
 
 
 class Index:
-    """BM25 inverted index of one shard: posting lists by term.  Weights are
-    those of the corpus that ``stats`` describes, by default the shard."""
+    """BM25 inverted index of one shard: posting lists by term, over entries
+    (distinct texts).  Weights are those of the corpus that ``stats`` describes, by
+    default the shard."""
 
     def __init__(self, docs, stats: Statistics | None = None):
         import numpy as np
-        n = len(docs)
         stats = stats or Statistics.of(docs)
-        lengths = np.array([len(d) for d in docs], float)
+        entry: dict[bytes, int] = {}
+        self.entry = [entry.setdefault(d.tobytes(), len(entry)) for d in docs]
+        self.members: list[list[int]] = [[] for _ in entry]
+        for i, e in enumerate(self.entry):
+            self.members[e].append(i)
+        self.unused = [m[::-1] for m in self.members]      # next one last
+        self.alive, self.indexed, self.gone = np.ones(len(entry), bool), len(entry), 0
+        texts = [docs[m[0]] for m in self.members]
+        lengths = np.array([len(d) for d in texts], float)
         norm = stats.norm(lengths)
-        if n:
-            term = np.concatenate(docs).astype(np.int64)
-            key = np.repeat(np.arange(n, dtype=np.int64), lengths.astype(np.int64)) | term << 32
+        if texts:
+            term = np.concatenate(texts).astype(np.int64)
+            key = np.repeat(np.arange(len(texts), dtype=np.int64), lengths.astype(np.int64)) | term << 32
             key.sort()
-            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
             tf = np.diff(np.append(new, len(key)))
             key = key[new]
         else:
             key, tf = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.term, doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int64)
-        start = np.flatnonzero(np.concatenate(([True], self.term[1:] != self.term[:-1]))) if len(key) else key
-        self.terms = self.term[start]
+        term, self.doc = key >> 32, key & 0xFFFFFFFF
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), term[1:] != term[:-1])))
         self.start = np.append(start, len(key))
         df = np.diff(self.start)
-        idf = stats.idf(self.terms)
-        self.doc = doc
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
-        # the terms of every document, rarest first, as query
-        useful = (df > 1) & (df <= max(2, MAX_POSTING_SHARE * n))
-        rank = np.repeat(np.where(useful, df, 0), df)
-        row = np.flatnonzero(rank)
-        order = row[np.lexsort((rank[row], doc[row]))]
-        self.q_term = np.repeat(np.arange(len(df)), df)[order]
-        self.q_start = np.searchsorted(doc[order], np.arange(n + 1))
-
-    def neighbours(self, i: int):
-        """Documents sharing rare terms with document i, best first."""
+        at = np.repeat(np.arange(len(df)), df)
+        self.weight = np.repeat(stats.idf(term[start]), df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        # the terms of every entry, as query; a term of one document finds only that
+        copies = np.array([len(m) for m in self.members], np.int64)
+        row = np.flatnonzero(np.bincount(at, copies[self.doc], len(df))[at] > 1)
+        row = row[np.argsort(self.doc[row], kind="stable")]
+        self.q_term = at[row]
+        self.q_start = np.searchsorted(self.doc[row], np.arange(len(texts) + 1))
+
+    def entries(self, i: int) -> Iterator[int]:
+        """Entries sharing terms with document i, best first."""
         import numpy as np
-        q = self.q_term[self.q_start[i]:min(self.q_start[i] + QUERY_TERMS, self.q_start[i + 1])].tolist()
-        if not q:
-            return []
-        hits = np.concatenate([self.doc[self.start[t]:self.start[t + 1]] for t in q])
-        gain = np.concatenate([self.weight[self.start[t]:self.start[t + 1]] for t in q])
-        found, at = np.unique(hits, return_inverse=True)
-        total = np.bincount(at, gain)
-        return found[np.lexsort((found, -total))].tolist()
+        e = self.entry[i]
+        q = self.q_term[self.q_start[e]:self.q_start[e + 1]]
+        spans = list(zip(self.start[q].tolist(), self.start[q + 1].tolist()))
+        if not spans:
+            return
+        hits = np.concatenate([self.doc[a:b] for a, b in spans])
+        gain = np.concatenate([self.weight[a:b] for a, b in spans])
+        if 8 * len(hits) < len(self.members):
+            found, at = np.unique(hits, return_inverse=True)
+            total = np.bincount(at, gain, len(found))
+        else:
+            total = np.bincount(hits, gain, len(self.members))
+            found = np.flatnonzero(total)
+            total = total[found]
+        some = 64      # sorted in growing parts, as a window takes few
+        while len(found):
+            now = total >= (np.partition(total, -some)[-some] if some < len(found) else 0)
+            best, score = found[now], total[now]
+            yield from best[np.lexsort((best, -score))].tolist()
+            found, total, some = found[~now], total[~now], 4 * some
+
+    def neighbours(self, i: int) -> list[int]:
+        """Documents sharing terms with document i, best first."""
+        return [d for e in self.entries(i) for d in self.members[e]]
+
+    def next_of(self, i: int) -> Iterator[int]:
+        """The unused among the neighbours; each is to be used before the next."""
+        for e in self.entries(i):
+            while self.unused[e]:
+                yield self.unused[e][-1]
+
+    def use(self, i: int) -> None:
+        """Document i, the first unused one of its entry, is used."""
+        e = self.entry[i]
+        self.unused[e].pop()
+        if not self.unused[e]:
+            self.alive[e] = False
+            self.gone += 1
+            if 4 * self.gone > self.indexed:
+                self._compact()
+
+    def _compact(self) -> None:
+        import numpy as np
+        keep = self.alive[self.doc]
+        self.start = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))[self.start]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+        self.indexed, self.gone = self.indexed - self.gone, 0
 
 
 def order_by_retrieval(docs, fill: int = 0, window: int = WINDOW,
@@ -141,7 +186,7 @@ def order_by_retrieval(docs, fill: int = 0, window: int = WINDOW,
     queue: Iterator[int] = iter(())
     upcoming = 0
     while True:
-        k = next((x for x in queue if not used[x]), None)
+        k = next(queue, None)
         seed = k is None
         if seed:
             while upcoming < len(docs) and used[upcoming]:
@@ -150,11 +195,12 @@ def order_by_retrieval(docs, fill: int = 0, window: int = WINDOW,
                 return
             k = upcoming
         used[k] = 1
+        index.use(k)
         yield k
         crossed = fill + len(docs[k]) >= window
         fill = (fill + len(docs[k])) % window
         if seed or crossed:
-            queue = iter(index.neighbours(k)) if fill else iter(())
+            queue = index.next_of(k) if fill else iter(())
 
 
 def _read_ids(batch, at: int):

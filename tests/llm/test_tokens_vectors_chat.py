@@ -155,6 +155,50 @@ def test_index_weighs_by_the_corpus():
     assert (whole.n_docs, whole.n_tokens, whole.df.tolist()) == (3, 7, [0, 2, 2, 1, 1, 1])
 
 
+def plain_scores(docs):
+    """BM25 of every document for every other as query, nothing cut."""
+    sets = [dict(zip(*np.unique(d, return_counts=True))) for d in docs]
+    df = {t: sum(t in s for s in sets) for s in sets for t in s}
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    return np.array([[sum(np.log(1 + (n - df[t] + .5) / (df[t] + .5)) * s[t] * (bm25_pack.K1 + 1)
+                          / (s[t] + bm25_pack.K1 * (1 - bm25_pack.B + bm25_pack.B * len(d) / mean))
+                          for t in q if t in s) for d, s in zip(docs, sets)] for q in sets])
+
+
+def test_copies_and_templates_are_retrieved():
+    """Two templates make half of the rows each, a third of all are copies."""
+    rng = np.random.default_rng(7)
+    docs = []
+    for k in range(90):
+        body = np.arange(60) + 100 * (k % 2)
+        body[rng.integers(0, 60, 3)] = rng.integers(300, 330, 3)
+        docs.append(body.astype("<u4") if k % 3 else (np.arange(60) + 100 * (k % 2)).astype("<u4"))
+    index, score = bm25_pack.Index(docs), plain_scores(docs)
+    assert len(index.members) < 70
+    for i in range(0, 90, 7):
+        got = index.neighbours(i)
+        assert set(got) == set(np.flatnonzero(score[i]).tolist()) and len(got) == len(set(got))
+        assert np.all(np.diff(score[i][got]) <= 1e-9)
+        assert {d % 2 for d in got[:44]} == {i % 2}
+    assert bm25_pack.Index([np.array([5, 6], "<u4")] * 3).neighbours(1) == [0, 1, 2]
+
+
+def test_windows_take_the_best_unused_neighbour():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 400, rng.integers(5, 60)).astype("<u4") for _ in range(150)]
+    docs += [docs[k] for k in range(0, 60, 2)]
+    score, used, want, fill, query = plain_scores(docs), set(), [], 0, None
+    while len(want) < len(docs):
+        best = [] if query is None else [d for d in np.flatnonzero(score[query] > 0) if d not in used]
+        k = max(best, key=lambda d: (round(score[query][d], 9), -d)) if best else min(set(range(len(docs))) - used)
+        want.append(int(k))
+        used.add(k)
+        crossed, fill = fill + len(docs[k]) >= 200, (fill + len(docs[k])) % 200
+        if crossed or not best:
+            query = k if fill else None
+    assert list(bm25_pack.order_by_retrieval(docs, 0, 200)) == want
+
+
 # --- nearest neighbours -----------------------------------------------------------------
 
 def test_search_is_exact_when_it_visits_all(spark):
