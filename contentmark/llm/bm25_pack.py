@@ -23,7 +23,7 @@ shards and are not its candidates.  Memory is bounded by the shard.  A document
 longer than a shard makes a shard of its own.
 
 Tokenisation splits at white space first (no token of these vocabularies crosses
-it) and asks the tokenizer once for each distinct piece of a shard.
+it) and asks the tokenizer once for each distinct piece.
 
 Defined cases: null text is empty and has only the end id; repeated rows are
 documents of their own; a null id stays null in its pieces; an empty table
@@ -42,7 +42,8 @@ from contentmark.session import materialize
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
-SHARDS_PER_PART = 2
+SHARDS_PER_PART = 4
+SAMPLE_PER_PART = 100      # documents that place the bounds of the ranges
 ROUTE_TERMS = 3
 K1, B = 1.2, 0.75
 # Nothing is cut: every term of a seed is scored, however many documents have it.
@@ -228,12 +229,18 @@ def _tokenise(path: str, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                raws, sizes = [], []
-                for raw in encode([t or "" for t in some.column(1).to_pylist()]):
+                raws, sizes, found = [], [], []
+                for k, raw in enumerate(encode([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(kind)
-                    counts[np.unique(ids)] += 1
+                    found.append(ids.astype(np.int64) << 16 | k)
                     raws.append(ids.tobytes())
                     sizes.append(len(ids))
+                pairs = np.concatenate(found)
+                if size <= 1 << 16:
+                    pairs = pairs.astype(np.uint32)
+                pairs.sort()
+                pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+                counts += np.bincount(pairs >> 16, minlength=size)
                 docs, tokens = docs + len(sizes), tokens + sum(sizes)
                 yield table(some.column(0).to_pylist(), raws, sizes, [None] * len(sizes))
         terms = np.flatnonzero(counts)
@@ -254,14 +261,19 @@ def route(ids, stats: Statistics) -> list[int]:
     return top + [-1] * (ROUTE_TERMS - len(top))
 
 
-def _routed(stats: Statistics):
+def _routed(stats: Statistics, bounds: list[tuple] | None = None):
+    """Adds the route and the number of the range it falls in."""
     def run(batches):
+        from bisect import bisect_right
+
         import pyarrow as pa
+        names = ["doc_id", "ids", "n", "digest", "row", *[f"r{k}" for k in range(ROUTE_TERMS)], "part"]
         for batch in batches:
             routes = [route(ids, stats) for ids in _read_ids(batch, 1)]
+            keys = zip(routes, batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            part = [bisect_right(bounds or [], (*r, d, row)) for r, d, row in keys]
             cols = [pa.array([r[k] for r in routes], pa.int64()) for k in range(ROUTE_TERMS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols],
-                                             names=["doc_id", "ids", "n", *[f"r{k}" for k in range(ROUTE_TERMS)]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array(part, pa.int32())], names=names)
     return run
 
 
@@ -344,13 +356,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     # one row per term of the vocabulary
     counts = table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()
     stats = Statistics({r["term"]: r["n"] for r in counts})
-    keys = [f"r{k}" for k in range(ROUTE_TERMS)]
-    routed = table.where("term is null").select("doc_id", "ids", "n").mapInArrow(
-        _routed(stats), "doc_id bigint, ids binary, n bigint, " + ", ".join(f"{k} bigint" for k in keys))
-    order = [*keys, "digest", "doc_id", "row"]
-    routed = routed.withColumn("digest", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    order = [*[f"r{k}" for k in range(ROUTE_TERMS)], "digest", "row"]
+    kinds = "doc_id bigint, ids binary, n bigint, " + ", ".join(f"{k} bigint" for k in ["digest", "row", *order[:-2]])
+    rows = table.where("term is null").select("doc_id", "ids", "n", F.xxhash64("ids").alias("digest"),
+                                              F.monotonically_increasing_id().alias("row"))
+    # as a range shuffle does, but only the sample is routed twice
     parts = -(-stats.n_tokens // (SHARDS_PER_PART * shard_tokens)) or 1
-    return (routed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    share = min(1.0, parts * SAMPLE_PER_PART / max(1, stats.n_docs))
+    some = rows.sample(share, seed=42) if parts > 1 else rows.limit(0)
+    sample = sorted(tuple(r) for r in some.mapInArrow(_routed(stats), kinds + ", part int").select(*order).collect())
+    bounds = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
+    routed = rows.mapInArrow(_routed(stats, bounds), kinds + ", part int")
+    return (routed.repartitionById(parts, F.col("part")).sortWithinPartitions(*order).select("doc_id", "ids", "n")
             .mapInArrow(_pack(stats, window, shard_tokens),
                         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                         "sequence_id bigint, offset bigint"))
