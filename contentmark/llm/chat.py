@@ -119,3 +119,33 @@ def read_turns(formatted: Column) -> Column:
         body = F.substring(t, F.length(head) + 2, F.length(t) - F.length(head) - 1 - len(CLOSE))
         return F.struct(unescape(head).alias("role"), unescape(body).alias("text"))
     return F.transform(turns, parse)
+
+
+def turn_bounds(formatted: Column) -> Column:
+    """The spans of ``conversations`` as the formatted string itself shows them."""
+    pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda x: F.length(x) > 0)
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"),
+                    F.array().cast("array<struct<reply:boolean,a:bigint,b:bigint,end:bigint>>").alias("spans"))
+
+    def step(acc: Column, t: Column) -> Column:
+        head = F.regexp_extract(t, r"(?s)\A((?:[^\\\n]|\\.)*+)\n", 1)
+        end = acc["at"] + F.lit(len(OPEN)) + F.length(t)
+        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["spans"], F.array(F.struct(
+            (head == "assistant").alias("reply"),
+            (acc["at"] + F.lit(len(OPEN) + 1) + F.length(head)).cast("bigint").alias("a"),
+            (end - F.lit(len(CLOSE))).cast("bigint").alias("b"), end.cast("bigint").alias("end")))).alias("spans"))
+    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+
+
+def examples_hold(examples: Column, bounds: Column) -> Column:
+    """Do the examples of a conversation (structs in order) have the context,
+    target and end that the bounds of its turns ask for?"""
+    def row(a: Column, start: Column, b: Column, end: Column) -> Column:
+        return F.struct(a.alias("context_end"), start.alias("target_start"), b.alias("target_end"),
+                        end.alias("example_end"))
+    none, last = F.lit(-1).cast("bigint"), F.element_at(bounds, -1)
+    replies = F.transform(F.filter(bounds, lambda s: s["reply"]), lambda s: row(s["a"], s["a"], s["b"], s["end"]))
+    tail = F.filter(F.array(row(last["end"], none, none, last["end"])), lambda x: ~last["reply"])
+    got = F.transform(examples, lambda x: row(x["context_end"], F.coalesce(x["target_start"], none),
+                                              F.coalesce(x["target_end"], none), x["example_end"]))
+    return F.coalesce(got == F.concat(replies, tail), F.lit(False))

@@ -73,19 +73,28 @@ def op5_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     conv = materialize(chat.conversations(turns), "chat-text")
     examples = materialize(chat.expand(conv), "chat-examples")
-    targets = (examples.where("target_start is not null").groupBy(F.col("conv_id").alias("c"))
-               .agg(F.sort_array(F.collect_list(F.struct("target_start", "target_end"))).alias("targets")))
-    got = conv.join(targets, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    spans = F.coalesce("targets", F.array().cast("array<struct<target_start:bigint,target_end:bigint>>"))
-    loss = F.array_join(F.transform(spans, lambda s: chat.unescape(F.substring(
+    parts = ["example", "context_end", "target_start", "target_end", "example_end"]
+    own = (examples.groupBy(F.col("conv_id").alias("c"))
+           .agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("examples")))
+    got = conv.select("conv_id", "formatted").join(own, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    # the conversation again, from its last example: the context, and the target up to the end
+    last = F.element_at("examples", -1)
+    read = F.concat(F.substring("formatted", F.lit(1), last["context_end"]), F.coalesce(F.substring(
+        F.col("formatted"), last["target_start"] + 1, last["example_end"] - last["target_start"]), F.lit("")))
+    got = got.withColumn("read", read)
+    loss = F.array_join(F.transform(F.filter("examples", lambda s: s["target_start"].isNotNull()),
+                                    lambda s: chat.unescape(F.substring(
         F.col("formatted"), s["target_start"] + 1, s["target_end"] - s["target_start"]))), "")
-    got = got.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", loss)
+    got = got.withColumn("turns", chat.read_turns(F.col("read"))).withColumn("loss", loss)
+    holds = chat.examples_hold(F.col("examples"), chat.turn_bounds(F.col("read")))
+    n_turns = F.when(holds, F.size("turns").cast("bigint")).otherwise(
+        F.raise_error(F.lit("an example does not hold the turns before its reply")).cast("bigint"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(
         t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return got.select(
-        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        "conv_id", n_turns.alias("n_turns"),
         F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("read").cast("bigint").alias("formatted_chars"))
 
 
 def op6_crossparse_language(spark: SparkSession, sf_dir: str) -> DataFrame:

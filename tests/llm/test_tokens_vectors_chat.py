@@ -287,3 +287,18 @@ def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     conv = chat.conversations(none)
     assert conv.count() == 0 and chat.expand(conv).count() == 0
+
+
+def test_chat_query_reads_the_examples(spark, tmp_path, monkeypatch):
+    from contentmark.llm import queries
+    rows = [(1, 0, "user", "a<|end|>\n"), (1, 1, "assistant", "b\\"), (1, 2, "x\ny", "c"), (1, 3, "assistant", None),
+            (2, 0, "user", "only"), (None, 0, "assistant", "first"), (None, 1, None, "tail")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in queries.op5_chat_prefix(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 2), 2: (1, 0), None: (2, 5), -7: (2, 21)}
+    right = chat.expand
+    for wrong in (F.col("context_end") - 1, F.when(F.col("example") == 0, 0).otherwise(F.col("context_end"))):
+        monkeypatch.setattr(chat, "expand", lambda c, w=wrong: right(c).withColumn("context_end", w.cast("bigint")))
+        with pytest.raises(Exception, match="does not hold"):
+            queries.op5_chat_prefix(spark, str(tmp_path)).collect()
