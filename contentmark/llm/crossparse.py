@@ -7,8 +7,8 @@ Fewest phrases per character win - the text is cheapest to say in pieces of that
 language (Ziv & Merhav's cross-parsing).
 
 The automata read at most ``TRAIN_CHARS`` characters of labelled text per
-language, pieces of at most ``PIECE_CHARS`` from the ``TRAIN_PIECES`` documents with
-the smallest digests (the documented bound of the fit).  Prediction reads whole texts: they are cut
+language, pieces of at most ``PIECE_CHARS`` at seeded places of the whole texts of the
+``TRAIN_PIECES`` documents with the smallest digests (the documented bound of the fit).  Prediction reads whole texts: they are cut
 into segments of ``SEGMENT`` characters parsed in step, vectorised over all
 segments of a batch; a cut adds at most one phrase, to every language alike.
 
@@ -90,8 +90,10 @@ def _sample_text(labelled: DataFrame, seed: int) -> DataFrame:
     """(lang, pieces): of the ``TRAIN_PIECES`` documents of a language with the
     smallest digests, pieces up to the bound.  The rank limit is applied in
     every partition before the shuffle, so a hot language costs no more."""
+    place = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), F.col("text")),
+                   F.greatest(F.length("text") - F.lit(PIECE_CHARS - 1), F.lit(1)))
     some = labelled.select("lang", F.xxhash64(F.lit(seed), F.col("id"), F.col("text")).alias("d"),
-                           F.substring("text", 1, PIECE_CHARS).alias("piece"))
+                           F.substring(F.col("text"), place.cast("int") + 1, F.lit(PIECE_CHARS)).alias("piece"))
     by_digest = Window.partitionBy("lang").orderBy("d", "piece")
     some = some.withColumn("n", F.row_number().over(by_digest)).where(F.col("n") <= TRAIN_PIECES)
     before = F.sum(F.length("piece")).over(by_digest.rowsBetween(Window.unboundedPreceding, -1))

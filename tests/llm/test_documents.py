@@ -319,3 +319,16 @@ def test_language_id(spark, edge_docs, edge_rows, no_docs):
     assert crossparse.predict(no_docs, model).count() == 0
     none = crossparse.fit(no_docs, F.lit(True))
     assert {r["lang_pred"] for r in crossparse.predict(edge_docs, none).collect()} == {"und"}
+
+
+def test_language_is_learnt_from_whole_texts(spark):
+    """Every labelled text starts with more than a piece of one boilerplate."""
+    rng = random.Random(14)
+    start = words(rng, 600, "xyz")
+    kinds = {"aa": "abcdefgh", "bb": "ghijklmn"}
+    rows = [(k, start + " " + words(rng, 4000, kinds[g]), g, None) for k in range(30) for g in [("aa", "bb")[k % 2]]]
+    rows += [(100 + k, words(rng, 40, kinds[("aa", "bb")[k % 2]]), None, None) for k in range(20)]
+    docs = table(spark, rows)
+    model = crossparse.fit(docs, F.col("doc_id") < 100)
+    got = crossparse.predict(docs.where("doc_id >= 100"), model).collect()
+    assert len(got) == 20 and all(r["lang_pred"] == ("aa", "bb")[r["id"] % 2] for r in got)
