@@ -12,6 +12,9 @@ language, pieces of at most ``PIECE_CHARS`` at seeded places of the whole texts
 into segments of ``SEGMENT`` characters parsed in step, vectorised over all
 segments of a batch; a cut adds at most one phrase, to every language alike.
 
+All trained characters are told apart.  Up to ``MAX_CLASSES`` of them, an automaton
+is a dense step table; with more (Han, kana, Hangul) a hash table of its transitions.
+
 Text is folded before use: lower case, runs of other characters than letters
 become one blank.
 
@@ -29,7 +32,7 @@ from contentmark.llm.common import text_or_empty
 
 TRAIN_CHARS, PIECE_CHARS, TRAIN_PIECES = 60_000, 2_000, 400
 SEGMENT = 256
-MAX_CLASSES = 255      # distinct letters told apart; rarer ones are one class
+MAX_CLASSES = 255      # classes of a dense step table; with more letters it is sparse
 UNKNOWN = "und"
 
 
@@ -86,6 +89,55 @@ def table(text: str, letters: str):
     return np.where(step < 0, restart[None, :], 2 * step * k).astype(np.int32).ravel()
 
 
+class SparseSteps:
+    """The steps of ``table`` for many letters: an open-addressing hash table from
+    ``state * classes + class`` to the entry; others restart."""
+
+    def __init__(self, text: str, letters: str):
+        import numpy as np
+        k = len(letters) + 1
+        code = {c: i + 1 for i, c in enumerate(letters)}
+        nxt = automaton(text)
+        pairs = np.array([(s * k + code[c], 2 * t * k) for s, to in enumerate(nxt) for c, t in to.items()
+                          if c in code], np.int64).reshape(-1, 2)
+        self.restart = np.ones(k, np.int64)
+        for c, t in nxt[0].items():
+            if c in code:
+                self.restart[code[c]] = 2 * t * k + 1
+        self.k = k
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.value = np.zeros(1 << self.bits, np.int64)
+        left, at = pairs, self._place(pairs[:, 0])
+        while len(left):
+            free = self.key[at] < 0
+            self.key[at[free]] = left[free, 0]          # one of those that meet stays
+            here = self.key[at] == left[:, 0]
+            self.value[at[here]] = left[here, 1]
+            left, at = left[~here], at[~here] + 1 & self.mask
+
+    def _place(self, key):
+        import numpy as np
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def take(self, want):
+        import numpy as np
+        out = self.restart[want % self.k]
+        rest, at = np.arange(len(want)), self._place(want)
+        while len(rest):
+            key = self.key[at]
+            here = key == want[rest]
+            out[rest[here]] = self.value[at[here]]
+            more = ~here & (key >= 0)
+            rest, at = rest[more], at[more] + 1 & self.mask
+        return out
+
+
+def steps_of(text: str, letters: str):
+    return table(text, letters) if len(letters) < MAX_CLASSES else SparseSteps(text, letters)
+
+
 def _sample_text(labelled: DataFrame, seed: int) -> DataFrame:
     """(lang, pieces): of the ``TRAIN_PIECES`` documents of a language with the
     smallest digests, pieces up to the bound.  The rank limit is applied in
@@ -110,11 +162,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         F.col(id_col).cast("string").alias("id"), text_or_empty(F.col(text_col)).alias("text"),
         F.col(lang_col).cast("string").alias("lang")).where(F.length("text") > 0)
     texts = {r["lang"]: " ".join(map(fold, r["pieces"])) for r in _sample_text(rows, seed).collect()}
-    from collections import Counter
-    counts: Counter = Counter()
-    for t in texts.values():
-        counts.update(t)
-    letters = "".join(sorted(c for c, _ in counts.most_common(MAX_CLASSES - 1)))
+    letters = "".join(sorted(set().union(*texts.values())))
     return {"texts": {k: texts[k] for k in sorted(texts)}, "letters": letters}
 
 
@@ -122,7 +170,7 @@ def phrases(flat, sizes, steps):
     """Phrases of every segment.  ``flat``: classes of all segments (padded
     rows, one per segment), ``sizes``: their lengths, longest first."""
     import numpy as np
-    state = np.zeros(len(sizes), np.int32)
+    state = np.zeros(len(sizes), np.int64 if isinstance(steps, SparseSteps) else np.int32)
     count = np.zeros(len(sizes), np.int32)
     alive = np.searchsorted(-sizes, -np.arange(1, flat.shape[0] + 1), side="right")
     for i in range(flat.shape[0]):
@@ -142,7 +190,7 @@ def _predict(model):
         import numpy as np
         import pyarrow as pa
         langs = list(texts)
-        tables = [table(texts[g], letters) for g in langs]
+        tables = [steps_of(texts[g], letters) for g in langs]
         code = np.zeros(0x110000, np.int32)
         for i, c in enumerate(letters):
             code[ord(c)] = i + 1

@@ -332,3 +332,29 @@ def test_language_is_learnt_from_whole_texts(spark):
     model = crossparse.fit(docs, F.col("doc_id") < 100)
     got = crossparse.predict(docs.where("doc_id >= 100"), model).collect()
     assert len(got) == 20 and all(r["lang_pred"] == ("aa", "bb")[r["id"] % 2] for r in got)
+
+
+def test_scripts_with_many_letters(spark):
+    rng = random.Random(15)
+    kinds = {"aa": range(0x4E00, 0x4E00 + 400), "bb": range(0x4E00 + 300, 0x4E00 + 700), "cc": range(0x61, 0x7B)}
+
+    some = {g: ["".join(chr(rng.choice(kinds[g])) for _ in range(3)) for _ in range(500)] for g in kinds}
+
+    def text(g, n):
+        return "".join(rng.choice(some[g]) for _ in range(n // 3))
+    rows = [(k, text(("aa", "bb", "cc")[k % 3], 1500), ("aa", "bb", "cc")[k % 3], None) for k in range(90)]
+    rows += [(100 + k, text(("aa", "bb", "cc")[k % 3], 12), None, None) for k in range(60)]
+    docs = table(spark, rows)
+    model = crossparse.fit(docs, F.col("doc_id") < 100)
+    assert len(model["letters"]) > 700
+    got = crossparse.predict(docs.where("doc_id >= 100"), model).collect()
+    assert len(got) == 60 and all(r["lang_pred"] == ("aa", "bb", "cc")[(r["id"] - 100) % 3] for r in got)
+
+
+def test_sparse_steps_are_those_of_the_table():
+    import numpy as np
+    rng = random.Random(16)
+    train, letters = crossparse.fold(words(rng, 400, "abcdef")), " abcdef"
+    dense, sparse = crossparse.table(train, letters), crossparse.SparseSteps(train, letters)
+    every = np.arange(len(dense))
+    assert (sparse.take(every) == dense).all()
