@@ -1,8 +1,10 @@
 """Substring de-duplication by content-defined chunking.
 
 A gear hash rolls over the code points; a chunk ends before a word start (or
-before any character of a script written without blanks) where the hash of
-the last ``WINDOW`` characters has ``MASK_BITS`` chosen bits zero.  Cuts depend on
+before any character from U+2E80 on) where the hash of
+the last ``WINDOW`` characters has ``MASK_BITS`` chosen bits zero.  Where no blank lies
+in the last ``RUN`` characters (Thai, Lao, Khmer, Burmese, base64), it ends before any
+character where ``RUN_BITS`` bits are zero.  Cuts depend on
 nearby text only, so an insertion shifts no later chunk.  Chunks are
 compared by a 64-bit digest over all documents: a digest's owner is the
 smallest id that holds it, and it is repeated text in every other document, and
@@ -29,6 +31,7 @@ from contentmark.llm.common import text_or_empty
 from contentmark.session import materialize
 
 WINDOW, MASK_BITS = 16, 2
+RUN, RUN_BITS = 64, 5
 MIN_CHUNK, MAX_CHUNK = 16, 256
 MIN_SPAN = 100
 NO_ID = (1 << 63) - 1
@@ -54,8 +57,14 @@ def chunk_ends(text: str, gear) -> list[int]:
     blank = (cp == 32) | ((cp >= 9) & (cp <= 13))
     may = (blank[:-1] & ~blank[1:]) | (cp[1:] >= 0x2E80)
     low = np.uint32((1 << MASK_BITS) - 1 << WINDOW - MASK_BITS)
+    cut = may & (h[:-1] & low == 0)
+    stops = np.concatenate(([-1], np.flatnonzero(blank), [len(cp)]))
+    strict = np.uint32((1 << RUN_BITS) - 1 << WINDOW - RUN_BITS)
+    for k in np.flatnonzero(np.diff(stops) > RUN).tolist():
+        a, b = int(stops[k]) + RUN, int(stops[k + 1]) - 1
+        cut[a:b] |= h[a:b] & strict == 0
     ends, last = [], 0
-    for x in (np.flatnonzero(may & (h[:-1] & low == 0)) + 1).tolist() + [len(cp)]:
+    for x in (np.flatnonzero(cut) + 1).tolist() + [len(cp)]:
         while x - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)

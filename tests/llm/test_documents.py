@@ -358,3 +358,19 @@ def test_sparse_steps_are_those_of_the_table():
     dense, sparse = crossparse.table(train, letters), crossparse.SparseSteps(train, letters)
     every = np.arange(len(dense))
     assert (sparse.take(every) == dense).all()
+
+
+def test_runs_without_blanks_resist_shifts(spark):
+    rng = random.Random(17)
+    gear = cdc_dedup.gear_table()
+    thai = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    text = "".join(rng.choices(thai, k=6000))
+    ends = cdc_dedup.chunk_ends(text, gear)
+    shifted = cdc_dedup.chunk_ends("".join(rng.choices(thai, k=37)) + text, gear)
+    assert len({e - 37 for e in shifted} & set(ends)) > 0.95 * len(ends)
+    passage = "".join(rng.choices(thai, k=600))
+    rows = [(k, "".join(rng.choices(thai, k=300 + k)) + passage + "".join(rng.choices(thai, k=200)), None, None)
+            for k in range(6)]
+    got = {r["doc_id"]: r["text"] for r in cdc_dedup.dedup(table(spark, rows)).collect()}
+    assert got[0] == rows[0][1]
+    assert all(0.6 * 600 < len(t) - len(got[i]) <= 600 for i, t, *_ in rows[1:])
