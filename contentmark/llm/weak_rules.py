@@ -5,8 +5,8 @@ with one accuracy per rule (votes independent given the class) is fitted by
 expectation-maximisation on the table of vote patterns - at most
 2 ** rules rows, counted over every document.  The verdict is the posterior probability of the good class.
 
-Repeated 3-word windows are found by a digest of at least 40 bits within one
-text (64 bits less the bits of the word position).
+Repeated 3-word windows are found by a digest within one text (64 bits less the
+bits of the word position); where digests agree, the words are compared.
 
 Defined cases: null text has no words and fails the base rule; repeated rows
 count as often as they come; very long texts are measured whole (arrays of one
@@ -54,6 +54,15 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
                      | (digest(x) == digest(F.get(s, k + 1))))
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
     d = d.withColumn("_x_pos", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
+    # only windows whose digest comes again are sorted by their words
+    d = d.withColumn("_x_same", F.sort_array(F.transform("_x_pos", lambda x: F.struct(
+        *[F.get(w, x.cast("int") + k).alias(f"w{k}") for k in range(3)], x.alias("i")))))
+    same = F.col("_x_same")
+
+    def equal(x: Column, y: Column) -> Column:
+        return F.coalesce((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.lit(False))
+    d = d.withColumn("_x_pos", F.sort_array(F.transform(F.filter(same, lambda x, k: equal(
+        x, F.get(same, k - 1)) | equal(x, F.get(same, k + 1))), lambda x: x["i"])))
     p = F.col("_x_pos")
     covered = F.aggregate(
         F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))),
@@ -72,7 +81,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("_x_n_upper", left(r"\p{Lu}+").cast("bigint"))
             .withColumn("_x_n_shouts", left(r"!+").cast("bigint"))
             .withColumn("_x_n_letter_words", F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("bigint"))
-            .drop("_x_text", "_x_words", "_x_bits", "_x_sorted", "_x_pos", "_x_lines"))
+            .drop("_x_text", "_x_words", "_x_bits", "_x_sorted", "_x_same", "_x_pos", "_x_lines"))
 
 
 def base_failed() -> Column:

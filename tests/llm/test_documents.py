@@ -374,3 +374,12 @@ def test_runs_without_blanks_resist_shifts(spark):
     got = {r["doc_id"]: r["text"] for r in cdc_dedup.dedup(table(spark, rows)).collect()}
     assert got[0] == rows[0][1]
     assert all(0.6 * 600 < len(t) - len(got[i]) <= 600 for i, t, *_ in rows[1:])
+
+
+def test_equal_digests_of_other_words_are_no_repeats(spark, monkeypatch):
+    rng = random.Random(18)
+    texts = [words(rng, 40), "a b c d a b c e", words(rng, 3), " ".join("ab"[k % 2] for k in range(9))]
+    monkeypatch.setattr(weak_rules.F, "xxhash64", lambda *c: F.lit(7 << 40).cast("bigint"))
+    docs = table(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    got = weak_rules.measures(docs).select("text", "_x_n_repeat_words").collect()
+    assert all(r["_x_n_repeat_words"] == measured(r["text"])[4] for r in got)
