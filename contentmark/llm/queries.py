@@ -8,8 +8,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentmark.llm import (bm25_pack, cdc_dedup, chat, crossparse, golay_simhash, mixing, multi_index,
-                             pu_quality, wavelet, weak_rules)
+from contentmark.llm import (bm25_pack, cdc_dedup, chat, chat_repair, crossparse, feast_whiten, golay_simhash, minhash_tensor,
+                             mixing, multi_index, pu_quality, wavelet, weak_rules)
 from contentmark.session import materialize, table_path
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -128,8 +128,23 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damage(_t(spark, sf_dir, "conversations")))
+
+
+def op12_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = minhash_tensor.near_duplicates(_t(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feast_whiten.whiten(_t(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict:
     import corpus_pipeline
     own = (op1_mixing, op2_pu_quality, op3_wavelet_tokens, op4_weak_rules, op5_chat_prefix,
-           op6_crossparse_language, op7_cdc_dedup, op8_multi_index, op9_bm25_packing, op10_golay_simhash)
+           op6_crossparse_language, op7_cdc_dedup, op8_multi_index, op9_bm25_packing, op10_golay_simhash,
+           op11_chat_repair, op12_minhash_tensor, op13_feast_whitening)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
