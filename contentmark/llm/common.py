@@ -49,3 +49,15 @@ def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             .join(F.broadcast(offsets), "_x_part")
             .withColumn(name, F.col("_x_off") + F.col("_x_rn") - 1)
             .drop("_x_part", "_x_rn", "_x_off"))
+
+
+def join_heavy(rows: DataFrame, unique: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with a table of unique ``key``s, without a hot task:
+    keys that hold over 1 / ``share`` of the rows (fewer than ``share`` keys,
+    whatever the data) are broadcast, and no other key is hot."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_x_n"))
+    total = rows.count()
+    heavy = F.broadcast(materialize(counts.where(F.col("_x_n") * share > total).select(key), "heavy"))
+    few = F.broadcast(unique.join(heavy, key))
+    rest = rows.join(heavy, key, "left_anti").join(unique.join(heavy, key, "left_anti"), key)
+    return rest.unionByName(rows.join(few, key))

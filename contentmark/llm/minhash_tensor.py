@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentmark.llm.common import text_or_empty
+from contentmark.llm.common import join_heavy, text_or_empty
 from contentmark.llm.golay_simhash import components
 from contentmark.session import materialize
 
@@ -84,7 +84,7 @@ def _coefficients():
 
 def sketches(x, starts):
     """Sketches of the sets laid end to end in ``x``: (sets, 2 * SIDE) longs; the
-    lowest bit tells the right collection from the left."""
+    lowest five bits are the sketch's place."""
     import numpy as np
     out = np.zeros((len(starts), 2 * SIDE), np.uint64)
     for k, (a, b) in enumerate(zip(*_coefficients())):
@@ -92,8 +92,7 @@ def sketches(x, starts):
         s = k // ROWS
         out[:, s] = (out[:, s] ^ low ^ np.uint64(s + 1)) * np.uint64(0x9E3779B97F4A7C15)
         out[:, s] ^= out[:, s] >> np.uint64(31)
-    side = (np.arange(2 * SIDE) >= SIDE).astype(np.uint64)
-    return ((out << np.uint64(1)) | side).view(np.int64)
+    return ((out << np.uint64(5)) | np.arange(2 * SIDE, dtype=np.uint64)).view(np.int64)
 
 
 def bitmap(x) -> bytes:
@@ -154,9 +153,11 @@ def bucket_members(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     values = classes.select("cid", "n", F.explode("sk").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("_x_n")).where("_x_n > 1").select("value")
     own = (values.join(shared, "value").groupBy("cid", "n").agg(F.collect_list("value").alias("vs"))
-           .withColumn("left", F.filter("vs", lambda v: v.bitwiseAND(1) == 0))
-           .withColumn("right", F.filter("vs", lambda v: v.bitwiseAND(1) == 1)))
-    tensor = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b))))
+           .withColumn("left", F.filter("vs", lambda v: v.bitwiseAND(31) < SIDE))
+           .withColumn("right", F.filter("vs", lambda v: v.bitwiseAND(31) >= SIDE)))
+    # a digest of both sketches over the places of both
+    tensor = F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: F.xxhash64(a, b).bitwiseAND(
+        F.lit(-1024)).bitwiseOR(F.shiftleft(a.bitwiseAND(31), 5)).bitwiseOR(b.bitwiseAND(31)))))
     keyed = materialize(own.select("cid", "n", F.explode(tensor).alias("key")), "tensor-keys")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_x_n")).where("_x_n > 1")
     parts = counts.select("key", F.ceil(F.col("_x_n") / block).cast("int").alias("parts"))
@@ -194,9 +195,11 @@ def _popcounts(a, b):
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _pairs_left(cid, n, root, bits):
-    """Pairs of one bucket with different roots that size and bitmap allow."""
+def _pairs_left(key, cid, n, root, bits, sk):
+    """Pairs of one bucket with different roots that size and bitmap allow and
+    that share no earlier key."""
     import numpy as np
+    places = key >> 5 & 31, (key & 31) - SIDE
     order = np.argsort(n, kind="stable")
     width = {}
     for i in order:
@@ -219,12 +222,15 @@ def _pairs_left(cid, n, root, bits):
             if len(js):
                 # |A - B| + |B - A| >= Hamming distance; a link allows (1 - SHARE) / (1 + SHARE) of the sizes
                 fits = _popcounts(mine[js], mine[i]) * (100 + SHARE) <= (size[js] + size[i]) * (100 - SHARE)
-                out += [(cid[rows[i]], cid[rows[j]]) for j in js[fits]]
+                js = js[fits]
+                same = sk[rows[js]] == sk[rows[i]]
+                first = (same[:, :SIDE].argmax(axis=1) == places[0]) & (same[:, SIDE:].argmax(axis=1) == places[1])
+                out += [(cid[rows[i]], cid[rows[j]]) for j in js[first]]
     return out
 
 
 def _sweep(batches):
-    """Rows (key, pair, cid, n, root, bits) sorted by key and block pair."""
+    """Rows (key, pair, cid, n, root, bits, sk) sorted by key and block pair."""
     import numpy as np
     import pyarrow as pa
 
@@ -232,7 +238,7 @@ def _sweep(batches):
         cid, n, root = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
         if (root == root[0]).all():
             return []
-        return _pairs_left(cid, n, root, [r[5] for r in rows])
+        return _pairs_left(rows[0][0], cid, n, root, [r[5] for r in rows], np.array([r[6] for r in rows], np.int64))
 
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()),
@@ -258,8 +264,8 @@ def sweep_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (
         F.least(o, mine).cast("bigint") * F.col("parts") + F.greatest(o, mine)))
-    rows = members.join(classes.select("cid", "bits"), "cid").withColumn("pair", F.explode(pairs))
-    return (rows.select("key", "pair", "cid", "n", "root", "bits").repartition("key", "pair")
+    rows = members.join(classes.select("cid", "bits", "sk"), "cid").withColumn("pair", F.explode(pairs))
+    return (rows.select("key", "pair", "cid", "n", "root", "bits", "sk").repartition("key", "pair")
             .sortWithinPartitions("key", "pair").mapInArrow(_sweep, "u bigint, v bigint").distinct())
 
 
@@ -310,9 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = roots_of(classes, members, sets)
     rooted = materialize(classes.select("sid", "cid", "least").join(
         roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.join(named, "root").select(F.col("sid").alias("_x_s"), "component_id")
-    some = every.where("sid is not null").join(by_set, F.col("sid") == F.col("_x_s"))
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    by_set = join_heavy(rooted.select("sid", "root"), named, "root").select("sid", "component_id")
+    some = join_heavy(every.where("sid is not null").select("id", "h", "n", "sid"), materialize(by_set, "by-set"), "sid")
     alone = every.where("sid is null").withColumn("component_id", F.col("id"))
     cols = ["id", "h", F.col("n").alias("n_shingles"), "component_id"]
     return some.select(*cols).unionAll(alone.select(*cols))

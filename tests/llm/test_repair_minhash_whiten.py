@@ -211,8 +211,16 @@ def test_sweep_keeps_every_pair_that_may_link():
         words_ = [w if rng.random() > 0.03 else f"{rng.random()}" for w in base[:rng.randint(90, 130)]]
         sets.append(minhash_tensor.shingle_hashes(" ".join(words_))[0])
     n = np.array([len(s) for s in sets])
-    got = {tuple(sorted(p)) for p in minhash_tensor._pairs_left(
-        np.arange(60), n, np.arange(60), [minhash_tensor.bitmap(s) for s in sets])}
+    sk = np.concatenate([minhash_tensor.sketches(s, np.array([0])) for s in sets])
+    bits, got = [minhash_tensor.bitmap(s) for s in sets], []
+    for i, j in itertools.product(range(minhash_tensor.SIDE), repeat=2):
+        keys = {}
+        for k in range(60):
+            keys.setdefault((sk[k, i], sk[k, minhash_tensor.SIDE + j]), []).append(k)
+        for ks in (np.array(ks) for ks in keys.values()):
+            got += minhash_tensor._pairs_left(i << 5 | j + minhash_tensor.SIDE, ks, n[ks], ks, [bits[k] for k in ks], sk[ks])
+    assert len(got) == len(set(got))   # each pair under one key
+    got = {tuple(sorted(p)) for p in got}
     sims = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
             for i, j in itertools.combinations(range(60), 2)}
     links = {p for p, s in sims.items() if s >= 0.8}
