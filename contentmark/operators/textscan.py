@@ -1,13 +1,24 @@
 """Exact substring search of many needles in each page's text, as Spark jobs.
 
-A page's text is joined with its distinct needles on the page key and split
-before every occurrence (overlapping ones included); the running length of the
-pieces gives the places.  One window pass over a page's runs and occurrence
-ends, in text order, then finds the runs an occurrence starts and ends in: the
-run's owner when it lies inside one run, and the elements whose subtree covers
-it (the ancestors both owners share).  Containment tests become equi-joins on
-(page, needle).  Work per page: its text once per distinct needle, then a sort
-of its runs and occurrences.
+An index of the text is joined with the needles; no page text meets a needle
+it does not hold a rare piece of.
+
+* The text is cut into slices of ``2 * SLICE`` characters, one every ``SLICE``,
+  straight from the text runs, so a long page is many rows and no string of the
+  whole page is made.
+* Anchors are winnowed grams: of every ``w`` consecutive grams of ``k`` characters
+  the one with the least hash.  A needle of ``k + w - 1`` characters or more
+  holds a whole window, so it has anchors, at places that the page has as well.
+  ``SCALES`` gives short needles shorter grams.
+* Of a needle's anchors the one rarest in its page is looked up.  Each place
+  found and each distinct length asked for there give one candidate text, which is cut from the
+  slices and joined with the needles by equality.  Needles that share an anchor
+  (numbered list items, say) do not multiply the candidates of each other.
+
+One window pass over a page's runs and occurrence ends, in text order, then
+finds the runs an occurrence starts and ends in: the run's owner when it lies
+inside one run, and the elements whose subtree covers it (the ancestors both
+owners share).  Containment tests become equi-joins on (page, needle).
 """
 
 from __future__ import annotations
@@ -16,28 +27,100 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentmark.schema import TEXT_KINDS
+from contentmark.session import materialize
 
+SLICE = 512
+# (shortest needle, characters of a gram, grams of a window)
+SCALES = ((1, 1, 1), (4, 2, 3), (8, 4, 5), (16, 8, 9))
+LOOK = 256          # characters at both ends of a needle that anchors are taken from
+_PLACE = 1023       # low bits of an anchor: its place in the text it is from
 
-def _before(needle: Column) -> Column:
-    """A pattern for the empty place before a literal text."""
-    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)"))
 
+def slices(dom: DataFrame) -> DataFrame:
+    """(page_id, s, text): characters ``s * SLICE`` to ``(s + 2) * SLICE`` of each
+    page's text (all runs, scripts included)."""
+    runs = dom.where(F.col("kind").isin(*TEXT_KINDS) & (F.col("text") != "")).select(
+        "page_id", "c0", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SLICE}}}"), 0)).alias("k", "chunk"))
+    at = F.col("c0") + F.col("k") * SLICE
+    first = F.greatest(F.floor(at / SLICE) - 1, F.lit(0))
+    runs = runs.select("page_id", "chunk", at.alias("at"), F.explode(F.sequence(
+        first, F.floor((at + F.length("chunk") - 1) / SLICE))).alias("s"))
+    low = F.greatest(F.col("at").cast("bigint"), F.col("s") * SLICE)
+    high = F.least(F.col("at") + F.length("chunk"), (F.col("s") + 2) * SLICE)
+    part = F.substring("chunk", (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
+    return (runs.select("page_id", "s", F.struct("at", part.alias("part")).alias("x"))
+            .groupBy("page_id", "s").agg(F.array_join(F.transform(
+                F.array_sort(F.collect_list("x")), lambda x: x["part"]), "").alias("text")))
 
-def places(contents: DataFrame, needles: DataFrame) -> DataFrame:
-    """(page_id, needle, p): every place of every needle in its page's
-    ``content``.  Empty needles are skipped (every text contains them -
-    callers handle that case directly)."""
-    nd = needles.select("page_id", "needle").where(F.col("needle") != "").distinct()
-    pairs = contents.where(F.col("content") != "").join(nd, "page_id")
-    pieces = F.transform(F.split("content", _before(F.col("needle"))), F.length)
-    # the first piece lies before the first occurrence unless the text starts with it
-    first = F.when(F.startswith("content", "needle"), 0).otherwise(1)
-    cut = pairs.select("page_id", "needle", first.alias("first"), F.posexplode(pieces).alias("k", "n"))
-    upto = (Window.partitionBy("page_id", "needle").orderBy("k")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (cut.withColumn("p", (F.sum("n").over(upto) - F.col("n")).cast("int"))
-            .where(F.col("k") >= F.col("first")).select("page_id", "needle", "p"))
+
+def _anchors(text: Column, k: Column, w: Column, windows: Column) -> Column:
+    """The winnowed grams of the first ``windows`` windows of a text: gram hash
+    over its place."""
+    none = F.array().cast("array<bigint>")
+    grams = F.transform(F.sequence(F.lit(0), windows + w - 2), lambda i: F.xxhash64(
+        F.substring(text, i + 1, k), k).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("bigint")))
+    least = F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.array_min(F.slice(F.col("_grams"), i + 1, w)))
+    return F.when(windows > 0, grams).otherwise(none), F.when(
+        windows <= 0, none).when(w == 1, F.col("_grams")).otherwise(F.array_distinct(least))
+
+
+def _with_anchors(df: DataFrame, windows: Column) -> DataFrame:
+    grams, least = _anchors(F.col("text"), F.col("sc.k"), F.col("sc.w"), windows)
+    return df.withColumn("_grams", grams).withColumn("_a", F.explode(least)).select(
+        *[c for c in df.columns if c != "text"], F.col("_a").bitwiseAND(F.lit(~_PLACE)).alias("gram"),
+        F.col("_a").bitwiseAND(F.lit(_PLACE)).cast("int").alias("place"))
+
+
+def _scale(n: Column) -> Column:
+    out = None
+    for least, k, w in SCALES[::-1]:
+        here = F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))
+        out = F.when(n >= least, here) if out is None else out.when(n >= least, here)
+    return out
+
+
+def places(dom: DataFrame, needles: DataFrame) -> DataFrame:
+    """(page_id, needle, p): every place of every needle in its page's text.
+    Empty needles are skipped (every text contains them - callers handle that
+    case directly)."""
+    n = F.length("needle")
+    nd = materialize(needles.select("page_id", "needle").where(F.col("needle") != "").distinct().select(
+        "page_id", "needle", n.alias("len"), _scale(n).alias("sc")), "needles")
+    text = materialize(slices(dom), "slices")
+    # anchors of the needles: from both ends, or of the whole if it is short
+    tail = F.greatest(F.col("len") - LOOK, F.lit(LOOK))
+    ends = nd.select("page_id", "needle", "len", "sc", F.explode(F.array(F.lit(0), tail)).alias("from")).where(
+        "from < len")
+    ends = ends.withColumn("text", F.substring("needle", F.col("from") + 1, F.lit(LOOK)))
+    asked = _with_anchors(ends, F.length("text") - F.col("sc.k") - F.col("sc.w") + 2).select(
+        "page_id", "needle", "len", "gram", (F.col("from") + F.col("place")).alias("off"))
+    asked = materialize(asked, "needle-anchors")
+    # anchors of the pages, of the scales and grams some needle asks for
+    scales = nd.select("page_id", "sc").distinct()
+    inside = F.least(F.length("text") - F.col("sc.k") - F.col("sc.w") + 2, F.lit(SLICE))
+    held = _with_anchors(text.join(scales, "page_id"), inside)
+    grams = asked.select("page_id", "gram").distinct()
+    held = materialize(held.select("page_id", "gram", (F.col("s") * SLICE + F.col("place")).alias("at"))
+                       .join(grams, ["page_id", "gram"], "left_semi").distinct(), "page-anchors")
+    counts = held.groupBy("page_id", "gram").agg(F.count(F.lit(1)).alias("times"))
+    rare = (asked.join(counts, ["page_id", "gram"], "left")
+            .groupBy("page_id", "needle", "len").agg(
+                F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram", "off")).alias("a"))
+            .where("a.times > 0").select("page_id", "len", F.col("a.gram").alias("gram"), F.col("a.off").alias("off")))
+    found = (rare.distinct().join(held, ["page_id", "gram"])
+             .select("page_id", "len", (F.col("at") - F.col("off")).alias("p")).where("p >= 0").distinct())
+    # the candidate texts, piece by piece from the slices
+    piece = found.select("page_id", "p", "len", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("len") - 1) / SLICE))).alias("k"))
+    at = F.col("p") + F.col("k") * SLICE
+    piece = piece.withColumn("s", F.floor(at / SLICE)).join(text, ["page_id", "s"]).select(
+        "page_id", "p", "len", "k", F.substring("text", (at - F.col("s") * SLICE + 1).cast("int"), F.least(
+            F.lit(SLICE), F.col("len") - F.col("k") * SLICE).cast("int")).alias("part"))
+    whole = piece.groupBy("page_id", "p", "len").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "").alias("needle"))
+    # a candidate that the end of the text cuts short is none
+    return (whole.join(nd.select("page_id", "needle", "len"), ["page_id", "needle", "len"])
+            .select("page_id", "needle", F.col("p").cast("int").alias("p")))
 
 
 def occurrences(dom: DataFrame, needles: DataFrame) -> DataFrame:
@@ -45,11 +128,10 @@ def occurrences(dom: DataFrame, needles: DataFrame) -> DataFrame:
     distinct place in the tree it occurs at.  ``run_i`` / ``run_node``: token
     and owner of the run that holds it whole (else null); ``cover``: the
     elements covering it, root first."""
-    contents = dom.where(F.col("kind") == "doc").select("page_id", F.col("text").alias("content"))
     run = F.struct("i", "node", "path")
     runs = dom.where(F.col("kind").isin(*TEXT_KINDS)).select(
         "page_id", F.col("c0").alias("at"), run.alias("run"))
-    ends = places(contents, needles).select(
+    ends = places(dom, needles).select(
         "page_id", "needle", "p",
         F.explode(F.array(F.col("p"), F.col("p") + F.length("needle") - 1)).alias("at"))
     line = runs.unionByName(ends, allowMissingColumns=True)
