@@ -1,8 +1,8 @@
 """M6, M7: the block-sequence labeller as an estimator / model pair.
 
-``BlockLabeler.fit(blocks)`` builds the vocabulary, encodes and splits the
-blocks, fits emission scores (naive Bayes over token ids, or MLlib logistic
-regression over hashed tokens) and the label chain; ``transform`` scores and
+``BlockLabeler.fit(blocks)`` splits the blocks, fits emission scores (naive
+Bayes over tokens, or MLlib logistic regression over hashed tokens) and the
+label chain; ``transform`` scores and
 decodes every sample.  ``save`` / ``load`` keep the fitted tables as Parquet
 (and the MLlib pipeline with its own writer) so a reloaded model predicts
 the same labels.
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentmark.operators import blocks as B
+from contentmark.operators import chain as C
 from contentmark.operators import evaluate as E
 from contentmark.operators import model as M
+from contentmark.operators import tokenscore as TS
 from contentmark.session import materialize
 
 KEYS = ["page_id", "part", "pos"]
@@ -39,34 +41,31 @@ class BlockLabeler:
 
     def fit(self, blocks: DataFrame) -> "BlockLabelerModel":
         p = self.params
-        vocab = B.fit_vocab(blocks, p["vocab_size"])
-        enc = _prepare(blocks, vocab, p)
-        weights = M.class_weights(enc) if p["class_weighted"] else None
-        trans = M.fit_transitions(enc)
+        train = _prepare(blocks, p)
+        weights = M.class_weights(train) if p["class_weighted"] else None
+        trans = M.fit_transitions(train)
         if p["emissions"] == "nb":
-            em_model = M.fit_emissions(enc, vocab.count(), weights=weights)
+            em_model = TS.fit_token_scores(train, max_size=p["vocab_size"], max_length=p["max_length"], weights=weights)
         else:
-            em_model = _lr_pipeline(p, weights is not None).fit(_lr_input(enc, weights))
-        return BlockLabelerModel(vocab, em_model, trans, p)
+            em_model = _lr_pipeline(p, weights is not None).fit(_lr_input(train, weights))
+        return BlockLabelerModel(em_model, trans, p)
 
 
 class BlockLabelerModel:
-    def __init__(self, vocab: DataFrame, em_model, trans: DataFrame, params: dict):
-        self.vocab, self.em_model, self.trans, self.params = vocab, em_model, trans, params
+    def __init__(self, em_model, trans: DataFrame, params: dict):
+        self.em_model, self.trans, self.params = em_model, trans, params
 
     def transform(self, blocks: DataFrame) -> DataFrame:
         """Blocks (split into parts of at most ``max_blocks``) with
         ``prediction``; ``part0`` / ``pos0`` keep the input coordinates."""
-        enc = _prepare(blocks, self.vocab, self.params)
+        enc = _prepare(blocks, self.params)
         if self.params["emissions"] == "nb":
-            scored = M.score(enc, self.em_model)
+            scored = TS.score_tokens(enc, self.em_model, self.params["max_length"], carry=())
         else:
             scored = (self.em_model.transform(_lr_input(enc, None))
                       .withColumn("em", F.transform(_prob_array("probability"),
                                                     lambda x: F.log(F.greatest(x, F.lit(1e-300))))))
-        samples = B.fold(scored.select(*KEYS, "em"))
-        decoded = M.decode(samples, self.trans)
-        preds = decoded.select("page_id", "part", F.posexplode("prediction").alias("pos", "prediction"))
+        preds = C.decode_blocks(scored, self.trans, longest=self.params["max_blocks"])
         return enc.join(preds, KEYS, "left")
 
     def evaluate(self, blocks: DataFrame, split: str = "test") -> DataFrame:
@@ -74,32 +73,29 @@ class BlockLabelerModel:
         return E.metrics(self.transform(blocks).select("label", "prediction"), split)
 
     def save(self, path: str) -> None:
-        self.vocab.write.mode("overwrite").parquet(os.path.join(path, "vocab"))
         self.trans.write.mode("overwrite").parquet(os.path.join(path, "transitions"))
         if self.params["emissions"] == "nb":
             self.em_model.write.mode("overwrite").parquet(os.path.join(path, "emissions"))
         else:
             self.em_model.write().overwrite().save(os.path.join(path, "emissions"))
-        spark = self.vocab.sparkSession
+        spark = self.trans.sparkSession
         spark.createDataFrame([(json.dumps(self.params),)], "params string") \
             .write.mode("overwrite").json(os.path.join(path, "params"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BlockLabelerModel":
         params = json.loads(spark.read.json(os.path.join(path, "params")).first()["params"])
-        vocab = spark.read.parquet(os.path.join(path, "vocab"))
         trans = spark.read.parquet(os.path.join(path, "transitions"))
         if params["emissions"] == "nb":
             em = spark.read.parquet(os.path.join(path, "emissions"))
         else:
             em = PipelineModel.load(os.path.join(path, "emissions"))
-        return cls(vocab, em, trans, params)
+        return cls(em, trans, params)
 
 
-def _prepare(blocks: DataFrame, vocab: DataFrame, p: dict) -> DataFrame:
+def _prepare(blocks: DataFrame, p: dict) -> DataFrame:
     b = blocks.withColumn("part0", F.col("part")).withColumn("pos0", F.col("pos"))
-    enc = B.encode(b, vocab, p["max_length"], "do_not_pad")
-    return materialize(B.split_parts(enc, p["max_blocks"]), "encoded")
+    return materialize(B.split_parts(b, p["max_blocks"]), "split")
 
 
 def _lr_input(enc: DataFrame, weights: DataFrame | None) -> DataFrame:

@@ -12,11 +12,13 @@ from contentmark.functions.tags import html_tags
 from contentmark.functions.text import render_seq
 from contentmark.operators import align as A
 from contentmark.operators import blocks as B
+from contentmark.operators import chain as C
 from contentmark.operators import evaluate as E
 from contentmark.operators import model as M
 from contentmark.operators import nodes as N
 from contentmark.operators import render as R
 from contentmark.operators import shred as S
+from contentmark.operators import tokenscore as TS
 from contentmark.operators import vectors as V
 from contentmark.operators import writeback as WB
 from contentmark.plans import labelers as L
@@ -423,25 +425,18 @@ def q_seq_len(spark, sf_dir):
 
 # --- model ---------------------------------------------------------------------------
 
-def _model_input(spark, sf_dir):
-    """Encoded, split blocks - the training / scoring unit of the labeller
-    (checkpointed: fitting and scoring both read it) - and the vocabulary's
-    size."""
-    blocks = Corpus(spark, sf_dir).blocks()
-    vocab = B.fit_vocab(blocks)
-    e = B.encode(blocks, vocab)
-    return materialize(B.split_parts(e.select("page_id", "part", "pos", *B.ID_COLS, "label"),
-                                     SEQ_BLOCKS)), vocab.count()
-
-
 def _model_blocks(spark, sf_dir):
-    return _model_input(spark, sf_dir)[0]
+    """Split blocks - the training / scoring unit of the labeller (written once:
+    fitting and scoring both read it)."""
+    return materialize(B.split_parts(Corpus(spark, sf_dir).blocks().drop("node"), SEQ_BLOCKS), "model-blocks")
 
 
 def q_class_weights(spark, sf_dir):
     b = _model_blocks(spark, sf_dir)
     real = M.class_weights(b).withColumn("variant", F.lit("blocks"))
-    s = B.make_samples(b.select("page_id", "part", "pos", "label", "text_ids",
+    e = B.encode(b.drop("label"), B.fit_vocab(b)).select("page_id", "part", "pos", "text_ids").join(
+        b.select("page_id", "part", "pos", "label"), ["page_id", "part", "pos"])
+    s = B.make_samples(e.select("page_id", "part", "pos", "label", "text_ids",
                                 F.lit(None).cast("array<int>").alias("class_ids"),
                                 F.lit(None).cast("array<int>").alias("tag_ids")),
                        SEQ_BLOCKS, 1)
@@ -451,8 +446,8 @@ def q_class_weights(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    b, n = _model_input(spark, sf_dir)
-    return b, M.score(b, M.fit_emissions(b, n))
+    b = _model_blocks(spark, sf_dir)
+    return b, TS.score_tokens(b, TS.fit_token_scores(b))
 
 
 def q_emissions_nb(spark, sf_dir):
@@ -468,20 +463,19 @@ def q_transitions(spark, sf_dir):
 
 
 def _decoded(spark, sf_dir):
+    """(page_id, part, pos, prediction) and the blocks they were decoded from."""
     b, sc = _scored(spark, sf_dir)
-    samples = B.fold(sc.select("page_id", "part", "pos", "em", "label"))
-    return M.decode(samples, M.fit_transitions(b))
+    return C.decode_blocks(sc, M.fit_transitions(b), longest=SEQ_BLOCKS), b
 
 
 def q_decode(spark, sf_dir):
-    d = _decoded(spark, sf_dir)
-    return d.select("page_id", "part", F.posexplode("prediction").alias("pos", "prediction"))
+    return _decoded(spark, sf_dir)[0]
 
 
 def q_sequence_loss(spark, sf_dir):
     b, sc = _scored(spark, sf_dir)
-    samples = B.fold(sc.select("page_id", "part", "pos", "em", "label"))
-    loss = M.sequence_loss(samples, M.fit_transitions(b))
+    per = C.chain_loss(sc, M.fit_transitions(b), longest=SEQ_BLOCKS)
+    loss = per.agg((F.sum("nll") / F.sum("n")).alias("loss"), F.sum("n").alias("n_blocks"))
     return loss.select(F.round("loss", 6).alias("loss"), F.col("n_blocks").cast("bigint").alias("n_blocks"))
 
 
@@ -495,7 +489,8 @@ def _eval_pairs(spark, sf_dir):
 def q_eval_pairs(spark, sf_dir):
     """Decoded samples padded to SEQ_BLOCKS blocks with their masks;
     ``pairs`` must recover exactly the real blocks: (label, prediction, n)."""
-    d = _decoded(spark, sf_dir)
+    d, b = _decoded(spark, sf_dir)
+    d = B.fold(d.join(b.select("page_id", "part", "pos", "label"), ["page_id", "part", "pos"]))
     n = F.size("label")
     pad = F.greatest(F.lit(SEQ_BLOCKS) - n, F.lit(0))
     padded = d.select(
@@ -567,12 +562,7 @@ def q_highlight(spark, sf_dir):
 
 def q_attach_predictions(spark, sf_dir):
     from contentmark.operators import align as A2
-    b, sc = _scored(spark, sf_dir)
-    samples = B.fold(sc.select("page_id", "part", "pos", "em", "label"))
-    d = M.decode(samples, M.fit_transitions(b))
-    preds = d.select("page_id", "part", F.posexplode("prediction").alias("pos", "prediction"))
-    blocks = Corpus(spark, sf_dir).blocks()
-    blocks = B.split_parts(blocks, SEQ_BLOCKS).drop("node")
+    preds, blocks = _decoded(spark, sf_dir)
     out = P.scratch_path(spark, "predictions")
     BIO.write_blocks(A2.attach(blocks, preds), out, with_ids=False)
     back = BIO.read_blocks(spark, out)
