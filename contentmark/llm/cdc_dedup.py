@@ -6,15 +6,15 @@ the last ``WINDOW`` characters has ``MASK_BITS`` chosen bits zero.  Where no bla
 in the last ``RUN`` characters (Thai, Lao, Khmer, Burmese, base64), it ends before any
 character where ``RUN_BITS`` bits are zero.  Cuts depend on
 nearby text only, so an insertion shifts no later chunk.  Chunks are
-compared by a 64-bit digest over all documents: a digest's owner is the
+compared by 96 digest bits over all documents: a digest's owner is the
 smallest id that holds it, and it is repeated text in every other document, and
 at each later place of the same document.  Adjacent repeated chunks make a span;
 spans of at least ``MIN_SPAN`` characters are removed.  That length also keeps
 common phrases and any chance equality of single digests.
 
-The whole text is chunked.  Digest counts combine before the shuffle;
-the join of chunks with repeated digests is skew-split by the engine, as its
-other side has one row per digest.
+The whole text is chunked.  Digest counts combine before the shuffle.  The few
+digests that hold over a thousandth of all chunks each are joined by broadcast
+(there are fewer than a thousand, whatever the data); no other digest is hot.
 
 Defined cases: null and empty texts have no chunk and stay as they are; rows
 of one id are one document, so nothing is removed between them for being in both
@@ -34,6 +34,7 @@ WINDOW, MASK_BITS = 16, 2
 RUN, RUN_BITS = 64, 5
 MIN_CHUNK, MAX_CHUNK = 16, 256
 MIN_SPAN = 100
+HOT = 1000           # a digest of over one chunk in so many is joined by broadcast
 NO_ID = (1 << 63) - 1
 
 
@@ -79,14 +80,15 @@ def _chunks(batches):
     import pyarrow as pa
     import xxhash
     gear = gear_table()
-    names = ["digest", "id", "h", "a", "b", "again"]
+    names = ["digest", "more", "id", "h", "a", "b", "again"]
     out: list[tuple] = []
     size = 0
 
     def flush():
         cols = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
-    for batch in batches:
+    few = (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256))
+    for batch in few:   # only a few texts at once are Python strings
         for i, text, h in zip(*(c.to_pylist() for c in batch.columns)):
             if not text:
                 continue
@@ -94,11 +96,12 @@ def _chunks(batches):
             raw = memoryview(text.encode("utf-32-le", "surrogatepass"))
             b = np.array(ends, np.int32)
             a = np.concatenate((np.zeros(1, np.int32), b[:-1]))
-            d = np.array([xxhash.xxh3_64_intdigest(raw[4 * x:4 * y]) for x, y in zip(a.tolist(), ends)],
-                         np.uint64).view(np.int64)
+            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[4 * x:4 * y]) for x, y in zip(a.tolist(), ends)]),
+                                 np.int32).reshape(-1, 4)
+            d, more = np.ascontiguousarray(both[:, :2]).view(np.int64).ravel(), both[:, 2].copy()
             first = np.ones(len(d), bool)
             first[np.unique(d, return_index=True)[1]] = False
-            out.append((d, np.full(len(d), NO_ID if i is None else i), np.full(len(d), h), a, b, first))
+            out.append((d, more, np.full(len(d), NO_ID if i is None else i), np.full(len(d), h), a, b, first))
             size += len(d)
             if size >= 65536:
                 yield flush()
@@ -108,11 +111,11 @@ def _chunks(batches):
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: digest, id, h (text digest), a, b (code points)
-    and again (the digest occurs earlier in the same text)."""
+    """One row per chunk: digest and more (96 bits of its digest), id, h (text
+    digest), a, b (code points) and again (the digest occurs earlier in the same text)."""
     t = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"),
                     F.xxhash64(text_or_empty(F.col(text_col))).alias("h"))
-    return t.mapInArrow(_chunks, "digest bigint, id bigint, h bigint, a int, b int, again boolean")
+    return t.mapInArrow(_chunks, "digest bigint, more int, id bigint, h bigint, a int, b int, again boolean")
 
 
 def _merge(min_span: int):
@@ -142,9 +145,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    min_span: int = MIN_SPAN) -> DataFrame:
     """(id, h, spans): the repeated spans of every text that has any."""
     table = materialize(chunks(docs, id_col, text_col), "chunks")
-    owners = (table.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-              .where("last <> owner").select(F.col("digest").alias("d"), "owner"))
-    across = table.join(owners, F.col("digest") == F.col("d")).where("id <> owner")
+    key = ["digest", "more"]
+    owners = (table.groupBy(*key).agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("times"))
+              .where("last <> owner").select(*key, "owner", "times"))
+    owners = materialize(owners, "chunk-owners")
+    hot = F.col("times") * HOT > table.count()
+    few = F.broadcast(owners.where(hot).drop("times"))
+    rest = table.join(few, key, "left_anti").join(owners.where(~hot).drop("times"), key)
+    across = rest.unionByName(table.join(few, key)).where("id <> owner")
     both = across.select("id", "h", "a", "b").unionAll(table.where("again").select("id", "h", "a", "b"))
     per_doc = both.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("ps"))
     return per_doc.mapInArrow(_merge(min_span), "id bigint, h bigint, spans array<struct<a:int,b:int>>")
