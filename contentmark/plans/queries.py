@@ -5,6 +5,8 @@ so the DuckDB oracles compare exactly."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,19 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Corpus:
     """Lazily shredded pages of one scale factor (one parse per plan)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
+        self.spark, self.sf_dir, self.once = spark, sf_dir, once
         self.pages = _t(spark, sf_dir, "pages")
-        # one parse per corpus: cut lineage so branches and scalar subqueries
-        # downstream read the checkpoint instead of re-parsing HTML
-        self.dom = materialize(S.shred(self.pages), "dom", partition_by="kind")
         self._blocks = None
 
+    @cached_property
+    def dom(self) -> DataFrame:
+        """The token table.  One parse per corpus: lineage is cut so branches and
+        scalar subqueries downstream read the table instead of re-parsing
+        HTML; a query that reads it ``once`` needs no table."""
+        dom = S.shred(self.pages)
+        return dom if self.once else materialize(dom, "dom", partition_by="kind")
+
     @property
     def nodes(self) -> DataFrame:
         return S.nodes(self.dom)
@@ -103,11 +110,9 @@ def annotated_pages(pages: DataFrame) -> DataFrame:
 
 
 class AnnotatedCorpus(Corpus):
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.pages = annotated_pages(_t(spark, sf_dir, "pages"))
-        self.dom = materialize(S.shred(self.pages), "dom", partition_by="kind")
-        self._blocks = None
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
+        super().__init__(spark, sf_dir, once)
+        self.pages = annotated_pages(self.pages)
 
 
 
@@ -130,7 +135,7 @@ def q_gold_candidates(spark, sf_dir):
 
 
 def q_gold_align(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     return A.owners(A.align(c.texts, c.gold())).select("page_id", *_big("pre"))
 
 
@@ -140,12 +145,12 @@ def q_label_by_text(spark, sf_dir):
 
 
 def q_class_select(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     return N.by_class(c.nodes, "ad").select("page_id", *_big("pre"), "tag")
 
 
 def q_attr_select(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     return N.by_attr(c.nodes, "lang", "en").select("page_id", *_big("pre"), "tag")
 
 
@@ -156,14 +161,14 @@ def q_subtree_mark(spark, sf_dir):
 
 
 def q_class_remove(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     n = c.nodes.where(F.map_contains_key("attrs", F.lit("class")))
     return (N.remove_class(n, "ad")
             .select("page_id", *_big("pre"), F.array_join("classes", " ").alias("classes")))
 
 
 def q_attr_remove(spark, sf_dir):
-    c = AnnotatedCorpus(spark, sf_dir)
+    c = AnnotatedCorpus(spark, sf_dir, once=True)
     n = N.remove_attr(c.nodes, L.LABEL_ATTR)
     return n.select("page_id", *_big("pre"), "tag",
                     F.map_contains_key("attrs", F.lit(L.LABEL_ATTR)).cast("int").alias("has_label"),
@@ -177,7 +182,7 @@ def q_unwrap(spark, sf_dir):
 
 
 def q_lca(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre", "path")
     return N.lowest_common_ancestor(seeds).select("page_id", *_big("lca"))
 
@@ -197,7 +202,7 @@ def q_contradictions(spark, sf_dir):
 
 
 def q_own_text_search(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     return N.own_text_contains(c.texts, "the").select("page_id", *_big("pre"))
 
 
@@ -208,7 +213,7 @@ def q_subtree_text(spark, sf_dir):
 
 
 def q_render(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, once=True)
     return R.render(c.tokens)
 
 
