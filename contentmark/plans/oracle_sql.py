@@ -600,9 +600,9 @@ WB_CTES = f"""
   LEFT JOIN anc an ON an.page_id = n.page_id AND an.pre = n.pre
   LEFT JOIN tpath t ON t.page_id = n.page_id AND list_contains(t.path, n.pre)
   GROUP BY n.page_id, n.pre, n.tag, p.tag, an.anc_tags)
-, nk AS (SELECT *, {_unq(f"regexp_replace(plain, '{WS}', '', 'g')")} AS k5,
+, nk AS MATERIALIZED (SELECT *, {_unq(f"regexp_replace(plain, '{WS}', '', 'g')")} AS k5,
     '|' || array_to_string(anc_tags, '|') || '|' AS anc_str FROM nsub)
-, whits AS (
+, whits AS MATERIALIZED (
   SELECT DISTINCT b.page_id, b.part, b.pos, 1 AS tier, t.node AS pre FROM wb b
     JOIN tpath t ON t.page_id = b.page_id AND t.tag = b.t_tag AND contains(t.text, b.needle)
   UNION ALL SELECT b.page_id, b.part, b.pos, 2, n.pre FROM wb b
@@ -624,7 +624,7 @@ WB_CTES = f"""
     count(h.pre) FILTER (WHERE h.tier = 5) AS n5, count(h.pre) FILTER (WHERE h.tier = 6) AS n6
   FROM wb b LEFT JOIN whits h ON h.page_id = b.page_id AND h.part = b.part AND h.pos = b.pos
   GROUP BY b.page_id, b.part, b.pos)
-, dec AS (SELECT page_id, part, pos, CASE WHEN n1 = 1 THEN 1 WHEN n1 = 0 AND n2 = 1 THEN 2
+, dec AS MATERIALIZED (SELECT page_id, part, pos, CASE WHEN n1 = 1 THEN 1 WHEN n1 = 0 AND n2 = 1 THEN 2
     WHEN n3 = 1 THEN 3 WHEN n4 = 1 THEN 4 WHEN n5 = 1 THEN 5 ELSE 6 END AS tier FROM cnt)
 , res AS (SELECT h.* FROM whits h JOIN dec d USING (page_id, part, pos, tier))
 , ann AS (SELECT r.page_id, r.pre, arg_max(b.lab, b.part * 1000000 + b.pos) AS label
