@@ -371,6 +371,11 @@ SELECT token, id, cnt FROM vocab"""
                     (("class_seq", "class_ids"), ("tag_seq", "tag_ids"), ("text_seq", "text_ids")))
     q["encode"] = base + _vocab_ctes(1000) + f"""
 SELECT page_id, part, pos, {enc} FROM blocks, vm"""
+    fill = "".join(f"""
+, {i} || repeat(',1', 64 - len(string_split({i}, ',')))::VARCHAR AS {i}""" for i in ("class_ids", "tag_ids", "text_ids"))
+    q["encode_padded"] = base + _vocab_ctes(1000) + f"""
+, cut_ids AS (SELECT page_id, part, pos, {enc} FROM blocks, vm)
+SELECT page_id, part, pos{fill} FROM cut_ids"""
     q["split_parts"] = base + _split(10) + """
 SELECT page_id, part, pos, node::BIGINT AS node FROM split"""
     samples = base + _vocab_ctes() + _split(85) + IDS_CTES
@@ -520,6 +525,10 @@ SELECT 'padded', label, n::BIGINT, round(sum(n) OVER () / (count(*) OVER () * n)
     mb = sb + MODEL_CTES
     q["emissions_nb"] = mb + """
 SELECT page_id, part, pos, round(s0, 6) AS s0, round(s1, 6) AS s1 FROM em"""
+    q["emissions_weighted"] = mb + """
+, cw AS (SELECT label, ln(sum(count(*)) OVER () / (count(*) OVER () * count(*))) AS lw FROM split GROUP BY label)
+SELECT page_id, part, pos, round(s0 + (SELECT lw FROM cw WHERE label = 0), 6) AS s0,
+       round(s1 + (SELECT lw FROM cw WHERE label = 1), 6) AS s1 FROM em"""
     q["transitions"] = mb + """
 SELECT kind, from_label, to_label, round(score, 6) AS score FROM trans"""
     q["decode"] = mb + """

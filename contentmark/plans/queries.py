@@ -334,6 +334,13 @@ def q_encode(spark, sf_dir):
     return e.select("page_id", "part", "pos", *_ids(e))
 
 
+def q_encode_padded(spark, sf_dir):
+    """Every sequence padded to the model's length."""
+    blocks = Corpus(spark, sf_dir).blocks()
+    e = B.encode(blocks, B.fit_vocab(blocks, VOCAB_TOP), CUT_LENGTH, "max_length")
+    return e.select("page_id", "part", "pos", *_ids(e))
+
+
 def q_split_parts(spark, sf_dir):
     b = B.split_parts(Corpus(spark, sf_dir).blocks(), 10)
     return b.select("page_id", "part", "pos", F.col("node").cast("bigint").alias("node"))
@@ -396,12 +403,9 @@ def q_pool_first(spark, sf_dir):
 def q_combine(spark, sf_dir):
     p = {h: _pooled(spark, sf_dir, h).withColumnRenamed("pooled", h) for h in V.POOL_MODES}
     j = p["mean"].join(p["max"], "label").join(p["first"], "label")
-    out = None
-    for how in V.COMBINE_MODES:
-        x = _long(j.select("label", F.lit(how).alias("how"),
-                           V.combine(["mean", "max", "first"], how).alias("c")), ["label", "how"], "c")
-        out = x if out is None else out.unionByName(x)
-    return out
+    modes = F.array(*[F.struct(F.lit(how).alias("how"), V.combine(["mean", "max", "first"], how).alias("c"))
+                      for how in V.COMBINE_MODES])
+    return _long(j.select("label", F.inline(modes)), ["label", "how"], "c")
 
 
 def q_context(spark, sf_dir):
@@ -461,6 +465,14 @@ def q_emissions_nb(spark, sf_dir):
                      F.round(F.col("em")[1], 6).alias("s1"))
 
 
+def q_emissions_weighted(spark, sf_dir):
+    """M2 trained with the balanced class weights of M1."""
+    b = _model_blocks(spark, sf_dir)
+    sc = TS.score_tokens(b, TS.fit_token_scores(b, weights=M.class_weights(b)))
+    return sc.select("page_id", "part", "pos", F.round(F.col("em")[0], 6).alias("s0"),
+                     F.round(F.col("em")[1], 6).alias("s1"))
+
+
 def q_transitions(spark, sf_dir):
     t = M.fit_transitions(_model_blocks(spark, sf_dir))
     return t.select("kind", F.coalesce("from_label", F.lit(-1)).alias("from_label"), "to_label",
@@ -636,6 +648,7 @@ def registry() -> dict:
         "parse_sequences": q_parse_sequences,
         "vocab": q_vocab,
         "encode": q_encode,
+        "encode_padded": q_encode_padded,
         "split_parts": q_split_parts,
         "fold_pad_mask": q_fold_pad_mask,
         "unpad_explode": q_unpad_explode,
@@ -648,6 +661,7 @@ def registry() -> dict:
         "seq_len": q_seq_len,
         "class_weights": q_class_weights,
         "emissions_nb": q_emissions_nb,
+        "emissions_weighted": q_emissions_weighted,
         "transitions": q_transitions,
         "decode": q_decode,
         "sequence_loss": q_sequence_loss,
