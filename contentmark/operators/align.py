@@ -44,13 +44,13 @@ def align(texts: DataFrame, gold: DataFrame) -> DataFrame:
     """A3: text runs whose white-space-normalised text equals a normalised
     gold line - an equi-join on (page_id, normalised text)."""
     g = gold.select("page_id", "line_no", normalize_ws("text").alias("norm"))
-    t = texts.select("page_id", "i", "node", "path", normalize_ws("text").alias("norm"))
-    return t.join(g, ["page_id", "norm"]).select("page_id", "line_no", "i", "node", "path")
+    t = texts.select("page_id", "i", "node", normalize_ws("text").alias("norm"))
+    return t.join(g, ["page_id", "norm"]).select("page_id", "line_no", "i", "node")
 
 
 def owners(hits: DataFrame) -> DataFrame:
-    """A4: (page_id, pre, path) of the elements owning the hits, de-duplicated."""
-    return hits.select("page_id", F.col("node").alias("pre"), "path").distinct()
+    """A4: (page_id, pre) of the elements owning the hits, de-duplicated."""
+    return hits.select("page_id", F.col("node").alias("pre")).distinct()
 
 
 def attach(blocks: DataFrame, predictions: DataFrame,

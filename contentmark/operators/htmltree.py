@@ -22,6 +22,7 @@ from the parser's events, so markup it skips is in ``raw`` alone.
 from __future__ import annotations
 
 import html as _html
+from collections import Counter
 from html.entities import html5 as _HTML5
 from html.parser import HTMLParser
 
@@ -110,10 +111,40 @@ def _attr_map(attrs):
     return out
 
 
+def _path(nodes, pre):
+    """Node rows from the root down to ``pre``."""
+    out = []
+    while pre >= 0:
+        out.append(nodes[pre])
+        pre = nodes[pre]["parent"]
+    return out[::-1]
+
+
+def page_rows(src: str, paths: bool = True):
+    """The token rows of one page, one by one, as dicts (see schema.DOM).
+
+    What is held for a page is linear in its length: a node knows its parent
+    and extent.  With ``paths``, a row's path columns are put together as it
+    is handed out, and belong to that row alone."""
+    rows, nodes = _tree(src or "")
+    if not paths:
+        yield from rows
+        return
+    for r in rows:
+        line = None if r["node"] is None else _path(nodes, r["node"])
+        start = r["kind"] == "start"
+        yield {**r, "path": line and [nd["node"] for nd in line],
+               "path_tags": [nd["tag"] for nd in line] if start else None,
+               "path_cls": [" ".join(nd["classes"]) for nd in line] if start else None}
+
+
 def shred_html(src: str):
-    """Return the token rows of one page as a list of dicts (see schema.DOM).
-    A null page is an empty one: its ``doc`` row alone."""
-    src = src or ""
+    """``page_rows`` as a list.  A null page is an empty one: its ``doc`` row alone."""
+    return list(page_rows(src))
+
+
+def _tree(src: str):
+    """(token rows without paths, node rows in document order) of one page."""
     b = _Builder(src)
     b.feed(src)
     b.close()
@@ -129,13 +160,15 @@ def shred_html(src: str):
     stack = []        # open node rows
     nodes = []        # node rows in pre order
     children = {}     # pre -> list of ("t", row) / ("n", row) / ("c", None)
-    swallow = []      # void names whose next end tag is ignored
+    swallow = Counter()  # void names whose next end tags are ignored
+    is_open = Counter()  # names of the open nodes
     text_no = 0
     content, plain, bare = [], [], []  # all runs / runs outside script, style /
     c_off = s_off = w_off = 0          # the latter without white space
 
     def close(nd):  # subtree text of nd ends here
         nd["c1"], nd["s1"], nd["w1"] = c_off, s_off, w_off
+
     for k, (off, kind, payload) in enumerate(events):
         end = events[k + 1][0] if k + 1 < len(events) else n
         raw = src[off:end]
@@ -144,24 +177,19 @@ def shred_html(src: str):
                "node": owner["node"] if owner else None,
                "tag": owner["tag"] if owner else None,
                "parent": None, "depth": owner["depth"] if owner else None,
-               "last": None, "path": owner["path"] if owner else None,
-               "attrs": None, "classes": None, "own_text": None,
+               "last": None, "attrs": None, "classes": None, "own_text": None,
                "n_children": None, "string_i": None, "text": None,
                "text_no": None, "c0": None, "c1": None, "s0": None,
-               "s1": None, "end_i": None, "path_tags": None, "path_cls": None,
-               "w0": None, "w1": None, "k0": None, "k1": None, "wtext": None}
+               "s1": None, "end_i": None, "w0": None, "w1": None, "k0": None, "k1": None, "wtext": None}
         if kind == "start":
             tag, attrs, self_closing = payload
             pre = len(nodes)
             amap = _attr_map(attrs)
             cls = amap.get("class")
-            path = (owner["path"] if owner else []) + [pre]
             classes = cls.split() if cls is not None else []
             row.update(node=pre, tag=tag, parent=owner["node"] if owner else -1,
-                       depth=len(path) - 1, path=path, attrs=amap, classes=classes,
-                       last=pre, c0=c_off, s0=s_off, w0=w_off,
-                       path_tags=(owner["path_tags"] if owner else []) + [tag],
-                       path_cls=(owner["path_cls"] if owner else []) + [" ".join(classes)])
+                       depth=owner["depth"] + 1 if owner else 0, attrs=amap,
+                       classes=classes, last=pre, c0=c_off, s0=s_off, w0=w_off)
             nodes.append(row)
             children[pre] = []
             if owner is not None:
@@ -169,37 +197,33 @@ def shred_html(src: str):
             if self_closing:
                 close(row)
             elif tag in VOID_TAGS:
-                swallow.append(tag)
+                swallow[tag] += 1
                 close(row)
             else:
                 stack.append(row)
+                is_open[tag] += 1
         elif kind == "end":
             tag = payload
             row["tag"] = tag
-            if tag in swallow:
-                swallow.remove(tag)
-                row.update(node=None, path=None, depth=None)
-            else:
-                hit = None
-                for j in range(len(stack) - 1, -1, -1):
-                    if stack[j]["tag"] == tag:
-                        hit = j
+            if swallow[tag]:
+                swallow[tag] -= 1
+                row.update(node=None, depth=None)
+            elif not is_open[tag]:
+                row.update(node=None, depth=None)
+            else:  # closes all nodes down to the nearest one of that name
+                while True:
+                    nd = stack.pop()
+                    is_open[nd["tag"]] -= 1
+                    close(nd)
+                    if nd["tag"] == tag:
                         break
-                if hit is None:
-                    row.update(node=None, path=None, depth=None)
-                else:
-                    row["node"] = stack[hit]["node"]
-                    row["path"] = stack[hit]["path"]
-                    row["depth"] = stack[hit]["depth"]
-                    stack[hit]["end_i"] = k
-                    for nd in stack[hit:]:
-                        close(nd)
-                    del stack[hit:]
+                row.update(node=nd["node"], depth=nd["depth"])
+                nd["end_i"] = k
         elif kind == "text":
             rawtext, pieces = payload
             text = "".join(pieces)
             if not rawtext and text.strip(ASCII_WS) == "" and not any(
-                    s["tag"] in PRESERVE_WS_TAGS for s in stack):
+                    is_open[t] for t in PRESERVE_WS_TAGS):
                 text = "\n" if "\n" in text else " "
             row["kind"] = "rawtext" if rawtext else "text"
             row["text"] = text
@@ -250,11 +274,10 @@ def shred_html(src: str):
             elif t == "n":
                 nd["string_i"] = r["string_i"]
     rows.append({"i": -1, "kind": "doc", "raw": "", "node": None, "tag": None,
-                 "parent": None, "depth": None, "last": None, "path": None,
+                 "parent": None, "depth": None, "last": None,
                  "attrs": None, "classes": None, "own_text": "".join(plain),
                  "n_children": None, "string_i": None,
                  "text": "".join(content), "text_no": None,
                  "c0": None, "c1": None, "s0": None, "s1": None, "end_i": None,
-                 "path_tags": None, "path_cls": None, "w0": None, "w1": None,
-                 "k0": None, "k1": None, "wtext": "".join(bare)})
-    return rows
+                 "w0": None, "w1": None, "k0": None, "k1": None, "wtext": "".join(bare)})
+    return rows, nodes

@@ -1,13 +1,14 @@
 """Predicates, marking and edits over the node table.
 
-Every operator is a DataFrame -> DataFrame function keyed by ``page_id``;
-tree relations are answered from the ``path`` (ancestors-or-self) column, so
-no operator needs a range join or a recursive step.
+Every operator is a DataFrame -> DataFrame function keyed by ``page_id``.  An
+element's subtree is the interval [``pre``, ``last``] of element numbers, and
+intervals nest, so tree relations are comparisons or running aggregates in
+document order: no range join, no recursive step, no list of ancestors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentmark.functions.text import strip_ws
@@ -29,28 +30,23 @@ def by_attr(nodes: DataFrame, name: str, value) -> DataFrame:
     return nodes.where(attr_equals(name, value))
 
 
-def _ancestors(nodes: DataFrame) -> DataFrame:
-    """(page_id, pre, k, anc): one row per ancestor-or-self of each element
-    (k = position on the path) - rows bounded by tree depth, keyed so that a
-    very large page spreads over many tasks."""
-    return nodes.select("page_id", "pre", F.posexplode("path").alias("k", "anc"))
-
-
 def mark_subtrees(nodes: DataFrame, seeds: DataFrame, col: str = "is_main") -> DataFrame:
     """Seeds and every descendant element get ``col`` = 1, others 0.
 
-    An element is marked when one of its ancestors-or-self is a seed: the
-    ancestor rows are semi-joined with the seeds on (page_id, ancestor), so
-    no page-wide set is built.  ``col`` already on ``nodes`` is OR-ed in,
-    so markings compose."""
-    s = seeds.select("page_id", F.col("pre").cast("int").alias("anc")).distinct()
-    marked = (_ancestors(nodes).join(s, ["page_id", "anc"], "left_semi")
-              .select("page_id", "pre").distinct().withColumn("_hit", F.lit(True)))
-    out = nodes.join(marked, ["page_id", "pre"], "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    In document order, an element lies in a seed's subtree when the furthest
+    ``last`` of the seeds up to it reaches it.  Seeds are lined up with the
+    elements, so one shuffle by page and one sort answer both "is a seed" and
+    "is below one".  ``col`` already on ``nodes`` is OR-ed in, so markings compose."""
+    s = seeds.select("page_id", F.col("pre").cast("int").alias("pre"), F.lit(True).alias("_s"))
+    line = nodes.withColumn("_s", F.lit(False)).unionByName(s, allowMissingColumns=True)
+    upto = (Window.partitionBy("page_id").orderBy("pre", F.col("_s").desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    line = (line.withColumn("_at", F.max(F.when(F.col("_s"), F.col("pre"))).over(upto))
+            .withColumn("_to", F.max(F.when(F.col("_at") == F.col("pre"), F.col("last"))).over(upto)))
+    hit = F.coalesce(F.col("_to") >= F.col("pre"), F.lit(False))
     if col in nodes.columns:
         hit = hit | (F.col(col) == 1)
-    return out.withColumn(col, hit.cast("int")).drop("_hit")
+    return line.where(~F.col("_s")).withColumn(col, hit.cast("int")).drop("_s", "_at", "_to")
 
 
 def remove_class(nodes: DataFrame, name: str) -> DataFrame:
@@ -85,24 +81,12 @@ def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str | None,
       unwrapped spans, whatever order they are processed in);
     * the span disappears; its children are re-parented to that ancestor.
 
-    Each element's path is filtered by joining its ancestor rows with the
-    unwrapped elements on (page_id, ancestor) and regrouping per element
-    (a group is one path).  Returns (nodes, texts) without the spans, with
-    ``parent``, ``path`` and ``depth`` recomputed."""
+    ``_kept_parents`` finds the new parents.  Returns (nodes, texts) without
+    the spans, with ``parent`` and ``depth`` recomputed and without path columns."""
     if col not in nodes.columns:
         nodes = nodes.withColumn(col, F.lit(0))
-    flagged = nodes.withColumn("doomed", unwrap_condition(attr, tag))
-    gone = flagged.where("doomed").select("page_id", F.col("pre").alias("anc"),
-                                          F.lit(True).alias("_gone"))
-    kept = (_ancestors(flagged).join(gone, ["page_id", "anc"], "left")
-            .where(F.col("_gone").isNull())
-            .groupBy("page_id", "pre")
-            .agg(F.array_sort(F.collect_list(F.struct("k", "anc"))).alias("_kp")))
-    j = (flagged.join(kept, ["page_id", "pre"], "left")
-         .withColumn("_kp", F.transform(F.coalesce("_kp", F.array()), lambda x: x["anc"])))
-    # nearest kept strict ancestor: the last kept path entry other than self
-    eff = F.try_element_at(F.filter("_kp", lambda x: x != F.col("pre")), F.lit(-1))
-    j = j.withColumn("eff_parent", eff)
+    flagged = nodes.drop("path", "path_tags", "path_cls").withColumn("doomed", unwrap_condition(attr, tag))
+    j = flagged.join(_kept_parents(flagged), ["page_id", "pre"])
     lifts = (j.where(F.col("doomed") & (F.col(col) == 1) & F.col("eff_parent").isNotNull())
              .select("page_id", F.col("eff_parent").alias("pre"))
              .distinct().withColumn("lifted", F.lit(1)))
@@ -110,16 +94,16 @@ def unwrap_spans(nodes: DataFrame, texts: DataFrame, attr: str | None,
              .select("page_id", F.col("string_i").alias("i")).distinct()
              .withColumn("trim", F.lit(True)))
     out = (j.where(~F.col("doomed"))
-           .withColumn("path", F.col("_kp"))
-           .withColumn("depth", F.size("path") - 1)
+           .withColumn("depth", F.col("_level"))
            .withColumn("parent", F.coalesce(F.col("eff_parent"), F.lit(-1)))
            .join(lifts, ["page_id", "pre"], "left")
            .withColumn(col, F.greatest(F.col(col), F.coalesce("lifted", F.lit(0))))
-           .drop("lifted", "doomed", "_kp", "eff_parent"))
+           .drop("lifted", "doomed", "_level", "eff_parent"))
     # a text run moves to its owner's nearest kept ancestor-or-self
     owner = j.select("page_id", F.col("pre").alias("node"),
-                     F.coalesce(F.try_element_at("_kp", F.lit(-1)), F.lit(-1)).alias("_new"))
-    t = (texts.join(trims, ["page_id", "i"], "left")
+                     F.coalesce(F.when(F.col("doomed"), F.col("eff_parent")).otherwise(F.col("pre")),
+                                F.lit(-1)).alias("_new"))
+    t = (texts.drop("path").join(trims, ["page_id", "i"], "left")
          .withColumn("text", F.when(F.col("trim"), strip_ws("text"))
                      .otherwise(F.col("text")))
          .drop("trim")
@@ -137,29 +121,76 @@ def unwrap_condition(attr: str | None, tag: str = "span") -> Column:
     return c
 
 
-def unwrapped(nodes: DataFrame, attr: str | None, tag: str = "span") -> DataFrame:
-    """(page_id, pre, string_i) of the elements ``unwrap_spans`` removes."""
-    return nodes.where(unwrap_condition(attr, tag)).select("page_id", "pre", "string_i")
+def _kept_parents(flagged: DataFrame) -> DataFrame:
+    """(page_id, pre, _level, eff_parent) of elements with a ``doomed`` flag:
+    the number of kept strict ancestors and the nearest of them (or null).
+
+    ``_level`` is the depth less the doomed elements open at that place, a running
+    sum over their starts and ends.  The nearest kept ancestor of an element
+    on level k is the last kept element before it on level k - 1: any kept one
+    in between would lie below that ancestor, on level k or deeper."""
+    part = F.col("doomed")
+    starts = flagged.select("page_id", F.col("pre").alias("at"), F.lit(1).alias("side"), "pre", "depth",
+                            "doomed", part.cast("int").alias("step"))
+    ends = flagged.where(part).select("page_id", (F.col("last") + 1).alias("at"), F.lit(0).alias("side"),
+                                      F.lit(-1).alias("step"))
+    before = (Window.partitionBy("page_id").orderBy("at", "side")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    level = (starts.unionByName(ends, allowMissingColumns=True)
+             .withColumn("_open", F.coalesce(F.sum("step").over(before), F.lit(0)))
+             .where(F.col("pre").isNotNull())
+             .withColumn("_level", (F.col("depth") - F.col("_open")).cast("int")))
+    # every element asks on the level above its own and, if kept, stands on its own
+    asks = F.struct((F.col("_level") - 1).alias("slot"), F.lit(None).cast("int").alias("stands"))
+    stands = F.struct(F.col("_level").alias("slot"), F.when(~part, F.col("pre")).alias("stands"))
+    upto = (Window.partitionBy("page_id", "slot").orderBy("pre")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (level.select("page_id", "pre", "_level", F.explode(F.array(asks, stands)).alias("r"))
+            .select("page_id", "pre", "_level", "r.slot", "r.stands")
+            .withColumn("eff_parent", F.last("stands", ignorenulls=True).over(upto))
+            .where(F.col("slot") < F.col("_level"))
+            .select("page_id", "pre", "_level", "eff_parent"))
 
 
 def lowest_common_ancestor(seeds: DataFrame) -> DataFrame:
-    """(page_id, lca) - deepest common ancestor-or-self of the seeds.
+    """N7 for seeds that carry ``path``: (page_id, lca) without the node table.
 
     The common prefix of the lexicographically smallest and largest root
-    paths is the common prefix of all of them, so the LCA is a plain
-    (partial) min / max aggregate: no climb, no explode.  Pages without
-    seeds give no row."""
+    paths is the common prefix of all of them: a partial min / max
+    aggregate.  Pages without seeds give no row."""
     agg = seeds.groupBy("page_id").agg(F.min("path").alias("mn"),
                                        F.max("path").alias("mx"))
     return agg.select("page_id", F.array_max(F.array_intersect("mn", "mx")).alias("lca"))
 
 
+def common_ancestor(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(page_id, lca, lca_last) - the deepest element whose interval
+    covers the first and the last seed of its page, and so all between.
+
+    Seeds shrink to one (first, last) pair a page by a partial aggregate;
+    the answer is one more over the elements.  Pages without seeds give no
+    row; seeds without a common element give nulls."""
+    span = seeds.groupBy("page_id").agg(F.min("pre").alias("_lo"), F.max("pre").alias("_hi"))
+    covers = (F.col("pre") <= F.col("_lo")) & (F.col("last") >= F.col("_hi"))
+    best = (nodes.select("page_id", "pre", "last").join(span, "page_id")
+            .groupBy("page_id").agg(F.max(F.when(covers, F.struct("pre", "last"))).alias("b")))
+    return best.select("page_id", F.col("b.pre").alias("lca"), F.col("b.last").alias("lca_last"))
+
+
+def _extent(nodes: DataFrame, lca: DataFrame) -> DataFrame:
+    """(page_id, lca, lca_last): the extent is looked up where ``lca`` lacks it."""
+    if "lca_last" in lca.columns:
+        return lca
+    return lca.join(nodes.select("page_id", F.col("pre").alias("lca"), F.col("last").alias("lca_last")),
+                    ["page_id", "lca"])
+
+
 def mark_block(nodes: DataFrame, lca: DataFrame, col: str = "is_main") -> DataFrame:
     """Everything from the LCA down gets ``col`` = 1."""
-    return (nodes.join(lca, "page_id", "left")
-            .withColumn(col, F.coalesce(F.array_contains("path", F.col("lca")),
+    return (nodes.join(_extent(nodes, lca), "page_id", "left")
+            .withColumn(col, F.coalesce(F.col("pre").between(F.col("lca"), F.col("lca_last")),
                                         F.lit(False)).cast("int"))
-            .drop("lca"))
+            .drop("lca", "lca_last"))
 
 
 def contradictions(nodes: DataFrame, lca: DataFrame, attr: str | None = None,
@@ -167,9 +198,8 @@ def contradictions(nodes: DataFrame, lca: DataFrame, attr: str | None = None,
     """(page_id, n) - pages whose main block holds descendants with
     ``attr`` = 0 (or matching ``where``); the reference warns once per page."""
     cond = attr_equals(attr, 0) if where is None else where
-    return (nodes.join(lca, "page_id")
-            .where(F.array_contains("path", F.col("lca")) & (F.col("pre") != F.col("lca"))
-                   & cond)
+    return (nodes.join(_extent(nodes, lca), "page_id")
+            .where((F.col("pre") > F.col("lca")) & (F.col("pre") <= F.col("lca_last")) & cond)
             .groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import contentmark
-from contentmark.operators.htmltree import shred_html
+from contentmark.operators.htmltree import page_rows
 from contentmark.schema import DOM, TEXT_KINDS
 from contentmark.session import spread
 
@@ -53,37 +53,46 @@ _ARROW_DOM = pa.schema([
     pa.field("k1", pa.int32()),
     pa.field("wtext", pa.string()),
 ])
-_COLS = [f.name for f in _ARROW_DOM]
+# Column sets: a row's ancestors; all that relates elements and text runs.
+PATHS = ("path", "path_tags", "path_cls")
+TREE = ("i", "kind", "node", "tag", "parent", "depth", "last", "text")
+NO_PATHS = tuple(f.name for f in DOM if f.name not in ("page_id", *PATHS))
 _ROWS_PER_BATCH = 32768
+_CELLS_PER_BATCH = 1 << 20   # path entries of a batch
 
 
-def _shred_batches(batches):
-    # shred_html and its module travel by value with this function
-    schema = _ARROW_DOM
-    buf = {c: [] for c in _COLS}
-    count = 0
+def _shred_batches(batches, wanted):
+    # page_rows and its module travel by value with this function
+    schema = pa.schema([f for f in _ARROW_DOM if f.name == "page_id" or f.name in wanted])
+    cols = schema.names
+    paths = not set(PATHS).isdisjoint(wanted)
+    buf = {c: [] for c in cols}
+    count = cells = 0
     for batch in batches:
-        schema = _ARROW_DOM.set(0, pa.field("page_id", batch.column("page_id").type))
+        schema = schema.set(0, pa.field("page_id", batch.column("page_id").type))
         ids = batch.column("page_id").to_pylist()
         docs = batch.column("html").to_pylist()
         for pid, doc in zip(ids, docs):
-            for r in shred_html(doc):
+            for r in page_rows(doc, paths):
                 buf["page_id"].append(pid)
-                for c in _COLS[1:]:
+                for c in cols[1:]:
                     v = r[c]
                     if c == "attrs" and v is not None:
                         v = list(v.items())
                     buf[c].append(v)
                 count += 1
-            if count >= _ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pydict(buf, schema=schema)
-                buf = {c: [] for c in _COLS}
-                count = 0
+                if paths and r["path"]:
+                    cells += len(r["path"])
+                if count >= _ROWS_PER_BATCH or cells >= _CELLS_PER_BATCH:
+                    yield pa.RecordBatch.from_pydict(buf, schema=schema)
+                    buf = {c: [] for c in cols}
+                    count = cells = 0
     if count:
         yield pa.RecordBatch.from_pydict(buf, schema=schema)
 
 
-def shred(pages: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
+def shred(pages: DataFrame, partitions: int | None = None, key: str | None = None,
+          columns=None) -> DataFrame:
     """Pages (page_id or filename, html) -> token table (schema.DOM).
 
     The page key (``key``, else ``page_id``, else ``filename``) may be an
@@ -94,7 +103,14 @@ def shred(pages: DataFrame, partitions: int | None = None, key: str | None = Non
     partitions than the cluster has task slots (small files, one row group)
     the pages are spread by ``page_id`` first.  A page is parsed whole
     inside one task - it is the unit the tree is defined on.
+
+    ``columns`` names the columns of schema.DOM to make (default all, ``page_id``
+    and ``kind`` always); a table that is written keeps to what is read.
+    ``PATHS`` list each row's ancestors, which blocks and write-back compare:
+    depth entries a row.  Node operators and labelling recipes use intervals
+    alone; without ``PATHS`` the table is linear in the page at any depth.
     """
+    wanted = {f.name for f in DOM} if columns is None else {"kind", *columns}
     name = key or ("page_id" if "page_id" in pages.columns else "filename")
     whole = isinstance(pages.schema[name].dataType, T.IntegralType)
     src = pages.select(F.col(name).cast("bigint" if whole else "string").alias("page_id"),
@@ -103,26 +119,32 @@ def shred(pages: DataFrame, partitions: int | None = None, key: str | None = Non
         src = src.repartition(partitions, "page_id")
     else:
         src = spread(src, "page_id")
-    types = T.StructType([T.StructField("page_id", src.schema["page_id"].dataType), *DOM.fields[1:]])
-    return src.mapInArrow(_shred_batches, types)
+    types = T.StructType([T.StructField("page_id", src.schema["page_id"].dataType),
+                          *[f for f in DOM.fields[1:] if f.name in wanted]])
+    return src.mapInArrow(lambda batches: _shred_batches(batches, wanted), types)
+
+
+def _of(dom: DataFrame, names, **aliases: str) -> list[Column]:
+    """Those of the columns that the token table has, some under another name."""
+    return [F.col(aliases.get(c, c)).alias(c) for c in names if aliases.get(c, c) in dom.columns]
 
 
 def nodes(dom: DataFrame) -> DataFrame:
-    """One row per element: page_id, pre, last, parent, depth, tag, attrs,
-    classes, own_text, path, n_children, string_i, i (start-tag token)."""
-    return dom.where(F.col("kind") == "start").select(
-        "page_id", F.col("node").alias("pre"), "last", "parent", "depth", "tag",
+    """One row per element, with those of the columns below that the token
+    table has; ``i`` is the start tag's token."""
+    return dom.where(F.col("kind") == "start").select(_of(dom, [
+        "page_id", "pre", "last", "parent", "depth", "tag",
         "attrs", "classes", "own_text", "path", "n_children", "string_i", "i",
         "raw", "c0", "c1", "s0", "s1", "w0", "w1", "k0", "k1", "end_i", "path_tags", "path_cls",
-        F.col("attrs").alias("attrs0"), F.col("classes").alias("classes0"))
+        "attrs0", "classes0"], pre="node", attrs0="attrs", classes0="classes"))
 
 
 def texts(dom: DataFrame) -> DataFrame:
     """One row per text run owned by an element: page_id, text_no, i, node
-    (owner pre), tag / depth / path of the owner, kind, text."""
-    return dom.where(F.col("kind").isin(*TEXT_KINDS) & F.col("node").isNotNull()
-                     ).select("page_id", "text_no", "i", "node", "tag", "depth",
-                              "path", "kind", "text")
+    (owner pre), tag / depth / path of the owner, kind, text, as far as the
+    token table has them."""
+    return dom.where(F.col("kind").isin(*TEXT_KINDS) & F.col("node").isNotNull()).select(_of(dom, [
+        "page_id", "text_no", "i", "node", "tag", "depth", "path", "kind", "text"]))
 
 
 def tokens(dom: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def label_block_by_attr(nodes: DataFrame, texts: DataFrame, attr: str = LABEL_AT
     """L3: attribute-annotated pages, block level: everything under the LCA
     of the ``attr`` = 1 elements is main.  Returns (nodes, texts,
     contradictions) - the last lists pages whose block holds 0-labels."""
-    seeds = N.by_attr(nodes, attr, 1).select("page_id", "pre", "path")
-    lca = N.lowest_common_ancestor(seeds)
+    seeds = N.by_attr(nodes, attr, 1).select("page_id", "pre")
+    lca = N.common_ancestor(nodes, seeds)
     marked = N.mark_block(nodes, lca)
     bad = N.contradictions(nodes, lca, attr)
     out, t = N.unwrap_spans(marked, texts, attr)
@@ -69,12 +69,10 @@ def label_block_by_text(nodes: DataFrame, texts: DataFrame, gold: DataFrame, wit
     included, as the reference does."""
     seeds = A.owners(A.align(texts, gold))
     if within:
-        scope = nodes.where(F.col("tag") == within).select(
-            "page_id", F.col("pre").alias("_scope"))
-        seeds = (seeds.join(scope, "page_id")
-                 .where(F.array_contains("path", F.col("_scope")))
-                 .select("page_id", "pre", "path").distinct())
-    return N.mark_block(nodes, N.lowest_common_ancestor(seeds))
+        inside = N.mark_subtrees(nodes.select("page_id", "pre", "last"),
+                                 nodes.where(F.col("tag") == within), "_in").where("_in = 1")
+        seeds = seeds.join(inside, ["page_id", "pre"], "left_semi")
+    return N.mark_block(nodes, N.common_ancestor(nodes, seeds))
 
 
 def label_corpus(pages: DataFrame, recipe: Callable) -> DataFrame:
@@ -89,7 +87,7 @@ def label_corpus(pages: DataFrame, recipe: Callable) -> DataFrame:
     from contentmark.operators import shred as S
     from contentmark.session import materialize
 
-    dom = materialize(S.shred(pages), "dom", partition_by="kind")
+    dom = materialize(S.shred(pages, columns=S.NO_PATHS), "dom", partition_by="kind")
     out = recipe(S.nodes(dom), S.texts(dom))
     n, t = out[:2] if isinstance(out, tuple) else (out, None)
     edits = R.node_edits(N.main_attr(n))

@@ -34,11 +34,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+# What text blocks are made of; None: all columns, as write-back reads them.
+BLOCK_COLUMNS = (*S.TREE, "path_tags", "path_cls")
+
+
 class Corpus:
     """Lazily shredded pages of one scale factor (one parse per plan)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
-        self.spark, self.sf_dir, self.once = spark, sf_dir, once
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False, columns=S.NO_PATHS):
+        self.spark, self.sf_dir, self.once, self.columns = spark, sf_dir, once, columns
         self.pages = _t(spark, sf_dir, "pages")
         self._blocks = None
 
@@ -47,7 +51,7 @@ class Corpus:
         """The token table.  One parse per corpus: lineage is cut so branches and
         scalar subqueries downstream read the table instead of re-parsing
         HTML; a query that reads it ``once`` needs no table."""
-        dom = S.shred(self.pages)
+        dom = S.shred(self.pages, columns=self.columns)
         return dom if self.once else materialize(dom, "dom", partition_by="kind")
 
     @property
@@ -84,12 +88,12 @@ def _big(*cols):
 
 def q_dom_nodes(spark, sf_dir):
     # the token table is read once here: no need to materialise it
-    nodes = S.nodes(S.shred(_t(spark, sf_dir, "pages")))
+    nodes = S.nodes(S.shred(_t(spark, sf_dir, "pages"), columns=(*S.TREE, "own_text")))
     return nodes.select("page_id", *_big("pre", "parent", "depth"), "tag", "own_text")
 
 
 def q_label_block_by_text(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, columns=S.TREE)
     out = L.label_block_by_text(c.nodes, c.texts, c.gold())
     return out.select("page_id", *_big("pre"), "tag", "is_main")
 
@@ -128,7 +132,7 @@ def q_gold_keys(spark, sf_dir):
 
 
 def q_gold_candidates(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, columns=None)
     return (A.candidates(c.dom, c.gold())
             .select("page_id", *_big("line_no"), F.col("node").cast("bigint").alias("pre"))
             .distinct())
@@ -140,7 +144,7 @@ def q_gold_align(spark, sf_dir):
 
 
 def q_label_by_text(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, columns=S.TREE)
     return L.label_by_text(c.nodes, c.texts, c.gold()).select("page_id", *_big("pre"), "is_main")
 
 
@@ -155,7 +159,7 @@ def q_attr_select(spark, sf_dir):
 
 
 def q_subtree_mark(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, columns=S.TREE)
     seeds = c.nodes.where(F.col("tag") == "nav").select("page_id", "pre")
     return N.mark_subtrees(c.nodes, seeds).select("page_id", *_big("pre"), "is_main")
 
@@ -182,22 +186,22 @@ def q_unwrap(spark, sf_dir):
 
 
 def q_lca(spark, sf_dir):
-    c = Corpus(spark, sf_dir, once=True)
-    seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre", "path")
-    return N.lowest_common_ancestor(seeds).select("page_id", *_big("lca"))
+    c = Corpus(spark, sf_dir, columns=S.TREE)
+    seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre")
+    return N.common_ancestor(c.nodes, seeds).select("page_id", *_big("lca"))
 
 
 def q_block_mark(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
-    seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre", "path")
-    out = N.mark_block(c.nodes, N.lowest_common_ancestor(seeds))
+    c = Corpus(spark, sf_dir, columns=S.TREE)
+    seeds = c.nodes.where(F.col("tag") == "p").select("page_id", "pre")
+    out = N.mark_block(c.nodes, N.common_ancestor(c.nodes, seeds))
     return out.select("page_id", *_big("pre"), "is_main")
 
 
 def q_contradictions(spark, sf_dir):
     c = AnnotatedCorpus(spark, sf_dir)
-    seeds = N.by_attr(c.nodes, L.LABEL_ATTR, 1).select("page_id", "pre", "path")
-    bad = N.contradictions(c.nodes, N.lowest_common_ancestor(seeds), L.LABEL_ATTR)
+    seeds = N.by_attr(c.nodes, L.LABEL_ATTR, 1).select("page_id", "pre")
+    bad = N.contradictions(c.nodes, N.common_ancestor(c.nodes, seeds), L.LABEL_ATTR)
     return bad.select("page_id", *_big("n"))
 
 
@@ -294,12 +298,12 @@ def _ids(df, cols=B.ID_COLS):
 
 
 def q_text_blocks(spark, sf_dir):
-    b = Corpus(spark, sf_dir).blocks()
+    b = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     return b.select("page_id", "part", "pos", *_seqs(b), "label")
 
 
 def q_blocks_csv(spark, sf_dir):
-    b = Corpus(spark, sf_dir).blocks()
+    b = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     out = P.scratch_path(spark, "blocks")
     BIO.write_blocks(b.drop("node"), out)
     back = BIO.read_blocks(spark, [out])
@@ -308,7 +312,7 @@ def q_blocks_csv(spark, sf_dir):
 
 
 def q_parse_sequences(spark, sf_dir):
-    b = Corpus(spark, sf_dir).blocks()
+    b = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     out = P.scratch_path(spark, "blocks")
     BIO.write_blocks(b.drop("node"), out)
     back = B.parse_sequences(BIO.read_blocks(spark, out))
@@ -318,31 +322,31 @@ def q_parse_sequences(spark, sf_dir):
 
 
 def q_vocab(spark, sf_dir):
-    v = B.fit_vocab(Corpus(spark, sf_dir).blocks(), VOCAB_TOP)
+    v = B.fit_vocab(Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks(), VOCAB_TOP)
     return v.select("token", F.col("id").cast("bigint").alias("id"), F.col("cnt").cast("bigint").alias("cnt"))
 
 
 def _encoded(spark, sf_dir, pad="do_not_pad"):
     """Blocks with the ids of whole texts over the whole vocabulary."""
-    blocks = Corpus(spark, sf_dir).blocks()
+    blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     return B.encode(blocks, B.fit_vocab(blocks), pad=pad)
 
 
 def q_encode(spark, sf_dir):
-    blocks = Corpus(spark, sf_dir).blocks()
+    blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     e = B.encode(blocks, B.fit_vocab(blocks, VOCAB_TOP), CUT_LENGTH)
     return e.select("page_id", "part", "pos", *_ids(e))
 
 
 def q_encode_padded(spark, sf_dir):
     """Every sequence padded to the model's length."""
-    blocks = Corpus(spark, sf_dir).blocks()
+    blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     e = B.encode(blocks, B.fit_vocab(blocks, VOCAB_TOP), CUT_LENGTH, "max_length")
     return e.select("page_id", "part", "pos", *_ids(e))
 
 
 def q_split_parts(spark, sf_dir):
-    b = B.split_parts(Corpus(spark, sf_dir).blocks(), 10)
+    b = B.split_parts(Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks(), 10)
     return b.select("page_id", "part", "pos", F.col("node").cast("bigint").alias("node"))
 
 
@@ -437,7 +441,7 @@ def q_seq_len(spark, sf_dir):
 def _model_blocks(spark, sf_dir):
     """Split blocks - the training / scoring unit of the labeller (written once:
     fitting and scoring both read it)."""
-    return materialize(B.split_parts(Corpus(spark, sf_dir).blocks().drop("node"), SEQ_BLOCKS), "model-blocks")
+    return materialize(B.split_parts(Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks().drop("node"), SEQ_BLOCKS), "model-blocks")
 
 
 def q_class_weights(spark, sf_dir):
@@ -533,18 +537,18 @@ def q_eval_report(spark, sf_dir):
 
 
 def _wb(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, columns=None)
     blocks = c.blocks().withColumn("prediction", F.col("label"))
     return c, blocks
 
 
 def q_tag_map(spark, sf_dir):
-    b = Corpus(spark, sf_dir).blocks()
+    b = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     return b.select("page_id", "part", "pos", F.array_join(html_tags("tag_seq"), " ").alias("tags"))
 
 
 def q_clean_text(spark, sf_dir):
-    b = Corpus(spark, sf_dir).blocks()
+    b = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     return b.select("page_id", "part", "pos",
                     WB.clean_text(F.element_at("text_seq", -1)).alias("text"))
 
@@ -594,7 +598,7 @@ def q_fit_predict(spark, sf_dir):
     pages (four of five by digest) and predict every block; ``held_out`` marks
     the others (rows-only check: no SQL form of the solver)."""
     from contentmark.plans.labeller import BlockLabeler
-    blocks = Corpus(spark, sf_dir).blocks()
+    blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     held_out = F.crc32(F.col("page_id").cast("string")) % 5 == 0
     model = BlockLabeler(max_blocks=SEQ_BLOCKS, emissions="lr").fit(blocks.where(~held_out))
     return model.transform(blocks).select("page_id", "part", "pos", held_out.alias("held_out"), "label", "prediction")
@@ -604,7 +608,7 @@ def q_model_reload(spark, sf_dir):
     """Fit (naive-Bayes emissions), save, reload and predict: must equal
     ``decode``."""
     from contentmark.plans.labeller import BlockLabeler, BlockLabelerModel
-    blocks = Corpus(spark, sf_dir).blocks()
+    blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     model = BlockLabeler(max_blocks=SEQ_BLOCKS, emissions="nb").fit(blocks)
     path = P.scratch_path(spark, "model")
     model.save(path)
