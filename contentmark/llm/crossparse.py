@@ -16,7 +16,8 @@ All trained characters are told apart.  Up to ``MAX_CLASSES`` of them, an automa
 is a dense step table; with more (Han, kana, Hangul) a hash table of its transitions.
 
 Text is folded before use: lower case, runs of other characters than letters
-become one blank.
+and marks (the Unicode categories L and M: Thai or Devanagari vowels are marks)
+become one blank.  Letter-like numbers and symbols (``Ⅷ ½ ²``) are no letters.
 
 Defined cases: null text and texts without a letter give ``und`` with score 0;
 without any labelled language every text is ``und``; ties go to the smaller
@@ -37,8 +38,9 @@ UNKNOWN = "und"
 
 
 def fold(text: str) -> str:
-    import re
-    return re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+    import regex
+    kept = regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip()
+    return kept if regex.search(r"\p{L}", kept) else ""
 
 
 def automaton(text: str):

@@ -383,3 +383,24 @@ def test_equal_digests_of_other_words_are_no_repeats(spark, monkeypatch):
     docs = table(spark, [(k, t, None, None) for k, t in enumerate(texts)])
     got = weak_rules.measures(docs).select("text", "_x_n_repeat_words").collect()
     assert all(r["_x_n_repeat_words"] == measured(r["text"])[4] for r in got)
+
+
+def test_folding_keeps_letters_and_marks_alone():
+    assert crossparse.fold("\u00bd \u00b2 \u2460 \u2167 12_") == ""
+    assert crossparse.fold("\u0301\u0e34") == ""          # marks without a letter
+    thai, hindi = "\u0e17\u0e35\u0e48", "\u0939\u093f\u0928\u094d\u0926\u0940"
+    assert crossparse.fold(f" {thai}\u2167{hindi}\u00bd X ") == f"{thai} {hindi} x"
+    rng = random.Random(5)
+    import unicodedata
+    text = "".join(chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(32, 128)])) for _ in range(4000))
+    text = "".join(c for c in text if unicodedata.category(c) not in ("Cn", "Cs")).lower()
+    plain = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text)
+    assert crossparse.fold(text) == " ".join(plain.split())
+
+
+def test_texts_without_letters_have_no_language(spark):
+    model = {"texts": {"de": "der die das", "en": "the of and"}, "letters": " adefhinorst"}
+    rows = [(1, "\u00bd \u00b2 \u2460"), (2, "\u2167"), (3, "\u0301"), (4, "the \u00bd")]
+    out = crossparse.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r["id"]: r["lang_pred"] for r in out} == {1: "und", 2: "und", 3: "und", 4: "en"}
+    assert all(r["score"] == 0.0 for r in out if r["id"] < 4)
