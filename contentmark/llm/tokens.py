@@ -6,7 +6,9 @@ in order.  For plain Latin text the pattern is applied here, with explicit
 ranges, and the tokenizer's BPE model encodes each distinct part once.  Any
 other text is cut at white space, which no part crosses, and its distinct pieces
 go through the whole tokenizer, as character classes might differ between two
-regular-expression engines.  Tests compare both ways with whole texts.
+regular-expression engines.  A text that holds the name of a special token, such
+as ``<|endoftext|>``, goes through the tokenizer whole: as in a plain call, the
+name gives the special id.  Tests compare all ways with plain calls on whole texts.
 """
 
 from __future__ import annotations
@@ -37,6 +39,21 @@ def byte_letters() -> list[str]:
     return out
 
 
+class _Parts(dict):
+    """Part -> ids.  A part not met in this generation comes from the one
+    before, or is encoded."""
+
+    def __init__(self, encode, older: dict):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.encode(part)
+        self[part] = ids
+        return ids
+
+
 class PieceTokenizer:
     """Callable: list of texts -> list of ids as little-endian uint32 bytes."""
 
@@ -47,7 +64,6 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
@@ -57,10 +73,16 @@ class PieceTokenizer:
         self.split = re.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.pieces = re.compile(PIECES).findall
         self.plain = re.compile(PLAIN).fullmatch if known else lambda text: None
+        added = spec["added_tokens"]
+        # names looked for in the normalized text might hide in any text
+        hidden = any(a["normalized"] for a in added)
+        names = "" if hidden else "|".join(re.escape(a["content"]) for a in added) or "(?!)"
+        self.special = re.compile(names).search
         self.letters = byte_letters()
-        # by kind of key (parts, pieces): those in use, and those before them
-        self.cache: tuple[dict, dict] = ({}, {})
-        self.older: tuple[dict, dict] = ({}, {})
+        self.parts = _Parts(self._part, {})
+        # pieces in use, and those before them
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         from array import array
@@ -68,19 +90,31 @@ class PieceTokenizer:
         mapped = "".join([letters[b] for b in part.encode()])
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, kind: int, new: list[str]) -> None:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         from array import array
-        cache, older = self.cache[kind], self.older[kind]
-        unseen = []
-        for p in new:
-            if p in older:
-                cache[p] = older[p]
-            elif kind == 0:
-                cache[p] = self._part(p)
-            else:
-                unseen.append(p)
-        for p, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-            cache[p] = array("I", e.ids).tobytes()
+        return [array("I", e.ids).tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        self.cache.update((p, self.older[p]) for p in new if p in self.older)
+        unseen = [p for p in new if p not in self.cache]
+        self.cache.update(zip(unseen, self._whole(unseen)))
+
+    def _forget(self) -> None:
+        if len(self.parts) + len(self.cache) > GENERATION:
+            self.parts.older = {}
+            self.parts = _Parts(self._part, self.parts)
+            self.older, self.cache = self.cache, {}
+
+    def _encode(self, text: str) -> bytes:
+        if self.special(text):
+            return self._whole([text])[0]
+        if self.plain(text):
+            parts = self.split(text.lower() if self.lower else text)
+            return b"".join(map(self.parts.__getitem__, parts))
+        pieces = self.pieces(text)
+        self._learn([p for p in set(pieces) if p not in self.cache])
+        return b"".join(map(self.cache.__getitem__, pieces))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         import gc
@@ -88,17 +122,10 @@ class PieceTokenizer:
         on = gc.isenabled()
         gc.disable()   # only strings and short lists are made below
         try:
-            for k in range(0, len(texts), 64):
-                if len(self.cache[0]) + len(self.cache[1]) > GENERATION:
-                    self.older, self.cache = self.cache, ({}, {})
-                kinds = [0 if self.plain(t) else 1 for t in texts[k:k + 64]]
-                split = [self.pieces(t) if kind else self.split(t.lower() if self.lower else t)
-                         for kind, t in zip(kinds, texts[k:k + 64])]
-                for kind in (0, 1):
-                    seen = set().union(*[s for x, s in zip(kinds, split) if x == kind])
-                    self._learn(kind, [p for p in seen if p not in self.cache[kind]])
-                get = [c.__getitem__ for c in self.cache]
-                out += [b"".join(map(get[kind], s)) for kind, s in zip(kinds, split)]
+            for k, text in enumerate(texts):
+                if k % 64 == 0:
+                    self._forget()
+                out.append(self._encode(text))
         finally:
             if on:
                 gc.enable()

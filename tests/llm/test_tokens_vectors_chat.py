@@ -15,7 +15,6 @@ from contentmark.llm.tokens import PieceTokenizer
 def whole(name):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,7 +24,8 @@ def test_parts_give_the_ids_of_whole_texts(name):
     some = " \n\t\r\x1c\x85\xa0  　ab'sBééΣ1²½٣!.-​‍字İǅ\U0001d4b3"
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     texts += ["".join(rng.choice(" \n aB'st1.-,éß") for _ in range(30)) for _ in range(2000)]
-    texts += ["I'll don't we've  <|endoftext|> <|startoftext|>\n\n x", "", "   "]
+    texts += ["I'll don't we've  <|endoftext|> <|startoftext|>\n\n x", "", "   ",
+              "a <|endoftext|>", "<|ENDOFTEXT|> é字<|startoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext"]
     encode, direct = PieceTokenizer(vocabulary(name)), whole(name)
     for t, raw in zip(texts, encode(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == direct(t), repr(t)
