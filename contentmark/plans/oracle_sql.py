@@ -252,6 +252,9 @@ FROM o JOIN walk w ON w.page_id = o.page_id AND w.i = o.i
 LEFT JOIN lab b ON b.page_id = w.page_id AND b.pre = w.pre
 LEFT JOIN trims m ON m.page_id = o.page_id AND m.i = o.i GROUP BY o.page_id"""
     q["page_scan"] = "SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages"
+    q["gold_files"] = q["gold_lines"]
+    q["page_files"] = """SELECT page_id, coalesce(html, '') AS html FROM pages
+UNION ALL SELECT -1 - page_id, '' FROM pages"""
     q["csv_roundtrip"] = "SELECT page_id, html FROM pages"
     q["page_allowlist"] = """SELECT page_id, url FROM pages
 WHERE contains(url, '/en/') OR contains(url, '/de/')"""

@@ -28,6 +28,7 @@ from contentmark.session import materialize, table_path
 from contentmark.sources import blocks_io as BIO
 from contentmark.sources import gold as G
 from contentmark.sources import pages as P
+from contentmark.sources.files import write_files
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -263,6 +264,25 @@ def q_page_scan(spark, sf_dir):
     return back.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
 
 
+def q_page_files(spark, sf_dir):
+    """S1 on files: every page, and an empty twin of each, becomes a file; the folder is read back."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "html")
+    twins = pages.select((-1 - F.col("page_id")).alias("page_id"), F.lit("").alias("html"))
+    out = P.scratch_path(spark, "page-files")
+    write_files(pages.unionByName(twins), out, "page_id", "html", ".html")
+    back = P.read_pages(spark, out)
+    return back.select(F.regexp_replace("filename", r"\.html$", "").cast("bigint").alias("page_id"), "html")
+
+
+def q_gold_files(spark, sf_dir):
+    """S6 on files: every document becomes a gold file; the folder is read back as lines."""
+    out = P.scratch_path(spark, "gold-files")
+    write_files(_t(spark, sf_dir, "documents"), out, "doc_id", "text", ".txt")
+    lines = G.read_gold_files(spark, out)
+    return lines.select(F.regexp_replace("file_name", r"\.txt$", "").cast("bigint").alias("doc_id"),
+                        *_big("line_no"), "text")
+
+
 def q_csv_roundtrip(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").withColumn("filename", F.col("page_id").cast("string"))
     out = P.scratch_path(spark, "csv")
@@ -622,6 +642,8 @@ def registry() -> dict:
         "dom_nodes": q_dom_nodes,
         "label_block_by_text": q_label_block_by_text,
         "gold_lines": q_gold_lines,
+        "page_files": q_page_files,
+        "gold_files": q_gold_files,
         "gold_keys": q_gold_keys,
         "gold_candidates": q_gold_candidates,
         "gold_align": q_gold_align,

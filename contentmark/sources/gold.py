@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from contentmark.functions.charset import decode_windows_1252
 from contentmark.functions.text import strip_ws
 from contentmark.session import spread
+from contentmark.sources.files import read_files, readable
 
 # Fixed value: the separator line before the comments part of a gold file.
 COMMENTS_SEPARATOR = "!@#$%^&*()  COMMENTS"
@@ -46,9 +47,12 @@ def decode_gold_bytes(content) -> "F.Column":
 
 def read_gold_files(spark, path: str, include_comments: bool = False) -> DataFrame:
     """Gold files from a directory: (file_name, line_no, text)."""
-    raw = (spark.read.format("binaryFile").load(path)
-           .select(F.col("_metadata.file_name").alias("file_name"),
-                   decode_gold_bytes(F.col("content")).alias("text")))
+    if readable(path):
+        raw = read_files(spark, path, html=False).withColumnRenamed("filename", "file_name")
+    else:
+        raw = (spark.read.format("binaryFile").load(path)
+               .select(F.col("_metadata.file_name").alias("file_name"), "content"))
+    raw = raw.select("file_name", decode_gold_bytes(F.col("content")).alias("text"))
     return gold_lines(raw, "file_name", "text", include_comments)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contentmark.functions.charset import decode_html
 from contentmark.session import ensure_checkpoint_dir
+from contentmark.sources.files import read_files, readable
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -21,9 +22,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A directory of HTML files, one page per file -> (filename, html).
 
-    Files are read as bytes and decoded by ``decode_html``; the key is the
-    file name.  Spark's file sources list no file of zero length, so such a
-    page is absent (``missing_pages`` names it when an allow-list does)."""
+    The key is the file name; bytes are decoded by ``decode_html_bytes``.  Folders are
+    read by ``read_files``, which keeps files of zero length.  Glob patterns and file
+    systems that only Spark can open go through its binary reader, which lists no
+    such file (``missing_pages`` names it when an allow-list does)."""
+    if readable(path):
+        return read_files(spark, path)
     return (spark.read.format("binaryFile").load(path)
             .select(F.col("_metadata.file_name").alias("filename"),
                     decode_html(F.col("content")).alias("html")))
