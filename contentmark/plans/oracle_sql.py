@@ -398,6 +398,23 @@ SELECT page_id, part,
        array_to_string(list_concat(list_transform(range(n), lambda x: 1),
                                    list_transform(range(85 - n), lambda x: 0)), ',') AS mask,
        md5({shown}) AS features_md5 FROM sm"""
+    # text tokens, vectors from the ids beside them, and the blocks that pad a sample
+    entry = "((((c % 1073741824 + 1) * {} % 4294967296) >> 16) % 3 - 1)"
+    sums = ", ".join(f"sum({entry.format(2654435761 + 81006 * d)})::DOUBLE / any_value(n) AS d{d}" for d in range(4))
+    vectors = samples + f"""
+, tr AS MATERIALIZED (SELECT page_id, part, pos, unnest(text_ids)::BIGINT AS id,
+                             generate_subscripts(text_ids, 1) AS k FROM eb)
+, ctx AS (SELECT id, unnest([lag(id) OVER w, lead(id) OVER w]) AS c FROM tr
+          WINDOW w AS (PARTITION BY page_id, part, pos ORDER BY k))
+, vec AS MATERIALIZED (SELECT id, {sums} FROM ctx JOIN (SELECT id, count(*) AS n FROM tr GROUP BY id)
+  USING (id) WHERE c IS NOT NULL GROUP BY id)
+, padblock AS (SELECT page_id, part, unnest(range(count(*), 85)) AS pos FROM eb GROUP BY page_id, part)
+"""
+    for name, agg, empty in (("masked_mean", "sum(d{0}) / count(*)", "0.0"), ("masked_max", "max(d{0})", "-1e9")):
+        q[name] = vectors + f"""
+SELECT page_id, part, pos, {", ".join(f"round({agg.format(d)}, 6) AS d{d}" for d in range(4))}
+FROM tr JOIN vec USING (id) GROUP BY page_id, part, pos
+UNION ALL SELECT page_id, part, pos, {", ".join([f"{empty}::DOUBLE"] * 4)} FROM padblock"""
     q["unpad_explode"] = samples + """
 SELECT page_id, part, pos, label, 1 AS mask, array_to_string(text_ids, ',') AS text_ids FROM eb"""
     return q

@@ -21,6 +21,7 @@ from contentmark.operators import nodes as N
 from contentmark.operators import render as R
 from contentmark.operators import shred as S
 from contentmark.operators import tokenscore as TS
+from contentmark.operators import tokenvec as TV
 from contentmark.operators import vectors as V
 from contentmark.operators import writeback as WB
 from contentmark.plans import labelers as L
@@ -424,6 +425,26 @@ def q_pool_first(spark, sf_dir):
     return _long(_pooled(spark, sf_dir, "first"), ["label"], "pooled")
 
 
+VECTOR_DIMS = 4
+
+
+def _masked_pool(spark, sf_dir, how):
+    """Vectors of the text tokens of every block, padding blocks included, pooled under the mask."""
+    rows = materialize(TV.token_rows(_samples(spark, sf_dir)), "token-rows")
+    tokens = TV.attach_vectors(rows, TV.learn(rows, VECTOR_DIMS), VECTOR_DIMS)
+    pooled = V.pool(tokens, ["page_id", "part", "pos"], how=how, mask="mask", order="k")
+    return pooled.select("page_id", "part", "pos",
+                         *[F.round(F.get("pooled", F.lit(d)), 6).alias(f"d{d}") for d in range(VECTOR_DIMS)])
+
+
+def q_masked_mean(spark, sf_dir):
+    return _masked_pool(spark, sf_dir, "mean")
+
+
+def q_masked_max(spark, sf_dir):
+    return _masked_pool(spark, sf_dir, "max")
+
+
 def q_combine(spark, sf_dir):
     p = {h: _pooled(spark, sf_dir, h).withColumnRenamed("pooled", h) for h in V.POOL_MODES}
     j = p["mean"].join(p["max"], "label").join(p["first"], "label")
@@ -681,6 +702,8 @@ def registry() -> dict:
         "pool_mean": q_pool_mean,
         "pool_max": q_pool_max,
         "pool_first": q_pool_first,
+        "masked_mean": q_masked_mean,
+        "masked_max": q_masked_max,
         "combine": q_combine,
         "context": q_context,
         "attention_mask": q_attention_mask,
