@@ -25,6 +25,7 @@ _EXPORTS = {
     "extract_blocks": "contentmark.operators.blocks",
     "BlockLabeler": "contentmark.plans.labeller",
     "BlockLabelerModel": "contentmark.plans.labeller",
+    "BlockEvaluator": "contentmark.plans.labeller",
     "label_pages": "contentmark.operators.writeback",
     "gold_lines": "contentmark.sources.gold",
     "read_gold_files": "contentmark.sources.gold",

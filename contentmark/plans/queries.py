@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from contentmark.functions.tags import html_tags
 from contentmark.functions.text import render_seq
 from contentmark.operators import align as A
+from contentmark.operators import blockfeat as BF
 from contentmark.operators import blocks as B
 from contentmark.operators import chain as C
 from contentmark.operators import evaluate as E
@@ -637,7 +638,7 @@ def q_attach_predictions(spark, sf_dir):
 def q_fit_predict(spark, sf_dir):
     """Fit the labeller with MLlib logistic-regression emissions on the training
     pages (four of five by digest) and predict every block; ``held_out`` marks
-    the others (rows-only check: no SQL form of the solver)."""
+    the others (rows-only check; ``fit_moments`` checks the solver)."""
     from contentmark.plans.labeller import BlockLabeler
     blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks()
     held_out = F.crc32(F.col("page_id").cast("string")) % 5 == 0
@@ -645,6 +646,29 @@ def q_fit_predict(spark, sf_dir):
     return model.transform(blocks).select("page_id", "part", "pos", held_out.alias("held_out"), "label", "prediction")
 
 
+def q_fit_moments(spark, sf_dir):
+    """The solver of ``fit_predict`` checked by optimality, over all blocks: what the fitted
+    model gives every feature slot must be what was observed there."""
+    rows = BF.block_features(_model_blocks(spark, sf_dir)).select("page_id", "part", "pos", "label", "features")
+    rows = materialize(rows, "features")
+    m = BF.moments(rows, BF.fit_logistic(rows))
+    return m.select("slot", "n", F.col("observed").cast("double").alias("observed"), F.round("fitted", 1).alias("fitted"))
+
+
+def q_split_metrics(spark, sf_dir):
+    """The labeller in a ``pyspark.ml`` pipeline: fitted on the training pages, measured
+    on stored predictions of separate training, validation and test tables."""
+    from pyspark.ml import Pipeline
+
+    from contentmark.plans.labeller import BlockLabeler
+    blocks = Corpus(spark, sf_dir, columns=BLOCK_COLUMNS).blocks().drop("node")
+    fold = F.pmod("page_id", F.lit(5))
+    train, val, test = blocks.where(fold > 1), blocks.where(fold == 1), blocks.where(fold == 0)
+    model = Pipeline(stages=[BlockLabeler(max_blocks=SEQ_BLOCKS)]).fit(train).stages[0]
+    m = model.evaluate_splits({"train_": train, "val_": val, "test": test})
+    return m.select("metric", F.round("value", 6).alias("value"))
+
+
 def q_model_reload(spark, sf_dir):
     """Fit (naive-Bayes emissions), save, reload and predict: must equal
     ``decode``."""
@@ -726,5 +750,7 @@ def registry() -> dict:
         "highlight": q_highlight,
         "attach_predictions": q_attach_predictions,
         "fit_predict": q_fit_predict,
+        "fit_moments": q_fit_moments,
+        "split_metrics": q_split_metrics,
         "model_reload": q_model_reload,
     }

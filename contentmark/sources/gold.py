@@ -65,16 +65,38 @@ def page_source_doc(pages: DataFrame) -> DataFrame:
     ).where(F.col("_d") != "").select("page_id", F.col("_d").cast("bigint").alias("doc_id"))
 
 
+HOT = 2000          # a document is hot if it feeds over 1 / HOT of all pages ..
+HOT_PAGES = 64      # .. and more pages than this
+
+
+def hot_documents(pairs: DataFrame) -> DataFrame:
+    """(doc_id, salts) of the documents that feed too many pages for one task, by
+    exact counts: fewer than ``HOT`` rows, whatever the data, so they may be
+    broadcast.  A salt holds about ``1 / HOT`` of the pages, at least ``HOT_PAGES``."""
+    share = F.greatest(pairs.agg(F.count(F.lit(1))).scalar() / HOT, F.lit(float(HOT_PAGES)))
+    counts = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > share).select("doc_id", F.ceil(F.col("n") / share).cast("int").alias("salts"))
+
+
+def salted(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pairs`` (page_id, doc_id) joined with ``lines`` (doc_id, ..): the pages of a hot
+    document are dealt to its salts by a digest, its lines copied to each of them."""
+    hot = F.broadcast(hot_documents(pairs))
+    n = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "doc_id", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), n).cast("int")).drop("salts")
+    copied = lines.join(hot, "doc_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return dealt.join(copied, ["doc_id", "salt"]).drop("salt")
+
+
 def gold_for_pages(pages: DataFrame, documents: DataFrame,
                    include_comments: bool = False) -> DataFrame:
     """(page_id, line_no, text): gold lines of each page's source document.
 
     Only documents some page names are split into lines (a semi-join on
-    ``doc_id`` before the explode); the lines stay partitioned by ``doc_id``
-    for the join back to the pages.  A document feeding many pages is a
-    skewed key that AQE's skew-join splitting handles on the page side."""
+    ``doc_id`` before the explode).  A document feeding many pages is dealt over
+    several tasks by a salt."""
     pd = page_source_doc(pages)
     docs = spread(documents.select("doc_id", "text"), "doc_id").join(
         pd.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = gold_lines(docs, "doc_id", "text", include_comments)
-    return pd.join(lines, "doc_id").select("page_id", "line_no", "text")
+    return salted(pd, lines).select("page_id", "line_no", "text")
