@@ -32,6 +32,7 @@ _EXPORTS = {
     "read_pages": "contentmark.sources.pages",
     "read_blocks": "contentmark.sources.blocks_io",
     "write_blocks": "contentmark.sources.blocks_io",
+    "scratch": "contentmark.session",
     "metrics": "contentmark.operators.evaluate",
     "report": "contentmark.operators.evaluate",
 }

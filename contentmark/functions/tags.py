@@ -49,10 +49,3 @@ def html_tags(c, mapping: dict | None = None) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     m = _map_literal(mapping or SEMANTIC_NAME_TAG_MAP)
     return F.transform(c, lambda x: F.coalesce(F.try_element_at(m, x), x))
-
-
-def semantic_name(c, mapping: dict | None = None) -> Column:
-    """HTML tag -> semantic name (inverse map); unknown tags map to themselves."""
-    c = F.col(c) if isinstance(c, str) else c
-    inv = {v: k for k, v in (mapping or SEMANTIC_NAME_TAG_MAP).items()}
-    return F.coalesce(F.try_element_at(_map_literal(inv), c), c)

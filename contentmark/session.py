@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +54,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+_room: ContextVar[str | None] = ContextVar("contentmark_room", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Gives the tables and folders the library writes inside the block a lifetime:
+    they are removed at its end, after an error too.  Whatever reads them must
+    have run by then (collected, or written to a place of its own).  Blocks
+    nest; outside of any, tables stay until the checkpoint folder is cleared."""
+    room = os.path.join(ensure_checkpoint_dir(spark), "contentmark-rooms", uuid.uuid4().hex)
+    token = _room.set(room)
+    try:
+        yield room
+    finally:
+        _room.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(room)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, kind: str, name: str) -> str:
+    """A fresh path in the current room, or under the shared checkpoint folder."""
+    base = _room.get() or ensure_checkpoint_dir(spark)
+    return os.path.join(base, kind, f"{name}-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table into the shared
     checkpoint folder and reading it back.
@@ -58,12 +86,12 @@ def materialize(df: DataFrame, name: str = "table", partition_by: str | None = N
     Used where one expensive table (shredded pages, blocks, fitted models)
     feeds several branches or scalar subqueries of a plan: it is computed
     once (one job - ``Dataset.checkpoint`` would run the plan twice), and a
-    lost executor re-reads the table instead of re-parsing HTML.
+    lost executor re-reads the table instead of re-parsing HTML.  ``scratch``
+    gives such tables a lifetime.
     ``partition_by`` lets readers of one slice prune the others (the token
     table is written by ``kind``: node readers skip text rows and so on)."""
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "contentmark-tables",
-                        f"{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, "contentmark-tables", name)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentmark.functions.charset import decode_html
-from contentmark.session import ensure_checkpoint_dir
+from contentmark.session import new_path
 from contentmark.sources.files import read_files, readable
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "contentmark-scratch", f"{name}-{uuid.uuid4().hex}")
+    return new_path(spark, "contentmark-scratch", name)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
