@@ -54,3 +54,27 @@ def test_blocks_with_a_common_start(spark, n):
     page = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
     got, want, _ = run_places(spark, [page], [(0, x) for x in items])
     assert got == want and len(got) >= n
+
+
+def test_ordinary_pages_need_no_index(spark, monkeypatch):
+    """Runs and covering elements are the same in one piece and by the index;
+    pages of ordinary size are not indexed."""
+    rng = random.Random(11)
+    pieces = ["<p>", "</p>", "<b>", "</b>", "<ul><li>", "</ul>", "ab", "aab", "a", " ", "<i></i>", "&#1;", "é", "😀"]
+    pages = ["<body>" + "".join(rng.choice(pieces) for _ in range(60)) + "</body>" for _ in range(12)]
+    pages += ["ab<p>ab</p>ab", "<p>" + "ab" * 1500 + "</p>ab", "", "<b></b>"]
+    *_, dom = shredded_dom(spark, *pages)
+    rows = [(i, n) for i in range(len(pages) + 1) for n in ("", "a", "b", "ab", "aba", "b a", "aa", "é😀", "ab" * 400)]
+    nd = spark.createDataFrame(rows + [(None, "a"), (0, None)], "page_id bigint, needle string")
+
+    def found():
+        return sorted((tuple(r) for r in textscan.occurrences(dom, nd).collect()), key=repr)
+
+    with monkeypatch.context() as m:
+        m.setattr(textscan, "PIECE", 0)
+        indexed = found()
+    with monkeypatch.context() as m:
+        m.setattr(textscan, "WORK", 2000)      # the long page by the index, the others in one piece
+        mixed = found()
+    monkeypatch.setattr(textscan, "places", None)
+    assert found() == indexed == mixed and len(indexed) > 50
