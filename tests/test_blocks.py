@@ -104,3 +104,17 @@ def test_split_parts_keeps_input_parts_apart(spark):
     b = spark.createDataFrame(rows, "page_id bigint, part int, pos int, v int")
     got = sorted((r["part"], r["pos"], r["v"]) for r in B.split_parts(b, 3).collect())
     assert got == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 3), (1, 1, 4), (2, 0, 10), (2, 1, 11), (2, 2, 12)]
+
+
+def test_encode_moves_one_number_per_token(spark):
+    """Tokens are regrouped as numbers, not as rows of kind, place and id; ids keep kind and place order."""
+    b = spark.createDataFrame([(7, 0, 0, ["x y", "z"], ["div", "p"], ["b a b", "q"]), (7, 0, 1, [], [], [])],
+                              "page_id bigint, part int, pos int, class_seq array<string>, tag_seq array<string>, "
+                              "text_seq array<string>")
+    v = spark.createDataFrame([("a", 4), ("b", 5), (",", 6), ("div", 2**31 - 1), ("x", 9)], "token string, id bigint")
+    e = B.encode(b, v)
+    rows = {r["pos"]: r for r in e.collect()}
+    assert rows[0]["text_ids"] == [0, 5, 4, 5, 6, 3, 2]
+    assert rows[0]["tag_ids"] == [0, 2**31 - 1, 6, 3, 2] and rows[0]["class_ids"] == [0, 9, 3, 6, 3, 2]
+    assert rows[1]["text_ids"] == rows[1]["class_ids"] == [0, 2]
+    assert "collect_list(struct" not in e._jdf.queryExecution().optimizedPlan().toString()
