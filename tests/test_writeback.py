@@ -112,3 +112,36 @@ def test_equal_items_resolve_linearly(spark):
     assert WB._target_hits(b, nodes, texts, page_text, dom).count() <= 4 * n
     counts = WB.count_hits(blocks, nodes, texts, page_text, dom)
     assert counts.count() == n and counts.select("n1", "n5").distinct().count() == 1
+
+
+def test_tiers_on_the_columns_they_read(spark):
+    """A token table cut to the columns that write-back names gives every tier the
+    hits of the plain joins (``_tier1``, ``_subtree_tiers``) on the whole table,
+    for random trees, a page given twice and empty needles."""
+    import random
+
+    from contentmark.operators import shred as S
+    from contentmark.plans.queries import MATCH_COLUMNS
+    rnd = random.Random(5)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return rnd.choice(["a", "b", "a b", "b a"])
+        tag = rnd.choice(["p", "div", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rnd.randint(1, 3))) + f"</{tag}>"
+    pages = [(k, "<body>" + tree(5) + tree(5) + "</body>") for k in range(6)]
+    df = spark.createDataFrame(pages + pages[:1], "page_id bigint, html string")
+    blocks = [(k, 0, i, [rnd.choice(["body", "paragraph", "division", "b"]) for _ in range(rnd.randint(1, 4))],
+               [rnd.choice(["a", "b", "a b", "ab", "", "ba b"])], 1) for k in range(6) for i in range(8)]
+    blocks = spark.createDataFrame(blocks, "page_id bigint, part int, pos int, tag_seq array<string>, "
+                                           "text_seq array<string>, prediction int")
+    cut, whole = S.shred(df, columns=MATCH_COLUMNS), S.shred(df)
+    got = WB.tier_hits(blocks, S.nodes(cut), S.texts(cut), S.page_text(cut), cut)
+    b, nt = WB.targets(blocks), WB.node_targets(S.nodes(whole))
+    t = WB._distinct_targets(b)
+    occ = WB.occurrences(whole, t.select("page_id", "needle"))
+    want = (WB._tier1(t, occ, nt, S.texts(whole)).unionByName(WB._subtree_tiers(t, occ, nt))
+            .unionByName(WB._equal_tiers(t, nt, S.page_text(whole))))
+    want = WB._per_block(b, want).select(*WB.BKEY, "tier", "pre")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["tier"] for r in got.collect()} >= {1, 2, 3, 4}
