@@ -37,7 +37,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentmark.llm.tokens import PieceTokenizer
+from contentmark.llm.tokens import worker_tokenizer
 from contentmark.session import materialize
 
 WINDOW = 2048
@@ -217,7 +217,7 @@ def _tokenise(path: str, end_id: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        encode = PieceTokenizer(path)
+        encode = worker_tokenizer(path)
         size = max(encode.tokenizer.get_vocab_size(), end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         counts, docs, tokens = np.zeros(size, np.int64), 0, 0

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contentmark.llm import bm25_pack, chat, multi_index, wavelet
+from contentmark.llm import bm25_pack, chat, multi_index, tokens, wavelet
 from contentmark.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY, vocabulary
 from contentmark.llm.tokens import PieceTokenizer
 
@@ -31,6 +31,26 @@ def test_parts_give_the_ids_of_whole_texts(name):
         assert np.frombuffer(raw, "<u4").tolist() == direct(t), repr(t)
 
 
+@pytest.mark.parametrize("name", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_chunks_and_generations_give_the_same_ids(name, monkeypatch):
+    """Texts split some at a time, between texts of other ways, with parts forgotten
+    in between; U+023A lower-cases to a letter outside the plain range."""
+    monkeypatch.setattr(tokens, "CHUNK", 40)
+    monkeypatch.setattr(tokens, "GENERATION", 30)
+    rng = random.Random(7)
+    some = ["a", "'s", "'", "'ll", "'re", "'r", "é", "1", "²", " ", "  ", "\n", "\t", ".", "!!", "Z", "st", "'t", "«", "\u023a",
+            "字", "\x0b", "\0", "<|endoftext|>"]
+    texts = ["".join(rng.choices(some if k % 5 == 0 else some[:-5], k=rng.randint(0, 12))) for k in range(3000)]
+    texts += ["\u023aB's", "don't'", "'stand 'llama 're", "\n 'll", "a  \t", "\t's", " " * 5, ""]
+    encode, direct = PieceTokenizer(vocabulary(name)), whole(name)
+    for k in range(0, len(texts), 500):
+        for t, raw in zip(texts[k:k + 500], encode(texts[k:k + 500])):
+            assert np.frombuffer(raw, "<u4").tolist() == direct(t), repr(t)
+    assert encode([]) == []
+    held = tokens.worker_tokenizer(vocabulary(name))
+    assert tokens.worker_tokenizer(vocabulary(name)) is held
+
+
 def test_wavelet_matrix_answers():
     rng = np.random.default_rng(3)
     for n in (0, 1, 511, 512, 513, 3000):
