@@ -145,3 +145,59 @@ def test_tiers_on_the_columns_they_read(spark):
     want = WB._per_block(b, want).select(*WB.BKEY, "tier", "pre")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert {r["tier"] for r in got.collect()} >= {1, 2, 3, 4}
+
+
+def _random_corpus(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    pieces = ["<p>", "</p>", "<b class='k l'>", "</b>", "<div>", "</div>", "<ul><li>", "</ul>", "ab", "a", " ", " b", '"',
+              "<script>a</script>", "<br>", "\U0001f600", "</body>", "<body class='m'>"]
+    pages = [(k, "<body>" + "".join(rnd.choice(pieces) for _ in range(40)) + "</body>") for k in range(25)]
+    tags = ["body", "paragraph", "division", "b", "list item", "unordered list", None]
+    words = ["a", "b", "ab", "a b", "", "aab", '"', '"ab"', 'b"\n', "\U0001f600", "a b", None]
+    blocks = [(k, rnd.randint(0, 1), i, rnd.choice([None, [rnd.choice(tags) for _ in range(rnd.randint(0, 4))]])
+               if rnd.random() < 0.1 else [rnd.choice(tags[:-1]) for _ in range(rnd.randint(1, 4))],
+               [rnd.choice(words) for _ in range(rnd.randint(0, 2))], rnd.randint(0, 1))
+              for k in range(27) for i in range(12)]
+    return pages, spark.createDataFrame(blocks, "page_id bigint, part int, pos int, tag_seq array<string>, "
+                                                "text_seq array<string>, prediction int")
+
+
+def test_ordinary_pages_are_matched_without_joins(spark, monkeypatch):
+    """Page by page, every step gives the rows of the joins that larger pages go by."""
+    from contentmark.operators import shred as S
+    from contentmark.plans.queries import MATCH_COLUMNS
+
+    pages, blocks = _random_corpus(spark, 3)
+    dom = S.shred(spark.createDataFrame(pages, "page_id bigint, html string"), columns=MATCH_COLUMNS).cache()
+    args = (blocks, S.nodes(dom), S.texts(dom), S.page_text(dom), dom)
+
+    def rows():
+        return [sorted(map(tuple, f(*args).collect()), key=repr)
+                for f in (WB.tier_hits, WB.count_hits, WB.resolve_cascade, WB.annotate)]
+
+    with monkeypatch.context() as m:
+        m.setattr(WB, "PIECE", 0)
+        joined = rows()
+    with monkeypatch.context() as m:
+        m.setattr(WB, "WORK", 500)      # some pages by the joins, some page by page
+        mixed = rows()
+    monkeypatch.setattr(WB, "occurrences", None)
+    got = rows()
+    assert got == joined == mixed
+    assert {r[3] for r in got[0]} == {1, 2, 3, 4, 5, 6} and len(got[3]) > 50
+
+
+def test_blocks_from_the_shredder_equal_regrouped_runs(spark):
+    from contentmark.functions.text import normalize_ws
+    from contentmark.operators import blocks as B
+    from contentmark.operators import shred as S
+
+    pages, _ = _random_corpus(spark, 4)
+    dom = S.shred(spark.createDataFrame(pages + [(99, None), (None, "<body>x")], "page_id bigint, html string")).cache()
+    nodes, texts = S.nodes(dom), S.texts(dom)
+    got, want = (sorted(map(tuple, B.extract_blocks(nodes, t).collect()), key=repr) for t in (None, texts))
+    assert got == want and len(got) > 50
+    runs = texts.selectExpr("coalesce(norm, text) as a", "*").withColumn("b", normalize_ws("text"))
+    assert runs.where("a != b").count() == 0 and runs.where("norm is not null").count() > 0
