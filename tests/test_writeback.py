@@ -201,3 +201,38 @@ def test_blocks_from_the_shredder_equal_regrouped_runs(spark):
     assert got == want and len(got) > 50
     runs = texts.selectExpr("coalesce(norm, text) as a", "*").withColumn("b", normalize_ws("text"))
     assert runs.where("a != b").count() == 0 and runs.where("norm is not null").count() > 0
+
+
+def test_a_deep_page_of_repeats_takes_no_cubic_time():
+    """Many equal texts on unclosed elements: each target has many occurrences, all of them
+    below each other, on paths of many elements."""
+    import time
+
+    from contentmark.operators.htmltree import FACTS, page_rows
+    from contentmark.operators.pagematch import Page
+    n = 300
+    rows = list(page_rows("<body>" + "<p>Home" * n + "<b>Home</b>" * n, (), FACTS))
+    page = Page(*(rows[-1][c] for c in ("text", "wtext", "tree", "tags")))
+    t = time.perf_counter()
+    for r in rows:
+        if r.get("text_seq"):
+            chain = tuple(r["tag_seq"])
+            hits = page.every_tier((chain[-1], chain[-2], chain, r["text_seq"][0], "Home"))
+            k = len(chain) - 2      # paragraphs above
+            want = {1: n, 2: n if k else 1, 3: n - (chain[-1] == "p"), 4: n - k if chain[-1] == "p" else n}
+            if chain[-1] == "p" and not k:      # the only one right below body
+                want[3] = 1
+            assert {tier: sum(x == tier for x, _ in hits) for tier in want} == want
+    assert time.perf_counter() - t < 20
+
+
+def test_repeated_gold_lines_meet_a_run_once(spark):
+    from contentmark.operators import align as A
+    from contentmark.operators import shred as S
+
+    dom = S.shred(spark.createDataFrame([(0, "<p>" + "<b>a</b>" * 20)], "page_id bigint, html string"))
+    gold = spark.createDataFrame([(0, k, " a" if k % 2 else "a") for k in range(20)],
+                                 "page_id bigint, line_no int, text string")
+    hits = A.align(S.texts(dom), A.distinct_lines(gold))
+    assert hits.count() == 20 and A.align(S.texts(dom), gold).count() == 400
+    assert A.owners(hits).exceptAll(A.owners(A.align(S.texts(dom), gold))).count() == 0
