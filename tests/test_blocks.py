@@ -118,3 +118,14 @@ def test_encode_moves_one_number_per_token(spark):
     assert rows[0]["tag_ids"] == [0, 2**31 - 1, 6, 3, 2] and rows[0]["class_ids"] == [0, 9, 3, 6, 3, 2]
     assert rows[1]["text_ids"] == rows[1]["class_ids"] == [0, 2]
     assert "collect_list(struct" not in e._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_page_given_twice_has_the_texts_of_both(spark, tmp_path):
+    from contentmark.plans.queries import BLOCK_COLUMNS, Corpus
+    pages = [(k, f"http://x.example/en/{k}", f"<body><p>a{k}<b>b</b></p></body>") for k in (0, 1, 1)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(0, "b"), (1, "b")], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = Corpus(spark, str(tmp_path), columns=BLOCK_COLUMNS).blocks().orderBy("page_id", "pos").collect()
+    assert [r["text_seq"] for r in got if r["page_id"] == 0] == [["a0"], ["b"]]
+    assert [r["text_seq"] for r in got if r["page_id"] == 1] == [["a1", "a1"]] * 2 + [["b", "b"]] * 2
